@@ -96,8 +96,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         small = large.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b").select(F.col("m").alias("a"), "b").distinct()
         after = written(small, f"{name}-edges")
         # done when every node has one edge, to a node that has no smaller neighbour
-        tops = after.select("a").distinct()
+        tops = after.select(F.col("a").alias("b")).distinct()
         twice = after.groupBy("b").count().where("count > 1").select("b")
-        if after.join(tops, after.b == tops.a, "left_semi").select("b").union(twice).isEmpty():
+        if after.join(tops, "b", "left_semi").select("b").union(twice).isEmpty():
             return after.select(F.col("b").alias("node"), F.col("a").alias("component")).union(after.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
         edges = after
