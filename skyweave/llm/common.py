@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +102,20 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if after.join(tops, "b", "left_semi").select("b").union(twice).isEmpty():
             return after.select(F.col("b").alias("node"), F.col("a").alias("component")).union(after.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
         edges = after
+
+
+def task_tables(batches: Iterator[pa.RecordBatch], column: str = "task") -> Iterator[pa.Table]:
+    """The rows of each task, from batches that are sorted by task; a task's rows may go over several batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        task = batch.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[-1].column(column)[0].as_py() != task[s]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
