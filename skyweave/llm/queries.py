@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, jaccard, packing, quality_classifier, quality_rules
+from . import embedding_dedup, jaccard, packing, quality_classifier, quality_rules, secret_scan
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("spans_found")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op9_best_fit_packing, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_secret_scan, op9_best_fit_packing, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
