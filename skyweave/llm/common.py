@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_rows(df: DataFrame, id_col: str, text_col: str, rows: int = 1000) -> DataFrame:
+    """(doc_id, text) alone. Python gets at most that many rows at a time in this session: texts can be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def remainder(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus, F.lit(0))

@@ -4,8 +4,8 @@
    are one node from then on (a digest of the sorted hashes).
 2. Two sets of similarity >= t share a token among the |x| - ceil(t|x|) + 1
    first of each, under any one order of tokens. Tokens that only one set has
-   come first in that order, by a bitmap of hash slots of a fixed size, and
-   tokens that many sets have come last, so few sets meet by accident. Sets
+   come first in that order and tokens that many sets have come last, by
+   counts of hash slots of a fixed number, so few sets meet by accident. Sets
    that meet inside a chunk of texts are linked there; a window over the
    tokens links the chunks. The components of these meetings are cells:
    similar sets share a cell.
@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, task_tables, text_rows, written
 from .text import chunks, words
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -89,66 +89,56 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 SEGMENTS = 256
-COLUMNS = ["doc_id", "n", "node", "token", "seen", "segment", "slots"]
-SCHEMA = "doc_id long, n long, node long, token long, seen long, segment int, slots binary"
-
-
-def _row_batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
-    kinds = {"segment": pa.int32(), "slots": pa.binary()}
-    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(rows, kinds.get(c, pa.int64()))) for c in COLUMNS], names=COLUMNS)
+GROUP = 8
+COLUMNS = ["doc_id", "n", "node", "segment", "slots"]
+SCHEMA = "doc_id long, n long, node long, segment int, slots binary"
 
 
 def _slot_rows(tokens: list[np.ndarray], slots: int) -> pa.RecordBatch:
-    """The tokens' slots (their low bits), packed by segment: gaps between sorted places, compressed. A slot that two sets hit is there twice."""
+    """The tokens' slots (their low bits), packed by segment: gaps between sorted places, compressed."""
     flat = np.sort(np.concatenate(tokens) & (slots - 1))
-    keep = np.ones(len(flat), bool)
-    keep[2:] = flat[2:] != flat[:-2]  # twice is enough
-    flat = flat[keep]
     width = slots // SEGMENTS
     cuts = np.searchsorted(flat, np.arange(SEGMENTS + 1) * width)
     packed = [zlib.compress(np.diff(flat[i:j], prepend=k * width).astype(np.uint32).tobytes(), 1) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-    return _row_batch(SEGMENTS, segment=pa.array(range(SEGMENTS), pa.int32()), slots=pa.array(packed, pa.binary()))
+    none = pa.nulls(SEGMENTS, pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SEGMENTS), pa.int32()), pa.array(packed, pa.binary())], names=COLUMNS)
 
 
-def _sets_and_tokens(batches: Iterator[pa.RecordBatch], size: int, share: float, slots: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n, node); rows (token, seen) of tokens that several sets of a chunk have; rows (segment, slots) of all tokens."""
+def _sets_and_slots(batches: Iterator[pa.RecordBatch], size: int, slots: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, n, node), and rows (segment, slots) of all tokens."""
     held: list[np.ndarray] = []
     for batch in batches:
         for part in chunks(batch.column(1)):
             tokens, at = shingle_sets(batch.column(1)[part.start : part.stop], size)
             n = np.diff(at)
             node = np.array([digest(tokens[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
-            yield _row_batch(len(n), doc_id=batch.column(0)[part.start : part.stop], n=pa.array(n, pa.int64()), node=pa.array(node, mask=n == 0))
-            kinds, count = np.unique(tokens, return_counts=True)
-            many = count >= max(3, share * len(n))
-            yield _row_batch(int(many.sum()), token=pa.array(kinds[many]), seen=pa.array(count[many]))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(n, pa.int64()), pa.array(node, mask=n == 0), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=COLUMNS)
             held.append(tokens)
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 1_500_000:
                 yield _slot_rows(held, slots)
                 held = []
     if held:
         yield _slot_rows(held, slots)
 
 
-def _hit_twice(batches: Iterator[pd.DataFrame], slots: int) -> Iterator[pd.DataFrame]:
-    """(segment, bits): which slots are hit twice or more."""
+def _slot_counts(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
+    """(segment, bits, levels): the slots that are hit twice or more, and for each group of slots the log of its most hits."""
     width = slots // SEGMENTS
-    hits: dict[int, np.ndarray] = {}
-    for pdf in batches:
-        for segment, packed in zip(pdf["segment"], pdf["slots"], strict=True):
-            place = np.cumsum(np.frombuffer(zlib.decompress(packed), np.uint32), dtype=np.int64)
-            own = hits.setdefault(segment, np.zeros(width, np.uint8))
-            own += np.minimum(np.bincount(place, minlength=width), 2).astype(np.uint8) if len(place) else 0
-            np.minimum(own, 2, out=own)
-    yield pd.DataFrame({"segment": list(hits), "bits": [np.packbits(h == 2, bitorder="little").tobytes() for h in hits.values()]})
+    for rows in task_tables(batches, "segment"):
+        hits = np.zeros(width, np.uint32)
+        for packed in rows["slots"]:
+            np.add.at(hits, np.cumsum(np.frombuffer(zlib.decompress(packed.as_py()), np.uint32), dtype=np.int64), 1)
+        levels = np.minimum(4 * np.log2(np.maximum(hits.reshape(-1, GROUP).max(axis=1), 1)), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([rows["segment"].combine_chunks()[:1], pa.array([np.packbits(hits > 1, bitorder="little").tobytes()], pa.binary()), pa.array([levels.tobytes()], pa.binary())], names=["segment", "bits", "levels"])
 
 
-def prefixes(tokens: np.ndarray, at: np.ndarray, twice: np.ndarray, common: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(tokens: np.ndarray, at: np.ndarray, twice: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix tokens that other sets may have too, and the index of each one's set.
 
     The order of tokens: those that no other set has (by the bits of twice, of
-    a fixed number; a wrong bit only costs work), the others by hash, and last
-    the common ones by rank. Tokens of the first kind meet nobody and go.
+    a fixed number; a wrong bit only costs work), then the others by how many
+    sets have them (about, by levels) and by hash. Tokens of the first kind
+    meet nobody and go.
     """
     n = np.diff(at)
     slot = tokens & (len(twice) * 8 - 1)
@@ -157,32 +147,24 @@ def prefixes(tokens: np.ndarray, at: np.ndarray, twice: np.ndarray, common: np.n
     own_shared = np.bincount(owner[shared], minlength=len(n))
     p = np.where(n > 0, prefix_length(n, percent) - (n - own_shared), 0)  # under 1: too few shared tokens for any link
     go = shared & (p > 0)[owner]
-    tokens, owner = tokens[go], owner[go]
-    if len(common):
-        place = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-        last = common[place] == tokens
-    else:
-        place, last = np.zeros(len(tokens), int), np.zeros(len(tokens), bool)
-    at = np.concatenate([[0], np.cumsum(np.where(p > 0, own_shared, 0))])
-    rare_before = np.concatenate([[0], np.cumsum(~last)])
-    take = ~last & (rare_before[:-1] - rare_before[at[:-1]][owner] < p[owner])
-    for i in np.flatnonzero(rare_before[at[1:]] - rare_before[at[:-1]] < p):
-        own = np.flatnonzero(last[at[i] : at[i + 1]]) + at[i]
-        missing = p[i] - (at[i + 1] - at[i] - len(own))
-        take[own[np.argsort(rank[place[own]], kind="stable")[:missing]]] = True
+    tokens, owner, slot = tokens[go], owner[go], slot[go]
+    order = np.argsort(owner * 256 + levels[slot // GROUP], kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    begin = np.concatenate([[0], np.cumsum(np.where(p > 0, own_shared, 0))])
+    take = np.arange(len(tokens)) - begin[owner] < p[owner]
     return tokens[take], owner[take]
 
 
-def _meetings(batches: Iterator[pa.RecordBatch], size: int, percent: int, twice: np.ndarray, common: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _meetings(batches: Iterator[pa.RecordBatch], size: int, percent: int, twice: np.ndarray, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (token, node): one for each prefix token and chunk; rows (node, other): sets of a chunk that meet by a token."""
     for batch in batches:
-        for part in chunks(batch.column(1), 16_000_000):
+        for part in chunks(batch.column(1)):
             tokens, at = shingle_sets(batch.column(1)[part.start : part.stop], size)
             node = np.array([digest(tokens[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
             _, first = np.unique(node, return_index=True)  # equal sets count once
             once = np.zeros(len(node), bool)
             once[first] = True
-            token, owner = prefixes(tokens, at, twice, common, rank, percent)
+            token, owner = prefixes(tokens, at, twice, levels, percent)
             keep = once[owner]
             token, own = token[keep], node[owner[keep]]
             order = np.lexsort((own, token))
@@ -341,24 +323,22 @@ def id_place(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mixed(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, common_share: float = 0.0005, slots: int = 1 << 28, filter_bits: int = 1 << 26) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, slots: int = 1 << 28, filter_bits: int = 1 << 26) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs: the smallest id reachable by pairs with 100 * overlap >= percent * union."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = written(rows.mapInArrow(lambda it: _sets_and_tokens(it, size, common_share, slots), SCHEMA), "jaccard-sets")
+    rows = text_rows(docs, id_col, text_col)
+    found = written(rows.mapInArrow(lambda it: _sets_and_slots(it, size, slots), SCHEMA), "jaccard-sets")
     sets = found.where("n is not null").select("doc_id", "n", "node")
     with_id = sets.where("doc_id is not null and node is not null")
 
-    # tokens of at least this share of the sets: at most (mean size / share) of them
-    least = max(3.0, common_share * sets.count())
-    common = found.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).toPandas().sort_values("token")
-    rank = common["seen"].to_numpy().argsort(kind="stable").argsort(kind="stable")
-    # which hash slots several sets hit: `slots` bits, whatever the input
-    twice = np.zeros(slots // 8, np.uint8)
-    for r in found.where("segment is not null").select("segment", "slots").repartition("segment").mapInPandas(lambda it: _hit_twice(it, slots), "segment int, bits binary").toLocalIterator():
-        width = slots // SEGMENTS // 8
-        twice[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    sent = spark.sparkContext.broadcast((twice, common["token"].to_numpy(np.int64), rank))
+    # a bit for each hash slot and a byte for each group of slots: of that size whatever the input
+    twice, levels = np.zeros(slots // 8, np.uint8), np.zeros(slots // GROUP, np.uint8)
+    packed = found.where("segment is not null").select("segment", "slots").repartition("segment").sortWithinPartitions("segment")
+    for r in packed.mapInArrow(lambda it: _slot_counts(it, slots), "segment int, bits binary, levels binary").toLocalIterator():
+        for whole, part in ((twice, r["bits"]), (levels, r["levels"])):
+            width = len(whole) // SEGMENTS
+            whole[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(part, np.uint8)
+    sent = spark.sparkContext.broadcast((twice, levels))
     met = rows.where("doc_id is not null").mapInArrow(lambda it: _meetings(it, size, percent, *sent.value), "token long, node long, other long")
     before = F.lag("node").over(Window.partitionBy("token").orderBy("node"))
     # rows of a chunk's own links have no token: each is a partition of its own in the window

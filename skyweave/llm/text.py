@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4_000_000
+from .common import text_rows
+
+CHUNK_BYTES = 2_000_000
 
 
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[slice]:
@@ -106,5 +107,5 @@ def _stats_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, STATS...) for every row, repeated rows too; other columns go."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, id_col, text_col)
     return rows.mapInArrow(_stats_batches, "doc_id long, " + ", ".join(f"{x} long" for x in STATS))
