@@ -383,3 +383,10 @@ def _bits(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         place = id_place(pdf["doc_id"].to_numpy(), bits)
         yield pd.DataFrame({"word": place >> 6, "bits": np.left_shift(np.int64(1), place & 63)}).groupby("word", as_index=False)["bits"].agg(np.bitwise_or.reduce) if len(pdf) else pd.DataFrame({"word": place, "bits": place})
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs, all columns, but for those whose id isn't the smallest of its group; null ids stay."""
+    found = jaccard_groups(docs, id_col, text_col, size, percent)
+    go = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
+    return docs.join(go, F.col(id_col) == F.col("gone_"), "left_anti")

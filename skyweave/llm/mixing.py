@@ -167,6 +167,13 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: f
     return Mix(model, text_col, steps, targets, reached)
 
 
+def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs, all columns, each as often as its copies say."""
+    found = fit(docs, label_domains(labels), weights, epochs, id_col=id_col, text_col=text_col)
+    rows = found.apply(docs, id_col).where("copies_ > 0")
+    return rows.withColumn("copy_", F.explode(F.expr("sequence(1, copies_)"))).select(*docs.columns)
+
+
 #: The shares of expected tokens that the production query asks for.
 WEIGHTS = {"clean": 0.94, "junk": 0.02, "toxic": 0.04}
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, written
-from .text import with_stats
+from .text import beside_stats, with_stats
 
 #: What a condition can look at, as SQL over the statistics of a text.
 MEASURES = {
@@ -144,3 +144,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame, label_col: str = "quality")
     rules = learn_from(stats, labels, label_col)
     failed = F.expr(BASE_FAILED)
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
+    """The rows of docs, all columns, that neither the base rules nor the learned list rejects."""
+    rules = learn_from(written(with_stats(docs), "rule-stats"), labels, label_col)
+    return beside_stats(docs).where(~F.expr(BASE_FAILED) & verdict(rules)).select("row_.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, jaccard, licenses, mixing, packing, quality_classifier, quality_rules, secret_scan, warc
+from . import embedding_dedup, jaccard, language_model, licenses, mixing, packing, quality_classifier, quality_rules, secret_scan, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents")).drop("spans_found")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_and_index(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "offset", "length", "place")
@@ -48,7 +52,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_secret_scan, op6_warc_archive, op7_license_scan, op8_source_mixing, op9_best_fit_packing, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_secret_scan, op5_language_model, op6_warc_archive, op7_license_scan, op8_source_mixing, op9_best_fit_packing, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

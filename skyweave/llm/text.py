@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import small_batches, text_rows
 
 CHUNK_BYTES = 2_000_000
 
@@ -109,3 +110,16 @@ def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, STATS...) for every row, repeated rows too; other columns go."""
     rows = text_rows(docs, id_col, text_col)
     return rows.mapInArrow(_stats_batches, "doc_id long, " + ", ".join(f"{x} long" for x in STATS))
+
+
+def _stats_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = text_stats(batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(len(STATS)))], names=["row_", *STATS])
+
+
+def beside_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row_, STATS...): each whole row of docs as a struct, beside the statistics of its text."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("row_"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_stats_beside, f"row_ {rows.schema['row_'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in STATS))
