@@ -168,9 +168,13 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: f
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs, all columns, each as often as its copies say."""
+    """Rows of docs, all columns, each as often as its copies say.
+
+    The copies are written with the rows first: a filter on them would else be
+    pushed below the features and compute these again for each of its terms.
+    """
     found = fit(docs, label_domains(labels), weights, epochs, id_col=id_col, text_col=text_col)
-    rows = found.apply(docs, id_col).where("copies_ > 0")
+    rows = written(found.apply(docs, id_col).select(*docs.columns, "copies_"), "mixing-copies").where("copies_ > 0")
     return rows.withColumn("copy_", F.explode(F.expr("sequence(1, copies_)"))).select(*docs.columns)
 
 
