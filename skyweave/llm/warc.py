@@ -34,7 +34,7 @@ END = "\r\n\r\n"
 DATE = "2025-01-01T00:00:00Z"
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE, revisit_bytes: int = 1000, file_bytes: int = 8_000_000) -> None:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE, revisit_bytes: int = 1000, file_bytes: int = 8_000_000, broadcast_rows: int = 300_000) -> None:
     """Write WARC files of about file_bytes each to a new folder."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1("html"))
@@ -42,6 +42,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     copies = facts.where(F.col("bytes") >= revisit_bytes).groupBy("sha1", "bytes").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     # only rows that revisit are joined to the pages
     revisits = facts.join(copies.select("sha1", "bytes", "first"), ["sha1", "bytes"]).where("not (id <=> first)").select("sha1", "id", "first").distinct()
+    revisits = written(revisits, "warc-revisits")
+    if revisits.count() <= broadcast_rows:  # about 100 bytes each; more are joined by a shuffle
+        revisits = F.broadcast(revisits)
     rows = rows.join(revisits.withColumnRenamed("id", "again").withColumnRenamed("sha1", "digest"), F.expr("id <=> again and sha1 = digest"), "left")
     urn = lambda c: F.expr(f"concat('<urn:uuid:', regexp_replace(md5(concat('page ', {c})), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '$1-$2-$3-$4-$5'), '>')")
     revisit = F.col("first").isNotNull()
