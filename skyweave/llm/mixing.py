@@ -27,11 +27,18 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-WORDS = r"filter(split(lower(text_), '[\\x20\\x09-\\x0D]+', -1), w -> w <> '')"
+_SPACED = "lower(text_)"
+for _c in ("\\n", "\\t", "\\r", "\\u000B", "\\f"):
+    _SPACED = f"replace({_SPACED}, '{_c}', ' ')"
+#: Words between white space: single characters are replaced and split on without regular expressions.
+WORDS = f"array_remove(split({_SPACED}, ' ', -1), '')"
+_PLAIN = "text_"
+for _c in "#*$%&|<>":
+    _PLAIN = f"replace({_PLAIN}, '{_c}', '')"
 #: Bins of document measures, as SQL over text_, distinct_ (its distinct words) and n_ (its words).
 MEASURES = {
     "length": "least(15, int(log2(1 + n_)))",
-    "symbols": "least(9, int(log2(1 + 64 * (length(text_) - length(translate(text_, '#*$%&|<>', ''))) / greatest(n_, 1))))",
+    "symbols": f"least(9, int(log2(1 + 64 * (length(text_) - length({_PLAIN})) / greatest(n_, 1))))",
     "shouts": "least(9, int(log2(1 + 64 * (length(text_) - length(replace(text_, '!', ''))) / greatest(n_, 1))))",
     "distinct": "least(10, int(10 * size(distinct_) / greatest(n_, 1)))",
 }
@@ -59,11 +66,16 @@ class Classifier:
 
     def bins(self) -> dict[str, Column]:
         found = {name: F.expr(sql) for name, sql in MEASURES.items()}
-        return found | {f"marks_{d}": F.least(F.lit(3), F.size(F.array_intersect("distinct_", _text_array(words)))) for d, words in self.markers.items()}
+        return found | {f"marks_{d}": F.least(F.lit(3), F.size(F.array_intersect("marks_", _text_array(words)))) for d, words in self.markers.items()}
+
+    def marked(self, rows: DataFrame) -> DataFrame:
+        """rows with marks_: the marker words of any domain in each text."""
+        every = sorted({w for words in self.markers.values() for w in words})
+        return rows.withColumn("marks_", F.array_intersect("distinct_", _text_array(every)))
 
     def posteriors(self, rows: DataFrame) -> DataFrame:
         """rows of _measured with posterior_: an array in the order of domains."""
-        rows = rows.withColumn("bins_", F.array(*(b.cast("int") for b in self.bins().values())))
+        rows = self.marked(rows).withColumn("bins_", F.array(*(b.cast("int") for b in self.bins().values())))
         logs = []
         for k, prior in enumerate(self.log_prior):
             total = F.lit(prior)
@@ -79,21 +91,22 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_co
     """labels: (doc_id, domain). The sampled labels are at most `sample` rows and are broadcast, so no text is moved."""
     known = labels.select(F.col("doc_id").cast("long").alias("label_id_"), F.col("domain").alias("domain_")).where(F.col("label_id_").isNotNull() & F.col("domain_").isin(domains))
     known = known.orderBy(F.xxhash64("label_id_"), "label_id_", "domain_").limit(sample)
-    rows = _measured(docs.select(F.col(id_col).cast("long").alias("label_id_"), F.col(text_col).alias("taught_")), "taught_").join(F.broadcast(known), "label_id_")
-    rows = written(rows.select("domain_", "text_", "distinct_", "n_"), "mixing-labelled")
+    taught = docs.select(F.col(id_col).cast("long").alias("label_id_"), F.col(text_col).alias("taught_")).join(F.broadcast(known), "label_id_")
+    rows = written(_measured(taught, "taught_").select("domain_", "text_", "distinct_", "n_"), "mixing-labelled")
     sizes = {r["domain_"]: r["n"] for r in rows.groupBy("domain_").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     model = Classifier(domains, [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains], {d: [] for d in domains}, {})
     if not total:
         return model
     seen = rows.select("domain_", F.explode("distinct_").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("domain_") == d, 1)).alias(f"n_{k}") for k, d in enumerate(domains))).where(f"n >= {support}")
+    seen = written(seen, "mixing-words")
     for k, d in enumerate(domains):
         mine, rest = sizes.get(d, 0), total - sizes.get(d, 0)
         odds = F.log((F.col(f"n_{k}") + 0.5) / (mine + 1)) - F.log((F.col("n") - F.col(f"n_{k}") + 0.5) / (rest + 1))
         best = seen.where(F.col(f"n_{k}") >= support).select("word", odds.alias("odds")).where("odds > 1.5").orderBy(F.desc("odds"), "word").limit(markers)
         model.markers[d] = [r["word"] for r in best.collect()]
     cells = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), b.cast("int").alias("bin")) for m, b in model.bins().items()))).alias("c")
-    counts: dict[tuple[str, str, int], int] = {(r["measure"], r["domain_"], r["bin"]): r["n"] for r in rows.select("domain_", cells).select("domain_", "c.measure", "c.bin").groupBy("domain_", "measure", "bin").agg(F.count("*").alias("n")).collect()}
+    counts: dict[tuple[str, str, int], int] = {(r["measure"], r["domain_"], r["bin"]): r["n"] for r in model.marked(rows).select("domain_", cells).select("domain_", "c.measure", "c.bin").groupBy("domain_", "measure", "bin").agg(F.count("*").alias("n")).collect()}
     for m in model.bins():
         width = 16 if m in MEASURES else 4
         model.tables[m] = [[math.log((counts.get((m, d, b), 0) + 0.5) / (sizes.get(d, 0) + 0.5 * width)) for b in range(width)] for d in domains]
@@ -102,22 +115,19 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_co
 
 @dataclass
 class Mix:
-    """A fitted mixing: the classifier, the steps of the projected gradient, and the totals that it reached."""
+    """A fitted mixing: the steps of the projected gradient, the totals that it reached, and all rows with their posteriors."""
 
-    classifier: Classifier
-    text_col: str
+    domains: list[str]
+    rows: DataFrame
     steps: list[list[float]]
     targets: list[float]
     reached: list[float]
 
-    def rate(self, posterior: str) -> Column:
-        return rate_after(self.steps, posterior)
-
-    def apply(self, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-        """docs with n_, posterior_, rate_ and copies_; what else _measured adds goes."""
-        rows = self.classifier.posteriors(_measured(docs, self.text_col)).withColumn("rate_", F.round(self.rate("posterior_"), 9))
+    def rates(self, id_col: str = "doc_id") -> DataFrame:
+        """All rows with n_, posterior_, rate_ and copies_."""
+        rows = self.rows.withColumn("rate_", F.round(rate_after(self.steps, "posterior_"), 9))
         u = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-        return rows.withColumn("copies_", F.floor(F.col("rate_") + u)).drop("text_", "words_", "distinct_", "bins_", "logs_")
+        return rows.withColumn("copies_", F.floor(F.col("rate_") + u))
 
 
 def rate_after(steps: list[list[float]], posterior: str) -> Column:
@@ -129,15 +139,18 @@ def rate_after(steps: list[list[float]], posterior: str) -> Column:
     return F.aggregate(moves, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: float = 1.0, main: str | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 40, tolerance: float = 1e-3, sample: int = 20_000) -> Mix:
+def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: float = 1.0, main: str | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 40, tolerance: float = 1e-3, sample: int = 20_000, keep: list[str] | None = None) -> Mix:
     """Fit rates whose expected token totals are in proportion to weights.
 
+    keep: the columns of docs that the fitted rows hold, all unless given.
     The totals are such that the domain `main` (the heaviest by weight) gets
     `epochs` times the tokens that it has.
     """
     domains = sorted(weights)
     model = fit_classifier(docs, labels, domains, id_col, text_col, sample)
-    rows = written(model.posteriors(_measured(docs.select(F.col(text_col)), text_col)).select("n_", "posterior_"), "mixing-posteriors")
+    # texts are read once: what follows reads the posteriors, and the rows once more at the end
+    whole = written(model.posteriors(_measured(docs, text_col)).select(*(keep if keep is not None else docs.columns), "n_", "posterior_"), "mixing-posteriors")
+    rows = whole.select("n_", "posterior_")
     p = [F.get("posterior_", F.lit(k)) for k in range(len(domains))]
 
     def totals(rate: Column) -> list[float]:
@@ -146,10 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: f
 
     natural = totals(F.lit(1.0))
     main = main or max(domains, key=lambda d: (weights[d], d))
-    whole = epochs * natural[domains.index(main)] / weights[main]
-    targets = [whole * weights[d] for d in domains]
-    if not sum(natural) or not whole:
-        return Mix(model, text_col, [], targets, natural)
+    total = epochs * natural[domains.index(main)] / weights[main]
+    targets = [total * weights[d] for d in domains]
+    if not sum(natural) or not total:
+        return Mix(domains, whole, [], targets, natural)
     # squares weighted by 1 / natural tokens; the steps are in the metric of tokens, so a rate depends on posteriors alone
     scale = [1 / max(x, 1e-6 * sum(natural)) for x in natural]
     gram = rows.agg(*(F.sum(F.col("n_") * a * b).alias(f"g{i}_{j}") for i, a in enumerate(p) for j, b in enumerate(p))).first()
@@ -160,22 +173,17 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: f
     reached = natural
     for _ in range(rounds):
         gap = [a - t for a, t in zip(reached, targets, strict=True)]
-        if max(abs(g) / max(t, 1e-6 * whole) for g, t in zip(gap, targets, strict=True)) < tolerance:
+        if max(abs(g) / max(t, 1e-6 * total) for g, t in zip(gap, targets, strict=True)) < tolerance:
             break
         steps.append([g * s / bound for g, s in zip(gap, scale, strict=True)])
         reached = totals(rate_after(steps, "posterior_"))
-    return Mix(model, text_col, steps, targets, reached)
+    return Mix(domains, whole, steps, targets, reached)
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs, all columns, each as often as its copies say.
-
-    The copies are written with the rows first: a filter on them would else be
-    pushed below the features and compute these again for each of its terms.
-    """
-    found = fit(docs, label_domains(labels), weights, epochs, id_col=id_col, text_col=text_col)
-    rows = written(found.apply(docs, id_col).select(*docs.columns, "copies_"), "mixing-copies").where("copies_ > 0")
-    return rows.withColumn("copy_", F.explode(F.expr("sequence(1, copies_)"))).select(*docs.columns)
+    """Rows of docs, all columns, each as often as its copies say."""
+    rows = fit(docs, label_domains(labels), weights, epochs, id_col=id_col, text_col=text_col).rates(id_col)
+    return rows.where("copies_ > 0").withColumn("copy_", F.explode(F.expr("sequence(1, copies_)"))).select(*docs.columns)
 
 
 #: The shares of expected tokens that the production query asks for.
@@ -189,6 +197,7 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, epochs: float = 1.1) -> DataFrame:
     """(doc_id, n_tokens, p_<domain>..., rate, copies) of each row of docs."""
-    found = fit(docs.select("doc_id", "text"), label_domains(labels), weights, epochs)
-    rows = found.apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return rows.select("doc_id", F.col("n_").alias("n_tokens"), *(F.get("posterior_", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(found.classifier.domains)), F.col("rate_").alias("rate"), F.col("copies_").cast("long").alias("copies"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = fit(docs, label_domains(labels), weights, epochs, keep=["doc_id"])
+    shares = [F.get("posterior_", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(found.domains)]
+    return found.rates().select("doc_id", F.col("n_").alias("n_tokens"), *shares, F.col("rate_").alias("rate"), F.col("copies_").cast("long").alias("copies"))
