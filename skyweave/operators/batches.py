@@ -65,12 +65,11 @@ def adaptive_tiles(df: DataFrame, max_rows: int, lowest: int = 0, highest: int =
     from ..functions.sky import healpix_nested
 
     rows = df.withColumn("pixel_", healpix_nested(F.col(ra), F.col(dec), highest))
-    counts = rows.groupBy("pixel_").count()  # at most 12 * 4**highest rows
-    for k in range(lowest, highest):
-        # a tile's count is the sum over the pixels in it: rolled up from pixel counts, not from rows
-        up = counts.groupBy(F.shiftright("pixel_", 2 * (highest - k)).alias(f"t{k}")).agg(F.sum("count").alias(f"n{k}"))
-        counts = counts.withColumn(f"t{k}", F.shiftright("pixel_", 2 * (highest - k))).join(up, f"t{k}")
-    order = F.coalesce(*(F.when(F.col(f"n{k}") <= max_rows, k) for k in range(lowest, highest)), F.lit(highest))
-    chosen = counts.select("pixel_", order.alias("tile_order"))
+    counts = rows.groupBy("pixel_").agg(F.count("*").alias("n_"))  # at most 12 * 4**highest rows
+    levels = F.explode(F.sequence(F.lit(lowest), F.lit(highest))).alias("tile_order")
+    up = counts.select("pixel_", "n_", levels).withColumn("tile_", F.expr(f"shiftright(pixel_, 2 * ({highest} - tile_order))"))
+    full = up.groupBy("tile_order", "tile_").agg(F.sum("n_").alias("sum_"))
+    fits = (F.col("sum_") <= max_rows) | (F.col("tile_order") == highest)
+    chosen = up.join(full.where(fits), ["tile_order", "tile_"]).groupBy("pixel_").agg(F.min("tile_order").alias("tile_order"))
     tile = F.expr(f"shiftright(pixel_, 2 * ({highest} - tile_order))")
     return rows.join(F.broadcast(chosen), "pixel_").withColumn("tile", tile).drop("pixel_")
