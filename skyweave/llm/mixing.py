@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 _SPACED = "lower(text_)"
-for _c in ("\\n", "\\t", "\\r", "\\u000B", "\\f"):
+for _c in ("\\n", "\\t", "\\r", "\\u000B", "\\u000C"):
     _SPACED = f"replace({_SPACED}, '{_c}', ' ')"
 #: Words between white space: single characters are replaced and split on without regular expressions.
 WORDS = f"array_remove(split({_SPACED}, ' ', -1), '')"
