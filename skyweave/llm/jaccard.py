@@ -58,7 +58,7 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray
     w = pd.util.hash_array(names, categorize=False)[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
     lengths = np.diff(at)
     full = np.zeros(max(len(w) - size + 1, 0), np.uint64)
-    for k in range(size):
+    for k in range(size if len(full) else 0):
         full = full * MULTIPLIER + w[k : len(w) - size + 1 + k]
     full = mixed(full).view(np.int64)
     out, ends = [], [0]
