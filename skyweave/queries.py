@@ -71,6 +71,16 @@ def _notifications(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("state", F.expr(_STATE))
 
 
+# HEALPix pixels of order 7, written out for DuckDB
+_SPREAD = "(" + " + ".join(f"((({{v}} >> {k}) & 1) << {2 * k})" for k in range(7)) + ")"
+_PIXELS = f"""WITH alerts AS ({t.ALERTS}), a AS (SELECT {ID}, sin(radians(dec_deg)) AS z, (ra_deg % 360) / 90 AS t FROM alerts),
+  b AS (SELECT *, abs(z) <= 2.0 / 3 AS belt, least(3, floor(t))::BIGINT AS q, 128 * sqrt(3 * (1 - abs(z))) AS w, floor(128 * (0.5 + t) - 128 * z * 0.75)::BIGINT AS jp, floor(128 * (0.5 + t) + 128 * z * 0.75)::BIGINT AS jm FROM a),
+  c AS (SELECT *, least(127, floor((t - q) * w))::BIGINT AS kp, least(127, floor((1 - (t - q)) * w))::BIGINT AS km FROM b),
+  d AS (SELECT {ID}, CASE WHEN belt THEN CASE WHEN jp >> 7 = jm >> 7 THEN (jp >> 7) | 4 WHEN jp >> 7 < jm >> 7 THEN jp >> 7 ELSE (jm >> 7) + 8 END WHEN z >= 0 THEN q ELSE q + 8 END AS face,
+    CASE WHEN belt THEN jm & 127 WHEN z >= 0 THEN 127 - km ELSE kp END AS x, CASE WHEN belt THEN 127 - (jp & 127) WHEN z >= 0 THEN 127 - kp ELSE km END AS y FROM c),
+  pixels AS (SELECT {ID}, CAST((face << 14) + {_SPREAD.format(v="x")} + ({_SPREAD.format(v="y")} << 1) AS BIGINT) AS pixel7 FROM d)"""
+
+
 # -- joins --------------------------------------------------------------------------------------
 
 
@@ -171,7 +181,10 @@ def agg6_run_summary(spark: SparkSession, d: str) -> DataFrame:
     return batches.run_summary(t.alerts(spark, d), _matches(spark, d), ["dense", "sparse", "far"])
 
 
-@query()
+@query(
+    _PIXELS + ", l AS (SELECT pixel7, k, pixel7 >> (2 * (7 - k)) AS tile FROM pixels, range(0, 8) r(k)), n AS (SELECT k, tile, count(*) AS c FROM l GROUP BY ALL), "
+    "f AS (SELECT pixel7, min(k) AS k FROM l JOIN n USING (k, tile) WHERE c <= 500 OR k = 7 GROUP BY 1) SELECT CAST(f.k AS INT) AS tile_order, pixel7 >> (2 * (7 - f.k)) AS tile, count(*) AS n_rows FROM pixels JOIN f USING (pixel7) GROUP BY ALL"
+)
 def agg7_adaptive_tiles(spark: SparkSession, d: str) -> DataFrame:
     rows = batches.adaptive_tiles(t.alerts(spark, d), max_rows=500)
     return rows.groupBy("tile_order", "tile").agg(F.count("*").alias("n_rows"))
@@ -277,7 +290,7 @@ def fn1_times(spark: SparkSession, d: str) -> DataFrame:
     return a.select(ID, F.date_trunc("second", "ingest_time").alias("ingest_time"), age_seconds(_now(), F.col("ingest_time")).alias("age"), from_mjd(mjd).alias("from_mjd"))
 
 
-@query()
+@query(_PIXELS + f" SELECT {ID}, pixel7, pixel7 >> 8 AS pixel3 FROM pixels")
 def fn5_healpix(spark: SparkSession, d: str) -> DataFrame:
     pixel = sky.healpix_nested(F.col("ra_deg"), F.col("dec_deg"), 7)
     return t.alerts(spark, d).select(ID, pixel.alias("pixel7"), sky.coarsen(pixel, 3, 7).alias("pixel3"))
