@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import crossmatch as cross
 from ..operators import filters, ingest, normalize, notify
-from ..schema import CANONICAL_ALERT
 from ..sources import brokers
 from ..sources.sinks import append_table, send_results
 
@@ -110,5 +109,3 @@ def deduplicated(messages: DataFrame, event_time: str, keys: list[str], late: st
     """An optional filter before ingest, for streams: repeats within the broker's retention go."""
     return messages.withWatermark(event_time, late).dropDuplicatesWithinWatermark(keys)
 
-
-EMPTY_ALERT = CANONICAL_ALERT
