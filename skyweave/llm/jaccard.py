@@ -339,6 +339,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             width = len(whole) // SEGMENTS
             whole[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(part, np.uint8)
     sent = spark.sparkContext.broadcast((twice, levels))
+    del twice, levels  # the broadcast's file has them
     met = rows.where("doc_id is not null").mapInArrow(lambda it: _meetings(it, size, percent, *sent.value), "token long, node long, other long")
     before = F.lag("node").over(Window.partitionBy("token").orderBy("node"))
     # rows of a chunk's own links have no token: each is a partition of its own in the window
