@@ -1,16 +1,14 @@
 """A hierarchical Pitman-Yor model of words, for perplexity.
 
-Word counts cover all training texts. Words with at least `word_share` of the
-training tokens (so at most 1 / word_share words) are dishes and contexts of
-their own; the other words together are one class. Each context (the word
-before) has a restaurant; all context restaurants share one parent over the
-classes, whose base is uniform; within the class of other words a restaurant
-of its own, with a uniform base too, spreads the class's probability.
-
-A context's restaurant seats the dishes with at least `pair_share` of the
-training pairs (so at most 1 / pair_share of them); customers of rarer pairs go
-to the parent directly, one table each. All pairs are counted over all
-training texts.
+Word and pair counts cover all training texts. Every context (the word before)
+has a restaurant that seats every pair seen with it; all context restaurants
+share one parent over all words, whose base is uniform over the words seen and
+one unseen word. Nothing depends on the size of the input: words, pairs and
+their seats are Spark tables, met by joins, and only sums reach the driver.
+
+Words are known by 64-bit digests, and pairs by 64-bit digests of these when
+texts are scored. Pairs and words with one customer have one table whatever is
+drawn, so the sweeps pass over the others only and count these.
 
 Seating is sampled by Gibbs sweeps: the tables of a dish in a restaurant are
 drawn from their conditional given the tables of the restaurant's other dishes
@@ -21,6 +19,9 @@ from the normal limit. The draws are hashes of dish and sweep, so a task that
 runs again draws the same. Predictive probabilities are averaged over the
 sweeps after the first ones.
 
+`fit` is a model in arrays for small tables, with classes of rare words; the
+scores don't come from it.
+
 A null text counts as empty: its only token is the end. A null id belongs to
 fold 0, so it trains unless that is held out. Repeated rows keep a row each,
 and each trains. Without training texts every text has probability 1.
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -104,24 +106,6 @@ def discount(counts: np.ndarray) -> float:
 # -- counting ---------------------------------------------------------------------------------
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.Table] = []
-
-    def merged() -> pa.Table:
-        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
-
-    for batch in batches:
-        for part in chunks(batch.column(1), CHUNK):
-            counted = pc.value_counts(words(batch.column(1)[part.start : part.stop], lower=True)[0])
-            held.append(pa.table({"word": counted.field("values"), "n": counted.field("counts")}))
-        if sum(t.num_rows for t in held) > 1_000_000:
-            held = [merged()]
-            if held[0].num_rows > 500_000:
-                yield from held.pop().to_batches(10_000)
-    if held:
-        yield from merged().to_batches(10_000)
-
-
 @dataclass
 class Classes:
     """Frequent words have numbers from 0; then come the class of other words, the begin and the end of a text."""
@@ -299,53 +283,211 @@ def fit(texts: DataFrame, counts: DataFrame, word_share: float = 1e-6, pair_shar
     return Model(classes, tokens, kinds, n_texts, count, pair, np.log10(pair_p), np.array(back), np.array(parents), np.log10(p_other), other_d)
 
 
+# -- seats as tables --------------------------------------------------------------------------
+
+END, BEGIN = 0, 1
+BLOCK = 50_000
+
+
+def digests(found: pa.Array) -> np.ndarray:
+    """64-bit digests of words; those of the end and the begin of a text are no word's."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    h = pd.util.hash_array(np.array(found.to_pylist(), object), categorize=False).view(np.int64)
+    return np.where((h == END) | (h == BEGIN), h + 2, h)
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and dishes of all tokens with an end for each text, as places in the digests that come last; and each token's text."""
+    flat, at = words(texts, lower=True)
+    code = flat.dictionary_encode()
+    names = np.concatenate([[END, BEGIN], digests(code.dictionary)])
+    n = len(at) - 1
+    ends = at[1:] + np.arange(n)
+    dish = np.empty(len(flat) + n, np.int64)
+    word = np.ones(len(dish), bool)
+    word[ends] = False
+    dish[word], dish[ends] = code.indices.to_numpy().astype(np.int64) + 2, END
+    context = np.concatenate([[BEGIN], dish[:-1]])
+    context[at[:-1] + np.arange(n)] = BEGIN
+    return context, dish, np.repeat(np.arange(n), np.diff(at) + 1), names
+
+
+def _mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ w.view(np.uint64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(27))).view(np.int64)
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, w, n) of the pairs in (doc_id, text, trains): n counts those that train, so it may be 0."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((w, u))
+        u, w, n = u[order], w[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
+        return u[first], w[first], np.add.reduceat(n, first)
+
+    def out(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from pa.table(dict(zip(("u", "w", "n"), columns, strict=True))).to_batches(BLOCK)
+
+    for batch in batches:
+        for part in chunks(batch.column(1), CHUNK):
+            context, dish, text, names = coded(batch.column(1)[part.start : part.stop])
+            trains = batch.column(2)[part.start : part.stop].to_numpy(zero_copy_only=False)[text]
+            both, at = np.unique((context << 32) | dish, return_inverse=True)
+            held.append((names[both >> 32], names[both & 0xFFFFFFFF], np.bincount(at, weights=trains, minlength=len(both)).astype(np.int64)))
+        if sum(len(x[0]) for x in held) > 1_500_000:
+            held = [merged()]
+            if len(held[0][0]) > 750_000:
+                yield from out(*held.pop())
+    if held:
+        yield from out(*merged())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= BLOCK:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _draw_seats(batches: Iterator[pa.RecordBatch], sweep: int, d: float, theta: float) -> Iterator[pa.RecordBatch]:
+    """(u, w, n, single_u, tables, drawn, p, after): tables drawn anew, from the parent's p and the tables after u."""
+    for t in _blocks(batches):
+        u, w, n, old, p, after = (t[c].to_numpy() for c in ("u", "w", "n", "tables", "p", "after"))
+        new = draw_tables(_mixed(u, w), sweep, n, p, after - old, d, theta).astype(np.int64)
+        yield from pa.table({"u": t["u"], "w": t["w"], "n": t["n"], "single_u": t["single_u"], "tables": new, "drawn": t["drawn"]}).to_batches(BLOCK)
+
+
+def _draw_parent(batches: Iterator[pa.RecordBatch], sweep: int, d: float, theta: float, base: float, all_tables: float) -> Iterator[pa.RecordBatch]:
+    """(w, single_w, tables, guests, kept): the parent's tables of each word, drawn anew."""
+    for t in _blocks(batches):
+        w, old, guests = (t[c].to_numpy() for c in ("w", "tables", "guests"))
+        new = draw_tables(w, sweep + 500, guests, np.full(len(w), base), all_tables - old, d, theta).astype(np.int64)
+        yield from pa.table({"w": t["w"], "single_w": t["single_w"], "tables": new, "guests": t["guests"], "kept": t["kept"]}).to_batches(BLOCK)
+
+
+def _forget(*frames: DataFrame) -> None:
+    """Tables that were written and are read no more go, and with them the shuffles that nothing refers to."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        for name in df.inputFiles()[:1]:
+            folder = sc._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+        sc._jvm.System.gc()
+
+
+@dataclass
+class Seats:
+    """pairs: (u, w, n, log_p, c) of every pair of the texts, c the training tokens of w."""
+
+    pairs: DataFrame
+    tokens: int
+    kinds: int
+
+
+def seat(rows: DataFrame, theta: float = 1.0, burn: int = 2, samples: int = 3) -> Seats:
+    """rows: (doc_id, text, trains). Pairs of all texts get their probability by those that train."""
+    pairs = written(rows.mapInArrow(_seen, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "lm-pairs")
+    one, two = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+    sizes = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), one.alias("one"), two.alias("two")).first()
+    tokens = int(sizes["n"])
+    d = float(np.clip(sizes["one"] / (sizes["one"] + 2 * sizes["two"]), 0.05, 0.95)) if sizes["one"] else 0.5
+    words_of = written(pairs.groupBy("w").agg(F.sum("n").alias("c"), one.alias("single_w")), "lm-words")
+    contexts = written(pairs.groupBy("u").agg(F.sum("n").alias("seen"), one.alias("single_u")), "lm-contexts")
+    _forget()
+    known = words_of.agg(F.count_if(F.expr("c > 0")).alias("kinds"), F.count_if(F.expr("c = 1")).alias("hapax")).first()
+    kinds, hapax = int(known["kinds"]), int(known["hapax"])
+    base = 1 / (kinds + 1)
+
+    by = lambda df: df.hint("shuffle_hash")
+    # what the sweeps seat anew: pairs of two customers or more, and in the parent words of two tokens or more
+    start = pairs.where("n >= 2").join(by(contexts.select("u", "single_u")), "u")
+    state = written(start.select("u", "w", "n", "single_u", F.lit(1).cast("long").alias("tables"), F.array().cast("array<long>").alias("drawn")), "lm-seats")
+    parent = words_of.where("c >= 2").select("w", "single_w", F.lit(0).cast("long").alias("tables"), F.lit(0).cast("long").alias("guests"), F.array().cast("array<double>").alias("kept"))
+    parent = written(parent, "lm-parent")
+    p, parent_tables = F.lit(base), 0.0
+    scalars: list[tuple[float, float, float]] = []  # of each sample: the parent's discount, what all words get, its customers
+    for sweep in range(burn + samples):
+        after = state.groupBy("u").agg((F.sum("tables") + F.max("single_u")).alias("after"))
+        met = state.join(by(parent.select("w", p.alias("p"))), "w").join(by(after), "u").select("u", "w", "n", "single_u", "tables", "drawn", "p", "after")
+        step = met.mapInArrow(lambda it, sweep=sweep: _draw_seats(it, sweep, d, theta), "u long, w long, n long, single_u long, tables long, drawn array<long>")
+        drawn = F.concat("drawn", F.array("tables")) if sweep >= burn else F.col("drawn")
+        old, state = state, written(step.withColumn("drawn", drawn), "lm-seats")
+        _forget(old)
+        # the parent's customers are the tables below it
+        below = state.groupBy("w").agg(F.sum("tables").alias("below"))
+        guests = parent.join(by(below), "w", "left").select("w", "single_w", "tables", (F.col("single_w") + F.coalesce("below", F.lit(0))).alias("guests"), "kept")
+        guests = written(guests, "lm-parent")
+        few = guests.agg(F.count_if(F.expr("guests = 1")).alias("one"), F.count_if(F.expr("guests = 2")).alias("two"), F.coalesce(F.sum("guests"), F.lit(0)).alias("n")).first()
+        ones = few["one"] + hapax
+        parent_d = float(np.clip(ones / (ones + 2 * few["two"]), 0.05, 0.95)) if ones else 0.5
+        fresh = guests.mapInArrow(lambda it, sweep=sweep, dp=parent_d, at=parent_tables: _draw_parent(it, sweep, dp, theta, base, at), "w long, single_w long, tables long, guests long, kept array<double>")
+        own = F.col("guests") - parent_d * F.col("tables")
+        old, parent = parent, written(fresh.withColumn("kept", F.concat("kept", F.array(own)) if sweep >= burn else F.col("kept")), "lm-parent")
+        _forget(old, guests)
+        parent_tables = float(parent.agg(F.coalesce(F.sum("tables"), F.lit(0))).first()[0] + hapax)
+        share, customers = (theta + parent_d * parent_tables) * base, float(few["n"] + hapax)
+        p = (own + share) / (theta + customers)
+        if sweep >= burn:
+            scalars.append((parent_d, share, customers))
+
+    # every pair meets its word and its context once
+    none = F.array(*[F.lit(0.0)] * samples)
+    rare = F.when(F.col("c") == 1, F.array(*(F.lit(1 - x[0]) for x in scalars))).otherwise(none)
+    word = words_of.join(by(parent.select("w", "kept")), "w", "left").select("w", "c", *((F.coalesce("kept", rare)[k] + x[1]) / (theta + x[2]) for k, x in enumerate(scalars)))
+    word = written(word.toDF("w", "c", *(f"p{k}" for k in range(samples))), "lm-word-p")
+    sums = state.groupBy("u").agg(*(F.sum(F.col("drawn")[k]).alias(f"s{k}") for k in range(samples)))
+    context = contexts.join(by(sums), "u", "left").select("u", (F.col("seen") + theta).alias("room"), *((theta + d * (F.col("single_u") + F.coalesce(f"s{k}", F.lit(0)))).alias(f"b{k}") for k in range(samples)))
+    context = written(context, "lm-context-b")
+    total = F.aggregate("drawn", F.lit(0).cast("long"), lambda a, b: a + b)
+    seats = state.select("u", "w", "n", total.alias("total")).union(pairs.where("n < 2").select("u", "w", "n", (F.col("n") * samples).alias("total")))
+    shared = sum((F.col(f"b{k}") * F.col(f"p{k}") for k in range(1, samples)), F.col("b0") * F.col("p0"))
+    chance = (F.col("n") - d * F.col("total") / samples + shared / samples) / F.col("room")
+    half = written(seats.join(by(word), "w"), "lm-half")
+    _forget(state, pairs, parent)
+    done = written(half.join(by(context), "u").select("u", "w", "n", F.log10(chance).alias("log_p"), "c"), "lm-scored")
+    _forget(half)
+    return Seats(done, tokens, kinds)
+
+
 # -- scoring ----------------------------------------------------------------------------------
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """A row for each text, and one for each word of the class of other words in it; `key` names the row of the text."""
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, u, w, n, doc_id) of the pairs of each text; `key` names its row, and the pair with its end has the id."""
     key = TaskContext.get().partitionId() << 40
-    base_of = np.log10(model.counts + 1.0)
-    names = ["key", "word", "n", "doc_id", "n_tokens", "n_known", "base", "score"]
     for batch in batches:
         for part in chunks(batch.column(1), CHUNK):
-            context, dish, begins, known_words, place = model.classes.sequences(batch.column(1)[part.start : part.stop])
-            pair = (context << 32) | dish
-            at = np.minimum(np.searchsorted(model.pairs, pair), max(len(model.pairs) - 1, 0))
-            hit = model.pairs[at] == pair if len(model.pairs) else np.zeros(len(pair), bool)
-            log_p = np.empty(len(pair))
-            log_p[hit] = model.log_pair[at[hit]]
-            u, w = context[~hit], dish[~hit]
-            log_p[~hit] = np.log10(sum(b[u] * p[w] for b, p in zip(model.back, model.parent, strict=True)) / len(model.back))
-            rare = dish == model.classes.rare
-            base = np.where(rare, 0.0, base_of[dish])
-            n_tokens = np.diff(np.append(begins, len(dish)))
-            rows = np.arange(key, key + len(begins))
-            add = lambda x: np.add.reduceat(x, begins)
-            none = pa.nulls(len(rows), pa.int64())
-            # a text's own row has a word that no text has, so it meets no count and goes to a partition of its own
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pc.binary_join_element_wise(pa.array(rows).cast(pa.string()), "text", " "), none, batch.column(0)[part.start : part.stop], pa.array(n_tokens, pa.int64()), pa.array(add(~rare & (model.counts[dish] > 0)).astype(np.int64)), pa.array(add(base)), pa.array(add(log_p))], names=names)
-            text_of = np.repeat(np.arange(len(begins)), n_tokens)[rare]
-            both, n = np.unique((text_of << 32) | place[rare], return_counts=True)
-            none = pa.nulls(len(both), pa.int64())
-            blank = pa.nulls(len(both), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(key + (both >> 32)), known_words.take(pa.array(both & 0xFFFFFFFF)), pa.array(n, pa.int64()), none, none, none, blank, blank], names=names)
-            key += len(rows)
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, word_share: float = 1e-6, pair_share: float = 2e-7) -> DataFrame:
+            context, dish, text, names = coded(batch.column(1)[part.start : part.stop])
+            n = np.ones(len(dish), np.int64)
+            rows = part.stop - part.start
+            if rows < 1 << 11 and len(names) < 1 << 26:  # a text's pairs once; more than that stay apart, and are summed later
+                both, n = np.unique((text << 52) | (context << 26) | dish, return_counts=True)
+                text, context, dish = both >> 52, (both >> 26) & ((1 << 26) - 1), both & ((1 << 26) - 1)
+            ids = batch.column(0)[part.start : part.stop].take(pa.array(np.where(dish == END, text, 0), mask=dish != END))
+            yield from pa.table({"key": key + text, "u": names[context], "w": names[dish], "n": n, "doc_id": ids}).to_batches(BLOCK)
+            key += rows
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs, learnt from the folds that aren't held out."""
     rows = text_rows(docs, id_col, text_col)
-    train = rows.where(remainder("doc_id", folds) != held_fold)
-    counts = written(train.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    model = fit(train, counts, word_share, pair_share)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    parts = rows.mapInArrow(lambda it: _score(it, sent.value), "key long, word string, n long, doc_id long, n_tokens long, n_known long, base double, score double")
-    met = parts.join(counts.withColumnRenamed("n", "c").hint("shuffle_hash"), "word", "left").select("key", "n", F.coalesce("c", F.lit(0)).alias("c"), "doc_id", "n_tokens", "n_known", "base", "score")
-    table = F.array(*map(F.lit, model.other_log.tolist()))
-    other = F.when(F.col("c") <= EXACT, F.get(table, F.col("c").cast("int"))).otherwise(F.lit(float(model.other_log[EXACT])) + F.log10(F.col("c") / float(EXACT)))
-    whole = met.repartition("key").groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("n"))), F.lit(0))).alias("n_known"),
-        (F.max("base") + F.coalesce(F.sum(F.col("n") * F.log10(F.col("c") + 1)), F.lit(0.0))).alias("base"), (F.max("score") + F.coalesce(F.sum(F.col("n") * other), F.lit(0.0))).alias("score"))
+    model = seat(rows.withColumn("trains", remainder("doc_id", folds) != held_fold))
+    pair = F.xxhash64("u", "w").alias("pair")
+    asked = rows.mapInArrow(_asked, "key long, u long, w long, n long, doc_id long").select("key", pair, F.col("n").cast("int").alias("n"), "doc_id")
+    known = model.pairs.select(pair, "log_p", "c").hint("shuffle_hash")
+    met = asked.join(known, "pair")
+    whole = met.groupBy("key").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n").cast("long").alias("n_tokens"), F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("n"))), F.lit(0)).cast("long").alias("n_known"),
+        F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("base"), F.sum(F.col("n") * F.col("log_p")).alias("score"))
     floor = float(np.log10(model.tokens + model.kinds + 1.0))
     return whole.select("doc_id", (remainder("doc_id", folds) == held_fold).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * floor).alias("base_score"), "score")

@@ -223,6 +223,22 @@ def test_probabilities_sum_to_one(spark):
     assert 2 * 10 ** m.other_log[1] + 10 ** m.other_log[0] == pytest.approx(1, abs=1e-6)
 
 
+def test_seats_do_not_depend_on_the_size(spark):
+    """Words and pairs seen twice stay context evidence beside millions of tokens, and each context's probabilities sum to one."""
+    fold = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    trains, held = [k for k in range(40) if not fold(k)], [k for k in range(40) if fold(k)]
+    rows = [(trains[0], "alpha beta gamma delta"), (trains[1], "alpha beta gamma delta"), (held[0], "x alpha beta"), (held[1], "x delta beta")]
+    small = {r.doc_id: r.score for r in language_model.score_texts(odd(spark, [*rows, (trains[2], "x y " * 20)])).collect()}
+    large = {r.doc_id: r.score for r in language_model.score_texts(odd(spark, [*rows, (trains[2], "x y " * 1_700_000)])).collect()}
+    assert small[held[0]] > small[held[1]] + 0.2 and large[held[0]] > large[held[1]] + 0.2
+
+    names = ["a", "b", "c", "rare", "unseen"]
+    texts = [(k, " ".join(np.random.default_rng(k).choice(names[:3], 30)), True) for k in range(30)] + [(98, "rare", True)] + [(99, f"{u} {w}", False) for u in names for w in names] + [(97, w, False) for w in ["", *names]]
+    got = language_model.seat(spark.createDataFrame(texts, "doc_id long, text string, trains boolean")).pairs.toPandas()
+    assert len(got) == 36
+    assert np.allclose((10**got.log_p).groupby(got.u).sum(), 1, atol=1e-9)
+
+
 def test_seating_follows_the_conditional():
     """The drawn tables have the distribution that seating customer by customer has, weighted by its probability."""
     d, theta, base, others, c = 0.5, 1.0, 0.3, 4.0, 6
