@@ -179,6 +179,20 @@ def test_grammar_finds_formats_and_spares_words():
     assert len(secret_scan.infer([make(16) for _ in range(300)])) < 60
 
 
+def test_unmarked_credentials_in_the_background(spark):
+    rng = np.random.default_rng(7)
+    make = lambda: "sk-" + "".join(rng.choice(list("0123456789abcdefghjk"), 24))
+    word = lambda: "".join(rng.choice(["tion", "er", "the", "and", "re", "en", "st", "ou", "ing", "ble"], 6))
+    marked, plain = [make() for _ in range(300)], [word() for _ in range(2000)]
+    for n in (0, 1, 20, 300):
+        scorer = secret_scan.fit({"assign": marked}, plain + [make() for _ in range(n)])
+        assert scorer.formats([make() for _ in range(200)]).mean() > 0.8 and scorer.formats([word() for _ in range(500)]).mean() < 0.01
+    # the background doesn't shrink with the input
+    some = spark.createDataFrame([(" ".join(plain[k::10]),) for k in range(10)], "text string")
+    out = list(secret_scan._values(iter(some.toArrow().to_batches()), 500))
+    assert sum(b.column(0).to_pylist().count("plain") for b in out) == 500
+
+
 def test_redaction(spark):
     rows = secret_scan.redact(odd(spark, ODD + SECRETS)).collect()
     texts = {r.doc_id: r.text for r in rows}
