@@ -1,10 +1,12 @@
 """License scans by sentence rules.
 
-A text's sentences (lines, cut after . ! ? or ; before a space) are normalised:
+A text's sentences (lines, cut after . ! ? or ; before a space; and joins of
+consecutive such pieces over line ends that no ! ? ; or blank line comes before,
+the longest known one first) are normalised:
 A-Z in lower case, every run of characters other than letters, digits, dots and
 plus signs one space, dots and spaces at the ends gone. A table maps known
 license sentences to identifiers. The sequence of a text's identifiers, cut
-where more than `gap` other sentences come between, is matched from left to
+where more than `gap` other sentences (pieces with a letter or digit) come between, is matched from left to
 right against ordered rules: at each place the first rule of the list that fits
 wins and its sentences are used up; a sentence that begins no rule is passed.
 
@@ -44,6 +46,8 @@ SENTENCES = {
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-details": "see the gnu general public license for more details",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-under": "licensed under the bsd license",
     "bsd-name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
@@ -75,7 +79,9 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("GPL-3.0-only", ("gpl3-work",)),
     ("GPL-3.0-only", ("gpl3-under",)),
     ("GPL-2.0-only", ("gpl2-under",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-name")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-2-Clause", ("bsd-grant",)),
     ("BSD", ("bsd-under",)),
     ("ISC", ("isc-grant",)),
@@ -108,33 +114,57 @@ class Recogniser:
     def __init__(self, sentences: dict[str, str], rules: list[tuple[str, tuple[str, ...]]], gap: int = 1):
         self.known = {text: name for name, text in sentences.items()}
         self.first = {text.split(" ")[0] for text in self.known}
+        #: What known sentences begin with, cut at words: a join goes on while it is one of these.
+        self.heads = {text[: m.start()] for text in self.known for m in re.finditer(" ", text)}
         self.rules = rules
         self.gap = gap
 
-    def identifiers(self, text: str) -> list[tuple[str, int, int, int]]:
-        """(identifier, sentence number, start, end) of the known sentences."""
-        found, start, number = [], 0, 0
+    def identifiers(self, text: str) -> list[tuple[str, int, int, int, int]]:
+        """(identifier, numbers of the first and last piece, start, end) of the known sentences."""
+        pieces, start = [], 0  # number (-1: nothing but marks or space), start, end
+        number = 0
         for end, after in [*((m.start(), m.end()) for m in CUT.finditer(text)), (len(text), 0)]:
+            some = any(map(str.isalnum, text[start:end]))
+            pieces.append((number if some else -1, start, end))
+            number += some
+            start = after
+        found, k = [], 0
+        while k < len(pieces):
+            number, start, end = pieces[k]
+            k += 1
+            if number < 0:
+                continue
             raw = text[start:end]
             first = WORD.search(raw.translate(_LOWER) if len(raw) < 64 else raw[:64].translate(_LOWER))
             # a first word past the 64th character, or cut by it, is looked at in whole
-            if raw.strip() and (first is None or first.end() >= 64 or first[0].strip(".") in self.first or not first[0].strip(".")):
-                name = self.known.get(normalised(raw))
-                if name:
-                    found.append((name, number, start, end))
-            number += bool(raw.strip())
-            start = after
+            if not (first is None or first.end() >= 64 or first[0].strip(".") in self.first or not first[0].strip(".")):
+                continue
+            joined, at, best = "", k - 1, None
+            while True:
+                joined = f"{joined} {' '.join(WORD.findall(text[pieces[at][1] : pieces[at][2]].translate(_LOWER)))}".strip(" ").lstrip(" .")
+                if name := self.known.get(joined.rstrip(" .")):
+                    best = (name, number, pieces[at][0], start, pieces[at][2])
+                    k = at + 1
+                if joined not in self.heads or text[start : pieces[at][2]].rstrip()[-1] in "!?;":
+                    break
+                at += 1
+                if at == len(pieces) or pieces[at][0] < 0:
+                    break
+            if best:
+                found.append(best)
         return found
 
     def matches(self, text: str) -> list[Match]:
         """(license, start, end) from left to right; code points of the text, end exclusive."""
-        ids = self.identifiers(text)
+        return self.matched(self.identifiers(text))
+
+    def matched(self, ids: list[tuple[str, int, int, int, int]]) -> list[Match]:
         out, k = [], 0
         while k < len(ids):
             for name, rule in self.rules:
                 part = ids[k : k + len(rule)]
-                if tuple(p[0] for p in part) == rule and all(b[1] - a[1] <= self.gap + 1 for a, b in zip(part[:-1], part[1:], strict=True)):
-                    out.append((name, part[0][2], part[-1][3]))
+                if tuple(p[0] for p in part) == rule and all(b[1] - a[2] <= self.gap + 1 for a, b in zip(part[:-1], part[1:], strict=True)):
+                    out.append((name, part[0][3], part[-1][4]))
                     k += len(rule)
                     break
             else:
@@ -155,9 +185,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
         for batch in it:
             known, names, spans, found = [], [], [], []
             for text in batch.column(1).to_pylist():
-                text = text or ""
-                m = recogniser.matches(text)
-                known.append(len(recogniser.identifiers(text)) if m else 0)
+                ids = recogniser.identifiers(text or "")
+                m = recogniser.matched(ids)
+                known.append(len(ids))
                 names.append(",".join(dict.fromkeys(x[0] for x in m)))
                 spans.append(",".join(f"{n}:{s}:{e}" for n, s, e in m))
                 found.append([{"license": n, "start": s, "end": e} for n, s, e in m])

@@ -308,6 +308,36 @@ def test_licenses(spark, docs):
     assert licenses.scan(odd(spark)).count() == len(ODD) and licenses.scan(odd(spark).limit(0)).count() == 0
 
 
+def wrapped(name, width=60, prefix=""):
+    line, out = prefix, []
+    for w in name.split(" "):
+        if len(line) + len(w) > width:
+            out.append(line)
+            line = prefix
+        line += (" " if line else "") + w
+    return "\n".join([*out, line])
+
+
+def test_wrapped_licenses(spark):
+    s = licenses.SENTENCES
+    text = lambda *names, prefix="": f"\n{prefix}\n".join(wrapped(s[n].capitalize() + ".", prefix=prefix) for n in names)
+    cases = {
+        "MIT": "é MIT\n\nMIT License\n\nCopyright (c) 2024 A. B.\n\n" + text("mit-grant", "mit-notice", "mit-as-is"),
+        "BSD-3-Clause": wrapped(s["bsd-grant"] + ":") + "\n\n1. " + wrapped(s["bsd-source"] + ".") + "\n\n2. " + wrapped(s["bsd-binary"] + ".") + "\n\n3. " + wrapped(s["bsd-name"] + "."),
+        "GPL-3.0-or-later": text("gpl-free", "gpl-hope", "gpl-details", prefix=" *"),
+        "ISC": text("isc-grant"),
+        "MPL-2.0": wrapped(s["mpl-subject"] + "."),
+        "Apache-2.0": '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n' + text("apache-as-is", prefix="#") + "\n" + text("apache-see", prefix="#"),
+    }
+    for name, t in cases.items():
+        (m,) = licenses.Recogniser(licenses.SENTENCES, licenses.RULES).matches(t)
+        assert m[0] == name and m[2] == len(t)
+    assert cases["MIT"][licenses.Recogniser(s, licenses.RULES).matches(cases["MIT"])[0][1] :].startswith("Permission" if "A. B." in cases["MIT"] else "MIT")
+    # a sentence doesn't go on past a blank line, and known sentences count without a rule too
+    r = licenses.scan(odd(spark, [(1, "Released under\n\nthe MIT License"), (2, s["mit-notice"]), (3, "Released under\r\nthe MIT License\r\n")])).collect()
+    assert {x.doc_id: (x.n_sentences_known, x.licenses) for x in r} == {1: (0, ""), 2: (1, ""), 3: (1, "MIT")}
+
+
 def test_license_rules_are_ordered():
     r = licenses.Recogniser({"a": "first one", "b": "second one"}, [("AB", ("a", "b")), ("A", ("a",))], gap=1)
     names = lambda t: [m[0] for m in r.matches(t)]
