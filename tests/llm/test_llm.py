@@ -193,6 +193,17 @@ def test_unmarked_credentials_in_the_background(spark):
     assert sum(b.column(0).to_pylist().count("plain") for b in out) == 500
 
 
+def test_partly_covered_credentials_go_whole():
+    class All:
+        formats = staticmethod(lambda strings: [True] * len(strings))
+
+    inner, whole = "0123456789abcdef" * 2, "token=0123456789abcdef"
+    text = f"é Zq9_{inner}-TAIL {whole} end"
+    ((base, every),) = secret_scan.scan_chunk([text], All())
+    assert [k for k, *_ in base] == ["hex", "assign", "hex"] and [k for k, *_ in every].count("format") == 1
+    assert secret_scan.redacted(text, every, "*") == "é * * end"
+
+
 def test_redaction(spark):
     rows = secret_scan.redact(odd(spark, ODD + SECRETS)).collect()
     texts = {r.doc_id: r.text for r in rows}
