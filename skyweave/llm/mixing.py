@@ -5,10 +5,13 @@
    and over marker words of each domain, also learnt. Its tables are literals
    of one Spark expression that gives every document its domain posteriors.
 2. Rates r >= 0 of documents minimise the weighted squares of
-   sum_i r_i n_i p_ik - target_k by projected gradient steps from r = 1. A
-   step needs only the residual of each domain, which Spark sums; the rate of
-   a document is a fold over the residuals so far, so nothing but a few
-   numbers goes to the driver and no lineage grows.
+   sum_i r_i n_i p_ik - target_k by projected steps from r = 1: Newton's, by
+   the Gram matrix of the documents with a rate over 0, or the gradient's where
+   that doesn't help. A step needs only the residual of each domain and that
+   matrix, which Spark sums; the rate of a document is a fold over the steps so
+   far, so nothing but a few numbers goes to the driver and no lineage grows.
+   Totals that stay short of the targets by more than the tolerance (they may
+   be out of reach) are told by a warning and by Mix.gap.
 3. A document gets floor(rate + u) copies, u a hash of its id in [0, 1): the
    expected token totals are the fitted ones.
 
@@ -20,8 +23,10 @@ likely. Repeated ids keep a row each. With no tokens at all every rate is 1.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,9 +118,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_co
     return model
 
 
+def _gap(reached: list[float], targets: list[float]) -> float:
+    return max((abs(a - t) / max(t, 1e-6 * sum(targets)) for a, t in zip(reached, targets, strict=True) if sum(targets)), default=0.0)
+
+
 @dataclass
 class Mix:
-    """A fitted mixing: the steps of the projected gradient, the totals that it reached, and all rows with their posteriors."""
+    """A fitted mixing: the projected steps, the totals that it reached, and all rows with their posteriors."""
 
     domains: list[str]
     rows: DataFrame
@@ -123,6 +132,11 @@ class Mix:
     targets: list[float]
     reached: list[float]
 
+    @property
+    def gap(self) -> float:
+        """The largest difference of a domain's total from its target, by the target."""
+        return _gap(self.reached, self.targets)
+
     def rates(self, id_col: str = "doc_id") -> DataFrame:
         """All rows with n_, posterior_, rate_ and copies_."""
         rows = self.rows.withColumn("rate_", F.round(rate_after(self.steps, "posterior_"), 9))
@@ -153,11 +167,16 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: f
     rows = whole.select("n_", "posterior_")
     p = [F.get("posterior_", F.lit(k)) for k in range(len(domains))]
 
-    def totals(rate: Column) -> list[float]:
-        r = rows.agg(*(F.coalesce(F.sum(rate * F.col("n_") * x), F.lit(0.0)).alias(f"t{k}") for k, x in enumerate(p))).first()
-        return list(r)
+    size = len(domains)
+
+    def sums(steps: list[list[float]]) -> tuple[list[float], np.ndarray]:
+        """Totals of the domains, and the Gram matrix of the documents with a rate over 0."""
+        rated = rows.withColumn("now_", rate_after(steps, "posterior_"))
+        live = F.when(F.col("now_") > 0, F.col("n_")).otherwise(0)
+        r = rated.agg(*(F.coalesce(F.sum(F.col("now_") * F.col("n_") * x), F.lit(0.0)) for x in p), *(F.coalesce(F.sum(live * a * b), F.lit(0.0)) for a in p for b in p)).first()
+        return list(r[:size]), np.array(r[size:]).reshape(size, size)
 
-    natural = totals(F.lit(1.0))
+    natural, gram = sums([])
     main = main or max(domains, key=lambda d: (weights[d], d))
     total = epochs * natural[domains.index(main)] / weights[main]
     targets = [total * weights[d] for d in domains]
@@ -165,19 +184,29 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: f
         return Mix(domains, whole, [], targets, natural)
     # squares weighted by 1 / natural tokens; the steps are in the metric of tokens, so a rate depends on posteriors alone
     scale = [1 / max(x, 1e-6 * sum(natural)) for x in natural]
-    gram = rows.agg(*(F.sum(F.col("n_") * a * b).alias(f"g{i}_{j}") for i, a in enumerate(p) for j, b in enumerate(p))).first()
-    size = len(domains)
+    root = np.sqrt(scale)
     # the largest row sum bounds the largest eigenvalue
-    bound = max(sum(abs(gram[f"g{i}_{j}"]) * math.sqrt(scale[i] * scale[j]) for j in range(size)) for i in range(size))
+    bound = float((np.abs(gram) * np.outer(root, root)).sum(axis=1).max())
     steps: list[list[float]] = []
     reached = natural
+    loss = lambda now: float((np.square(np.subtract(now, targets)) * scale).sum())
     for _ in range(rounds):
-        gap = [a - t for a, t in zip(reached, targets, strict=True)]
-        if max(abs(g) / max(t, 1e-6 * total) for g, t in zip(gap, targets, strict=True)) < tolerance:
+        if _gap(reached, targets) < tolerance:
             break
-        steps.append([g * s / bound for g, s in zip(gap, scale, strict=True)])
-        reached = totals(rate_after(steps, "posterior_"))
-    return Mix(domains, whole, steps, targets, reached)
+        short = np.subtract(reached, targets)
+        newton = np.linalg.lstsq(root[:, None] * gram, root * short, rcond=1e-10)[0]
+        for step in (newton, newton / 4, short * scale / bound):
+            after, live = sums([*steps, step.tolist()])
+            if loss(after) < (1 - 1e-6) * loss(reached):
+                steps.append(step.tolist())
+                reached, gram = after, live
+                break
+        else:
+            break  # no step comes nearer
+    found = Mix(domains, whole, steps, targets, reached)
+    if found.gap >= tolerance:
+        warnings.warn(f"mixing totals stay {found.gap:.2%} from the targets: {dict(zip(domains, zip(reached, targets, strict=True), strict=True))}", stacklevel=2)
+    return found
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -375,6 +375,19 @@ def test_mixing_reaches_targets(spark):
     assert (r.rate >= 0).all() and ((r.copies - r.rate).abs() < 1).all()
 
 
+def test_mixing_reaches_targets_in_the_pipeline(spark):
+    """The stage's own input: the rules took most junk, so its posteriors are diffuse."""
+    d = "/root/testdata/sf0.01"
+    docs, known = common.table(spark, d, "documents"), common.table(spark, d, "labels")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = common.written(stage(spark, docs, d), "test-mixing")
+    found = mixing.fit(docs, mixing.label_domains(known), mixing.WEIGHTS, epochs=1.1)
+    assert found.gap < 1e-3
+    # what can't be reached is told
+    with pytest.warns(UserWarning, match="from the targets"):
+        assert mixing.fit(odd(spark), mixing.label_domains(labels(spark)), mixing.WEIGHTS).gap > 1
+
+
 def test_mixing_odd_cases(spark):
     for known in ([], [(4, 1, 0), (7, 0, 0), (None, 1, 0), (5, None, 1)]):
         r = mixing.mix_rates(odd(spark), labels(spark, known)).collect()
