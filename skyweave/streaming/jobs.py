@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import crossmatch as cross
-from ..operators import filters, ingest, normalize, notify
+from ..operators import batches, filters, ingest, normalize, notify
 from ..sources import brokers
-from ..sources.sinks import append_table, send_results
+from ..sources.sinks import append_table, isolated, send_results
 
 ALERTS = "uuid string, lsst_diaobject_diaobjectid long, lsst_diasource_diasourceid long, ra_deg double, dec_deg double, event_time timestamp, ingest_time timestamp, schema_version int, payload string, status string"
 DELIVERIES = "lsst_diaobject_diaobjectid long, broker string, ingest_time timestamp"
@@ -67,17 +67,44 @@ def ingest_stream(messages: DataFrame, broker: str, tables: str, checkpoint: str
     return messages.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def match_batch(alerts: DataFrame, catalogs: list[DataFrame], tables: str, now: Column, radius_arcsec: float = 1.0, match_version: int = 1, dedupe: bool = True) -> None:
-    """Match alerts with static catalogs and append new matches and their messages.
+def match_batch(alerts: DataFrame, catalogs: list[DataFrame], tables: str, now: Column, radius_arcsec: float = 1.0, match_version: int = 1, dedupe: bool = True) -> dict[str, str]:
+    """Match alerts with static catalogs and append new matches and their messages, one catalog after another.
 
+    A catalog that fails is told by its name, in what is returned and in the
+    run's summary (table match_runs); the others' matches are stored.
     dedupe: messages only for matches that weren't stored; else one for each match found.
     """
     spark = alerts.sparkSession
-    found = cross.crossmatch_catalogs(alerts, catalogs, radius_arcsec, match_version)
-    fresh = ingest.merge_matches(stored(spark, f"{tables}/catalog_matches", MATCHES), found)
-    # messages first, keyed like the matches: a run that fails between the two makes the same messages again
-    append_table(_new_messages(spark, notify.notification_rows(fresh if dedupe else found, now), tables, dedupe), f"{tables}/notifications")
-    append_table(fresh, f"{tables}/catalog_matches")
+    alerts = alerts.persist()
+    try:
+        alerts.count()  # alerts that can't be read fail the batch, not its catalogs
+        named: dict[str, DataFrame] = {}
+        for k, c in enumerate(catalogs):
+            name = _catalog_name(c, k)
+            named[f"{name} ({k})" if name in named else name] = c
+
+        def match(catalog: DataFrame) -> None:
+            found = cross.crossmatch_catalogs(alerts, [catalog], radius_arcsec, match_version)
+            fresh = ingest.merge_matches(stored(spark, f"{tables}/catalog_matches", MATCHES), found)
+            # messages first, keyed like the matches: a run that fails between the two makes the same messages again
+            append_table(_new_messages(spark, notify.notification_rows(fresh if dedupe else found, now), tables, dedupe), f"{tables}/notifications")
+            append_table(fresh, f"{tables}/catalog_matches")
+
+        failed = isolated({name: lambda c=c: match(c) for name, c in named.items()})
+        matches = cross.matched(stored(spark, f"{tables}/catalog_matches", MATCHES), alerts)
+        append_table(batches.run_summary(alerts, matches, list(named), match_version, failed).withColumn("run_time", now), f"{tables}/match_runs")
+        return failed
+    finally:
+        alerts.unpersist()
+
+
+def _catalog_name(catalog: DataFrame, place: int) -> str:
+    """The name that a catalog's rows have; its place where there is none to read."""
+    try:
+        first = catalog.select("catalog_name").first()
+    except Exception:  # noqa: BLE001  the catalog's own action tells it
+        first = None
+    return first[0] if first else f"catalog {place}"
 
 
 def _new_messages(spark: SparkSession, rows: DataFrame, tables: str, dedupe: bool) -> DataFrame:

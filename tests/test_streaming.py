@@ -40,3 +40,21 @@ def test_ingest_match_dispatch_twice(spark, tmp_path):
     assert {r.state for r in after.collect()} == {"sent"}
     assert spark.read.text(str(tmp_path / "out")).count() == 2
     assert notify.dispatch_counts(after).first().n_sent == 2
+
+
+def test_a_failing_catalog_leaves_the_others(spark, tmp_path):
+    tables, gone = str(tmp_path / "tables"), tmp_path / "gone"
+    columns = "catalog_name string, catalog_source_id string, source_ra_deg double, source_dec_deg double"
+    good = [spark.createDataFrame([(name, "7", 10.0, 1.0)], columns) for name in ("a", "z")]
+    good[0].write.parquet(str(gone))
+    bad = spark.read.parquet(str(gone))
+    for f in gone.glob("*.parquet"):
+        f.write_bytes(b"none")
+    alerts = spark.createDataFrame([(1, 10.0, 1.0), (2, 50.0, 1.0)], "lsst_diaobject_diaobjectid long, ra_deg double, dec_deg double")
+    now = F.lit("2024-01-01").cast("timestamp")
+    for _ in range(2):
+        assert list(jobs.match_batch(alerts, [good[0], bad, good[1]], tables, now)) == ["catalog 1"]
+    assert sorted(r.catalog_name for r in spark.read.parquet(f"{tables}/catalog_matches").collect()) == ["a", "z"]
+    assert spark.read.parquet(f"{tables}/notifications").count() == 2
+    runs = {r.catalog_name: (r.n_matched, r.outcome == "ok") for r in spark.read.parquet(f"{tables}/match_runs").collect()}
+    assert runs == {"a": (1, True), "z": (1, True), "catalog 1": (0, False)}
