@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, name: str) -> str:
+    """Write a table of a bounded size to one file in the shared folder that every executor fetches; its name there, for `fetched`.
+
+    The driver holds none of it.
+    """
+    file = written(df.repartition(1), name).inputFiles()[0]
+    df.sparkSession.sparkContext.addFile(file)
+    return file.rsplit("/", 1)[-1]
+
+
+_FETCHED: dict[str, dict[str, np.ndarray]] = {}
+
+
+def fetched(name: str, make: Callable[[pa.Table], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """In a task: what `make` makes of a table of `spread`. A worker keeps the last two."""
+    if name not in _FETCHED:
+        while len(_FETCHED) > 1:
+            del _FETCHED[next(iter(_FETCHED))]
+        _FETCHED[name] = make(pq.read_table(SparkFiles.get(name)))
+    return _FETCHED[name]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 

@@ -1,14 +1,16 @@
 """Exact n-gram Jaccard join by signature trees.
 
 1. A text's set is its distinct word shingles, hashed to 64 bits; equal sets
-   are one node from then on (a digest of the sorted hashes).
+   (by a digest of 128 bits of the sorted hashes) are one node from then on.
 2. Two sets of similarity >= t share a token among the |x| - ceil(t|x|) + 1
    first of each, under any one order of tokens. Tokens that only one set has
    come first in that order and tokens that many sets have come last, by
-   counts of hash slots of a fixed number, so few sets meet by accident. Sets
-   that meet inside a chunk of texts are linked there; a window over the
-   tokens links the chunks. The components of these meetings are cells:
-   similar sets share a cell.
+   counts of hash slots of a fixed number, so few sets meet by accident. The
+   counts are a file that executors fetch from the shared folder. Sets that
+   meet inside a chunk of texts are linked there; a window over the tokens
+   links the chunks. A token that many sets have is dealt to windows of a
+   bounded size, and their first sets to one more. The components of these
+   meetings are cells: similar sets share a cell.
 3. Each cell's sets are compared by signature trees. A node has the OR of its
    members' token bitmaps, their range of sizes and the most tokens that a
    member has above its set bits. Two trees are walked together; a pair of
@@ -37,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, task_tables, text_rows, written
+from .common import components, fetched, spread, task_tables, text_rows, written
 from .text import chunks, words
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -80,8 +82,14 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(out) if out else full[:0]), np.array(ends)
 
 
-def digest(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """The two halves of each set's digest of 128 bits, as two rows of int64."""
+    raw = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+    return np.frombuffer(raw, "<i8").reshape(-1, 2).T.astype(np.int64)
+
+
+def split(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    return [tokens[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -89,9 +97,9 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 SEGMENTS = 256
-GROUP = 8
-COLUMNS = ["doc_id", "n", "node", "segment", "slots"]
-SCHEMA = "doc_id long, n long, node long, segment int, slots binary"
+GROUP = 32
+COLUMNS = ["doc_id", "n", "half", "rest", "segment", "slots"]
+SCHEMA = "doc_id long, n long, half long, rest long, segment int, slots binary"
 
 
 def _slot_rows(tokens: list[np.ndarray], slots: int) -> pa.RecordBatch:
@@ -101,18 +109,18 @@ def _slot_rows(tokens: list[np.ndarray], slots: int) -> pa.RecordBatch:
     cuts = np.searchsorted(flat, np.arange(SEGMENTS + 1) * width)
     packed = [zlib.compress(np.diff(flat[i:j], prepend=k * width).astype(np.uint32).tobytes(), 1) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
     none = pa.nulls(SEGMENTS, pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SEGMENTS), pa.int32()), pa.array(packed, pa.binary())], names=COLUMNS)
+    return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SEGMENTS), pa.int32()), pa.array(packed, pa.binary())], names=COLUMNS)
 
 
 def _sets_and_slots(batches: Iterator[pa.RecordBatch], size: int, slots: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n, node), and rows (segment, slots) of all tokens."""
+    """Rows (doc_id, n, half, rest), and rows (segment, slots) of all tokens."""
     held: list[np.ndarray] = []
     for batch in batches:
         for part in chunks(batch.column(1)):
             tokens, at = shingle_sets(batch.column(1)[part.start : part.stop], size)
             n = np.diff(at)
-            node = np.array([digest(tokens[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(n, pa.int64()), pa.array(node, mask=n == 0), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=COLUMNS)
+            half, rest = digests(split(tokens, at))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(n, pa.int64()), pa.array(half, mask=n == 0), pa.array(rest, mask=n == 0), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=COLUMNS)
             held.append(tokens)
             if sum(map(len, held)) > 1_500_000:
                 yield _slot_rows(held, slots)
@@ -132,6 +140,12 @@ def _slot_counts(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([rows["segment"].combine_chunks()[:1], pa.array([np.packbits(hits > 1, bitorder="little").tobytes()], pa.binary()), pa.array([levels.tobytes()], pa.binary())], names=["segment", "bits", "levels"])
 
 
+def slot_tables(found: pa.Table) -> dict[str, np.ndarray]:
+    """The bits and levels of all segments, in order."""
+    found = found.sort_by("segment")
+    return {name: np.frombuffer(b"".join(found[name].to_pylist()), np.uint8) for name in ("bits", "levels")}
+
+
 def prefixes(tokens: np.ndarray, at: np.ndarray, twice: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix tokens that other sets may have too, and the index of each one's set.
 
@@ -155,12 +169,19 @@ def prefixes(tokens: np.ndarray, at: np.ndarray, twice: np.ndarray, levels: np.n
     return tokens[take], owner[take]
 
 
-def _meetings(batches: Iterator[pa.RecordBatch], size: int, percent: int, twice: np.ndarray, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (token, node): one for each prefix token and chunk; rows (node, other): sets of a chunk that meet by a token."""
+#: About how many sets with a token go to one window.
+SALT_SETS = 4096
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], size: int, percent: int, slots: str) -> Iterator[pa.RecordBatch]:
+    """Rows (token, salts, node): one for each prefix token and chunk; rows (node, other): sets of a chunk that meet by a token. salts: over how many windows the token's rows are dealt."""
+    tables = fetched(slots, slot_tables)
+    twice, levels = tables["bits"], tables["levels"]
+    names = ["token", "salts", "node", "other"]
     for batch in batches:
         for part in chunks(batch.column(1)):
             tokens, at = shingle_sets(batch.column(1)[part.start : part.stop], size)
-            node = np.array([digest(tokens[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
+            node = digests(split(tokens, at))[0]  # sets of equal halves only share a cell
             _, first = np.unique(node, return_index=True)  # equal sets count once
             once = np.zeros(len(node), bool)
             once[first] = True
@@ -172,8 +193,10 @@ def _meetings(batches: Iterator[pa.RecordBatch], size: int, percent: int, twice:
             head = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
             star = own[head][np.cumsum(head) - 1] if len(token) else own
             a, b = np.unique(np.stack([star[~head], own[~head]]), axis=1) if (~head).any() else (own[:0], own[:0])
-            yield pa.RecordBatch.from_arrays([pa.array(token[head]), pa.array(own[head]), pa.nulls(int(head.sum()), pa.int64())], names=["token", "node", "other"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["token", "node", "other"])
+            token, own = token[head], own[head]
+            sets_with = 2.0 ** (levels[(token & (len(twice) * 8 - 1)) // GROUP] / 4)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array((sets_with // SALT_SETS).astype(np.int64) + 1), pa.array(own), pa.nulls(len(own), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=names)
 
 
 class Tree:
@@ -306,8 +329,15 @@ def _compare(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataF
         yield pd.DataFrame(links, columns=["a", "b"])
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch], size: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(node, n, tokens) of the rows whose id may be wanted; wanted: bits of hashed ids, of a fixed number."""
+def _set_rows(batches: Iterator[pa.RecordBatch], size: int, mask: str, bits: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, half, rest, tokens) of the rows whose id may be wanted; mask: bits of hashed ids, of a fixed number."""
+
+    def filled(found: pa.Table) -> dict[str, np.ndarray]:
+        out = np.zeros(bits // 64, np.int64)
+        out[found["word"].to_numpy()] = found["bits"].to_numpy()
+        return {"wanted": out.view(np.uint8)}
+
+    wanted = fetched(mask, filled)["wanted"]
     for batch in batches:
         ids = pc.fill_null(batch.column(0), 0).to_numpy()
         place = id_place(ids, len(wanted) * 8)
@@ -315,8 +345,9 @@ def _set_rows(batches: Iterator[pa.RecordBatch], size: int, wanted: np.ndarray)
         batch = batch.filter(pc.and_(pa.array(hit), pc.is_valid(batch.column(0))))
         for part in chunks(batch.column(1)):
             tokens, at = shingle_sets(batch.column(1)[part.start : part.stop], size)
-            own = [tokens[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array([digest(t) for t in own], pa.int64()), pa.array([t.tobytes() for t in own], pa.binary())], names=["doc_id", "node", "tokens"])
+            own = split(tokens, at)
+            half, rest = digests(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(half), pa.array(rest), pa.array([t.tobytes() for t in own], pa.binary())], names=["doc_id", "half", "rest", "tokens"])
 
 
 def id_place(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -325,41 +356,32 @@ def id_place(ids: np.ndarray, bits: int) -> np.ndarray:
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, slots: int = 1 << 28, filter_bits: int = 1 << 26) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs: the smallest id reachable by pairs with 100 * overlap >= percent * union."""
-    spark = docs.sparkSession
     rows = text_rows(docs, id_col, text_col)
     found = written(rows.mapInArrow(lambda it: _sets_and_slots(it, size, slots), SCHEMA), "jaccard-sets")
-    sets = found.where("n is not null").select("doc_id", "n", "node")
-    with_id = sets.where("doc_id is not null and node is not null")
+    sets = found.where("n is not null").select("doc_id", "n", "half", "rest")
+    with_id = sets.where("doc_id is not null and half is not null")
 
     # a bit for each hash slot and a byte for each group of slots: of that size whatever the input
-    twice, levels = np.zeros(slots // 8, np.uint8), np.zeros(slots // GROUP, np.uint8)
     packed = found.where("segment is not null").select("segment", "slots").repartition("segment").sortWithinPartitions("segment")
-    for r in packed.mapInArrow(lambda it: _slot_counts(it, slots), "segment int, bits binary, levels binary").toLocalIterator():
-        for whole, part in ((twice, r["bits"]), (levels, r["levels"])):
-            width = len(whole) // SEGMENTS
-            whole[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(part, np.uint8)
-    sent = spark.sparkContext.broadcast((twice, levels))
-    del twice, levels  # the broadcast's file has them
-    met = rows.where("doc_id is not null").mapInArrow(lambda it: _meetings(it, size, percent, *sent.value), "token long, node long, other long")
-    before = F.lag("node").over(Window.partitionBy("token").orderBy("node"))
-    # rows of a chunk's own links have no token: each is a partition of its own in the window
-    edges = met.select(F.coalesce("token", F.xxhash64("node", "other")).alias("token"), "node", F.expr("if(token is null, other, null)").alias("other"))
-    edges = edges.select("node", F.coalesce("other", before).alias("other")).where("other is not null and other <> node")
-    cells = written(components(edges.toDF("a", "b"), "jaccard-cells").toDF("node", "cell"), "jaccard-cells")
-
-    # one row of each candidate set, whose tokens are made again from its text
-    keepers = written(with_id.join(cells, "node").groupBy("node", "cell").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-keepers")
+    counted = spread(packed.mapInArrow(lambda it: _slot_counts(it, slots), "segment int, bits binary, levels binary"), "jaccard-slots")
+    met = rows.where("doc_id is not null").mapInArrow(lambda it: _meetings(it, size, percent, counted), "token long, salts long, node long, other long")
+    edges = written(linked_by_tokens(met), "jaccard-meetings")
+    heads = edges.where("other is null")
+    met_heads = heads.select("node", F.lag("node").over(Window.partitionBy("token").orderBy("node")).alias("other")).where("other <> node")
+    both = edges.where("other is not null").select("node", "other").union(met_heads)
+    cells = written(components(both.toDF("a", "b"), "jaccard-cells").toDF("half", "cell"), "jaccard-cells")
+
+    # one row of each candidate set, whose tokens are made again from its text; its number is fixed as it is written
+    keepers = with_id.join(cells, "half").groupBy("half", "rest", "cell").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    keepers = written(keepers.withColumn("node", F.monotonically_increasing_id()), "jaccard-keepers")
     bits = keepers.select("doc_id").mapInPandas(lambda it: _bits(it, filter_bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    wanted = np.zeros(filter_bits // 64, np.int64)
-    pdf = bits.toPandas()
-    wanted[pdf["word"].to_numpy(int)] = pdf["bits"].to_numpy(np.int64)
-    mask = spark.sparkContext.broadcast(wanted.view(np.uint8))
-    again = rows.mapInArrow(lambda it: _set_rows(it, size, mask.value), "doc_id long, node long, tokens binary").alias("s")
+    mask = spread(bits, "jaccard-wanted")
+    again = rows.mapInArrow(lambda it: _set_rows(it, size, mask, filter_bits), "doc_id long, half long, rest long, tokens binary")
 
     # bands of sizes: similar sets are in the same band or in bands next to each other
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9)
     weights = keepers.groupBy("cell").agg(F.sum("n").alias("cell_n"))
-    placed = keepers.join(weights, "cell").select("node", "cell", "doc_id", F.when(F.col("cell_n") <= BLOCK_TOKENS, -9).otherwise(band).cast("int").alias("band"), "n")
+    placed = keepers.join(weights, "cell").select("node", "half", "rest", "cell", "doc_id", F.when(F.col("cell_n") <= BLOCK_TOKENS, -9).otherwise(band).cast("int").alias("band"), "n")
     blocks = placed.groupBy("cell", "band").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
     blocks = blocks.join(blocks.select("cell", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above")), ["cell", "band"], "left").join(blocks.select("cell", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below")), ["cell", "band"], "left")
     placed = placed.join(blocks, ["cell", "band"]).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
@@ -368,18 +390,30 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         transform(sequence(0, blocks - 1), k -> named_struct('band', band, 'p', least(k, block), 'q', greatest(k, block), 'side', if(k < block, 1, 0), 'next', 0)),
         if(above is null or band < 0, array(), transform(sequence(0, coalesce(above, 1) - 1), k -> named_struct('band', band, 'p', block, 'q', k, 'side', 0, 'next', 1))),
         if(below is null or band < 0, array(), transform(sequence(0, coalesce(below, 1) - 1), k -> named_struct('band', band - 1, 'p', k, 'q', block, 'side', 1, 'next', 1))))""")
-    work = placed.select("node", "doc_id", "cell", F.explode(tasks).alias("t")).select("node", "doc_id", F.xxhash64("cell", "t.band", "t.p", "t.q", "t.next").alias("task"), "t.side")
-    joined = again.join(work, ["doc_id", "node"]).select("task", "side", "node", "tokens").repartition("task").sortWithinPartitions("task", "side")
+    work = placed.select("node", "half", "rest", "doc_id", "cell", F.explode(tasks).alias("t")).select("node", "half", "rest", "doc_id", F.xxhash64("cell", "t.band", "t.p", "t.q", "t.next").alias("task"), "t.side")
+    joined = again.join(work, ["doc_id", "half", "rest"]).select("task", "side", "node", "tokens").repartition("task").sortWithinPartitions("task", "side")
     links = joined.mapInPandas(lambda it: _compare(it, percent), "a long, b long")
     groups = components(links, "jaccard-links").toDF("node", "group")
+    linked = written(keepers.select("node", "half", "rest").join(groups, "node").select("half", "rest", "group"), "jaccard-linked")
 
-    known = sets.join(groups, "node", "left").select("doc_id", "n", F.coalesce("group", "node").alias("group"))
+    # a group is known by the number of its first node, or by the digest of a set that links with no other
+    known = sets.join(linked, ["half", "rest"], "left").select("doc_id", "n", F.col("group").isNotNull().alias("many"), F.coalesce("group", "half").alias("group"), F.when(F.col("group").isNull(), F.col("rest")).otherwise(0).alias("part"))
     known = written(known, "jaccard-groups")
-    low = known.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("low"))
-    out = known.join(low, "group", "left")
+    keys = ["many", "group", "part"]
+    low = known.where("group is not null and part is not null").groupBy(*keys).agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    out = known.join(written(low, "jaccard-lowest"), keys, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
 
 
+def linked_by_tokens(met: DataFrame) -> DataFrame:
+    """(token, node, other) of met: each node with the one before it that has its token. Of a token with several windows, the first node of each comes without another."""
+    # rows of a chunk's own links have no token: each is a window of its own
+    rows = met.select(F.coalesce("token", F.xxhash64("node", "other")).alias("token"), F.coalesce("salts", F.lit(1)).alias("salts"), "node", "other")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
+    before = F.lag("node").over(Window.partitionBy("token", "salt").orderBy("node"))
+    return rows.select("token", "salts", "node", F.coalesce("other", before).alias("other")).where("other <> node or other is null and salts > 1").drop("salts")
+
+
 def _bits(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         place = id_place(pdf["doc_id"].to_numpy(), bits)
@@ -389,5 +423,5 @@ def _bits(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """The rows of docs, all columns, but for those whose id isn't the smallest of its group; null ids stay."""
     found = jaccard_groups(docs, id_col, text_col, size, percent)
-    go = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(go, F.col(id_col) == F.col("gone_"), "left_anti")
+    go = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(go, id_col, "left_anti").select(*docs.columns)
