@@ -48,15 +48,26 @@ def spread(df: DataFrame, name: str) -> str:
     return file.rsplit("/", 1)[-1]
 
 
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of `written` that are read no more, and the shuffles that nothing refers to."""
+    sc = spark.sparkContext
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = sc._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+    sc._jvm.System.gc()
+
+
 _FETCHED: dict[str, dict[str, np.ndarray]] = {}
 
 
-def fetched(name: str, make: Callable[[pa.Table], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """In a task: what `make` makes of a table of `spread`. A worker keeps the last two."""
+def fetched(name: str, make: Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray]], rows: int = 16) -> dict[str, np.ndarray]:
+    """In a task: what `make` makes of the batches of a table of `spread`. A worker keeps the last two."""
     if name not in _FETCHED:
         while len(_FETCHED) > 1:
             del _FETCHED[next(iter(_FETCHED))]
-        _FETCHED[name] = make(pq.read_table(SparkFiles.get(name)))
+        _FETCHED[name] = make(pq.ParquetFile(SparkFiles.get(name), pre_buffer=False).iter_batches(batch_size=rows, use_threads=False))
+        pa.default_memory_pool().release_unused()
     return _FETCHED[name]
 
 

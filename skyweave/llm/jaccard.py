@@ -122,7 +122,7 @@ def _sets_and_slots(batches: Iterator[pa.RecordBatch], size: int, slots: int) ->
             half, rest = digests(split(tokens, at))
             yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(n, pa.int64()), pa.array(half, mask=n == 0), pa.array(rest, mask=n == 0), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=COLUMNS)
             held.append(tokens)
-            if sum(map(len, held)) > 1_500_000:
+            if sum(map(len, held)) > 1_000_000:
                 yield _slot_rows(held, slots)
                 held = []
     if held:
@@ -140,10 +140,16 @@ def _slot_counts(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([rows["segment"].combine_chunks()[:1], pa.array([np.packbits(hits > 1, bitorder="little").tobytes()], pa.binary()), pa.array([levels.tobytes()], pa.binary())], names=["segment", "bits", "levels"])
 
 
-def slot_tables(found: pa.Table) -> dict[str, np.ndarray]:
+def slot_tables(found: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
     """The bits and levels of all segments, in order."""
-    found = found.sort_by("segment")
-    return {name: np.frombuffer(b"".join(found[name].to_pylist()), np.uint8) for name in ("bits", "levels")}
+    out: dict[str, np.ndarray] = {}
+    for batch in found:
+        for name in ("bits", "levels"):
+            for k, part in zip(batch.column("segment").to_pylist(), batch.column(name), strict=True):
+                own = np.frombuffer(part.as_buffer(), np.uint8)
+                whole = out.setdefault(name, np.zeros(len(own) * SEGMENTS, np.uint8))
+                whole[k * len(own) : (k + 1) * len(own)] = own
+    return out or {"bits": np.zeros(0, np.uint8), "levels": np.zeros(0, np.uint8)}
 
 
 def prefixes(tokens: np.ndarray, at: np.ndarray, twice: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,12 +338,13 @@ def _compare(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataF
 def _set_rows(batches: Iterator[pa.RecordBatch], size: int, mask: str, bits: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, half, rest, tokens) of the rows whose id may be wanted; mask: bits of hashed ids, of a fixed number."""
 
-    def filled(found: pa.Table) -> dict[str, np.ndarray]:
+    def filled(found: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
         out = np.zeros(bits // 64, np.int64)
-        out[found["word"].to_numpy()] = found["bits"].to_numpy()
+        for batch in found:
+            out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
         return {"wanted": out.view(np.uint8)}
 
-    wanted = fetched(mask, filled)["wanted"]
+    wanted = fetched(mask, filled, 50_000)["wanted"]
     for batch in batches:
         ids = pc.fill_null(batch.column(0), 0).to_numpy()
         place = id_place(ids, len(wanted) * 8)
