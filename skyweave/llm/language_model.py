@@ -10,17 +10,20 @@ Words are known by 64-bit digests, and pairs by 64-bit digests of these when
 texts are scored. Pairs and words with one customer have one table whatever is
 drawn, so the sweeps pass over the others only and count these.
 
-Seating is sampled by Gibbs sweeps: the tables of a dish in a restaurant are
-drawn from their conditional given the tables of the restaurant's other dishes
-and the parent's predictive probability. Up to 64 customers that conditional
-is exact, by generalised Stirling numbers; for more customers their seating is
-followed in blocks that grow by an eighth and its number of tables is drawn
-from the normal limit. The draws are hashes of dish and sweep, so a task that
-runs again draws the same. Predictive probabilities are averaged over the
-sweeps after the first ones.
-
-`fit` is a model in arrays for small tables, with classes of rare words; the
-scores don't come from it.
+Seating is sampled by Gibbs sweeps. A round brings each pair the parent's
+predictive probability and the tables of its context, then sweeps over the
+restaurants of a task several times: a restaurant's dishes take turns, one
+after another up to TURNS dishes, else a TURNS-th of them at a time, and each
+is drawn given the tables of all others as they are by then. The parent's
+tables are drawn after each round in the same way. Up to EXACT customers a
+dish's conditional is exact, by generalised Stirling numbers; for more
+customers their seating is followed in blocks that grow by an eighth and its
+number of tables is drawn from the normal limit. The draws are hashes of dish
+and sweep, so a task that runs again draws the same. Predictive probabilities
+are averaged over the sweeps of the rounds after the first.
+
+The pairs that occur most (at most `hot_pairs`) are a file that executors
+fetch, so that their tokens aren't moved; all others meet the texts by a join.
 
 A null text counts as empty: its only token is the end. A null id belongs to
 fold 0, so it trains unless that is held out. Repeated rows keep a row each,
@@ -31,16 +34,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, text_rows, written
+from .common import fetched, forget, remainder, spread, text_rows, written
 from .text import chunks, words
 
 EXACT = 64
@@ -57,6 +60,7 @@ def uniform(keys: np.ndarray, sweep: int) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(float) + 0.5) / 2**53
 
 
+@lru_cache(maxsize=4)
 def log_stirling(d: float) -> np.ndarray:
     """Log generalised Stirling numbers of n customers at k tables, for n and k up to EXACT."""
     s = np.full((EXACT + 1, EXACT + 1), -np.inf)
@@ -97,196 +101,16 @@ def draw_tables(keys: np.ndarray, sweep: int, customers: np.ndarray, base: np.nd
     return tables
 
 
-def discount(counts: np.ndarray) -> float:
+def discount(one: int, two: int) -> float:
     """From how many dishes have one customer and how many have two."""
-    one, two = (counts == 1).sum(), (counts == 2).sum()
     return float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one else 0.5
 
 
-# -- counting ---------------------------------------------------------------------------------
-
-
-@dataclass
-class Classes:
-    """Frequent words have numbers from 0; then come the class of other words, the begin and the end of a text."""
-
-    names: pa.Array
-
-    @property
-    def rare(self) -> int:
-        return len(self.names)
-
-    @property
-    def begin(self) -> int:
-        return len(self.names) + 1
-
-    @property
-    def end(self) -> int:
-        return len(self.names) + 2
-
-    def sequences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-        """Contexts and dishes of all tokens with an end for each text; where each text begins; the texts' words and each token's place among them (-1: an end)."""
-        flat, at = words(texts, lower=True)
-        coded = flat.dictionary_encode()
-        number = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.names), self.rare).to_numpy(zero_copy_only=False).astype(np.int64)
-        own = number[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
-        texts_n = len(at) - 1
-        begins = at[:-1] + np.arange(texts_n)
-        ends = at[1:] + np.arange(texts_n)
-        dish = np.empty(len(own) + texts_n, np.int64)
-        word = np.ones(len(dish), bool)
-        word[ends] = False
-        dish[word], dish[ends] = own, self.end
-        context = np.concatenate([[0], dish[:-1]])
-        context[begins] = self.begin
-        place = np.full(len(dish), -1)
-        place[word] = coded.indices.to_numpy()
-        return context, dish, begins, coded.dictionary, place
-
-
-def _pair_counts(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([k for k, _ in held])
-        unique, at = np.unique(keys, return_inverse=True)
-        return unique, np.bincount(at, weights=np.concatenate([n for _, n in held]), minlength=len(unique)).astype(np.int64)
-
-    def out(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield from pa.table({"pair": keys, "n": n}).to_batches(50_000)
-
-    for batch in batches:
-        for part in chunks(batch.column(1), CHUNK):
-            context, dish, *_ = classes.sequences(batch.column(1)[part.start : part.stop])
-            held.append(np.unique((context << 32) | dish, return_counts=True))
-        if sum(len(k) for k, _ in held) > 1_500_000:
-            held = [merged()]
-            if len(held[0][0]) > 750_000:
-                yield from out(*held.pop())
-    if held:
-        yield from out(*merged())
-
-
-# -- seating ----------------------------------------------------------------------------------
-
-
-@dataclass
-class Model:
-    classes: Classes
-    tokens: int
-    kinds: int
-    texts: int
-    counts: np.ndarray  # training tokens of each class
-    pairs: np.ndarray  # sorted context << 32 | dish
-    log_pair: np.ndarray
-    back: np.ndarray  # sample x context: the weight of the parent
-    parent: np.ndarray  # sample x class
-    other_log: np.ndarray  # log10 of a rare word's share of its class, by its count up to EXACT
-    other_d: float
-
-
-def _draw_pairs(batches: Iterator[pa.RecordBatch], sweep: int, d: float, theta: float, counted: bool, parent: np.ndarray, tables: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """New tables of each pair; total: their sum over the sweeps that count."""
-    for batch in batches:
-        pair, n, old, total = (batch.column(k).to_numpy() for k in range(4))
-        context, dish = pair >> 32, pair & 0xFFFFFFFF
-        new = draw_tables(pair, sweep, n, parent[dish], tables[context] - old, d, theta)
-        new = new.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new), pa.array(total + new * counted)], names=["pair", "n", "tables", "total"])
-
-
-def _by(df: DataFrame, key: Column, value: str, size: int) -> np.ndarray:
-    """Sums by class number: at most as many numbers as there are classes."""
-    out = np.zeros(size)
-    pdf = df.groupBy(key.alias("k")).agg(F.sum(value).alias("v")).toPandas()
-    out[pdf["k"].to_numpy(int)] = pdf["v"].to_numpy(float)
-    pa.default_memory_pool().release_unused()
-    return out
-
-
-def fit(texts: DataFrame, counts: DataFrame, word_share: float = 1e-6, pair_share: float = 2e-7, theta: float = 1.0, burn: int = 2, samples: int = 3) -> Model:
-    """texts: (doc_id, text) that train; counts: (word, n) of their words."""
-    spark = texts.sparkSession
-    sizes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kinds")).first()
-    n_texts = texts.count()
-    tokens, kinds = int(sizes["n"]) + n_texts, int(sizes["kinds"]) + (n_texts > 0)
-    frequent = counts.where(F.col("n") >= max(1.0, word_share * tokens)).orderBy("word").toArrow()  # at most 1 / word_share words
-    classes = Classes(frequent["word"].combine_chunks())
-    size = classes.end + 1
-    count = np.zeros(size, np.int64)
-    count[: classes.rare] = frequent["n"].to_numpy()
-    count[classes.rare], count[classes.end] = tokens - n_texts - count.sum(), n_texts
-    sent = spark.sparkContext.broadcast(classes)
-    pairs = written(texts.mapInArrow(lambda it: _pair_counts(it, sent.value), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "lm-pairs")
-    least = max(1.0, pair_share * tokens)
-    context, dish = F.shiftright("pair", 32), F.col("pair").bitwiseAND(0xFFFFFFFF)
-    kept = pairs.where(F.col("n") >= least)
-    seen_after = _by(pairs, context, "n", size)
-    direct = pairs.where(F.col("n") < least)
-    direct_after, direct_dish = _by(direct, context, "n", size), _by(direct, dish, "n", size)
-    few = {r["n"]: r["c"] for r in kept.where("n <= 2").groupBy("n").agg(F.count("*").alias("c")).collect()}
-    d = float(np.clip(few[1] / (few[1] + 2 * few.get(2, 0)), 0.05, 0.95)) if few.get(1) else 0.5
-
-    base = np.full(size, 1 / (kinds + 1))
-    base[classes.begin] = 1e-300  # never a dish
-    base[classes.rare] = (kinds + 1 - classes.rare - 1) / (kinds + 1) if n_texts else 1.0
-    parent, parent_tables = base.copy(), np.zeros(size)
-    state = written(kept.select("pair", "n", F.lit(1).cast("long").alias("tables"), F.lit(0).cast("long").alias("total")), "lm-seats")
-    after_tables = _by(state, context, "tables", size)
-    back, parents = [], []
-    for sweep in range(burn + samples):
-        now = spark.sparkContext.broadcast((parent, after_tables))
-        step = state.mapInArrow(lambda it, sweep=sweep, now=now: _draw_pairs(it, sweep, d, theta, sweep >= burn, *now.value), "pair long, n long, tables long, total long")
-        state = written(step, "lm-seats")
-        after_tables, dish_tables = _by(state, context, "tables", size), _by(state, dish, "tables", size)
-        # the parent's customers are the tables below it
-        guests = (dish_tables + direct_dish).astype(np.int64)
-        some = np.flatnonzero(guests)
-        if len(some):
-            parent_d = discount(guests[some])
-            draw = draw_tables(some, sweep + 500, guests[some], base[some], parent_tables.sum() - parent_tables[some], parent_d, theta)
-            parent_tables = np.zeros(size)
-            parent_tables[some] = draw
-            parent = (guests - parent_d * parent_tables + (theta + parent_d * parent_tables.sum()) * base) / (theta + guests.sum())
-        if sweep >= burn:
-            weight = (theta + d * after_tables + direct_after) / (theta + seen_after)
-            back.append(weight)
-            parents.append(parent)
-
-    rows = state.select("pair", "n", "total").toArrow()  # at most 1 / pair_share pairs
-    order = np.argsort(rows["pair"].to_numpy())
-    pair, n, total = (rows[c].to_numpy()[order] for c in ("pair", "n", "total"))
-    del rows
-    pair_p = (n - d * total / samples) / (theta + seen_after[pair >> 32]) + sum(b[pair >> 32] * p[pair & 0xFFFFFFFF] for b, p in zip(back, parents, strict=True)) / samples
-
-    # the restaurant of the other words: dishes of equal counts are exchangeable, so their tables are averaged by count
-    rare = counts.where(F.col("n") < max(1.0, word_share * tokens))
-    hist = rare.groupBy("n").agg(F.count("*").alias("c")).toPandas().sort_values("n")
-    n, c = hist["n"].to_numpy(np.int64), hist["c"].to_numpy(float)
-    n_rare, guests_rare = c.sum(), (n * c).sum()
-    other_d = float(np.clip(c[n == 1].sum() / max(c[n == 1].sum() + 2 * c[n == 2].sum(), 1), 0.05, 0.95))
-    uniform_base = 1 / (n_rare + 1)
-    mean_tables, all_tables = np.ones(len(n)), n_rare
-    p_other = np.zeros(EXACT + 1)
-    for sweep in range(burn + samples):
-        # up to 200 dishes of each count are seated in a sweep, all with the same conditional
-        many = np.minimum(c, 200).astype(int)
-        ids = np.repeat(np.arange(len(n)), many)
-        keys = ids * 1000 + np.concatenate([np.arange(m) for m in many]) if len(ids) else ids
-        draws = draw_tables(keys, sweep + 2000, n[ids], np.full(len(ids), uniform_base), np.full(len(ids), max(all_tables - 1, 0)), other_d, theta)
-        mean_tables = np.bincount(ids, weights=draws, minlength=len(n)) / np.maximum(many, 1)
-        all_tables = float((mean_tables * c).sum())
-        if sweep >= burn:
-            k = np.arange(EXACT + 1)
-            t = np.interp(k, np.concatenate([[0], n]), np.concatenate([[0], mean_tables]))
-            p_other += (k - other_d * t + (theta + other_d * all_tables) * uniform_base) / (theta + guests_rare) / samples
-    return Model(classes, tokens, kinds, n_texts, count, pair, np.log10(pair_p), np.array(back), np.array(parents), np.log10(p_other), other_d)
-
-
 # -- seats as tables --------------------------------------------------------------------------
 
 END, BEGIN = 0, 1
 BLOCK = 50_000
+TURNS = 8
 
 
 def digests(found: pa.Array) -> np.ndarray:
@@ -348,41 +172,52 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(*merged())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 4 * BLOCK) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= BLOCK:
+        if sum(b.num_rows for b in held) >= rows:
             yield pa.Table.from_batches(held)
             held = []
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _draw_seats(batches: Iterator[pa.RecordBatch], sweep: int, d: float, theta: float) -> Iterator[pa.RecordBatch]:
-    """(u, w, n, single_u, tables, drawn, p, after): tables drawn anew, from the parent's p and the tables after u."""
+def swept(restaurant: np.ndarray, keys: np.ndarray, n: np.ndarray, tables: np.ndarray, base: np.ndarray, outside: np.ndarray, d: float, theta: float, sweeps: range) -> tuple[np.ndarray, np.ndarray]:
+    """Tables after some sweeps over dishes sorted by restaurant (0, 1, ...), and their sum over the sweeps. outside: tables of each restaurant that aren't here."""
+    tables, total = tables.astype(float), np.zeros(len(tables))
+    live = outside + np.bincount(restaurant, weights=tables, minlength=len(outside))
+    first = np.flatnonzero(np.diff(restaurant, prepend=-1))
+    turn = (np.arange(len(restaurant)) - first[restaurant]) % TURNS
+    turns = [r for k in range(TURNS) if len(r := np.flatnonzero(turn == k))]
+    for sweep in sweeps:
+        for r in turns:
+            new = draw_tables(keys[r], sweep, n[r], base[r], live[restaurant[r]] - tables[r], d, theta)
+            live += np.bincount(restaurant[r], weights=new - tables[r], minlength=len(live))
+            tables[r] = new
+        total += tables
+    return tables, total
+
+
+def _draw_seats(batches: Iterator[pa.RecordBatch], sweeps: range, d: float, theta: float) -> Iterator[pa.RecordBatch]:
+    """(u, w, n, single_u, tables, s..., drawn): tables drawn anew, from the parent's p and the tables after u, and their sum over the sweeps. Rows are sorted by u."""
     for t in _blocks(batches):
         u, w, n, old, p, after = (t[c].to_numpy() for c in ("u", "w", "n", "tables", "p", "after"))
-        new = draw_tables(_mixed(u, w), sweep, n, p, after - old, d, theta).astype(np.int64)
-        yield from pa.table({"u": t["u"], "w": t["w"], "n": t["n"], "single_u": t["single_u"], "tables": new, "drawn": t["drawn"]}).to_batches(BLOCK)
+        new_u = np.concatenate([[True], u[1:] != u[:-1]]) if len(u) else np.zeros(0, bool)
+        restaurant = np.cumsum(new_u) - 1
+        here = np.bincount(restaurant, weights=old, minlength=int(new_u.sum()))
+        tables, total = swept(restaurant, _mixed(u, w), n, old, p, after[new_u] - here, d, theta, sweeps)
+        kept = {c: t[c] for c in t.column_names if c not in ("tables", "p", "after")}
+        yield from pa.table({**kept, "tables": tables.astype(np.int64), "drawn": total.astype(np.int64)}).to_batches(BLOCK)
 
 
 def _draw_parent(batches: Iterator[pa.RecordBatch], sweep: int, d: float, theta: float, base: float, all_tables: float) -> Iterator[pa.RecordBatch]:
-    """(w, single_w, tables, guests, kept): the parent's tables of each word, drawn anew."""
+    """The rows with tables drawn anew: the parent's tables of each word, given its guests."""
     for t in _blocks(batches):
         w, old, guests = (t[c].to_numpy() for c in ("w", "tables", "guests"))
-        new = draw_tables(w, sweep + 500, guests, np.full(len(w), base), all_tables - old, d, theta).astype(np.int64)
-        yield from pa.table({"w": t["w"], "single_w": t["single_w"], "tables": new, "guests": t["guests"], "kept": t["kept"]}).to_batches(BLOCK)
-
-
-def _forget(*frames: DataFrame) -> None:
-    """Tables that were written and are read no more go, and with them the shuffles that nothing refers to."""
-    for df in frames:
-        sc = df.sparkSession.sparkContext
-        for name in df.inputFiles()[:1]:
-            folder = sc._jvm.org.apache.hadoop.fs.Path(name).getParent()
-            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
-        sc._jvm.System.gc()
+        one = np.zeros(len(w), int)
+        new, _ = swept(one, w, guests, old, np.full(len(w), base), np.array([all_tables - old.sum()]), d, theta, range(sweep, sweep + 1)) if len(w) else (old, old)
+        yield from t.set_column(t.column_names.index("tables"), "tables", pa.array(new.astype(np.int64))).to_batches(BLOCK)
 
 
 @dataclass
@@ -394,76 +229,99 @@ class Seats:
     kinds: int
 
 
-def seat(rows: DataFrame, theta: float = 1.0, burn: int = 2, samples: int = 3) -> Seats:
-    """rows: (doc_id, text, trains). Pairs of all texts get their probability by those that train."""
-    pairs = written(rows.mapInArrow(_seen, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "lm-pairs")
-    one, two = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
-    sizes = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), one.alias("one"), two.alias("two")).first()
-    tokens = int(sizes["n"])
-    d = float(np.clip(sizes["one"] / (sizes["one"] + 2 * sizes["two"]), 0.05, 0.95)) if sizes["one"] else 0.5
-    words_of = written(pairs.groupBy("w").agg(F.sum("n").alias("c"), one.alias("single_w")), "lm-words")
-    contexts = written(pairs.groupBy("u").agg(F.sum("n").alias("seen"), one.alias("single_u")), "lm-contexts")
-    _forget()
-    known = words_of.agg(F.count_if(F.expr("c > 0")).alias("kinds"), F.count_if(F.expr("c = 1")).alias("hapax")).first()
+def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3) -> Seats:
+    """rows: (doc_id, text, trains). Pairs of all texts get their probability by those that train.
+
+    rounds: how often contexts and parent tell each other their tables; the first one isn't averaged.
+    sweeps: over a task's restaurants in a round.
+    """
+    # a context's pairs are dealt to 16 places, so that a common word is no partition of its own
+    seen = rows.mapInArrow(_seen, "u long, w long, n long").withColumn("place", F.col("w").bitwiseAND(15)).repartition("u", "place")
+    counted = seen.groupBy("u", "place", "w").agg(F.sum("n").alias("n")).select("u", "w", "n")
+    pairs = written(counted.sortWithinPartitions("u"), "lm-pairs")
+    count_of = lambda test, name: F.count_if(F.expr(test)).alias(name)
+    sizes = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), count_of("n = 1", "one"), count_of("n = 2", "two"), count_of("n > 0", "types")).first()
+    tokens, types = int(sizes["n"]), int(sizes["types"])
+    d = discount(sizes["one"], sizes["two"])
+    words_of = written(pairs.groupBy("w").agg(F.sum("n").alias("c"), count_of("n = 1", "single_w"), count_of("n > 0", "types")), "lm-words")
+    contexts = written(pairs.groupBy("u").agg(F.sum("n").alias("seen"), count_of("n = 1", "single_u"), count_of("n > 0", "types")), "lm-contexts")
+    forget(pairs.sparkSession)
+    known = words_of.agg(count_of("c > 0", "kinds"), count_of("c = 1", "hapax")).first()
     kinds, hapax = int(known["kinds"]), int(known["hapax"])
     base = 1 / (kinds + 1)
 
     by = lambda df: df.hint("shuffle_hash")
     # what the sweeps seat anew: pairs of two customers or more, and in the parent words of two tokens or more
-    start = pairs.where("n >= 2").join(by(contexts.select("u", "single_u")), "u")
-    state = written(start.select("u", "w", "n", "single_u", F.lit(1).cast("long").alias("tables"), F.array().cast("array<long>").alias("drawn")), "lm-seats")
-    parent = words_of.where("c >= 2").select("w", "single_w", F.lit(0).cast("long").alias("tables"), F.lit(0).cast("long").alias("guests"), F.array().cast("array<double>").alias("kept"))
-    parent = written(parent, "lm-parent")
-    p, parent_tables = F.lit(base), 0.0
-    scalars: list[tuple[float, float, float]] = []  # of each sample: the parent's discount, what all words get, its customers
-    for sweep in range(burn + samples):
-        after = state.groupBy("u").agg((F.sum("tables") + F.max("single_u")).alias("after"))
-        met = state.join(by(parent.select("w", p.alias("p"))), "w").join(by(after), "u").select("u", "w", "n", "single_u", "tables", "drawn", "p", "after")
-        step = met.mapInArrow(lambda it, sweep=sweep: _draw_seats(it, sweep, d, theta), "u long, w long, n long, single_u long, tables long, drawn array<long>")
-        drawn = F.concat("drawn", F.array("tables")) if sweep >= burn else F.col("drawn")
-        old, state = state, written(step.withColumn("drawn", drawn), "lm-seats")
-        _forget(old)
+    state = pairs.where("n >= 2").select("u", "w", "n", F.lit(1).cast("long").alias("tables"))
+    after = contexts.select("u", "single_u", F.col("types").alias("after"))  # a table for each pair, to begin with
+    parent = words_of.where("c >= 2").select("w", "single_w", F.lit(1).cast("long").alias("tables"), F.lit(0).cast("long").alias("guests"))
+    p, parent_tables = words_of.where("c >= 2").select("w", ((F.col("types") + base) / (types + 1)).alias("p")), float(kinds)
+    scalars: list[tuple[float, float]] = []  # of each averaged round: what all words get of the parent, its customers with theta
+    hapax_own: list[float] = []  # and what a word of one token has of its own
+    for number in range(rounds):
+        met = state.join(by(p), "w").join(by(after), "u")
+        keep = [c for c in (*state.columns, "single_u") if c != "tables"]
+        met = met.select(*dict.fromkeys(keep), "tables", "p", "after").sortWithinPartitions("u")
+        columns = [*dict.fromkeys(keep), "tables", "drawn"]
+        drawn = met.mapInArrow(lambda it, at=number: _draw_seats(it, range(at * sweeps, at * sweeps + sweeps), d, theta), ", ".join(f"{c} long" for c in columns))
+        old, state = state, written(drawn.withColumnRenamed("drawn", f"s{number}") if number else drawn.drop("drawn"), "lm-seats")
+        if number:
+            forget(pairs.sparkSession, old)
+        after = state.groupBy("u").agg(F.max("single_u").alias("single_u"), (F.sum("tables") + F.max("single_u")).alias("after")).drop("single_u")
         # the parent's customers are the tables below it
         below = state.groupBy("w").agg(F.sum("tables").alias("below"))
-        guests = parent.join(by(below), "w", "left").select("w", "single_w", "tables", (F.col("single_w") + F.coalesce("below", F.lit(0))).alias("guests"), "kept")
-        guests = written(guests, "lm-parent")
-        few = guests.agg(F.count_if(F.expr("guests = 1")).alias("one"), F.count_if(F.expr("guests = 2")).alias("two"), F.coalesce(F.sum("guests"), F.lit(0)).alias("n")).first()
-        ones = few["one"] + hapax
-        parent_d = float(np.clip(ones / (ones + 2 * few["two"]), 0.05, 0.95)) if ones else 0.5
-        fresh = guests.mapInArrow(lambda it, sweep=sweep, dp=parent_d, at=parent_tables: _draw_parent(it, sweep, dp, theta, base, at), "w long, single_w long, tables long, guests long, kept array<double>")
+        guests = parent.join(by(below), "w", "left").withColumn("guests", F.col("single_w") + F.coalesce("below", F.lit(0))).drop("below")
+        guests = written(guests, "lm-guests")
+        few = guests.agg(count_of("guests = 1", "one"), count_of("guests = 2", "two"), F.coalesce(F.sum("guests"), F.lit(0)).alias("n")).first()
+        parent_d = discount(few["one"] + hapax, few["two"])
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in guests.schema)
+        fresh = guests.mapInArrow(lambda it, at=number, dp=parent_d, all_=parent_tables: _draw_parent(it, at, dp, theta, base, all_), schema)
         own = F.col("guests") - parent_d * F.col("tables")
-        old, parent = parent, written(fresh.withColumn("kept", F.concat("kept", F.array(own)) if sweep >= burn else F.col("kept")), "lm-parent")
-        _forget(old, guests)
+        old, parent = parent, written(fresh.withColumn(f"own{number}", own) if number else fresh, "lm-parent")
+        forget(pairs.sparkSession, guests, *[old] * (number > 0))
         parent_tables = float(parent.agg(F.coalesce(F.sum("tables"), F.lit(0))).first()[0] + hapax)
-        share, customers = (theta + parent_d * parent_tables) * base, float(few["n"] + hapax)
-        p = (own + share) / (theta + customers)
-        if sweep >= burn:
-            scalars.append((parent_d, share, customers))
-
-    # every pair meets its word and its context once
-    none = F.array(*[F.lit(0.0)] * samples)
-    rare = F.when(F.col("c") == 1, F.array(*(F.lit(1 - x[0]) for x in scalars))).otherwise(none)
-    word = words_of.join(by(parent.select("w", "kept")), "w", "left").select("w", "c", *((F.coalesce("kept", rare)[k] + x[1]) / (theta + x[2]) for k, x in enumerate(scalars)))
-    word = written(word.toDF("w", "c", *(f"p{k}" for k in range(samples))), "lm-word-p")
-    sums = state.groupBy("u").agg(*(F.sum(F.col("drawn")[k]).alias(f"s{k}") for k in range(samples)))
-    context = contexts.join(by(sums), "u", "left").select("u", (F.col("seen") + theta).alias("room"), *((theta + d * (F.col("single_u") + F.coalesce(f"s{k}", F.lit(0)))).alias(f"b{k}") for k in range(samples)))
+        share, room = (theta + parent_d * parent_tables) * base, theta + float(few["n"] + hapax)
+        p = parent.select("w", ((own + share) / room).alias("p"))
+        if number:
+            scalars.append((share, room))
+            hapax_own.append(1 - parent_d)
+
+    # every pair meets its context and its word once
+    samples = range(1, rounds)
+    tables_of = state.groupBy("u").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in samples))
+    context = contexts.join(by(tables_of), "u", "left").select("u", (F.col("seen") + theta).alias("room"), *((theta + d * (F.col("single_u") + F.coalesce(f"s{k}", F.lit(0)) / sweeps)).alias(f"b{k}") for k in samples))
     context = written(context, "lm-context-b")
-    total = F.aggregate("drawn", F.lit(0).cast("long"), lambda a, b: a + b)
-    seats = state.select("u", "w", "n", total.alias("total")).union(pairs.where("n < 2").select("u", "w", "n", (F.col("n") * samples).alias("total")))
-    shared = sum((F.col(f"b{k}") * F.col(f"p{k}") for k in range(1, samples)), F.col("b0") * F.col("p0"))
-    chance = (F.col("n") - d * F.col("total") / samples + shared / samples) / F.col("room")
-    half = written(seats.join(by(word), "w"), "lm-half")
-    _forget(state, pairs, parent)
-    done = written(half.join(by(context), "u").select("u", "w", "n", F.log10(chance).alias("log_p"), "c"), "lm-scored")
-    _forget(half)
+    rest = lambda k: F.when(F.col("c") == 1, hapax_own[k - 1]).otherwise(0.0)
+    word = words_of.join(by(parent.select("w", *(f"own{k}" for k in samples))), "w", "left").select("w", "c", *(((F.coalesce(f"own{k}", rest(k)) + scalars[k - 1][0]) / scalars[k - 1][1]).alias(f"p{k}") for k in samples))
+    word = written(word, "lm-word-p")
+    total = sum((F.col(f"s{k}") for k in samples), F.lit(0)) / (sweeps * len(samples))
+    seats = state.select("u", "w", "n", total.alias("tables")).union(pairs.where("n < 2").select("u", "w", "n", F.col("n").cast("double").alias("tables")))
+    shared = sum((F.col(f"b{k}") * F.col(f"p{k}") for k in samples), F.lit(0.0)) / len(samples)
+    chance = (F.col("n") - d * F.col("tables") + shared) / F.col("room")
+    done = written(seats.join(by(context), "u").join(by(word), "w").select("u", "w", "n", F.log10(chance).alias("log_p"), "c"), "lm-scored")
+    forget(pairs.sparkSession, state, pairs, parent, word, context, words_of, contexts)
     return Seats(done, tokens, kinds)
 
 
 # -- scoring ----------------------------------------------------------------------------------
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, u, w, n, doc_id) of the pairs of each text; `key` names its row, and the pair with its end has the id."""
+def _hot(found: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    """Pairs by their mixed digests, in order."""
+    parts = [[b.column(c).to_numpy() for c in ("u", "w", "log_p", "c")] for b in found]
+    kinds = (np.int64, np.int64, np.float64, np.int64)
+    out = {c: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kinds[k]) for k, c in enumerate(("u", "w", "log_p", "c"))}
+    key = _mixed(out["u"], out["w"])
+    order = np.argsort(key)
+    return {"key": key[order], **{c: x[order] for c, x in out.items()}}
+
+
+_TEXT = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+
+def _asked(batches: Iterator[pa.RecordBatch], hot: str) -> Iterator[pa.RecordBatch]:
+    """(key, u, w, n, text): a row for each text, with what its hot pairs give, and one for each of its other pairs. `key` names the text's row."""
+    table = fetched(hot, _hot, BLOCK)
     key = TaskContext.get().partitionId() << 40
     for batch in batches:
         for part in chunks(batch.column(1), CHUNK):
@@ -473,21 +331,51 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows < 1 << 11 and len(names) < 1 << 26:  # a text's pairs once; more than that stay apart, and are summed later
                 both, n = np.unique((text << 52) | (context << 26) | dish, return_counts=True)
                 text, context, dish = both >> 52, (both >> 26) & ((1 << 26) - 1), both & ((1 << 26) - 1)
-            ids = batch.column(0)[part.start : part.stop].take(pa.array(np.where(dish == END, text, 0), mask=dish != END))
-            yield from pa.table({"key": key + text, "u": names[context], "w": names[dish], "n": n, "doc_id": ids}).to_batches(BLOCK)
+            u, w = names[context], names[dish]
+            at = np.minimum(np.searchsorted(table["key"], _mixed(u, w)), max(len(table["key"]) - 1, 0))
+            hit = (table["u"][at] == u) & (table["w"][at] == w) if len(table["key"]) else np.zeros(len(u), bool)
+            mine, own, times = at[hit], text[hit], n[hit]
+            sums = lambda x: np.bincount(own, weights=x, minlength=rows).astype(float)  # noqa: E731, B023
+            whole = pa.StructArray.from_arrays([
+                pa.concat_arrays([batch.column(0)[part.start : part.stop]]),
+                pa.array(np.bincount(text, weights=n, minlength=rows).astype(np.int64)),
+                pa.array(sums(times * (table["c"][mine] > 0)).astype(np.int64)),
+                pa.array(sums(times * np.log10(table["c"][mine] + 1.0))),
+                pa.array(sums(times * table["log_p"][mine])),
+            ], names=[f.name for f in _TEXT])
+            numbers = key + np.arange(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(numbers), pa.array(np.full(rows, END)), pa.array(np.zeros(rows, np.int32)), whole], names=["key", "u", "w", "n", "text"])
+            left = np.flatnonzero(~hit)
+            yield from pa.table({"key": key + text[left], "u": u[left], "w": w[left], "n": n[left].astype(np.int32), "text": pa.nulls(len(left), _TEXT)}).to_batches(BLOCK)
             key += rows
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
+def hot_limit(pairs: DataFrame, most: int) -> int:
+    """The least count that at most `most` pairs reach, among whole numbers up to 1000 and steps of a twentieth above."""
+    step = F.expr("if(n < 1000, n, 1000 + floor(log(n / 1000) / log(1.05)))").cast("long")
+    counts = pairs.where("n >= 2").groupBy(step.alias("step")).agg(F.count("*").alias("pairs"), F.min("n").alias("n")).collect()  # under 2000 rows
+    found, limit = 0, 1 << 62
+    for r in sorted(counts, key=lambda r: -r["step"]):
+        found += r["pairs"]
+        if found > most:
+            break
+        limit = int(r["n"])
+    return limit
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, hot_pairs: int = 1_000_000, rounds: int = 3, sweeps: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs, learnt from the folds that aren't held out."""
     rows = text_rows(docs, id_col, text_col)
-    model = seat(rows.withColumn("trains", remainder("doc_id", folds) != held_fold))
+    model = seat(rows.withColumn("trains", remainder("doc_id", folds) != held_fold), rounds=rounds, sweeps=sweeps)
+    limit = hot_limit(model.pairs, hot_pairs)
+    hot = spread(model.pairs.where(F.col("n") >= limit).select("u", "w", "log_p", "c"), "lm-hot")
     pair = F.xxhash64("u", "w").alias("pair")
-    asked = rows.mapInArrow(_asked, "key long, u long, w long, n long, doc_id long").select("key", pair, F.col("n").cast("int").alias("n"), "doc_id")
-    known = model.pairs.select(pair, "log_p", "c").hint("shuffle_hash")
-    met = asked.join(known, "pair")
+    asked = rows.mapInArrow(lambda it: _asked(it, hot), "key long, u long, w long, n int, text struct<doc_id:long,n_tokens:long,n_known:long,base:double,score:double>")
+    known = model.pairs.where(F.col("n") < limit).select(pair, "log_p", "c").hint("shuffle_hash")
+    met = asked.select("key", pair, "n", "text").join(known, "pair", "left")
+    plus = lambda name, more: (F.max(f"text.{name}") + F.coalesce(F.sum(more), F.lit(0))).alias(name)
     whole = met.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n").cast("long").alias("n_tokens"), F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("n"))), F.lit(0)).cast("long").alias("n_known"),
-        F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("base"), F.sum(F.col("n") * F.col("log_p")).alias("score"))
+        F.max("text.doc_id").alias("doc_id"), F.max("text.n_tokens").alias("n_tokens"), plus("n_known", F.when(F.col("c") > 0, F.col("n"))),
+        plus("base", F.col("n") * F.log10(F.col("c") + 1)), plus("score", F.col("n") * F.col("log_p")))
     floor = float(np.log10(model.tokens + model.kinds + 1.0))
     return whole.select("doc_id", (remainder("doc_id", folds) == held_fold).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * floor).alias("base_score"), "score")

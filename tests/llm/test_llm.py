@@ -234,18 +234,66 @@ def test_language_model_odd_cases(spark):
     assert none and all(x.train_tokens == 0 and x.n_known == 0 and x.score == pytest.approx(0) for x in none)
 
 
-def test_probabilities_sum_to_one(spark):
-    """Over all words that can follow a context: frequent ones, the end, rare ones and one unseen word."""
-    df = spark.createDataFrame([(k, " ".join(np.random.default_rng(k).choice(["a", "b", "c", "d", "e", "f"], 30))) for k in range(30)] + [(99, "rare1 rare2")], "doc_id long, text string")
-    counts = df.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    m = language_model.fit(df, counts, word_share=0.01, pair_share=0.005)
-    for context in (0, m.classes.begin, m.classes.rare):
-        total = 0
-        for dish in [*range(m.classes.rare + 1), m.classes.end]:
-            at = np.flatnonzero(m.pairs == (context << 32 | dish))
-            total += 10 ** m.log_pair[at[0]] if len(at) else np.mean([b[context] * p[dish] for b, p in zip(m.back, m.parent)])
-        assert total == pytest.approx(1, abs=1e-6)
-    assert 2 * 10 ** m.other_log[1] + 10 ** m.other_log[0] == pytest.approx(1, abs=1e-6)
+def gibbs_by_customer(texts, asked, d, theta, sweeps, burn):
+    """Mean log10 probabilities of asked texts under the two-level model, each restaurant's tables drawn dish by dish with plain loops."""
+    rng = np.random.default_rng(5)
+    pairs = collections.Counter((u, w) for t in texts for u, w in zip([None, *t], [*t, "end"], strict=True))
+    words = sorted({w for _, w in pairs})
+    base = 1 / (len(words) + 1)
+
+    def weights(c, p, others, disc):
+        ways = {(1, 1): 1.0}
+        for n in range(1, c):
+            for k in range(1, n + 1):
+                ways[n + 1, k] = ways.get((n + 1, k), 0) + ways[n, k] * (n - disc * k)
+                ways[n + 1, k + 1] = ways.get((n + 1, k + 1), 0) + ways[n, k]
+        out = np.array([ways[c, k] * p**k * np.prod([theta + disc * (others + i) for i in range(k)]) for k in range(1, c + 1)])
+        return out / out.sum()
+
+    tables, upper = dict.fromkeys(pairs, 1), dict.fromkeys(words, 1)
+    seen = collections.Counter()
+    for (u, _), n in pairs.items():
+        seen[u] += n
+    means = collections.Counter()
+    for sweep in range(sweeps):
+        guests = collections.Counter()
+        for (_, w), t in tables.items():
+            guests[w] += t
+        ones = collections.Counter(guests.values())
+        upper_d = language_model.discount(ones[1], ones[2])
+        for w in words:
+            upper[w] = 1 + rng.choice(guests[w], p=weights(guests[w], base, sum(upper.values()) - upper[w], upper_d))
+        room, all_upper = theta + sum(guests.values()), sum(upper.values())
+        parent = lambda w: (guests[w] - upper_d * upper.get(w, 0) + (theta + upper_d * all_upper) * base) / room  # noqa: B023, E731
+        for (u, w), n in pairs.items():
+            others = sum(t for (x, y), t in tables.items() if x == u and y != w)
+            tables[u, w] = 1 + rng.choice(n, p=weights(n, parent(w), others, d))
+        if sweep >= burn:
+            after = collections.Counter()
+            for (u, _), t in tables.items():
+                after[u] += t
+            for t in asked:
+                for u, w in zip([None, *t], [*t, "end"], strict=True):
+                    own = max(pairs[u, w] - d * tables.get((u, w), 0), 0) if (u, w) in pairs else 0
+                    means[tuple(t), u, w] += (own + (theta + d * after[u]) * parent(w)) / (theta + seen[u]) / (sweeps - burn)
+    return [sum(np.log10(means[tuple(t), u, w]) for u, w in zip([None, *t], [*t, "end"], strict=True)) for t in asked]
+
+
+def test_scores_are_those_of_plain_gibbs_sampling(spark):
+    fold = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    trains, held = [k for k in range(60) if not fold(k)][:25], [k for k in range(60) if fold(k)][:4]
+    made = [list(np.random.default_rng(k).choice(["a", "b", "c", "d", "e", "f", f"rare{k}"], 12, p=[0.4, 0.25, 0.15, 0.1, 0.04, 0.03, 0.03])) for k in trains]
+    asked = [["a", "b", "a"], ["f", "e", "never"], ["c", "c", "a", "b", "d"], []]
+    rows = [(k, " ".join(t)) for k, t in zip([*trains, *held], [*made, *asked], strict=True)]
+    got = {r.doc_id: r for r in language_model.score_texts(odd(spark, rows), hot_pairs=3, rounds=6, sweeps=30).collect()}
+    pairs = collections.Counter((u, w) for t in made for u, w in zip([None, *t], [*t, None], strict=True))
+    d = language_model.discount(sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values()))
+    want = gibbs_by_customer(made, asked, d, 1.0, 120, 20)
+    for k, t, score in zip(held, asked, want, strict=True):
+        assert got[k].n_tokens == len(t) + 1 and got[k].score == pytest.approx(score, abs=0.05 * (len(t) + 1) + 0.07)
+    # the file of hot pairs changes no score
+    short, none = ({r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in language_model.score_texts(odd(spark, rows), hot_pairs=h).collect()} for h in (1_000_000, 0))
+    assert all(short[k] == pytest.approx(none[k], rel=1e-9) for k in short)
 
 
 def test_seats_do_not_depend_on_the_size(spark):
