@@ -10,6 +10,15 @@ Words are known by 64-bit digests, and pairs by 64-bit digests of these when
 texts are scored. Pairs and words with one customer have one table whatever is
 drawn, so the sweeps pass over the others only and count these.
 
+Most distinct pairs occur once. Their probability needs nothing but what their
+context and their word have, so only counts are kept of them; a text's pairs
+count as such first, and those with more customers correct that when the table
+of pairs meets the texts. Values of common words (a list of at most `hot_words`
+that a sample of texts gives) and the pairs that occur most (at most
+`hot_pairs`) are files that executors fetch. Pairs with a word that isn't on the
+list are rows of the table of pairs, whatever their count. Which words and pairs
+these files hold changes what is moved, not what a text scores.
+
 Seating is sampled by Gibbs sweeps. A round brings each pair the parent's
 predictive probability and the tables of its context, then sweeps over the
 restaurants of a task several times: a restaurant's dishes take turns, one
@@ -22,9 +31,6 @@ number of tables is drawn from the normal limit. The draws are hashes of dish
 and sweep, so a task that runs again draws the same. Predictive probabilities
 are averaged over the sweeps of the rounds after the first.
 
-The pairs that occur most (at most `hot_pairs`) are a file that executors
-fetch, so that their tokens aren't moved; all others meet the texts by a join.
-
 A null text counts as empty: its only token is the end. A null id belongs to
 fold 0, so it trains unless that is held out. Repeated rows keep a row each,
 and each trains. Without training texts every text has probability 1.
@@ -144,26 +150,71 @@ def _mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
         return (h ^ (h >> np.uint64(27))).view(np.int64)
 
 
-def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, w, n) of the pairs in (doc_id, text, trains): n counts those that train, so it may be 0."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, n) of the words and ends of (doc_id, text, trains)."""
+    for batch in batches:
+        for part in chunks(batch.column(1), CHUNK):
+            _, dish, _, names = coded(batch.column(1)[part.start : part.stop])
+            n = np.bincount(dish, minlength=len(names))
+            yield from pa.table({"w": names[n > 0], "n": n[n > 0]}).to_batches(BLOCK)
+
+
+def common_words(rows: DataFrame, most: int, sample: int) -> tuple[DataFrame, list[int]]:
+    """(w) of at most `most` words that a sample of about `sample` rows has most often; and the few that are over a 500th of its tokens."""
+    n = rows.count()
+    some = rows if n <= sample else rows.sample(False, sample / n, 7)
+    counts = written(some.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-common")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = [r["w"] for r in counts.where(F.col("n") * 500 > total).collect()]  # under 500
+    return counts.where(F.col("n") >= least_count(counts, most)).select("w"), heavy
+
+
+def least_count(counts: DataFrame, most: int) -> int:
+    """The least n that at most `most` rows reach, among whole numbers from 2 to 1000 and steps of a twentieth above."""
+    step = F.expr("if(n < 1000, n, 1000 + floor(log(n / 1000) / log(1.05)))").cast("long")
+    by_step = counts.where("n >= 2").groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("n")).collect()  # under 2000 rows
+    found, least = 0, 1 << 62
+    for r in sorted(by_step, key=lambda r: -r["step"]):
+        found += r["rows"]
+        if found > most:
+            break
+        least = int(r["n"])
+    return least
+
+
+def _listed(found: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    own = [b.column("w").to_numpy() for b in found]
+    return {"w": np.unique(np.concatenate([*own, [END, BEGIN]]).astype(np.int64))}
+
 
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        u, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+def place_of(names: np.ndarray, sorted_names: np.ndarray) -> np.ndarray:
+    """Places in the sorted names, -1 for those that aren't there."""
+    at = np.minimum(np.searchsorted(sorted_names, names), len(sorted_names) - 1)
+    return np.where(sorted_names[at] == names, at, -1)
+
+
+def _seen(batches: Iterator[pa.RecordBatch], heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(u, w, n, asked, place) of the pairs in (doc_id, text, trains): n counts those that train, asked the others. The pairs of a heavy context are dealt to 64 places."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def merged() -> tuple[np.ndarray, ...]:
+        u, w, n, asked = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((w, u))
-        u, w, n = u[order], w[order], n[order]
+        u, w, n, asked = u[order], w[order], n[order], asked[order]
         first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
-        return u[first], w[first], np.add.reduceat(n, first)
+        return u[first], w[first], np.add.reduceat(n, first), np.add.reduceat(asked, first)
 
-    def out(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield from pa.table(dict(zip(("u", "w", "n"), columns, strict=True))).to_batches(BLOCK)
+    def out(u: np.ndarray, w: np.ndarray, n: np.ndarray, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        place = np.where(np.isin(u, heavy), w & 63, 0).astype(np.int32)
+        yield from pa.table({"u": u, "w": w, "n": n, "asked": asked, "place": place}).to_batches(BLOCK)
 
     for batch in batches:
         for part in chunks(batch.column(1), CHUNK):
             context, dish, text, names = coded(batch.column(1)[part.start : part.stop])
             trains = batch.column(2)[part.start : part.stop].to_numpy(zero_copy_only=False)[text]
             both, at = np.unique((context << 32) | dish, return_inverse=True)
-            held.append((names[both >> 32], names[both & 0xFFFFFFFF], np.bincount(at, weights=trains, minlength=len(both)).astype(np.int64)))
+            n, asked = (np.bincount(at, weights=x, minlength=len(both)).astype(np.int64) for x in (trains, ~trains.astype(bool)))
+            held.append((names[both >> 32], names[both & 0xFFFFFFFF], n, asked))
         if sum(len(x[0]) for x in held) > 1_500_000:
             held = [merged()]
             if len(held[0][0]) > 750_000:
@@ -172,6 +223,36 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(*merged())
 
 
+TALLY = "kind int, a long, b long, x long, y long, z long"
+PAIR, CONTEXT, WORD = 0, 1, 2
+
+
+def _tally(batches: Iterator[pa.RecordBatch], listed: str) -> Iterator[pa.RecordBatch]:
+    """Of counted pairs (u, w, n, asked): PAIR rows (u, w, n, rare) of those that are kept as pairs, CONTEXT and WORD rows (name, 0, tokens, pairs of one token, pairs).
+
+    Kept are pairs that occur twice or more, those that occur once and are asked
+    for, and those with a word that isn't listed. rare: 1 for such a context,
+    plus 2 for such a word.
+    """
+    known = fetched(listed, _listed, BLOCK)["w"]
+
+    def rows(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = len(columns[0])
+        whole = [*columns, *[np.zeros(size, np.int64)] * (5 - len(columns))]
+        yield from pa.table({"kind": np.full(size, kind, np.int32), **dict(zip("abxyz", (c.astype(np.int64) for c in whole), strict=True))}).to_batches(BLOCK)
+
+    for t in _blocks(batches, 1_000_000):
+        u, w, n, asked = (t[c].to_numpy() for c in ("u", "w", "n", "asked"))
+        rare = (place_of(u, known) < 0) + 2 * (place_of(w, known) < 0)
+        keep = (n >= 2) | ((n == 1) & (asked > 0)) | (rare > 0)
+        yield from rows(PAIR, u[keep], w[keep], n[keep], rare[keep])
+        some = n > 0
+        for kind, name in ((CONTEXT, u[some]), (WORD, w[some])):
+            names, at = np.unique(name, return_inverse=True)
+            sums = (np.bincount(at, weights=x, minlength=len(names)) for x in (n[some], n[some] == 1, some[some]))
+            yield from rows(kind, names, np.zeros(len(names)), *sums)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 4 * BLOCK) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -222,37 +303,50 @@ def _draw_parent(batches: Iterator[pa.RecordBatch], sweep: int, d: float, theta:
 
 @dataclass
 class Seats:
-    """pairs: (u, w, n, log_p, c) of every pair of the texts, c the training tokens of w."""
+    """What a text's pairs meet.
+
+    pairs: (u, w, n, gain_train, gain_held, c) of the kept pairs: the log10 of
+    the pair's probability, less what it would be had it one customer (for texts
+    that train) or none (for others); whole, and the training tokens c of w, for
+    pairs with a word that isn't listed. words: (w, c, p..., room, b...) of the
+    listed words, as words and as contexts.
+    """
 
     pairs: DataFrame
+    words: DataFrame
     tokens: int
     kinds: int
+    d: float
 
 
-def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3) -> Seats:
+def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3, hot_words: int = 300_000, sample: int = 20_000) -> Seats:
     """rows: (doc_id, text, trains). Pairs of all texts get their probability by those that train.
 
     rounds: how often contexts and parent tell each other their tables; the first one isn't averaged.
     sweeps: over a task's restaurants in a round.
     """
-    # a context's pairs are dealt to 16 places, so that a common word is no partition of its own
-    seen = rows.mapInArrow(_seen, "u long, w long, n long").withColumn("place", F.col("w").bitwiseAND(15)).repartition("u", "place")
-    counted = seen.groupBy("u", "place", "w").agg(F.sum("n").alias("n")).select("u", "w", "n")
-    pairs = written(counted.sortWithinPartitions("u"), "lm-pairs")
+    spark = rows.sparkSession
     count_of = lambda test, name: F.count_if(F.expr(test)).alias(name)
-    sizes = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), count_of("n = 1", "one"), count_of("n = 2", "two"), count_of("n > 0", "types")).first()
-    tokens, types = int(sizes["n"]), int(sizes["types"])
-    d = discount(sizes["one"], sizes["two"])
-    words_of = written(pairs.groupBy("w").agg(F.sum("n").alias("c"), count_of("n = 1", "single_w"), count_of("n > 0", "types")), "lm-words")
-    contexts = written(pairs.groupBy("u").agg(F.sum("n").alias("seen"), count_of("n = 1", "single_u"), count_of("n > 0", "types")), "lm-contexts")
-    forget(pairs.sparkSession)
+    common, heavy = common_words(rows, hot_words, sample)
+    listed, heavy = spread(common, "lm-listed"), np.array(heavy, np.int64)
+    seen = rows.mapInArrow(lambda it: _seen(it, heavy), "u long, w long, n long, asked long, place int").repartition("u", "place")
+    counted = seen.groupBy("u", "place", "w").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).select("u", "w", "n", "asked")
+    found = written(counted.mapInArrow(lambda it: _tally(it, listed), TALLY), "lm-tallies")
+    table = found.where(F.col("kind") == PAIR).select(F.col("a").alias("u"), F.col("b").alias("w"), F.col("x").alias("n"), F.col("y").alias("rare"))
+    sums = lambda kind, *names: found.where(F.col("kind") == kind).groupBy(F.col("a").alias(names[0])).agg(*(F.sum(c).alias(n) for c, n in zip("xyz", names[1:], strict=True)))
+    words_of = written(sums(WORD, "w", "c", "single_w", "types"), "lm-words")
+    contexts = written(sums(CONTEXT, "u", "seen", "single_u", "types"), "lm-contexts")
+    forget(spark)
+    sizes = contexts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("seen", "single_u", "types"))).first()
+    tokens, types = int(sizes["seen"]), int(sizes["types"])
+    d = discount(sizes["single_u"], table.where("n = 2").count())
     known = words_of.agg(count_of("c > 0", "kinds"), count_of("c = 1", "hapax")).first()
     kinds, hapax = int(known["kinds"]), int(known["hapax"])
     base = 1 / (kinds + 1)
 
     by = lambda df: df.hint("shuffle_hash")
     # what the sweeps seat anew: pairs of two customers or more, and in the parent words of two tokens or more
-    state = pairs.where("n >= 2").select("u", "w", "n", F.lit(1).cast("long").alias("tables"))
+    state = table.where("n >= 2").withColumn("tables", F.lit(1).cast("long"))
     after = contexts.select("u", "single_u", F.col("types").alias("after"))  # a table for each pair, to begin with
     parent = words_of.where("c >= 2").select("w", "single_w", F.lit(1).cast("long").alias("tables"), F.lit(0).cast("long").alias("guests"))
     p, parent_tables = words_of.where("c >= 2").select("w", ((F.col("types") + base) / (types + 1)).alias("p")), float(kinds)
@@ -266,7 +360,7 @@ def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3)
         drawn = met.mapInArrow(lambda it, at=number: _draw_seats(it, range(at * sweeps, at * sweeps + sweeps), d, theta), ", ".join(f"{c} long" for c in columns))
         old, state = state, written(drawn.withColumnRenamed("drawn", f"s{number}") if number else drawn.drop("drawn"), "lm-seats")
         if number:
-            forget(pairs.sparkSession, old)
+            forget(spark, old)
         after = state.groupBy("u").agg(F.max("single_u").alias("single_u"), (F.sum("tables") + F.max("single_u")).alias("after")).drop("single_u")
         # the parent's customers are the tables below it
         below = state.groupBy("w").agg(F.sum("tables").alias("below"))
@@ -278,7 +372,7 @@ def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3)
         fresh = guests.mapInArrow(lambda it, at=number, dp=parent_d, all_=parent_tables: _draw_parent(it, at, dp, theta, base, all_), schema)
         own = F.col("guests") - parent_d * F.col("tables")
         old, parent = parent, written(fresh.withColumn(f"own{number}", own) if number else fresh, "lm-parent")
-        forget(pairs.sparkSession, guests, *[old] * (number > 0))
+        forget(spark, guests, *[old] * (number > 0))
         parent_tables = float(parent.agg(F.coalesce(F.sum("tables"), F.lit(0))).first()[0] + hapax)
         share, room = (theta + parent_d * parent_tables) * base, theta + float(few["n"] + hapax)
         p = parent.select("w", ((own + share) / room).alias("p"))
@@ -286,7 +380,7 @@ def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3)
             scalars.append((share, room))
             hapax_own.append(1 - parent_d)
 
-    # every pair meets its context and its word once
+    # every kept pair meets its context and its word once; those that never train have nothing of their own
     samples = range(1, rounds)
     tables_of = state.groupBy("u").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in samples))
     context = contexts.join(by(tables_of), "u", "left").select("u", (F.col("seen") + theta).alias("room"), *((theta + d * (F.col("single_u") + F.coalesce(f"s{k}", F.lit(0)) / sweeps)).alias(f"b{k}") for k in samples))
@@ -294,88 +388,111 @@ def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3)
     rest = lambda k: F.when(F.col("c") == 1, hapax_own[k - 1]).otherwise(0.0)
     word = words_of.join(by(parent.select("w", *(f"own{k}" for k in samples))), "w", "left").select("w", "c", *(((F.coalesce(f"own{k}", rest(k)) + scalars[k - 1][0]) / scalars[k - 1][1]).alias(f"p{k}") for k in samples))
     word = written(word, "lm-word-p")
+
+    def valued(df: DataFrame) -> DataFrame:
+        """df (u, w, ...) with the values of its contexts and words."""
+        met = df.join(by(context), "u", "left").join(by(word), "w", "left")
+        nothing = {"room": theta, "c": 0} | {f"b{k}": theta for k in samples} | {f"p{k}": scalars[k - 1][0] / scalars[k - 1][1] for k in samples}
+        return met.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in nothing.items()})
+
     total = sum((F.col(f"s{k}") for k in samples), F.lit(0)) / (sweeps * len(samples))
-    seats = state.select("u", "w", "n", total.alias("tables")).union(pairs.where("n < 2").select("u", "w", "n", F.col("n").cast("double").alias("tables")))
+    seats = state.select("u", "w", "n", "rare", total.alias("tables")).union(table.where("n < 2").select("u", "w", "n", "rare", F.col("n").cast("double").alias("tables")))
     shared = sum((F.col(f"b{k}") * F.col(f"p{k}") for k in samples), F.lit(0.0)) / len(samples)
-    chance = (F.col("n") - d * F.col("tables") + shared) / F.col("room")
-    done = written(seats.join(by(context), "u").join(by(word), "w").select("u", "w", "n", F.log10(chance).alias("log_p"), "c"), "lm-scored")
-    forget(pairs.sparkSession, state, pairs, parent, word, context, words_of, contexts)
-    return Seats(done, tokens, kinds)
+    log_p, as_one, as_none = (F.log10((x + shared) / F.col("room")) for x in (F.col("n") - d * F.col("tables"), F.lit(1 - d), F.lit(0.0)))
+    gain = lambda less: F.when(F.col("rare") > 0, log_p).otherwise(log_p - less)
+    done = valued(seats).select("u", "w", "n", F.when((F.col("n") == 1) & (F.col("rare") == 0), 0.0).otherwise(gain(as_one)).alias("gain_train"), gain(as_none).alias("gain_held"), F.when(F.col("rare") >= 2, F.col("c")).otherwise(0).alias("c"))
+    done = written(done, "lm-pairs")
+    ends = spark.createDataFrame([(END,), (BEGIN,)], "w long")
+    names = common.union(ends).distinct()
+    words = written(valued(names.withColumn("u", F.col("w"))).select("w", "c", *(f"p{k}" for k in samples), "room", *(f"b{k}" for k in samples)), "lm-common-words")
+    forget(spark, state, found, parent, word, context, words_of, contexts)
+    return Seats(done, words, tokens, kinds, d)
 
 
 # -- scoring ----------------------------------------------------------------------------------
 
 
-def _hot(found: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+def _hot_pairs(found: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
     """Pairs by their mixed digests, in order."""
-    parts = [[b.column(c).to_numpy() for c in ("u", "w", "log_p", "c")] for b in found]
-    kinds = (np.int64, np.int64, np.float64, np.int64)
-    out = {c: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kinds[k]) for k, c in enumerate(("u", "w", "log_p", "c"))}
+    kinds = {"u": np.int64, "w": np.int64, "gain_train": np.float64, "gain_held": np.float64, "c": np.int64}
+    parts = list(found)
+    out = {c: np.concatenate([*(b.column(c).to_numpy() for b in parts), np.zeros(0, kind)]).astype(kind) for c, kind in kinds.items()}
     key = _mixed(out["u"], out["w"])
     order = np.argsort(key)
     return {"key": key[order], **{c: x[order] for c, x in out.items()}}
 
 
+def _hot_words(found: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    """Listed words in order, p and b with a row for each averaged round."""
+    t = pa.Table.from_batches(list(found)).sort_by("w")
+    several = lambda x: np.stack([t[c].to_numpy() for c in t.column_names if c[0] == x and c[1:].isdigit()])
+    return {"w": t["w"].to_numpy(), "log_c": np.log10(t["c"].to_numpy() + 1.0), "room": t["room"].to_numpy(), "p": several("p"), "b": several("b")}
+
+
 _TEXT = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
-def _asked(batches: Iterator[pa.RecordBatch], hot: str) -> Iterator[pa.RecordBatch]:
-    """(key, u, w, n, text): a row for each text, with what its hot pairs give, and one for each of its other pairs. `key` names the text's row."""
-    table = fetched(hot, _hot, BLOCK)
-    key = TaskContext.get().partitionId() << 40
+def _asked(batches: Iterator[pa.RecordBatch], words_file: str, pairs_file: str, d: float) -> Iterator[pa.RecordBatch]:
+    """(key, u, w, n, text): a row for each text, with what the fetched files give, and one for each of its pairs that may be in the table. `key` names the text's row; it is odd if the text trains."""
+    common, pairs = fetched(words_file, _hot_words, BLOCK), fetched(pairs_file, _hot_pairs, BLOCK)
+    number = TaskContext.get().partitionId() << 39
     for batch in batches:
         for part in chunks(batch.column(1), CHUNK):
             context, dish, text, names = coded(batch.column(1)[part.start : part.stop])
+            trains = batch.column(2)[part.start : part.stop].to_numpy(zero_copy_only=False).astype(bool)
             n = np.ones(len(dish), np.int64)
             rows = part.stop - part.start
             if rows < 1 << 11 and len(names) < 1 << 26:  # a text's pairs once; more than that stay apart, and are summed later
                 both, n = np.unique((text << 52) | (context << 26) | dish, return_counts=True)
                 text, context, dish = both >> 52, (both >> 26) & ((1 << 26) - 1), both & ((1 << 26) - 1)
+            sums = lambda at, x: np.bincount(text[at], weights=n[at] * x, minlength=rows).astype(float)  # noqa: E731, B023
+            place = place_of(names, common["w"])
+            u_at, w_at = place[context], place[dish]
+            is_word = np.flatnonzero(w_at >= 0)
+            log_c = common["log_c"][w_at[is_word]]
+            is_pair = np.flatnonzero((u_at >= 0) & (w_at >= 0))
+            i, j = u_at[is_pair], w_at[is_pair]
+            own = (1 - d) * trains[text[is_pair]]
+            score = sums(is_pair, np.log10((own + (common["b"][:, i] * common["p"][:, j]).mean(axis=0)) / common["room"][i]))
             u, w = names[context], names[dish]
-            at = np.minimum(np.searchsorted(table["key"], _mixed(u, w)), max(len(table["key"]) - 1, 0))
-            hit = (table["u"][at] == u) & (table["w"][at] == w) if len(table["key"]) else np.zeros(len(u), bool)
-            mine, own, times = at[hit], text[hit], n[hit]
-            sums = lambda x: np.bincount(own, weights=x, minlength=rows).astype(float)  # noqa: E731, B023
+            if len(pairs["key"]):
+                at = place_of(_mixed(u, w), pairs["key"])
+                hit = (at >= 0) & (pairs["u"][at] == u) & (pairs["w"][at] == w)
+            else:
+                at, hit = np.zeros(len(u), int), np.zeros(len(u), bool)
+            is_hot = np.flatnonzero(hit)
+            mine = at[is_hot]
+            score += sums(is_hot, np.where(trains[text[is_hot]], pairs["gain_train"][mine], pairs["gain_held"][mine]))
+            hot_c = pairs["c"][mine]
             whole = pa.StructArray.from_arrays([
                 pa.concat_arrays([batch.column(0)[part.start : part.stop]]),
                 pa.array(np.bincount(text, weights=n, minlength=rows).astype(np.int64)),
-                pa.array(sums(times * (table["c"][mine] > 0)).astype(np.int64)),
-                pa.array(sums(times * np.log10(table["c"][mine] + 1.0))),
-                pa.array(sums(times * table["log_p"][mine])),
+                pa.array((sums(is_word, log_c > 0) + sums(is_hot, hot_c > 0)).astype(np.int64)),
+                pa.array(sums(is_word, log_c) + sums(is_hot, np.log10(hot_c + 1.0))),
+                pa.array(score),
             ], names=[f.name for f in _TEXT])
-            numbers = key + np.arange(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(numbers), pa.array(np.full(rows, END)), pa.array(np.zeros(rows, np.int32)), whole], names=["key", "u", "w", "n", "text"])
+            keys = 2 * (number + np.arange(rows)) + trains
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys), pa.array(np.full(rows, END)), pa.array(np.zeros(rows, np.int32)), whole], names=["key", "u", "w", "n", "text"])
             left = np.flatnonzero(~hit)
-            yield from pa.table({"key": key + text[left], "u": u[left], "w": w[left], "n": n[left].astype(np.int32), "text": pa.nulls(len(left), _TEXT)}).to_batches(BLOCK)
-            key += rows
-
-
-def hot_limit(pairs: DataFrame, most: int) -> int:
-    """The least count that at most `most` pairs reach, among whole numbers up to 1000 and steps of a twentieth above."""
-    step = F.expr("if(n < 1000, n, 1000 + floor(log(n / 1000) / log(1.05)))").cast("long")
-    counts = pairs.where("n >= 2").groupBy(step.alias("step")).agg(F.count("*").alias("pairs"), F.min("n").alias("n")).collect()  # under 2000 rows
-    found, limit = 0, 1 << 62
-    for r in sorted(counts, key=lambda r: -r["step"]):
-        found += r["pairs"]
-        if found > most:
-            break
-        limit = int(r["n"])
-    return limit
+            yield from pa.table({"key": keys[text[left]], "u": u[left], "w": w[left], "n": n[left].astype(np.int32), "text": pa.nulls(len(left), _TEXT)}).to_batches(BLOCK)
+            number += rows
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, hot_pairs: int = 1_000_000, rounds: int = 3, sweeps: int = 3) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, hot_pairs: int = 1_000_000, hot_words: int = 300_000, rounds: int = 3, sweeps: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs, learnt from the folds that aren't held out."""
-    rows = text_rows(docs, id_col, text_col)
-    model = seat(rows.withColumn("trains", remainder("doc_id", folds) != held_fold), rounds=rounds, sweeps=sweeps)
-    limit = hot_limit(model.pairs, hot_pairs)
-    hot = spread(model.pairs.where(F.col("n") >= limit).select("u", "w", "log_p", "c"), "lm-hot")
+    rows = text_rows(docs, id_col, text_col).withColumn("trains", remainder("doc_id", folds) != held_fold)
+    model = seat(rows, rounds=rounds, sweeps=sweeps, hot_words=hot_words)
+    least = least_count(model.pairs.select("n"), hot_pairs)
+    columns = ["u", "w", "gain_train", "gain_held", "c"]
+    pairs_file, words_file, d = spread(model.pairs.where(F.col("n") >= least).select(*columns), "lm-hot"), spread(model.words, "lm-hot-words"), model.d
     pair = F.xxhash64("u", "w").alias("pair")
-    asked = rows.mapInArrow(lambda it: _asked(it, hot), "key long, u long, w long, n int, text struct<doc_id:long,n_tokens:long,n_known:long,base:double,score:double>")
-    known = model.pairs.where(F.col("n") < limit).select(pair, "log_p", "c").hint("shuffle_hash")
+    asked = rows.mapInArrow(lambda it: _asked(it, words_file, pairs_file, d), "key long, u long, w long, n int, text struct<doc_id:long,n_tokens:long,n_known:long,base:double,score:double>")
+    known = model.pairs.where(F.col("n") < least).select(pair, *columns[2:]).hint("shuffle_hash")
     met = asked.select("key", pair, "n", "text").join(known, "pair", "left")
+    gain = F.when(F.col("key") % 2 == 0, F.col("gain_held")).otherwise(F.col("gain_train"))
     plus = lambda name, more: (F.max(f"text.{name}") + F.coalesce(F.sum(more), F.lit(0))).alias(name)
     whole = met.groupBy("key").agg(
         F.max("text.doc_id").alias("doc_id"), F.max("text.n_tokens").alias("n_tokens"), plus("n_known", F.when(F.col("c") > 0, F.col("n"))),
-        plus("base", F.col("n") * F.log10(F.col("c") + 1)), plus("score", F.col("n") * F.col("log_p")))
+        plus("base", F.col("n") * F.log10(F.col("c") + 1)), plus("score", F.col("n") * gain))
     floor = float(np.log10(model.tokens + model.kinds + 1.0))
     return whole.select("doc_id", (remainder("doc_id", folds) == held_fold).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * floor).alias("base_score"), "score")
