@@ -18,9 +18,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset only a local session (tests) gets a folder of its own; else it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _OWN.setdefault(app, tempfile.mkdtemp(prefix="skyweave-"))
     return folder.rstrip("/")

@@ -1,11 +1,12 @@
 """Embedding near-duplicates by int8 tile products with rigorous error bounds.
 
-Equal vectors of a label become one node with a weight. The nodes of a label
-are dealt to tiles; each pair of tiles is a task. A task multiplies the int8
-tiles (in float32, where these integer products are exact) and adds for each
-vector the norm of its own quantisation error: an upper bound of the cosine.
-Only pairs whose bound reaches the threshold are computed again in double
-precision. A task sends counts of links and a forest of links, never all pairs.
+Equal vectors of a label (by two 64-bit hashes) become one node with a weight.
+The nodes of a label are dealt to tiles; each pair of tiles is a task. A task
+multiplies the int8 tiles (in float32, SLAB components at a time, so that the
+integer products are exact) and adds for each vector the norm of its own
+quantisation error: an upper bound of the cosine. Only pairs whose bound reaches
+the threshold are computed again in double precision, from the vectors as they
+were given. A task sends counts of links and a forest of links, never all pairs.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and
 rows without a label, link with nothing. Vectors of different lengths don't
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import components, task_tables, union_find, written
 
 TILE_ROWS = 2048
+#: 127 * 127 * SLAB is under 2 ** 24, up to where float32 counts exactly.
+SLAB = 1024
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,20 +38,33 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, step, error * (1 + 1e-12) + 1e-14
 
 
-def unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max(axis=1, keepdims=True)
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
+def scaled(v: np.ndarray) -> np.ndarray:
+    """By powers of two, so that no component is over 1; that loses no digit."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
+def int_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact products of int8 codes, all of a by all of b."""
+    out = np.zeros((len(a), len(b)))
+    for at in range(0, a.shape[1], SLAB):
+        out += a[:, at : at + SLAB].astype(np.float32) @ b[:, at : at + SLAB].astype(np.float32).T
+    return out
 
 
 def linked_pairs(a: np.ndarray, b: np.ndarray | None, threshold: float, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of unit vectors with cosine >= threshold, in double precision; b None: pairs i < j within a."""
-    qa, sa, ea = quantise(a)
-    other = a if b is None else b
-    qb, sb, eb = (qa, sa, ea) if b is None else quantise(b)
+    """Index pairs of vectors with cosine >= threshold, in double precision; b None: pairs i < j within a."""
+    a = scaled(a)
+    square_a = np.einsum("nd,nd->n", a, a)
+    qa, sa, ea = quantise(a / np.sqrt(square_a)[:, None])
+    if b is None:
+        other, square_b, qb, sb, eb = a, square_a, qa, sa, ea
+    else:
+        other = scaled(b)
+        square_b = np.einsum("nd,nd->n", other, other)
+        qb, sb, eb = quantise(other / np.sqrt(square_b)[:, None])
     # |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|, and |x'| <= 1 + |x - x'|; 1e-9 covers rounding here
-    right = qb.astype(np.float32).T
     for at in range(0, len(a), rows):
-        product = qa[at : at + rows].astype(np.float32) @ right
+        product = int_products(qa[at : at + rows], qb)
         bound = product * (sa[at : at + rows, None] * sb) + (ea[at : at + rows, None] + (1 + ea[at : at + rows, None]) * eb) + 1e-9
         i, j = np.nonzero(bound >= threshold)
         i += at
@@ -56,7 +72,7 @@ def linked_pairs(a: np.ndarray, b: np.ndarray | None, threshold: float, rows: in
             i, j = i[i < j], j[i < j]
         for k in range(0, len(i), 100_000):
             p, q = i[k : k + 100_000], j[k : k + 100_000]
-            hit = np.einsum("nd,nd->n", a[p], other[q]) >= threshold
+            hit = np.einsum("nd,nd->n", a[p], other[q]) / np.sqrt(square_a[p] * square_b[q]) >= threshold
             if hit.any():
                 yield p[hit], q[hit]
 
@@ -65,7 +81,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
     for rows in task_tables(batches):
         rows = rows.combine_chunks()
         side = rows["side"].to_numpy()
-        vectors = unit(rows["v"].combine_chunks().flatten().to_numpy().reshape(len(side), -1))
+        vectors = rows["v"].combine_chunks().flatten().to_numpy().reshape(len(side), -1)
         node, weight = rows["node"].to_numpy(), rows["weight"].to_numpy()
         cut = int((side == 0).sum())
         if cut == 0 or (own := len(side) == cut) and cut == 1:
@@ -87,10 +103,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(vec_id, n_links, component_id, kept) of each row: links are pairs of equal label with cosine >= threshold."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     fit = "label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
-    rows = rows.withColumn("node", F.expr(f"if({fit}, xxhash64(label, v), null)"))
-    ids = rows.select("vec_id", "node")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.min("label").alias("label"), F.min("v").alias("v"))
-    nodes = written(nodes, "embedding-nodes").withColumn("size", F.size("v"))
+    rows = rows.withColumn("half", F.expr(f"if({fit}, xxhash64(label, v), null)")).withColumn("rest", F.expr("if(half is null, null, xxhash64('rest', v, label))"))
+    nodes = rows.where("half is not null").groupBy("half", "rest").agg(F.count("*").alias("weight"), F.min("label").alias("label"), F.min("v").alias("v"))
+    # a node's number is fixed as it is written
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "embedding-nodes").withColumn("size", F.size("v"))
+    ids = rows.select("vec_id", "half", "rest").join(nodes.select("half", "rest", "node"), ["half", "rest"], "left").select("vec_id", "node")
     tiles = nodes.groupBy("label", "size").agg(F.ceil(F.count("*") / tile_rows).alias("tiles"))
     placed = nodes.join(tiles, ["label", "size"]).withColumn("tile", F.expr("pmod(hash(node), tiles)"))
     pairs = F.explode(F.expr("transform(sequence(0, tiles - 1), k -> named_struct('p', least(k, tile), 'q', greatest(k, tile), 'side', if(k < tile, 1, 0)))"))

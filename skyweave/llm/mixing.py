@@ -49,9 +49,8 @@ MEASURES = {
 }
 
 
-def _measured(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with text_, words_, distinct_, n_."""
-    rows = docs.withColumn("text_", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+def _measured(rows: DataFrame) -> DataFrame:
+    """rows (row_, text_) with words_, distinct_, n_. A document's own columns are inside row_, so no name can clash."""
     rows = rows.withColumn("words_", F.expr(WORDS))
     return rows.withColumn("distinct_", F.array_distinct("words_")).withColumn("n_", F.size("words_").cast("long"))
 
@@ -60,6 +59,10 @@ def _text_array(words: list[str]) -> Column:
     return F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>")
 
 
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_")
+
+
 @dataclass
 class Classifier:
     """Naive Bayes: log priors, marker words of each domain, and log likelihoods by measure, domain and bin."""
@@ -96,8 +99,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_co
     """labels: (doc_id, domain). The sampled labels are at most `sample` rows and are broadcast, so no text is moved."""
     known = labels.select(F.col("doc_id").cast("long").alias("label_id_"), F.col("domain").alias("domain_")).where(F.col("label_id_").isNotNull() & F.col("domain_").isin(domains))
     known = known.orderBy(F.xxhash64("label_id_"), "label_id_", "domain_").limit(sample)
-    taught = docs.select(F.col(id_col).cast("long").alias("label_id_"), F.col(text_col).alias("taught_")).join(F.broadcast(known), "label_id_")
-    rows = written(_measured(taught, "taught_").select("domain_", "text_", "distinct_", "n_"), "mixing-labelled")
+    taught = docs.select(F.col(id_col).cast("long").alias("label_id_"), _text(text_col)).join(F.broadcast(known), "label_id_")
+    rows = written(_measured(taught).select("domain_", "text_", "distinct_", "n_"), "mixing-labelled")
     sizes = {r["domain_"]: r["n"] for r in rows.groupBy("domain_").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     model = Classifier(domains, [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains], {d: [] for d in domains}, {})
@@ -124,7 +127,7 @@ def _gap(reached: list[float], targets: list[float]) -> float:
 
 @dataclass
 class Mix:
-    """A fitted mixing: the projected steps, the totals that it reached, and all rows with their posteriors."""
+    """A fitted mixing: the projected steps, the totals that it reached, and all rows (row_, n_, posterior_)."""
 
     domains: list[str]
     rows: DataFrame
@@ -138,9 +141,9 @@ class Mix:
         return _gap(self.reached, self.targets)
 
     def rates(self, id_col: str = "doc_id") -> DataFrame:
-        """All rows with n_, posterior_, rate_ and copies_."""
+        """All rows (row_, n_, posterior_) with rate_ and copies_."""
         rows = self.rows.withColumn("rate_", F.round(rate_after(self.steps, "posterior_"), 9))
-        u = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+        u = F.pmod(F.xxhash64(F.col("row_").getField(id_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
         return rows.withColumn("copies_", F.floor(F.col("rate_") + u))
 
 
@@ -163,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: f
     domains = sorted(weights)
     model = fit_classifier(docs, labels, domains, id_col, text_col, sample)
     # texts are read once: what follows reads the posteriors, and the rows once more at the end
-    whole = written(model.posteriors(_measured(docs, text_col)).select(*(keep if keep is not None else docs.columns), "n_", "posterior_"), "mixing-posteriors")
+    own = docs.select(F.struct(*(keep if keep is not None else docs.columns)).alias("row_"), _text(text_col))
+    whole = written(model.posteriors(_measured(own)).select("row_", "n_", "posterior_"), "mixing-posteriors")
     rows = whole.select("n_", "posterior_")
     p = [F.get("posterior_", F.lit(k)) for k in range(len(domains))]
 
@@ -212,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: f
 def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, all columns, each as often as its copies say."""
     rows = fit(docs, label_domains(labels), weights, epochs, id_col=id_col, text_col=text_col).rates(id_col)
-    return rows.where("copies_ > 0").withColumn("copy_", F.explode(F.expr("sequence(1, copies_)"))).select(*docs.columns)
+    return rows.where("copies_ > 0").select("row_", F.explode(F.expr("sequence(1, copies_)"))).select("row_.*")
 
 
 #: The shares of expected tokens that the production query asks for.
@@ -229,4 +233,4 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WE
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = fit(docs, label_domains(labels), weights, epochs, keep=["doc_id"])
     shares = [F.get("posterior_", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(found.domains)]
-    return found.rates().select("doc_id", F.col("n_").alias("n_tokens"), *shares, F.col("rate_").alias("rate"), F.col("copies_").cast("long").alias("copies"))
+    return found.rates().select("row_.doc_id", F.col("n_").alias("n_tokens"), *shares, F.col("rate_").alias("rate"), F.col("copies_").cast("long").alias("copies"))

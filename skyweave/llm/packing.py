@@ -11,13 +11,15 @@ its place from its rank among the pieces of its length, which Spark numbers in
 salted groups.
 
 A null text counts as empty (the end id alone); a null id stays null; repeated
-rows are packed each; extra columns go. Texts are encoded as plain text:
-nothing in them is a special token.
+rows are packed each; extra columns go. Ids are those of the tokenizer file,
+which takes its added tokens as whole ones wherever a text has them; the merges
+are run by the ranks file of the same vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,11 +43,17 @@ def ranks_file(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encoder(ranks: bytes) -> tiktoken.Encoding:
-    key = zlib.crc32(ranks)
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """The tokens that the tokenizer file adds to its vocabulary, with their ids."""
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encoder(ranks: bytes, added: dict[str, int]) -> tiktoken.Encoding:
+    key = zlib.crc32(ranks + repr(sorted(added.items())).encode())
     if key not in _ENCODERS:
         table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
-        _ENCODERS[key] = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        _ENCODERS[key] = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in table.items() if v not in added.values()}, special_tokens=added)
     return _ENCODERS[key]
 
 
@@ -56,12 +64,12 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], ranks: Broadcast, end_id: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    enc = encoder(ranks.value)
+    enc = encoder(*ranks.value)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     for batch in batches:
         rows, all_ids = [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.append(enc.encode_to_numpy(text.as_py() or "", disallowed_special=()), np.uint32(end_id)).astype("<u4")
+            ids = np.append(enc.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32(end_id)).astype("<u4")
             for k, (start, length) in enumerate(cut(len(ids), capacity)):
                 own = ids[start : start + length]
                 rows.append((doc_id, k, start, length, zlib.crc32(own.tobytes())))
@@ -73,7 +81,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], ranks: Broadcast, end_id: int, ca
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, ranks: bytes | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks or ranks_file())
+    sent = docs.sparkSession.sparkContext.broadcast((ranks or ranks_file(), added_tokens()))  # about 1 MB
     rows = text_rows(docs, id_col, text_col)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return rows.mapInArrow(lambda it: _pieces(it, sent, end_id, capacity, with_ids), schema.replace("piece int", "piece long"))
@@ -139,15 +147,15 @@ def plan_sequences(counts: np.ndarray, capacity: int) -> Plan:
     return plan
 
 
-def ranked(pieces: DataFrame, group_rows: int = 200_000) -> DataFrame:
-    """With `rank`: a number from 0 for each piece among those of its length. Lengths of many pieces are numbered in several groups."""
-    salts = int(pieces.count() // group_rows) + 1
+def ranked(pieces: DataFrame, group_rows: int = 1000) -> DataFrame:
+    """With `rank`: a number from 0 for each piece among those of its length. A length is numbered in groups of about group_rows."""
     keys = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    many = pieces.groupBy("length").agg((F.floor(F.count("*") / group_rows) + 1).alias("salts"))  # a row for each length, at most as many as the capacity
+    salted = pieces.join(F.broadcast(many), "length").withColumn("salt", F.pmod(F.xxhash64(*keys), F.col("salts"))).drop("salts")
     sizes = salted.groupBy("length", "salt").count()
     before = sizes.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
     numbered = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*keys)) - 1)
-    return numbered.join(F.broadcast(before) if salts <= 64 else before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own")).drop("salt", "own", "before")
+    return numbered.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own")).drop("salt", "own", "before")
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:

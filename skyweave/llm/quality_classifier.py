@@ -3,11 +3,12 @@
 Statistics of every whole text are transformed to be near to normal. Class
 counts, means and second moments of the labelled rows are sums that Spark
 aggregates, so all labelled rows count. Each class covariance is shrunk towards
-the pooled covariance and its diagonal; its Cholesky factor is computed once
+the pooled covariance (by `pool`) and then towards that one's diagonal (by
+`shrink`); its Cholesky factor is computed once
 and sent to the tasks, which score by Mahalanobis log-density differences.
 
 Nulls: a null text scores as an empty one. A row whose label or text id is
-null doesn't train. Labels that disagree for an id are all used. With fewer
+null doesn't train; a null id belongs to fold 0, the held-out one. Labels that disagree for an id are all used. With fewer
 than two classes among the labelled rows each score is the share of label 1
 (0.5 without labels). Repeated ids keep a row each; extra columns go.
 """
@@ -83,7 +84,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["label", "cell", "value"])
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_col: str, shrink: float = 0.1, ridge: float = 0.02) -> Model | float:
+def fit(stats: DataFrame, labels: DataFrame, label_col: str, pool: float = 0.1, shrink: float = 0.1, ridge: float = 0.02) -> Model | float:
     """From (doc_id, STATS...) and labels (doc_id, label_col). The moments of all labelled rows are summed by Spark.
 
     Returns the share of label 1 alone where only one class has rows.
@@ -104,7 +105,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str, shrink: float = 0.1
     floor = ridge * np.diag(np.diag(pooled) + 1e-3)
     whiten, half = [], []
     for k in range(2):
-        lower = np.linalg.cholesky((1 - shrink) * cov[k] + shrink * np.diag(np.diag(pooled)) + floor)
+        lower = np.linalg.cholesky((1 - shrink) * ((1 - pool) * cov[k] + pool * pooled) + shrink * np.diag(np.diag(pooled)) + floor)
         whiten.append(np.linalg.inv(lower))
         half.append(np.log(np.diag(lower)).sum())
     return Model(np.log(n / n.sum()), mean, np.array(whiten), np.array(half))

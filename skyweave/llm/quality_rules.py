@@ -127,10 +127,15 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def learn_from(stats: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample: int = 50_000) -> list[Rule]:
-    """Learn from at most `sample` labelled rows (the first by a hash of their id) outside the held-out fold."""
+def sampled(labels: DataFrame, label_col: str, folds: int = 5, held_fold: int = 0, sample: int = 50_000) -> DataFrame:
+    """(doc_id, label_) of at most `sample` labels outside the held-out fold: the first by a hash of their id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label_")).where("label_ in (0, 1) and doc_id is not null")
-    rows = stats.where(remainder("doc_id", folds) != held_fold).join(known, "doc_id")
+    return known.where(remainder("doc_id", folds) != held_fold).orderBy(F.xxhash64("doc_id"), "doc_id", "label_").limit(sample)
+
+
+def learn_from(stats: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample: int = 50_000) -> list[Rule]:
+    """Learn from at most `sample` labels, and as many rows, outside the held-out fold. The labels are broadcast, so no statistics move."""
+    rows = stats.join(F.broadcast(sampled(labels, label_col, folds, held_fold, sample)), "doc_id")
     measured = rows.select(*(F.expr(v).alias(k) for k, v in MEASURES.items()), "label_", F.xxhash64("doc_id").alias("at_"))
     pdf = measured.orderBy("at_", "label_", *MEASURES).limit(sample).toPandas()
     if pdf["label_"].nunique() < 2:
@@ -148,5 +153,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, label_col: str = "quality")
 
 def keep_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
     """The rows of docs, all columns, that neither the base rules nor the learned list rejects."""
-    rules = learn_from(written(with_stats(docs), "rule-stats"), labels, label_col)
+    # statistics of labelled documents alone are made to learn from, then those of all documents once
+    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sampled(labels, label_col).select("doc_id").distinct()), "doc_id")
+    rules = learn_from(with_stats(taught), labels, label_col)
     return beside_stats(docs).where(~F.expr(BASE_FAILED) & verdict(rules)).select("row_.*")

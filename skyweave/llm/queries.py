@@ -32,7 +32,7 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_and_index(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "offset", "length", "place")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +55,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_secret_scan, op5_language_model, op6_warc_archive, op7_license_scan, op8_source_mixing, op9_best_fit_packing, op10_ngram_jaccard)}
 
 
+#: Smallest ids over links (a, b), by spreading them until nothing changes. `rows` has (id).
+_COMPONENTS = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+  reach(id, other) AS (SELECT a, a FROM both_ways UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+  lowest AS (SELECT id, min(other) AS low FROM reach GROUP BY id)"""
+
+_OP3 = f"""WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+  links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id < q.vec_id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.93),
+  {_COMPONENTS},
+  counts AS (SELECT a AS vec_id, count(*) AS n FROM both_ways GROUP BY 1)
+SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, coalesce(l.low, e.vec_id) AS component_id, coalesce(l.low, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts c USING (vec_id) LEFT JOIN lowest l ON l.id = e.vec_id"""
+
+_OP6 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+  f AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+  m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to FROM m"""
+
+_OP10 = f"""WITH RECURSIVE t AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g FROM t),
+  one AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+  both_have AS (SELECT p.doc_id AS a, q.doc_id AS b, p.n AS na, q.n AS nb, count(*) AS c FROM one p JOIN one q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY ALL),
+  links AS (SELECT a, b FROM both_have WHERE 100 * c >= 75 * (na + nb - c)),
+  {_COMPONENTS}
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(l.low, s.doc_id) AS component_id FROM s LEFT JOIN lowest l ON l.id = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the results that DuckDB can express whole; the others hold a learned or a tokenised part."""
+    return {"op3_embedding_dedup": _OP3, "op6_warc_archive": _OP6, "op10_ngram_jaccard": _OP10}

@@ -6,7 +6,8 @@ to any file system that Spark knows. Pages of equal payloads of at least
 `revisit_bytes` bytes are written once; the others are revisit records.
 
 Reading: whole files are parsed record by record, payload digests are checked,
-and each archive gives a locally sorted run of captures. The runs are dealt to
+and each archive gives a locally sorted run of captures. What a revisit refers
+to is the record with the id that it names, whose digest must be the same. The runs are dealt to
 ranges of (URL key, timestamp, page) and each range merges its parts of the
 runs by a loser tree, so all captures come out in one global order.
 
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, written
+from .common import shared_folder, small_batches, written
 
 END = "\r\n\r\n"
 DATE = "2025-01-01T00:00:00Z"
@@ -59,7 +60,6 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         line("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         line("WARC-Refers-To", F.when(revisit, urn("first"))),
-        line("X-Refers-To-Page", F.col("first")),
         line("X-Page", F.col("id")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block)),
@@ -91,7 +91,7 @@ def url_key(url: str) -> str:
     return ",".join(m[1].split(".")[::-1]) + ")" + (m[2] or "/") if m else url.lower()
 
 
-RUN_COLUMNS = "run string, url_key string, captured string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, offset long, length long"
+RUN_COLUMNS = "run string, url_key string, captured string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, record_id string, refers_to_record string, file string, offset long, length long"
 NAMES = [c.split()[0] for c in RUN_COLUMNS.split(", ")]
 
 
@@ -106,13 +106,13 @@ def _run(path: str, data: bytes) -> list[tuple]:
         if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
             raise ValueError(f"the payload at byte {offset} of {path} isn't what its header says")
         url = h.get("warc-target-uri")
-        page, first = h.get("x-page"), h.get("x-refers-to-page")
-        rows.append((name, url_key(url or ""), h["warc-date"], int(page) if page else None, url, kind, size, digest, int(first) if first else None, path, offset, length))
+        page = h.get("x-page")
+        rows.append((name, url_key(url or ""), h["warc-date"], int(page) if page else None, url, kind, size, digest, h["warc-record-id"], h.get("warc-refers-to"), path, offset, length))
     return sorted(rows, key=capture_key)
 
 
 def capture_key(row: tuple) -> tuple:
-    return row[1], row[2], row[3] is not None, row[3] or 0, row[0], row[10]
+    return row[1], row[2], row[3] is not None, row[3] or 0, row[0], row[11]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +131,25 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_runs(spark, folder: str) -> DataFrame:
     """The sorted runs of all archives of a folder. An archive is a row of binaryFile; few are held at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
-    files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    return written(files.mapInArrow(_runs, RUN_COLUMNS), "warc-runs")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, 2)
+    try:
+        files = spark.read.format("binaryFile").load(folder).select("path", "content")
+        return written(files.mapInArrow(_runs, RUN_COLUMNS), "warc-runs")
+    finally:
+        spark.conf.set(setting, before)
+
+
+def resolved(captures: DataFrame, runs: DataFrame) -> DataFrame:
+    """captures with refers_to: the page of the record that a revisit refers to. One that isn't there, or has another payload, is an error."""
+    named = runs.where("refers_to_record is not null").select(F.col("refers_to_record").alias("target"), F.col("payload_digest").alias("copied")).distinct()
+    there = runs.where("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest")).dropDuplicates(["target"])
+    targets = written(named.join(there, "target", "left"), "warc-targets")
+    lost = targets.where("not (copied <=> digest)").first()
+    if lost:
+        raise ValueError(f"a revisit refers to {lost['target']}, which is no response with its payload")
+    return captures.join(targets.select(F.col("target").alias("refers_to_record"), "refers_to").distinct(), "refers_to_record", "left")
 
 
 class LoserTree:
@@ -203,7 +219,7 @@ def _numbered(rows: list[tuple], first: int) -> pa.RecordBatch:
 
 def merge_index(runs: DataFrame, rows_per_range: int = 200_000) -> DataFrame:
     """All captures with `place`, a number that grows in the global order of (URL key, timestamp, page)."""
-    runs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    small_batches(runs.sparkSession)
     ranges = max(2, int(runs.count() // rows_per_range) + 1)
     dealt = runs.repartitionByRange(ranges, "url_key", "captured", F.col("page_id").asc_nulls_first(), "run", "offset")
     # a run's rows come in the run's order
@@ -216,4 +232,5 @@ def archive_and_index(pages: DataFrame, id_col: str = "page_id", url_col: str =
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, folder, id_col, url_col, html_col)
-    return merge_index(read_runs(spark, folder))
+    runs = read_runs(spark, folder)
+    return resolved(merge_index(runs), runs)
