@@ -1,4 +1,14 @@
-"""The corpus pipeline: rules, near-duplicates, secrets, mixing and packing, one table after another."""
+"""The corpus pipeline: rules, near-duplicates, secrets, mixing and packing, one table after another.
+
+Odd rows go through as their operators define it. A null text counts as empty,
+so the rules reject it (under 50 words). A null id keeps its row: it teaches
+nothing, is no near-duplicate, and shares its copies' draw with other null ids.
+Rows that repeat an id with the same text are near-duplicates of one id, so
+all of them stay (their id is their group's smallest); with another text, rows
+of an id that isn't its group's smallest go together. Whole texts are read,
+however long. An empty table gives an empty result. Columns besides doc_id and
+text may have any names and pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
