@@ -25,4 +25,4 @@ def send_error(text: Column) -> Column:
 
 
 def connection_error(text: Column) -> Column:
-    return F.concat(F.lit("connection error: "), F.substring(text, 1, 480))
+    return F.concat(F.lit("Connection error: "), F.substring(text, 1, 480))

@@ -34,6 +34,17 @@ def select_batch(alerts: DataFrame, now: Column, max_size: int = 100_000, max_wa
     return rows.orderBy("ingest_time", object_id).limit(max_size)
 
 
+def current_alerts(alerts: DataFrame, changes: DataFrame, object_id: str = "lsst_diaobject_diaobjectid") -> DataFrame:
+    """alerts with the status that was set last. changes: (object id, status, at, step), appended by the jobs and never rewritten."""
+    last = changes.groupBy(object_id).agg(F.max(F.struct("at", "step", F.col("status").alias("now_"))).alias("last_")).select(object_id, "last_.now_")
+    return alerts.join(last, object_id, "left").withColumn("status", F.coalesce("now_", "status")).drop("now_")
+
+
+def status_changes(rows: DataFrame, status: str, at: Column, step: int, object_id: str = "lsst_diaobject_diaobjectid") -> DataFrame:
+    """Rows to append to changes; step orders those of one moment."""
+    return rows.select(object_id, F.lit(status).alias("status"), at.alias("at"), F.lit(step).alias("step"))
+
+
 def load_batch(alerts: DataFrame, batch_ids: DataFrame, key: str = "uuid") -> DataFrame:
     return alerts.join(batch_ids.select(key), key, "left_semi").select(key, "lsst_diaobject_diaobjectid", "ra_deg", "dec_deg")
 

@@ -20,11 +20,21 @@ ALERT = "lsst_diaobject_diaobjectid"
 MATCH_KEY = [ALERT, "catalog_name", "catalog_source_id", "match_version"]
 
 
-def cone_pairs(alerts: DataFrame, sources: DataFrame, radius_arcsec: float = 1.0, cell_arcsec: float | None = None) -> DataFrame:
-    """All (alert, source) pairs within the radius, with match_distance_arcsec (6 decimals); columns of both sides."""
+#: A batch of alerts up to so many rows (four numbers each) is broadcast, so a catalog never moves.
+BROADCAST_ALERTS = 1_000_000
+
+
+def cone_pairs(alerts: DataFrame, sources: DataFrame, radius_arcsec: float = 1.0, cell_arcsec: float | None = None, n_alerts: int | None = None) -> DataFrame:
+    """All (alert, source) pairs within the radius, with match_distance_arcsec (6 decimals); columns of both sides.
+
+    n_alerts: how many alerts there are, where the caller knows: up to
+    BROADCAST_ALERTS they are broadcast. Else Spark joins as it sees fit.
+    """
     height = max(cell_arcsec or 10.0, radius_arcsec) / 3600
     left = search_cells(valid_coordinates(alerts), "ra_deg", "dec_deg", radius_arcsec, height)
     right = zone_cell(sources.na.drop(subset=["source_ra_deg", "source_dec_deg"]), "source_ra_deg", "source_dec_deg", height)
+    if n_alerts is not None and n_alerts <= BROADCAST_ALERTS:
+        left = F.broadcast(left)
     pairs = left.join(right, ["zone_", "bin_"]).drop("zone_", "bin_")
     distance = separation_arcsec(F.col("ra_deg"), F.col("dec_deg"), F.col("source_ra_deg"), F.col("source_dec_deg"))
     return pairs.withColumn("distance_", distance).where(F.col("distance_") <= radius_arcsec).withColumn("match_distance_arcsec", F.round("distance_", 6)).drop("distance_")
@@ -35,15 +45,15 @@ def _rank() -> list[Column]:
     return [F.col("match_distance_arcsec"), F.length("catalog_source_id"), F.col("catalog_source_id")]
 
 
-def nearest(pairs: DataFrame, alert_id: str = ALERT) -> DataFrame:
-    """The best pair of each alert as an aggregate: minima are taken before the shuffle."""
+def nearest(pairs: DataFrame, *key: str) -> DataFrame:
+    """The best pair of each alert (and catalog, if that is in the key) as an aggregate: minima are taken before the shuffle."""
     first = F.min(F.struct(*(c.alias(f"r{k}") for k, c in enumerate(_rank())), F.struct("*").alias("row")))
-    return pairs.groupBy(F.col(alert_id).alias("key_")).agg(first.alias("best")).select("best.row.*")
+    return pairs.groupBy(*(F.col(c).alias(f"key{k}_") for k, c in enumerate(key or (ALERT,)))).agg(first.alias("best")).select("best.row.*")
 
 
-def crossmatch(alerts: DataFrame, sources: DataFrame, radius_arcsec: float = 1.0, n_neighbors: int = 1, alert_id: str = ALERT, cell_arcsec: float | None = None) -> DataFrame:
+def crossmatch(alerts: DataFrame, sources: DataFrame, radius_arcsec: float = 1.0, n_neighbors: int = 1, alert_id: str = ALERT, cell_arcsec: float | None = None, n_alerts: int | None = None) -> DataFrame:
     """The n nearest sources of each alert within the radius; no overlap gives no rows."""
-    pairs = cone_pairs(alerts, sources, radius_arcsec, cell_arcsec)
+    pairs = cone_pairs(alerts, sources, radius_arcsec, cell_arcsec, n_alerts)
     if n_neighbors == 1:
         return nearest(pairs, alert_id)
     rank = F.row_number().over(Window.partitionBy(alert_id).orderBy(*_rank()))
@@ -51,15 +61,18 @@ def crossmatch(alerts: DataFrame, sources: DataFrame, radius_arcsec: float = 1.0
 
 
 def match_rows(result: DataFrame, match_version: int = 1) -> DataFrame:
-    """Crossmatch result to the shape of stored matches."""
-    return result.select(ALERT, "catalog_name", F.col("catalog_source_id").cast("string").alias("catalog_source_id"), "match_distance_arcsec", F.lit(None).cast("double").alias("match_score"), "source_ra_deg", "source_dec_deg", F.lit(None).cast("string").alias("catalog_payload"), F.lit(match_version).alias("match_version"))
+    """Crossmatch result to the shape of stored matches; the catalog's payload goes along where it has one."""
+    payload = F.col("catalog_payload") if "catalog_payload" in result.columns else F.lit(None)
+    return result.select(ALERT, "catalog_name", F.col("catalog_source_id").cast("string").alias("catalog_source_id"), "match_distance_arcsec", F.lit(None).cast("double").alias("match_score"), "source_ra_deg", "source_dec_deg", payload.cast("string").alias("catalog_payload"), F.lit(match_version).alias("match_version"))
 
 
-def crossmatch_catalogs(alerts: DataFrame, catalogs: list[DataFrame], radius_arcsec: float = 1.0, match_version: int = 1) -> DataFrame:
-    """Every catalog (with its catalog_name) in turn, one tall table of matches."""
+def crossmatch_catalogs(alerts: DataFrame, catalogs: list[DataFrame], radius_arcsec: float = 1.0, match_version: int = 1, n_alerts: int | None = None) -> DataFrame:
+    """Every catalog (with its catalog_name), one tall table of matches. Catalogs of equal columns are read side by side and joined at once: the alerts' cells are made once."""
     narrow = alerts.select(ALERT, "ra_deg", "dec_deg")
-    found = [match_rows(crossmatch(narrow, c, radius_arcsec), match_version) for c in catalogs]
-    return reduce(DataFrame.unionByName, found)
+    whole = [c if "catalog_payload" in c.columns else c.withColumn("catalog_payload", F.lit(None).cast("string")) for c in catalogs]
+    sources = reduce(DataFrame.unionByName, (c.select("catalog_name", "catalog_source_id", "source_ra_deg", "source_dec_deg", "catalog_payload") for c in whole))
+    pairs = cone_pairs(narrow, sources, radius_arcsec, None, n_alerts)
+    return match_rows(nearest(pairs, ALERT, "catalog_name"), match_version)
 
 
 def unmatched(alerts: DataFrame, matches: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.times import from_mjd, from_unix
 
 
+def kept_arrival(df: DataFrame) -> list[str]:
+    return ["arrival"] if "arrival" in df.columns else []
+
+
 def normalize_antares(df: DataFrame) -> DataFrame:
     """Flat, prefixed properties of the newest alert of a locus."""
     return df.select(
@@ -17,6 +21,7 @@ def normalize_antares(df: DataFrame) -> DataFrame:
         F.col("lsst_diaSource_diaSourceId").alias("lsst_diasource_diasourceid"),
         from_unix(F.col("ant_time_received")).alias("event_time"),
         "payload",
+        *kept_arrival(df),
     )
 
 
@@ -28,6 +33,7 @@ def normalize_lasair(df: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("lsst_diasource_diasourceid"),
         from_mjd(F.col("firstDiaSourceMjdTai")).alias("event_time"),
         "payload",
+        *kept_arrival(df),
     )
 
 
@@ -42,6 +48,7 @@ def normalize_pittgoogle(df: DataFrame, now: Column) -> DataFrame:
         F.col("diaSource.diaSourceId").alias("lsst_diasource_diasourceid"),
         F.coalesce(from_mjd(mjd), now).alias("event_time"),
         "payload",
+        *kept_arrival(df),
     )
 
 

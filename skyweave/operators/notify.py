@@ -48,6 +48,17 @@ def apply_send_results(notifications: DataFrame, results: DataFrame, now: Column
     return rows.withColumns(changed).drop("ok_", "error_", "connection_")
 
 
+#: What a dispatch changes of a message.
+STATE = ["state", "attempts", "last_error", "updated_at", "sent_at"]
+
+
+def current_messages(notifications: DataFrame, changes: DataFrame) -> DataFrame:
+    """notifications with their last state. changes: (notification_key, STATE...), appended by dispatches and never rewritten."""
+    last = changes.groupBy(KEY).agg(F.max(F.struct("attempts", "updated_at", *(F.col(c).alias(f"{c}_") for c in STATE))).alias("last_"))
+    rows = notifications.join(last, KEY, "left")
+    return rows.withColumns({c: F.when(F.col("last_").isNull(), F.col(c)).otherwise(F.col(f"last_.{c}_")) for c in STATE}).drop("last_")
+
+
 def dispatch_counts(notifications: DataFrame) -> DataFrame:
     count = lambda s: F.count_if(F.col("state") == s).alias(f"n_{s}")
     return notifications.groupBy("destination").agg(count("sent"), count("failed"), count("pending"))

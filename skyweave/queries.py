@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sky
+from .functions.times import age_seconds, connection_error, from_mjd, from_unix, send_error
 from .operators import batches, filters, ingest, normalize, notify
 from .operators import crossmatch as cross
 from .plans import tables as t
-from .sources import brokers
+from .schema import CatalogSpec
+from .sources import brokers, catalogs
+from .sources.sinks import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 ID = "lsst_diaobject_diaobjectid"
@@ -104,6 +107,21 @@ def join4_all_catalogs(spark: SparkSession, d: str) -> DataFrame:
     return _matches(spark, d).select(*_MATCH.split(", "), "match_version")
 
 
+@query(_with(f"SELECT {_MATCH} FROM pairs", radius=30.0))
+def join5_wide_cones(spark: SparkSession, d: str) -> DataFrame:
+    """Cones wider than the cells that are asked for: they reach over several zones and bins."""
+    return cross.cone_pairs(t.alerts(spark, d), t.catalog(spark, d, "dense"), 30.0, cell_arcsec=7.0).select(*_MATCH.split(", "))
+
+
+@query(_with(f"SELECT {_MATCH} FROM best"))
+def join7_prepared_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog written by declination zones, cut to those near an alert, then matched."""
+    path = work_folder(spark, "catalog-dense")
+    cross.prepare_catalog(t.catalog(spark, d, "dense"), path)
+    alerts = t.alerts(spark, d)
+    return cross.crossmatch(alerts, cross.prune_catalog(spark.read.parquet(path), alerts)).select(*_MATCH.split(", "))
+
+
 @query(_with(f"SELECT {_MATCH} FROM best", ("far",)))
 def join6_no_overlap(spark: SparkSession, d: str) -> DataFrame:
     return cross.crossmatch(t.alerts(spark, d), t.catalog(spark, d, "far")).select(*_MATCH.split(", "))
@@ -204,7 +222,8 @@ def win3_latest_source(spark: SparkSession, d: str) -> DataFrame:
     return ingest.latest_source(spark.table("events"), "user_id", "ts", "event_id").select("user_id", "ts", "event_id", "event_type")
 
 
-_CANONICAL = f"""SELECT 170055002004914000 + user_id AS {ID}, CASE WHEN {t.BROKER} = 'lasair' THEN NULL ELSE event_id END AS lsst_diasource_diasourceid, {t.BROKER} AS broker, date_trunc('second', ts) AS event_second
+_RA, _DEC = t.position("user_id")
+_CANONICAL = f"""SELECT 170055002004914000 + user_id AS {ID}, CASE WHEN {t.BROKER} = 'lasair' THEN NULL ELSE event_id END AS lsst_diasource_diasourceid, {t.BROKER} AS broker, date_trunc('second', ts + INTERVAL 500 MILLISECOND) AS event_second, {_RA} AS ra_deg, {_DEC} AS dec_deg, ts, CAST(170055002004914000 + user_id AS VARCHAR) AS named
  FROM events WHERE {t.BROKER} = 'lasair' OR CAST(json_extract(props, '$.k') AS DOUBLE) / 100 >= 0.6"""
 
 
@@ -220,18 +239,28 @@ def _canonical(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT {ID}, lsst_diasource_diasourceid, broker, count(*) AS n FROM ({_CANONICAL}) GROUP BY ALL")
 def set1_canonical_stream(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-4..6, FLT-1..4, PRJ-1..4, FN-1/2 and SET-1 over all messages."""
+    """SRC-4..6, FLT-1..4 and SET-1 over all messages."""
     return _canonical(spark, d).groupBy(ID, "lsst_diasource_diasourceid", "broker").agg(F.count("*").alias("n"))
 
 
-_SAME = "170055002004914000 + user_id"
+# times that went through a double may be a microsecond off, so seconds are rounded on both sides
+_SECOND = F.date_trunc("second", F.col("event_time") + F.expr("INTERVAL '0.5' SECOND"))
+
+
+@query(f"SELECT {ID}, lsst_diasource_diasourceid, broker, ra_deg, dec_deg, event_second, named FROM ({_CANONICAL})")
+def prj1_canonical_rows(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-1..4, FN-1/2: all columns of the canonical rows; of the payload the object's id."""
+    named = F.regexp_extract("payload", r'[dD]iaObjectId":(\d+)', 1)
+    return _canonical(spark, d).select(ID, "lsst_diasource_diasourceid", "broker", "ra_deg", "dec_deg", _SECOND.alias("event_second"), named.alias("named"))
 
 
-@query(f"WITH c AS ({_CANONICAL}) SELECT DISTINCT {ID}, 'INGESTED' AS status, 1 AS schema_version FROM c WHERE {ID} % 3 <> 0")
+@query(f"WITH c AS ({_CANONICAL}) SELECT {ID}, lsst_diasource_diasourceid, event_second, ra_deg, 'INGESTED' AS status, 1 AS schema_version FROM (SELECT *, row_number() OVER (PARTITION BY {ID} ORDER BY ts, broker, lsst_diasource_diasourceid NULLS FIRST) AS r FROM c) WHERE r = 1 AND {ID} % 3 <> 0")
 def set2_merge_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """The winner of each object is compared too."""
     incoming = _canonical(spark, d)
     existing = incoming.where(F.col(ID) % 3 == 0).select(ID)
-    return ingest.merge_alerts(existing, incoming, _now(), ["event_time", "broker", "payload"]).select(ID, "status", "schema_version")
+    fresh = ingest.merge_alerts(existing, incoming, _now(), ["event_time", "broker", "lsst_diasource_diasourceid"])
+    return fresh.select(ID, "lsst_diasource_diasourceid", _SECOND.alias("event_second"), "ra_deg", "status", "schema_version")
 
 
 @query(f"WITH d AS ({_DELIVERIES}) SELECT {ID}, broker, min(ingest_time) AS ingest_time FROM d WHERE NOT (broker = 'lasair' AND {ID} % 2 = 0) GROUP BY 1, 2")
@@ -249,8 +278,9 @@ def set4_merge_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_with(f"SELECT {ID}, catalog_name, catalog_source_id, 2 AS match_version FROM best", _BOTH))
 def set5_rematch(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts are matched again under another version beside the stored matches; those of another version hide nothing."""
     old = _matches(spark, d)
-    again = cross.match_rows(old.withColumn("x", F.lit(1)).drop("x"), match_version=2)
+    again = cross.crossmatch_catalogs(t.alerts(spark, d), [t.catalog(spark, d, c) for c in _BOTH], match_version=2)
     return ingest.merge_matches(old, again).select(ID, "catalog_name", "catalog_source_id", "match_version")
 
 
@@ -272,6 +302,63 @@ def flt7_rejects(spark: SparkSession, d: str) -> DataFrame:
     return filters.split_malformed(rows, ["user", "value"])[1].select("event_id", "event_type", "reject_reason")
 
 
+_BAD = f"CASE {ID} % 10 WHEN 0 THEN NULL WHEN 1 THEN CAST('NaN' AS DOUBLE) ELSE ra_deg END"
+
+
+@query(f"WITH a AS ({t.ALERTS}) SELECT {ID}, ra_deg, dec_deg FROM a WHERE {ID} % 10 NOT IN (0, 1)")
+def flt5_valid_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.alerts(spark, d).withColumn("ra_deg", F.expr(_BAD))
+    return filters.valid_coordinates(rows).select(ID, "ra_deg", "dec_deg")
+
+
+@query("SELECT 'parts' AS catalog_name, CAST(p_partkey AS VARCHAR) AS catalog_source_id, CAST(p_size AS DOUBLE) AS source_ra_deg, CAST(p_retailprice AS DOUBLE) AS source_dec_deg, p_brand FROM part")
+def src1_read_catalog(spark: SparkSession, d: str) -> DataFrame:
+    return catalogs.read_catalog(spark, CatalogSpec("parts", f"{d}/part.parquet", "p_partkey", "p_size", "p_retailprice"), ("p_brand",))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS catalog_source_id, '{"p_size":' || p_size || ',"p_brand":"' || p_brand || '"}' AS catalog_payload FROM part""")
+def prj7_core_payload(spark: SparkSession, d: str) -> DataFrame:
+    """A column of two keywords is written once; one that the catalog lacks is left out."""
+    spec = CatalogSpec("parts", f"{d}/part.parquet", "p_partkey", "p_size", "p_retailprice", {"brightness": ("p_size", "p_brand"), "shape": ("p_brand", "nowhere")})
+    return catalogs.read_with_payload(spark, spec).select("catalog_source_id", "catalog_payload")
+
+
+_UUID = r"regexp_replace(md5(CAST({} AS VARCHAR)), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5')"
+
+
+@query(f"WITH a AS ({t.ALERTS}) SELECT {_UUID.format(ID)} AS uuid, {ID}, ra_deg, dec_deg FROM a WHERE {ID} % 4 = 0")
+def src7_load_batch(spark: SparkSession, d: str) -> DataFrame:
+    alerts = t.alerts(spark, d).withColumn("uuid", normalize.alert_uuid(F.col(ID)))
+    return batches.load_batch(alerts, alerts.where(F.col(ID) % 4 == 0))
+
+
+@query("SELECT o_orderkey, make_timestamp(CAST(o_orderkey AS BIGINT) * 1000000000 + 250000) AS from_unix FROM orders")
+def fn2_from_unix(spark: SparkSession, d: str) -> DataFrame:
+    t.register(spark, d, "orders")
+    return spark.table("orders").select("o_orderkey", from_unix(F.expr("CAST(o_orderkey AS DOUBLE) * 1000D + 0.25D")).alias("from_unix"))
+
+
+_LONG = "repeat(o_orderstatus, CAST(o_orderkey % 700 AS INT))"
+
+
+@query(f"SELECT o_orderkey, substring({_LONG}, 1, 500) AS send_error, 'Connection error: ' || substring({_LONG}, 1, 480) AS connection_error FROM orders")
+def fn7_error_texts(spark: SparkSession, d: str) -> DataFrame:
+    t.register(spark, d, "orders")
+    return spark.table("orders").select("o_orderkey", send_error(F.expr(_LONG)).alias("send_error"), connection_error(F.expr(_LONG)).alias("connection_error"))
+
+
+_WHERE_TO = f"CASE {ID} % 3 WHEN 0 THEN 'hopskotch' WHEN 1 THEN 'elsewhere' END"
+
+
+@query(_with(f"SELECT {ID}, catalog_name, catalog_source_id, {_WHERE_TO} AS destination, {ID} % 3 = 0 AS known FROM best", _BOTH))
+def snk1_route(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of unknown destinations, or none, are told apart and stay."""
+    rows = _notifications(spark, d).withColumn("destination", F.expr(_WHERE_TO))
+    known, unknown = notify.route(rows, {"hopskotch": lambda df: df})
+    both = known["hopskotch"].withColumn("known", F.lit(True)).unionByName(unknown.withColumn("known", F.lit(False)))
+    return both.select(ID, "catalog_name", "catalog_source_id", "destination", "known")
+
+
 @query(_with(f"SELECT {ID}, catalog_name, catalog_source_id, source_ra_deg AS ra, source_dec_deg AS dec, match_distance_arcsec AS separation_arcsec, 'hopskotch' AS destination, 'pending' AS state FROM best", _BOTH))
 def prj6_notifications(spark: SparkSession, d: str) -> DataFrame:
     body = F.from_json("payload", "ra double, dec double, separation_arcsec double")
@@ -283,8 +370,6 @@ def prj6_notifications(spark: SparkSession, d: str) -> DataFrame:
     f"WITH a AS ({t.ALERTS}) SELECT {ID}, date_trunc('second', ingest_time) AS ingest_time, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(ingest_time)) / 1e6 AS age, make_timestamp(CAST((CAST({ID} % 20000 AS DOUBLE) + 0.5 + 40000 - 40587) * 86400000000 AS BIGINT)) AS from_mjd FROM a"
 )
 def fn1_times(spark: SparkSession, d: str) -> DataFrame:
-    from .functions.times import age_seconds, from_mjd
-
     a = t.alerts(spark, d)
     mjd = F.expr(f"CAST({ID} % 20000 AS DOUBLE) + 0.5D + 40000D")
     return a.select(ID, F.date_trunc("second", "ingest_time").alias("ingest_time"), age_seconds(_now(), F.col("ingest_time")).alias("age"), from_mjd(mjd).alias("from_mjd"))
@@ -317,6 +402,28 @@ def st2_batch_matched(spark: SparkSession, d: str) -> DataFrame:
     return batches.set_status(a, a.where(F.col(ID) % 5 == 0), "MATCHED", ID).select(ID, "status")
 
 
+@query(f"WITH a AS ({t.ALERTS}), b AS (SELECT {ID} FROM a WHERE status IN ('INGESTED', 'QUEUED') ORDER BY ingest_time, {ID} LIMIT 1000) SELECT {ID}, CASE WHEN {ID} IN (SELECT * FROM b) THEN 'QUEUED' ELSE status END AS status FROM a")
+def st1_batch_queued(spark: SparkSession, d: str) -> DataFrame:
+    """The cap is the batch's own."""
+    a = t.alerts(spark, d)
+    return batches.set_status(a, batches.select_batch(a, _now(), max_size=1000), "QUEUED", ID).select(ID, "status")
+
+
+@query(f"WITH a AS ({t.ALERTS}) SELECT {ID}, CASE WHEN status = 'QUEUED' AND {ID} % 2 = 0 THEN 'INGESTED' ELSE status END AS status FROM a")
+def st3_batch_put_back(spark: SparkSession, d: str) -> DataFrame:
+    a = t.alerts(spark, d)
+    return batches.set_status(a, a.where((F.col("status") == "QUEUED") & (F.col(ID) % 2 == 0)), "INGESTED", ID).select(ID, "status")
+
+
+@query(f"WITH a AS ({t.ALERTS}) SELECT {ID}, CASE WHEN {ID} % 6 = 0 THEN 'NOTIFIED' WHEN {ID} % 2 = 0 THEN 'MATCHED' ELSE status END AS status FROM a")
+def st_current_states(spark: SparkSession, d: str) -> DataFrame:
+    """The states that the jobs' appended changes give."""
+    a = t.alerts(spark, d)
+    even, sixth = a.where(F.col(ID) % 2 == 0), a.where(F.col(ID) % 6 == 0)
+    parts = [batches.status_changes(even, "QUEUED", _now(), 1), batches.status_changes(even, "MATCHED", _now(), 2), batches.status_changes(sixth, "NOTIFIED", _now(), 3)]
+    return batches.current_alerts(a, parts[0].union(parts[1]).union(parts[2])).select(ID, "status")
+
+
 @query(f"WITH a AS ({t.ALERTS}) SELECT {ID}, CASE WHEN status = 'QUEUED' THEN 'INGESTED' ELSE status END AS status FROM a")
 def st4_recover_stuck(spark: SparkSession, d: str) -> DataFrame:
     return batches.recover_stuck(t.alerts(spark, d), _now()).select(ID, "status")

@@ -4,18 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
-
-CANONICAL_ALERT = T.StructType(
-    [
-        T.StructField("lsst_diaobject_diaobjectid", T.LongType()),
-        T.StructField("ra_deg", T.DoubleType()),
-        T.StructField("dec_deg", T.DoubleType()),
-        T.StructField("lsst_diasource_diasourceid", T.LongType()),
-        T.StructField("event_time", T.TimestampType()),
-        T.StructField("payload", T.StringType()),
-    ]
-)
 ANTARES_MESSAGE = "alerts array<struct<properties: struct<lsst_diaObject_diaObjectId: bigint, lsst_diaObject_ra: double, lsst_diaObject_dec: double, lsst_diaSource_diaSourceId: bigint, lsst_diaSource_reliability: double, ant_time_received: double>>>, locus_id string"
 LASAIR_MESSAGE = "diaObjectId bigint, firstDiaSourceMjdTai double, ra double, decl double"
 PITTGOOGLE_MESSAGE = "diaObject struct<diaObjectId: bigint, ra: double, dec: double>, diaSource struct<diaSourceId: bigint, reliability: double, midpointMjdTai: double, midPointTai: double>"
@@ -34,3 +22,45 @@ class CatalogSpec:
     dec_column: str
     payload_columns: dict[str, tuple[str, ...]] = field(default_factory=dict)
     flag_columns: tuple[str, ...] = ()
+
+
+def _bands(pattern: str, bands: str) -> tuple[str, ...]:
+    return tuple(pattern.format(b) for b in bands)
+
+
+def _gold(name: str, bands: str, base: str) -> CatalogSpec:
+    """The two deep southern surveys share their column names and differ in their bands."""
+    return CatalogSpec(
+        name, f"{base}/{name}", "COADD_OBJECT_ID", "RA", "DEC",
+        {
+            "brightness": (*_bands("MAG_AUTO_{}", bands), "EBV_SFD98"),
+            "shape": ("BDF_T", "BDF_G_1", "BDF_G_2", "BDF_FRACDEV"),
+            "redshift": ("DNF_Z", "DNF_ZSIGMA"),
+            "classification": ("EXT_MASH",),
+            "psf": _bands("WAVG_MAG_PSF_{}", bands),
+        },
+    )
+
+
+def survey_catalogs(base: str) -> list[CatalogSpec]:
+    """The four sky catalogs that alerts are matched with, below one folder or bucket. Names and columns are fixed values of the surveys."""
+    base = base.rstrip("/")
+    gaia = CatalogSpec(
+        "gaia_dr3", f"{base}/gaia_dr3", "source_id", "ra", "dec",
+        {
+            "brightness": ("phot_g_mean_mag", "phot_bp_mean_mag", "phot_rp_mean_mag"),
+            "location": ("parallax", "pmra", "pmdec", "ref_epoch"),
+            "classification": ("classprob_dsc_combmod_star", "classprob_dsc_combmod_galaxy", "classprob_dsc_combmod_quasar"),
+            "psf": ("astrometric_excess_noise", "ruwe"),
+        },
+    )
+    skymapper = CatalogSpec(
+        "skymapper_dr4", f"{base}/skymapper_dr4", "object_id", "raj2000", "dej2000",
+        {
+            "brightness": _bands("{}_psf", "uvgriz"),
+            "location": ("e_raj2000", "e_dej2000"),
+            "classification": ("class_star",),
+            "psf": ("chi2_psf", "flags_psf"),
+        },
+    )
+    return [gaia, _gold("des_y6_gold", "GRIZY", base), _gold("delve_dr3_gold", "GRIZ", base), skymapper]

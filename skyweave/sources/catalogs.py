@@ -5,45 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.payload import core_payload
 from ..schema import CatalogSpec
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _listing(spark: SparkSession, path: str) -> dict[str, bool]:
+    """Names under a folder, and whether each is a folder; none where there is no such folder."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
+        return {}
+    return {status.getPath().getName(): bool(status.isDirectory()) for status in fs.listStatus(root)}
+
+
+def _noted_default(spark: SparkSession, note: str) -> str | None:
+    """The value of default_catalog in a file of name=value lines."""
+    parts = F.split("value", "=", 2)
+    found = spark.read.text(note).where(F.trim(parts[0]) == "default_catalog").select(F.trim(F.get(parts, F.lit(1))).alias("v")).where("v <> ''").first()
+    return found["v"] if found else None
 
 
 def resolve_catalog_root(spark: SparkSession, path: str) -> str:
-    """The default catalog of a collection: as collection.properties says, else the first folder that isn't hidden, else the path."""
-    jvm, root, fs = _fs(spark, path)
-    note = jvm.org.apache.hadoop.fs.Path(root, "collection.properties")
-    if not fs.exists(note):
+    """Where a catalog is: the path itself, or of a collection (a folder with collection.properties) the member that it names, else its first member.
+
+    A collection without members is an error.
+    """
+    root = path.rstrip("/")
+    there = _listing(spark, root)
+    if "collection.properties" not in there:
         return path
-    for row in spark.read.text(note.toString()).collect():
-        name, _, value = row["value"].partition("=")
-        if name.strip() == "default_catalog" and value.strip():
-            return f"{path.rstrip('/')}/{value.strip()}"
-    folders = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
-    return f"{path.rstrip('/')}/{folders[0]}" if folders else path
+    members = sorted(name for name, folder in there.items() if folder and name[0] not in "_.")
+    chosen = _noted_default(spark, f"{root}/collection.properties") or next(iter(members), None)
+    if chosen is None:
+        raise FileNotFoundError(f"the collection {path} names no catalog and holds none")
+    return f"{root}/{chosen}"
+
+
+def _data(spark: SparkSession, spec: CatalogSpec) -> DataFrame:
+    root = resolve_catalog_root(spark, spec.root).rstrip("/")
+    return spark.read.parquet(f"{root}/dataset" if "dataset" in _listing(spark, root) else root)
 
 
 def read_catalog(spark: SparkSession, spec: CatalogSpec, columns: tuple[str, ...] = ()) -> DataFrame:
     """Id, position and the asked columns only; names are the same for all catalogs from here on."""
-    root = resolve_catalog_root(spark, spec.root)
-    _, data, fs = _fs(spark, f"{root.rstrip('/')}/dataset")
-    rows = spark.read.parquet(data.toString() if fs.exists(data) else root)
+    rows = _data(spark, spec)
     return rows.select(F.lit(spec.name).alias("catalog_name"), F.col(spec.source_id_column).cast("string").alias("catalog_source_id"), F.col(spec.ra_column).cast("double").alias("source_ra_deg"), F.col(spec.dec_column).cast("double").alias("source_dec_deg"), *columns)
 
 
+def read_with_payload(spark: SparkSession, spec: CatalogSpec, keep_nulls: bool = True, quality_flags: bool = False) -> DataFrame:
+    """A catalog with catalog_payload: the core columns that it has, as JSON. No other column is read."""
+    there = {c.lower() for c in _data(spark, spec).columns}
+    wanted = [c for group in spec.payload_columns.values() for c in group] + list(spec.flag_columns if quality_flags else ())
+    extra = tuple(c for c in dict.fromkeys(wanted) if c.lower() in there)
+    rows = read_catalog(spark, spec, extra)
+    return core_payload(rows, spec, keep_nulls, quality_flags).select("catalog_name", "catalog_source_id", "source_ra_deg", "source_dec_deg", "catalog_payload")
+
+
 def catalog_columns(spark: SparkSession, specs: list[CatalogSpec]) -> DataFrame:
     """(catalog, position, column, dtype, n_columns, error) of each catalog; one that can't be read gives a row with its error."""
     rows = []
     for spec in specs:
         try:
-            root = resolve_catalog_root(spark, spec.root)
-            _, data, fs = _fs(spark, f"{root.rstrip('/')}/dataset")
-            fields = spark.read.parquet(data.toString() if fs.exists(data) else root).schema.fields
+            fields = _data(spark, spec).schema.fields
             rows += [(spec.name, k, f.name, f.dataType.simpleString(), len(fields), None) for k, f in enumerate(fields)]
         except Exception as error:  # noqa: BLE001  the others go on
             rows.append((spec.name, None, None, None, None, str(error)[:500]))

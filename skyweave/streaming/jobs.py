@@ -2,12 +2,14 @@
 
 Tables are plain Parquet folders. A micro-batch appends only rows whose keys
 aren't stored, so a batch that runs again after a failure adds nothing twice,
-and there is no streaming state that would grow.
+and there is no streaming state that would grow. States of alerts and messages
+are tables of changes, appended too: the last change of a key holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +18,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import crossmatch as cross
 from ..operators import batches, filters, ingest, normalize, notify
 from ..sources import brokers
-from ..sources.sinks import append_table, isolated, send_results
+from ..sources.sinks import append_table, isolated
 
 ALERTS = "uuid string, lsst_diaobject_diaobjectid long, lsst_diasource_diasourceid long, ra_deg double, dec_deg double, event_time timestamp, ingest_time timestamp, schema_version int, payload string, status string"
 DELIVERIES = "lsst_diaobject_diaobjectid long, broker string, ingest_time timestamp"
 MATCHES = "lsst_diaobject_diaobjectid long, catalog_name string, catalog_source_id string, match_distance_arcsec double, match_score double, source_ra_deg double, source_dec_deg double, catalog_payload string, match_version int"
+CHANGES = "lsst_diaobject_diaobjectid long, status string, at timestamp, step int"
+NOTIFICATIONS = "notification_key string, lsst_diaobject_diaobjectid long, catalog_name string, catalog_source_id string, match_version int, destination string, payload string, state string, attempts int, last_error string, created_at timestamp, updated_at timestamp, sent_at timestamp"
+SENDS = "notification_key string, state string, attempts int, last_error string, updated_at timestamp, sent_at timestamp"
 REQUIRED = ["lsst_diaobject_diaobjectid", "ra_deg", "dec_deg", "event_time", "payload"]
 
 
@@ -44,26 +49,37 @@ def canonical(broker: str, df: DataFrame, now: Column, threshold: float = 0.6) -
 
 
 def ingest_batch(rows: DataFrame, tables: str, now: Column) -> None:
-    """Append the new alerts, deliveries and rejects of canonical rows (with broker)."""
+    """Append the new alerts, deliveries and rejects of canonical rows (with broker). Messages are parsed once; of an object what arrived first wins."""
     spark = rows.sparkSession
     rows = rows.withColumn("ingest_time", now)
-    good, bad = filters.split_malformed(rows, REQUIRED)
-    order = ["broker", "event_time", "payload"]
-    alerts = ingest.merge_alerts(stored(spark, f"{tables}/alerts", ALERTS), good, now, order)
-    append_table(alerts, f"{tables}/alerts")
-    deliveries = ingest.merge_deliveries(stored(spark, f"{tables}/alert_deliveries", DELIVERIES), good, ["ingest_time"])
-    append_table(deliveries, f"{tables}/alert_deliveries")
-    append_table(bad, f"{tables}/dead_letters")
+    if "arrival" not in rows.columns:
+        rows = rows.withColumn("arrival", F.lit(None).cast("struct<time: timestamp, offset: bigint>"))
+    rows = rows.persist()
+    try:
+        n = rows.count()
+        good, bad = filters.split_malformed(rows, REQUIRED)
+        alerts = ingest.merge_alerts(stored(spark, f"{tables}/alerts", ALERTS), good, now, ["arrival", "broker", "event_time"], n)
+        append_table(alerts, f"{tables}/alerts")
+        deliveries = ingest.merge_deliveries(stored(spark, f"{tables}/alert_deliveries", DELIVERIES), good, ["ingest_time"], n)
+        append_table(deliveries, f"{tables}/alert_deliveries")
+        append_table(bad, f"{tables}/dead_letters")
+    finally:
+        rows.unpersist()
+
 
+def ingest_stream(messages: DataFrame, broker: str, tables: str, checkpoint: str, clock: Callable[[], Column] = F.current_timestamp, threshold: float = 0.6, trigger: dict | None = None, repeats_within: str | None = None) -> StreamingQuery:
+    """A broker's stream into the tables; a transient failure replays the batch from the checkpoint.
 
-def ingest_stream(messages: DataFrame, broker: str, tables: str, checkpoint: str, clock: Callable[[], Column] = F.current_timestamp, threshold: float = 0.6, trigger: dict | None = None) -> StreamingQuery:
-    """A broker's stream into the tables; a transient failure replays the batch from the checkpoint."""
+    repeats_within: drop messages that a stream with a timestamp repeats within so long, before they are parsed.
+    """
 
     def upsert(df: DataFrame, _: int) -> None:
         now = clock()
         rows = canonical(broker, df, now, threshold).withColumn("broker", F.lit(broker))
         ingest_batch(rows, tables, now)
 
+    if repeats_within:
+        messages = deduplicated(messages, "timestamp", ["value"], repeats_within)
     return messages.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
@@ -77,18 +93,23 @@ def match_batch(alerts: DataFrame, catalogs: list[DataFrame], tables: str, now:
     spark = alerts.sparkSession
     alerts = alerts.persist()
     try:
-        alerts.count()  # alerts that can't be read fail the batch, not its catalogs
+        n = alerts.count()  # alerts that can't be read fail the batch, not its catalogs
         named: dict[str, DataFrame] = {}
         for k, c in enumerate(catalogs):
             name = _catalog_name(c, k)
             named[f"{name} ({k})" if name in named else name] = c
 
         def match(catalog: DataFrame) -> None:
-            found = cross.crossmatch_catalogs(alerts, [catalog], radius_arcsec, match_version)
-            fresh = ingest.merge_matches(stored(spark, f"{tables}/catalog_matches", MATCHES), found)
-            # messages first, keyed like the matches: a run that fails between the two makes the same messages again
-            append_table(_new_messages(spark, notify.notification_rows(fresh if dedupe else found, now), tables, dedupe), f"{tables}/notifications")
-            append_table(fresh, f"{tables}/catalog_matches")
+            if "dec_zone" in catalog.columns:  # of prepare_catalog: only the folders near an alert are read
+                catalog = cross.prune_catalog(catalog, alerts, radius_arcsec)
+            found = cross.crossmatch_catalogs(alerts, [catalog], radius_arcsec, match_version, n).persist()
+            try:
+                fresh = ingest.merge_matches(stored(spark, f"{tables}/catalog_matches", MATCHES), found, found.count())
+                # messages first, keyed like the matches: a run that fails between the two makes the same messages again
+                append_table(_new_messages(spark, notify.notification_rows(fresh if dedupe else found, now), tables, dedupe), f"{tables}/notifications")
+                append_table(fresh, f"{tables}/catalog_matches")
+            finally:
+                found.unpersist()
 
         failed = isolated({name: lambda c=c: match(c) for name, c in named.items()})
         matches = cross.matched(stored(spark, f"{tables}/catalog_matches", MATCHES), alerts)
@@ -121,15 +142,83 @@ def match_stream(alerts: DataFrame, catalogs: list[DataFrame], tables: str, chec
     return alerts.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def dispatch(notifications: DataFrame, writers: dict[str, Callable[[DataFrame], None]], now: Column, limit: int = 500) -> DataFrame:
-    """notifications after one round: the oldest pending ones are sent by destination; unknown destinations stay pending."""
-    pending = notify.select_pending(notifications, limit)
-    known, _ = notify.route(pending, writers)
-    results = None
-    for name, rows in known.items():
-        part = send_results(rows, writers[name])
-        results = part if results is None else results.unionByName(part)
-    return notify.apply_send_results(notifications, results, now) if results is not None else notifications
+@dataclass
+class BatchRun:
+    """What a tick of the batch job did: rows taken (0: no batch was due), catalogs that failed, and the error that put the batch back."""
+
+    n_alerts: int = 0
+    failed: dict[str, str] = field(default_factory=dict)
+    error: str | None = None
+
+
+def run_batch(spark: SparkSession, tables: str, catalogs: list[DataFrame], now: Column, max_size: int = 100_000, max_wait: float = 900, stuck_after: float = 7600, radius_arcsec: float = 1.0, match_version: int = 1) -> BatchRun:
+    """One tick: stuck alerts wait again; if a batch is due its alerts become QUEUED, are matched, and become MATCHED, or INGESTED again if the batch fails.
+
+    Only narrow columns of the alerts are read. A catalog that fails doesn't fail the batch.
+    """
+    narrow = stored(spark, f"{tables}/alerts", ALERTS).select("uuid", cross.ALERT, "ra_deg", "dec_deg", "ingest_time", "status")
+    log = f"{tables}/alert_changes"
+    alerts = batches.current_alerts(narrow, stored(spark, log, CHANGES))
+    stuck = alerts.where(F.col("status") == batches.QUEUED).join(batches.recover_stuck(alerts, now, stuck_after).where(F.col("status") == batches.INGESTED).select(cross.ALERT), cross.ALERT, "left_semi")
+    taken = batches.select_batch(alerts, now, max_size, max_wait, stuck_after).persist()
+    try:
+        run = BatchRun(taken.count())
+        append_table(batches.status_changes(stuck, batches.INGESTED, now, 0), log)
+        if not run.n_alerts:
+            return run
+        append_table(batches.status_changes(taken, batches.QUEUED, now, 1), log)
+        try:
+            run.failed = match_batch(batches.load_batch(narrow, taken), catalogs, tables, now, radius_arcsec, match_version)
+            append_table(batches.status_changes(taken, batches.MATCHED, now, 2), log)
+        except Exception as error:  # noqa: BLE001  the batch is put back and tried again
+            run.error = str(error)[:500]
+            append_table(batches.status_changes(taken, batches.INGESTED, now, 2), log)
+        return run
+    finally:
+        taken.unpersist()
+
+
+def dispatch_round(spark: SparkSession, tables: str, senders: dict[str, Callable[[DataFrame], DataFrame]], now: Column, limit: int = 500) -> DataFrame:
+    """One tick: the oldest pending messages are sent by destination and their states stored; alerts whose messages are all sent become NOTIFIED.
+
+    senders: from rows of a destination to their results (send_each, or
+    send_results of a writer). Messages of unknown destinations stay pending.
+    What is stored are the results of this very sending: they are evaluated
+    once, as they are written. Returns the counts of this round.
+    """
+    messages, log = stored(spark, f"{tables}/notifications", NOTIFICATIONS), f"{tables}/notification_changes"
+    pending = notify.select_pending(notify.current_messages(messages, stored(spark, log, SENDS)), limit).persist()
+    try:
+        known, _ = notify.route(pending, senders)
+        for name, rows in known.items():
+            if not rows.isEmpty():
+                after = notify.apply_send_results(rows, senders[name](rows), now).where("state <> 'pending'")
+                append_table(after.select(notify.KEY, *notify.STATE), log)
+        touched = pending.select(cross.ALERT).distinct()
+        current = notify.current_messages(messages, stored(spark, log, SENDS)).join(F.broadcast(touched), cross.ALERT, "left_semi")  # at most `limit` objects
+        narrow = stored(spark, f"{tables}/alerts", ALERTS).select(cross.ALERT, "status").join(F.broadcast(touched), cross.ALERT, "left_semi")
+        alerts = batches.current_alerts(narrow, stored(spark, f"{tables}/alert_changes", CHANGES)).where(F.col("status") == batches.MATCHED)
+        done = notify.mark_notified(alerts, current).where(F.col("status") == batches.NOTIFIED)
+        append_table(batches.status_changes(done, batches.NOTIFIED, now, 3), f"{tables}/alert_changes")
+        sent = current.join(pending.select(notify.KEY), notify.KEY, "left_semi")
+        return spark.createDataFrame(notify.dispatch_counts(sent).collect(), "destination string, n_sent long, n_failed long, n_pending long")
+    finally:
+        pending.unpersist()
+
+
+def every(spark: SparkSession, seconds: float, action: Callable[[], object], checkpoint: str) -> StreamingQuery:
+    """Run an action over the tables again and again; one that fails stops the query, which may be started again."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, __: action()).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def batch_job(spark: SparkSession, tables: str, catalogs: list[DataFrame], checkpoint: str, clock: Callable[[], Column] = F.current_timestamp, seconds: float = 30, **options: float) -> StreamingQuery:
+    """A batch as soon as there are max_size alerts or the oldest has waited max_wait seconds, looked at every 30 seconds."""
+    return every(spark, seconds, lambda: run_batch(spark, tables, catalogs, clock(), **options), checkpoint)
+
+
+def dispatch_job(spark: SparkSession, tables: str, senders: dict[str, Callable[[DataFrame], DataFrame]], checkpoint: str, clock: Callable[[], Column] = F.current_timestamp, seconds: float = 10, limit: int = 500) -> StreamingQuery:
+    return every(spark, seconds, lambda: dispatch_round(spark, tables, senders, clock(), limit), checkpoint)
 
 
 def deduplicated(messages: DataFrame, event_time: str, keys: list[str], late: str = "7 days") -> DataFrame:

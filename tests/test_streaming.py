@@ -4,8 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from skyweave.operators import notify
-from skyweave.sources.sinks import to_json_lines
+from skyweave.operators import batches, crossmatch, ingest
+from skyweave.sources.sinks import send_each, send_results, to_json_lines
 from skyweave.streaming import jobs
 
 SCHEMA = "value string, attributes map<string,string>"
@@ -36,10 +36,10 @@ def test_ingest_match_dispatch_twice(spark, tmp_path):
     assert spark.read.parquet(f"{tables}/catalog_matches").count() == 2
     messages = spark.read.parquet(f"{tables}/notifications")
     assert messages.count() == 2
-    after = jobs.dispatch(messages, {"hopskotch": to_json_lines(str(tmp_path / "out"))}, now())
-    assert {r.state for r in after.collect()} == {"sent"}
+    senders = {"hopskotch": lambda rows: send_results(rows, to_json_lines(str(tmp_path / "out")))}
+    for n in (2, None):  # a second round has nothing to send
+        assert [r.n_sent for r in jobs.dispatch_round(spark, tables, senders, now()).collect()] == [n] * (n is not None)
     assert spark.read.text(str(tmp_path / "out")).count() == 2
-    assert notify.dispatch_counts(after).first().n_sent == 2
 
 
 def test_a_failing_catalog_leaves_the_others(spark, tmp_path):
@@ -58,3 +58,103 @@ def test_a_failing_catalog_leaves_the_others(spark, tmp_path):
     assert spark.read.parquet(f"{tables}/notifications").count() == 2
     runs = {r.catalog_name: (r.n_matched, r.outcome == "ok") for r in spark.read.parquet(f"{tables}/match_runs").collect()}
     assert runs == {"a": (1, True), "z": (1, True), "catalog 1": (0, False)}
+
+
+SOURCES = "catalog_name string, catalog_source_id string, source_ra_deg double, source_dec_deg double"
+ID = "lsst_diaobject_diaobjectid"
+
+
+def at(second):
+    return F.lit(f"2024-01-01 00:00:{second:02d}").cast("timestamp")
+
+
+def status(spark, tables):
+    rows = batches.current_alerts(spark.read.parquet(f"{tables}/alerts"), jobs.stored(spark, f"{tables}/alert_changes", jobs.CHANGES))
+    return {r[ID]: r.status for r in rows.collect()}
+
+
+def test_batches_and_dispatches(spark, tmp_path):
+    """Ingested, queued, matched, notified: with a failing catalog, failing sends, a lost connection and a failing batch."""
+    tables = str(tmp_path / "tables")
+    rows = spark.createDataFrame([(k, 10.0 * k, 1.0, None, "p") for k in range(1, 5)], f"{ID} long, ra_deg double, dec_deg double, lsst_diasource_diasourceid long, payload string")
+    jobs.ingest_batch(rows.withColumn("event_time", at(0)).withColumn("broker", F.lit("lasair")), tables, at(0))
+    good = spark.createDataFrame([("c", str(k), 10.0 * k, 1.0) for k in (1, 2, 3)], SOURCES)
+    crossmatch.prepare_catalog(good, str(tmp_path / "prepared"))
+    bad = good.where(F.raise_error(F.lit("gone")).isNull())
+    catalogs = [spark.read.parquet(str(tmp_path / "prepared")), bad]
+    assert jobs.run_batch(spark, tables, catalogs, at(1), max_size=10, max_wait=5).n_alerts == 0
+    none = spark.createDataFrame([(1,)], "x int")
+    run = jobs.run_batch(spark, tables, [none], at(6), max_size=10, max_wait=5)
+    assert run.n_alerts == 4 and set(status(spark, tables).values()) == {"MATCHED"} and list(run.failed) == ["catalog 0"]
+    jobs.append_table(batches.status_changes(rows, "INGESTED", at(7), 2), f"{tables}/alert_changes")
+    run = jobs.run_batch(spark, tables, catalogs, at(8), max_size=4)
+    assert run.n_alerts == 4 and list(run.failed) == ["catalog 1"] and run.error is None
+    assert spark.read.parquet(f"{tables}/catalog_matches").count() == 3
+    assert jobs.run_batch(spark, tables, catalogs, at(9), max_size=1).n_alerts == 0
+
+    def connect():
+        def send(key, value):
+            if key == "2":
+                raise ValueError("x" * 900)
+
+        return send
+
+    def no_connection():
+        raise ConnectionError("refused")
+
+    counts = jobs.dispatch_round(spark, tables, {"hopskotch": lambda m: send_each(m, connect)}, at(10)).first()
+    assert (counts.n_sent, counts.n_failed, counts.n_pending) == (2, 1, 0)
+    assert status(spark, tables) == {1: "NOTIFIED", 2: "MATCHED", 3: "NOTIFIED", 4: "MATCHED"}
+    log = {r.state: r for r in spark.read.parquet(f"{tables}/notification_changes").collect()}
+    assert log["failed"].last_error == "x" * 500 and log["sent"].attempts == 1
+    pending = spark.read.parquet(f"{tables}/notifications")
+    lost = send_each(pending, no_connection).collect()
+    assert {(r.ok, r.error, r.connection) for r in lost} == {(False, "Connection error: refused", True)}
+    broken = send_results(pending, lambda df: no_connection())
+    assert broken.first().connection and broken.first().error == "Connection error: refused"
+
+
+def test_a_failed_batch_is_put_back(spark, tmp_path, monkeypatch):
+    tables = str(tmp_path / "tables")
+    rows = spark.createDataFrame([(1, 10.0, 1.0, None, "p")], f"{ID} long, ra_deg double, dec_deg double, lsst_diasource_diasourceid long, payload string")
+    jobs.ingest_batch(rows.withColumn("event_time", at(0)).withColumn("broker", F.lit("lasair")), tables, at(0))
+    good = spark.createDataFrame([("c", "1", 10.0, 1.0)], SOURCES)
+
+    def fail(*_):
+        raise RuntimeError("no cluster")
+
+    monkeypatch.setattr(jobs, "match_batch", fail)
+    assert jobs.run_batch(spark, tables, [good], at(1), max_size=1).error == "no cluster" and status(spark, tables) == {1: "INGESTED"}
+    monkeypatch.undo()
+    # a run that stopped while its alerts were queued: they wait until they are stuck, then go again
+    jobs.append_table(batches.status_changes(rows, "QUEUED", at(2), 1), f"{tables}/alert_changes")
+    assert jobs.run_batch(spark, tables, [good], at(3), max_size=1, stuck_after=30).n_alerts == 0
+    assert jobs.run_batch(spark, tables, [good], at(40), max_size=1, stuck_after=30).n_alerts == 1 and status(spark, tables) == {1: "MATCHED"}
+
+
+def test_jobs_tick(spark, tmp_path):
+    done = []
+    query = jobs.every(spark, 0.5, lambda: done.append(1), str(tmp_path / "ticks"))
+    query.awaitTermination(6)
+    query.stop()
+    assert len(done) > 1
+
+
+def test_history_is_not_shuffled(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias(ID), F.lit("p").alias("payload")).write.parquet(str(tmp_path / "h"))
+    history = spark.read.parquet(str(tmp_path / "h"))
+    incoming = spark.createDataFrame([(5, "a"), (5000, "b"), (5000, "c")], f"{ID} long, payload string")
+    new = ingest.new_rows(history, incoming, [ID], ["payload"], batch_rows=3)
+    assert [(r[ID], r.payload) for r in new.collect()] == [(5000, "b")]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plan = ingest.new_rows(history, incoming, [ID], ["payload"], batch_rows=3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    scan = next(k for k, line in enumerate(lines := plan.split("\n")) if "FileScan" in line)
+    above = [line for line in lines[:scan] if len(line) - len(line.lstrip(" :+-")) < len(lines[scan]) - len(lines[scan].lstrip(" :+-"))]
+    # from the scan upwards: the cut to the incoming keys comes before any exchange
+    assert "BroadcastHashJoin" in next(line for line in reversed(above) if "Exchange" in line or "Join" in line)
