@@ -14,7 +14,7 @@ from .operators import crossmatch as cross
 from .plans import tables as t
 from .schema import CatalogSpec
 from .sources import brokers, catalogs
-from .sources.sinks import work_folder
+from .sources.sinks import snapshot, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 ID = "lsst_diaobject_diaobjectid"
@@ -69,8 +69,8 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
     return cross.crossmatch_catalogs(t.alerts(spark, d), [t.catalog(spark, d, c) for c in ("dense", "sparse", "far")])
 
 
-def _notifications(spark: SparkSession, d: str) -> DataFrame:
-    rows = notify.notification_rows(_matches(spark, d), _now())
+def _notifications(spark: SparkSession, d: str, matches: DataFrame | None = None) -> DataFrame:
+    rows = notify.notification_rows(matches if matches is not None else _matches(spark, d), _now())
     return rows.withColumn("state", F.expr(_STATE))
 
 
@@ -141,7 +141,8 @@ def join9_matched(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_with(f"SELECT {ID}, catalog_name, catalog_source_id, 'hopskotch' AS destination, {_STATE} AS state, match_distance_arcsec FROM best", _BOTH))
 def join10_link_matches(spark: SparkSession, d: str) -> DataFrame:
-    linked = cross.link_matches(_notifications(spark, d), _matches(spark, d))
+    matches = snapshot(_matches(spark, d), "matches")
+    linked = cross.link_matches(_notifications(spark, d, matches), matches)
     return linked.select(ID, "catalog_name", "catalog_source_id", "destination", "state", "match_distance_arcsec")
 
 
@@ -244,14 +245,14 @@ def set1_canonical_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 # times that went through a double may be a microsecond off, so seconds are rounded on both sides
-_SECOND = F.date_trunc("second", F.col("event_time") + F.expr("INTERVAL '0.5' SECOND"))
+_SECOND = "date_trunc('second', event_time + INTERVAL '0.5' SECOND)"
 
 
 @query(f"SELECT {ID}, lsst_diasource_diasourceid, broker, ra_deg, dec_deg, event_second, named FROM ({_CANONICAL})")
 def prj1_canonical_rows(spark: SparkSession, d: str) -> DataFrame:
     """PRJ-1..4, FN-1/2: all columns of the canonical rows; of the payload the object's id."""
     named = F.regexp_extract("payload", r'[dD]iaObjectId":(\d+)', 1)
-    return _canonical(spark, d).select(ID, "lsst_diasource_diasourceid", "broker", "ra_deg", "dec_deg", _SECOND.alias("event_second"), named.alias("named"))
+    return _canonical(spark, d).select(ID, "lsst_diasource_diasourceid", "broker", "ra_deg", "dec_deg", F.expr(_SECOND).alias("event_second"), named.alias("named"))
 
 
 @query(f"WITH c AS ({_CANONICAL}) SELECT {ID}, lsst_diasource_diasourceid, event_second, ra_deg, 'INGESTED' AS status, 1 AS schema_version FROM (SELECT *, row_number() OVER (PARTITION BY {ID} ORDER BY ts, broker, lsst_diasource_diasourceid NULLS FIRST) AS r FROM c) WHERE r = 1 AND {ID} % 3 <> 0")
@@ -260,7 +261,7 @@ def set2_merge_alerts(spark: SparkSession, d: str) -> DataFrame:
     incoming = _canonical(spark, d)
     existing = incoming.where(F.col(ID) % 3 == 0).select(ID)
     fresh = ingest.merge_alerts(existing, incoming, _now(), ["event_time", "broker", "lsst_diasource_diasourceid"])
-    return fresh.select(ID, "lsst_diasource_diasourceid", _SECOND.alias("event_second"), "ra_deg", "status", "schema_version")
+    return fresh.select(ID, "lsst_diasource_diasourceid", F.expr(_SECOND).alias("event_second"), "ra_deg", "status", "schema_version")
 
 
 @query(f"WITH d AS ({_DELIVERIES}) SELECT {ID}, broker, min(ingest_time) AS ingest_time FROM d WHERE NOT (broker = 'lasair' AND {ID} % 2 = 0) GROUP BY 1, 2")
@@ -272,7 +273,7 @@ def set3_merge_deliveries(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_with(f"SELECT {ID}, catalog_name, catalog_source_id, match_distance_arcsec, 1 AS match_version FROM best WHERE {ID} % 4 <> 0", _BOTH))
 def set4_merge_matches(spark: SparkSession, d: str) -> DataFrame:
-    rows = _matches(spark, d)
+    rows = snapshot(_matches(spark, d), "matches")
     return ingest.merge_matches(rows.where(F.col(ID) % 4 == 0), rows.unionByName(rows)).select(ID, "catalog_name", "catalog_source_id", "match_distance_arcsec", "match_version")
 
 
@@ -439,7 +440,7 @@ def st5_mark_notified(spark: SparkSession, d: str) -> DataFrame:
       CASE WHEN s = 'pending' AND m IN (2, 3) THEN 'refused' END AS last_error FROM (SELECT *, {_STATE} AS s, CAST(catalog_source_id AS BIGINT) % 5 AS m FROM best)""", _BOTH)
 )
 def st6_send_results(spark: SparkSession, d: str) -> DataFrame:
-    rows = _notifications(spark, d)
+    rows = snapshot(_notifications(spark, d), "messages")
     m = F.col("catalog_source_id").cast("long") % 5
     results = rows.where((m < 4) & (F.col("state") == "pending")).select("notification_key", (m < 2).alias("ok"), F.when(m >= 2, "refused").alias("error"), F.lit(False).alias("connection"))
     return notify.apply_send_results(rows, results, _now()).select(ID, "catalog_name", "catalog_source_id", "state", "attempts", "last_error")

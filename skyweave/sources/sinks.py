@@ -25,6 +25,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def snapshot(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again. A persisted frame isn't the same: Spark makes it anew when a table that it reads is appended to."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     writer = df.write.mode("append")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import crossmatch as cross
 from ..operators import batches, filters, ingest, normalize, notify
 from ..sources import brokers
-from ..sources.sinks import append_table, isolated
+from ..sources.sinks import append_table, isolated, snapshot
 
 ALERTS = "uuid string, lsst_diaobject_diaobjectid long, lsst_diasource_diasourceid long, ra_deg double, dec_deg double, event_time timestamp, ingest_time timestamp, schema_version int, payload string, status string"
 DELIVERIES = "lsst_diaobject_diaobjectid long, broker string, ingest_time timestamp"
@@ -160,22 +160,19 @@ def run_batch(spark: SparkSession, tables: str, catalogs: list[DataFrame], now:
     log = f"{tables}/alert_changes"
     alerts = batches.current_alerts(narrow, stored(spark, log, CHANGES))
     stuck = alerts.where(F.col("status") == batches.QUEUED).join(batches.recover_stuck(alerts, now, stuck_after).where(F.col("status") == batches.INGESTED).select(cross.ALERT), cross.ALERT, "left_semi")
-    taken = batches.select_batch(alerts, now, max_size, max_wait, stuck_after).persist()
-    try:
-        run = BatchRun(taken.count())
-        append_table(batches.status_changes(stuck, batches.INGESTED, now, 0), log)
-        if not run.n_alerts:
-            return run
-        append_table(batches.status_changes(taken, batches.QUEUED, now, 1), log)
-        try:
-            run.failed = match_batch(batches.load_batch(narrow, taken), catalogs, tables, now, radius_arcsec, match_version)
-            append_table(batches.status_changes(taken, batches.MATCHED, now, 2), log)
-        except Exception as error:  # noqa: BLE001  the batch is put back and tried again
-            run.error = str(error)[:500]
-            append_table(batches.status_changes(taken, batches.INGESTED, now, 2), log)
+    taken = snapshot(batches.select_batch(alerts, now, max_size, max_wait, stuck_after), "batch")
+    run = BatchRun(taken.count())
+    append_table(batches.status_changes(stuck, batches.INGESTED, now, 0), log)
+    if not run.n_alerts:
         return run
-    finally:
-        taken.unpersist()
+    append_table(batches.status_changes(taken, batches.QUEUED, now, 1), log)
+    try:
+        run.failed = match_batch(batches.load_batch(narrow, taken), catalogs, tables, now, radius_arcsec, match_version)
+        append_table(batches.status_changes(taken, batches.MATCHED, now, 2), log)
+    except Exception as error:  # noqa: BLE001  the batch is put back and tried again
+        run.error = str(error)[:500]
+        append_table(batches.status_changes(taken, batches.INGESTED, now, 2), log)
+    return run
 
 
 def dispatch_round(spark: SparkSession, tables: str, senders: dict[str, Callable[[DataFrame], DataFrame]], now: Column, limit: int = 500) -> DataFrame:
@@ -187,23 +184,20 @@ def dispatch_round(spark: SparkSession, tables: str, senders: dict[str, Callable
     once, as they are written. Returns the counts of this round.
     """
     messages, log = stored(spark, f"{tables}/notifications", NOTIFICATIONS), f"{tables}/notification_changes"
-    pending = notify.select_pending(notify.current_messages(messages, stored(spark, log, SENDS)), limit).persist()
-    try:
-        known, _ = notify.route(pending, senders)
-        for name, rows in known.items():
-            if not rows.isEmpty():
-                after = notify.apply_send_results(rows, senders[name](rows), now).where("state <> 'pending'")
-                append_table(after.select(notify.KEY, *notify.STATE), log)
-        touched = pending.select(cross.ALERT).distinct()
-        current = notify.current_messages(messages, stored(spark, log, SENDS)).join(F.broadcast(touched), cross.ALERT, "left_semi")  # at most `limit` objects
-        narrow = stored(spark, f"{tables}/alerts", ALERTS).select(cross.ALERT, "status").join(F.broadcast(touched), cross.ALERT, "left_semi")
-        alerts = batches.current_alerts(narrow, stored(spark, f"{tables}/alert_changes", CHANGES)).where(F.col("status") == batches.MATCHED)
-        done = notify.mark_notified(alerts, current).where(F.col("status") == batches.NOTIFIED)
-        append_table(batches.status_changes(done, batches.NOTIFIED, now, 3), f"{tables}/alert_changes")
-        sent = current.join(pending.select(notify.KEY), notify.KEY, "left_semi")
-        return spark.createDataFrame(notify.dispatch_counts(sent).collect(), "destination string, n_sent long, n_failed long, n_pending long")
-    finally:
-        pending.unpersist()
+    pending = snapshot(notify.select_pending(notify.current_messages(messages, stored(spark, log, SENDS)), limit), "pending")
+    known, _ = notify.route(pending, senders)
+    for name, rows in known.items():
+        if not rows.isEmpty():
+            after = notify.apply_send_results(rows, senders[name](rows), now).where("state <> 'pending'")
+            append_table(after.select(notify.KEY, *notify.STATE), log)
+    touched = pending.select(cross.ALERT).distinct()  # at most `limit` objects
+    current = notify.current_messages(messages, stored(spark, log, SENDS)).join(F.broadcast(touched), cross.ALERT, "left_semi")
+    narrow = stored(spark, f"{tables}/alerts", ALERTS).select(cross.ALERT, "status").join(F.broadcast(touched), cross.ALERT, "left_semi")
+    alerts = batches.current_alerts(narrow, stored(spark, f"{tables}/alert_changes", CHANGES)).where(F.col("status") == batches.MATCHED)
+    done = notify.mark_notified(alerts, current).where(F.col("status") == batches.NOTIFIED)
+    append_table(batches.status_changes(done, batches.NOTIFIED, now, 3), f"{tables}/alert_changes")
+    sent = current.join(pending.select(notify.KEY), notify.KEY, "left_semi")
+    return spark.createDataFrame(notify.dispatch_counts(sent).collect(), "destination string, n_sent long, n_failed long, n_pending long")
 
 
 def every(spark: SparkSession, seconds: float, action: Callable[[], object], checkpoint: str) -> StreamingQuery:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skyweave.functions.sky import coarsen, healpix_nested
 from skyweave.functions.times import connection_error, from_mjd, from_unix, send_error
 from skyweave.operators import batches, crossmatch, filters, ingest, normalize, notify, payload
-from skyweave.schema import CatalogSpec
+from skyweave.schema import CatalogSpec, survey_catalogs
 from skyweave.sources import brokers, catalogs
 
 ID = "lsst_diaobject_diaobjectid"
@@ -154,6 +154,49 @@ def test_payload_and_catalog_sources(spark, tmp_path):
     assert [bool(r.error) for r in table if r.catalog == "gone"] == [True]
 
 
+def test_collections_and_the_registry(spark, tmp_path):
+    frame = spark.createDataFrame([(1, 2.0, 3.0, 4.0, 5.0)], "source_id long, ra double, dec double, ruwe double, other double")
+    for name in ("b_second", "a_first", "_hidden", ".dot"):
+        frame.write.parquet(str(tmp_path / "col" / name))
+    (tmp_path / "col" / "collection.properties").write_text("name=x\ndefault_catalog =\n")
+    assert catalogs.resolve_catalog_root(spark, str(tmp_path / "col")).endswith("/a_first")
+    assert catalogs.resolve_catalog_root(spark, str(tmp_path / "col" / "b_second")).endswith("/b_second")
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "collection.properties").write_text("")
+    with pytest.raises(FileNotFoundError):
+        catalogs.resolve_catalog_root(spark, str(tmp_path / "none"))
+    found = {c.name: c for c in survey_catalogs("s3://sky/")}
+    assert list(found) == ["gaia_dr3", "des_y6_gold", "delve_dr3_gold", "skymapper_dr4"]
+    assert found["des_y6_gold"].payload_columns["brightness"][:5] == tuple(f"MAG_AUTO_{b}" for b in "GRIZY")
+    assert len(found["delve_dr3_gold"].payload_columns["psf"]) == 4 and found["gaia_dr3"].root == "s3://sky/gaia_dr3"
+    gaia = CatalogSpec("gaia_dr3", str(tmp_path / "col"), "source_id", "ra", "dec", found["gaia_dr3"].payload_columns, ("other",))
+    read = catalogs.read_with_payload(spark, gaia, quality_flags=True)
+    assert read.first()["catalog_payload"] == '{"ruwe":4.0,"other":5.0}'
+    alerts = spark.createDataFrame([(7, 2.0, 3.0)], f"{ID} long, ra_deg double, dec_deg double")
+    assert crossmatch.crossmatch_catalogs(alerts, [read]).first()["catalog_payload"] == '{"ruwe":4.0,"other":5.0}'
+
+
+def test_what_arrives_first_wins(spark):
+    """By the stream's own time and offset, not by the time of the event."""
+    body = lambda mjd: json.dumps({"diaObjectId": 1, "ra": 1.0, "decl": 2.0, "firstDiaSourceMjdTai": mjd})
+    t = datetime.datetime(2024, 1, 1)
+    frame = spark.createDataFrame([(body(60000.5), t, 8), (body(60002.5), t, 7)], "value string, timestamp timestamp, offset long")
+    rows = normalize.normalize_lasair(brokers.read_lasair(frame)).withColumn("broker", F.lit("lasair"))
+    none = spark.createDataFrame([], f"{ID} long")
+    now = F.lit("2024-01-02").cast("timestamp")
+    assert ingest.merge_alerts(none, rows, now, ["arrival", "broker", "event_time"], 2).first()["event_time"].day == 27
+
+
+def test_small_batches_are_broadcast(spark):
+    a, s = frames(spark, [(10, 0)], [(10, 0.0001)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [crossmatch.crossmatch(a, s, n_alerts=n)._jdf.queryExecution().executedPlan().toString() for n in (1, 2_000_000, None)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ["BroadcastHashJoin" in p for p in plans] == [True, False, False]
+
+
 def test_healpix(spark):
     # known pixels: the centres of the twelve base pixels, and nesting of orders
     centres = [(45, 41.8), (135, 41.8), (225, 41.8), (315, 41.8), (0, 0), (90, 0), (180, 0), (270, 0), (45, -41.8), (135, -41.8), (225, -41.8), (315, -41.8)]

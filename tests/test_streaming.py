@@ -154,7 +154,13 @@ def test_history_is_not_shuffled(spark, tmp_path):
     finally:
         for k in conf:
             spark.conf.unset(k)
-    scan = next(k for k, line in enumerate(lines := plan.split("\n")) if "FileScan" in line)
-    above = [line for line in lines[:scan] if len(line) - len(line.lstrip(" :+-")) < len(lines[scan]) - len(lines[scan].lstrip(" :+-"))]
+    lines = plan.split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    scan = next(k for k, line in enumerate(lines) if "FileScan" in line)
     # from the scan upwards: the cut to the incoming keys comes before any exchange
-    assert "BroadcastHashJoin" in next(line for line in reversed(above) if "Exchange" in line or "Join" in line)
+    level, above = depth(lines[scan]), []
+    for line in reversed(lines[:scan]):
+        if depth(line) < level:
+            level = depth(line)
+            above.append(line)
+    assert "BroadcastHashJoin" in next(line for line in above if "Exchange" in line or "Join" in line)
