@@ -146,7 +146,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         # done when every node has one edge, to a node that has no smaller neighbour
         tops = after.select(F.col("a").alias("b")).distinct()
         twice = after.groupBy("b").count().where("count > 1").select("b")
-        if after.join(tops, "b", "left_semi").select("b").union(twice).isEmpty():
+        done = after.join(tops, "b", "left_semi").select("b").union(twice).isEmpty()
+        forget(after.sparkSession, edges)
+        if done:
             return after.select(F.col("b").alias("node"), F.col("a").alias("component")).union(after.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
         edges = after
 

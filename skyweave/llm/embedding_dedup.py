@@ -81,7 +81,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
     for rows in task_tables(batches):
         rows = rows.combine_chunks()
         side = rows["side"].to_numpy()
-        vectors = rows["v"].combine_chunks().flatten().to_numpy().reshape(len(side), -1)
+        vectors = rows["v"].combine_chunks().flatten().to_numpy().astype(float).reshape(len(side), -1)
         node, weight = rows["node"].to_numpy(), rows["weight"].to_numpy()
         cut = int((side == 0).sum())
         if cut == 0 or (own := len(side) == cut) and cut == 1:
@@ -101,7 +101,8 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row: links are pairs of equal label with cosine >= threshold."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"  # what tasks are sent; they compute in doubles
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"), F.col(label_col).cast("string").alias("label"))
     fit = "label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
     rows = rows.withColumn("half", F.expr(f"if({fit}, xxhash64(label, v), null)")).withColumn("rest", F.expr("if(half is null, null, xxhash64('rest', v, label))"))
     nodes = rows.where("half is not null").groupBy("half", "rest").agg(F.count("*").alias("weight"), F.min("label").alias("label"), F.min("v").alias("v"))

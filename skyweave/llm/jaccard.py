@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, fetched, spread, task_tables, text_rows, written
+from .common import components, fetched, forget, spread, task_tables, text_rows, written
 from .text import chunks, words
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -408,7 +408,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = written(known, "jaccard-groups")
     keys = ["many", "group", "part"]
     low = known.where("group is not null and part is not null").groupBy(*keys).agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    out = known.join(written(low, "jaccard-lowest"), keys, "left")
+    low = written(low, "jaccard-lowest")
+    forget(docs.sparkSession, found, edges, cells, keepers, linked)
+    out = known.join(low, keys, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
 
 

@@ -305,21 +305,23 @@ def _draw_parent(batches: Iterator[pa.RecordBatch], sweep: int, d: float, theta:
 class Seats:
     """What a text's pairs meet.
 
-    pairs: (u, w, n, gain_train, gain_held, c) of the kept pairs: the log10 of
-    the pair's probability, less what it would be had it one customer (for texts
-    that train) or none (for others); whole, and the training tokens c of w, for
+    pairs: (pair, gain_train, gain_held, c) of the kept pairs, and hot: the same
+    with u and w of the few that occur most: the log10 of the pair's
+    probability, less what it would be had it one customer (for texts that
+    train) or none (for others); whole, and the training tokens c of w, for
     pairs with a word that isn't listed. words: (w, c, p..., room, b...) of the
     listed words, as words and as contexts.
     """
 
     pairs: DataFrame
+    hot: DataFrame
     words: DataFrame
     tokens: int
     kinds: int
     d: float
 
 
-def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3, hot_words: int = 300_000, sample: int = 20_000) -> Seats:
+def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3, hot_words: int = 300_000, hot_pairs: int = 100_000, sample: int = 20_000) -> Seats:
     """rows: (doc_id, text, trains). Pairs of all texts get their probability by those that train.
 
     rounds: how often contexts and parent tell each other their tables; the first one isn't averaged.
@@ -400,13 +402,16 @@ def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3,
     shared = sum((F.col(f"b{k}") * F.col(f"p{k}") for k in samples), F.lit(0.0)) / len(samples)
     log_p, as_one, as_none = (F.log10((x + shared) / F.col("room")) for x in (F.col("n") - d * F.col("tables"), F.lit(1 - d), F.lit(0.0)))
     gain = lambda less: F.when(F.col("rare") > 0, log_p).otherwise(log_p - less)
-    done = valued(seats).select("u", "w", "n", F.when((F.col("n") == 1) & (F.col("rare") == 0), 0.0).otherwise(gain(as_one)).alias("gain_train"), gain(as_none).alias("gain_held"), F.when(F.col("rare") >= 2, F.col("c")).otherwise(0).alias("c"))
-    done = written(done, "lm-pairs")
+    least = least_count(table.select("n"), hot_pairs)
+    pair = F.xxhash64("u", "w").alias("pair")
+    gains = (F.when((F.col("n") == 1) & (F.col("rare") == 0), 0.0).otherwise(gain(as_one)).alias("gain_train"), gain(as_none).alias("gain_held"), F.when(F.col("rare") >= 2, F.col("c")).otherwise(0).alias("c"))
+    done = written(valued(seats.where(F.col("n") < least)).select(pair, *gains), "lm-pairs")
+    hot = written(valued(seats.where(F.col("n") >= least)).select("u", "w", *gains), "lm-hot-pairs")
     ends = spark.createDataFrame([(END,), (BEGIN,)], "w long")
     names = common.union(ends).distinct()
     words = written(valued(names.withColumn("u", F.col("w"))).select("w", "c", *(f"p{k}" for k in samples), "room", *(f"b{k}" for k in samples)), "lm-common-words")
     forget(spark, state, found, parent, word, context, words_of, contexts)
-    return Seats(done, words, tokens, kinds, d)
+    return Seats(done, hot, words, tokens, kinds, d)
 
 
 # -- scoring ----------------------------------------------------------------------------------
@@ -478,16 +483,15 @@ def _asked(batches: Iterator[pa.RecordBatch], words_file: str, pairs_file: str,
             number += rows
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, hot_pairs: int = 1_000_000, hot_words: int = 300_000, rounds: int = 3, sweeps: int = 3) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, hot_pairs: int = 100_000, hot_words: int = 300_000, rounds: int = 3, sweeps: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs, learnt from the folds that aren't held out."""
     rows = text_rows(docs, id_col, text_col).withColumn("trains", remainder("doc_id", folds) != held_fold)
-    model = seat(rows, rounds=rounds, sweeps=sweeps, hot_words=hot_words)
-    least = least_count(model.pairs.select("n"), hot_pairs)
-    columns = ["u", "w", "gain_train", "gain_held", "c"]
-    pairs_file, words_file, d = spread(model.pairs.where(F.col("n") >= least).select(*columns), "lm-hot"), spread(model.words, "lm-hot-words"), model.d
+    model = seat(rows, rounds=rounds, sweeps=sweeps, hot_words=hot_words, hot_pairs=hot_pairs)
+    pairs_file, words_file, d = spread(model.hot, "lm-hot"), spread(model.words, "lm-hot-words"), model.d
+    forget(docs.sparkSession, model.hot, model.words)
     pair = F.xxhash64("u", "w").alias("pair")
     asked = rows.mapInArrow(lambda it: _asked(it, words_file, pairs_file, d), "key long, u long, w long, n int, text struct<doc_id:long,n_tokens:long,n_known:long,base:double,score:double>")
-    known = model.pairs.where(F.col("n") < least).select(pair, *columns[2:]).hint("shuffle_hash")
+    known = model.pairs.hint("shuffle_hash")
     met = asked.select("key", pair, "n", "text").join(known, "pair", "left")
     gain = F.when(F.col("key") % 2 == 0, F.col("gain_held")).otherwise(F.col("gain_train"))
     plus = lambda name, more: (F.max(f"text.{name}") + F.coalesce(F.sum(more), F.lit(0))).alias(name)

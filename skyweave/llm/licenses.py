@@ -60,8 +60,11 @@ SENTENCES = {
     "cc0": "licensed under cc0 1.0",
     "cc-by-work": "this work is licensed under a creative commons attribution 4.0 international license",
     "cc-by-sa-work": "this work is licensed under a creative commons attribution sharealike 4.0 international license",
-    "spdx-mit": "spdx license identifier mit",
-    "spdx-apache": "spdx license identifier apache 2.0",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "epl2-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0",
 }
 #: Rules in order: longer ones come before the ones that they begin with.
 RULES: list[tuple[str, tuple[str, ...]]] = [
@@ -85,6 +88,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("BSD-2-Clause", ("bsd-grant",)),
     ("BSD", ("bsd-under",)),
     ("ISC", ("isc-grant",)),
+    ("MPL-2.0", ("mpl-subject", "mpl-copy")),
     ("MPL-2.0", ("mpl-subject",)),
     ("Unlicense", ("unlicense",)),
     ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa",)),
@@ -94,10 +98,32 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC-BY-4.0", ("cc-by",)),
     ("CC-BY-4.0", ("cc-by-work",)),
     ("CC0-1.0", ("cc0",)),
-    ("MIT", ("spdx-mit",)),
-    ("Apache-2.0", ("spdx-apache",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("EPL-2.0", ("epl2-terms",)),
     ("LicenseRef-all-rights-reserved", ("all-rights",)),
 ]
+#: Identifiers that a line "SPDX-License-Identifier: ..." may name.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "PostgreSQL", "Unlicense", "Zlib",
+)
+#: Family, its name in the notice, version; the older notices have semicolons after "free software" and "foundation".
+GNU = (("GPL", "", "2"), ("LGPL", "lesser ", "2.1"), ("LGPL", "lesser ", "3"), ("AGPL", "affero ", "3"))
+for _id in SPDX:
+    SENTENCES[f"spdx-{_id}"] = f"spdx license identifier {' '.join(_id.lower().split('-'))}"
+    RULES.append((_id, (f"spdx-{_id}",)))
+for _family, _name, _version in GNU:
+    _published = f"you can redistribute it and or modify it under the terms of the gnu {_name}general public license as published by the free software foundation"
+    _either = f"either version {_version} of the license or at your option any later version"
+    _terms = f"{_published} {_either}"
+    _id = f"{_family}-{_version if '.' in _version else _version + '.0'}-or-later"
+    for _head in ("", "this program is free software ", "this library is free software "):
+        SENTENCES[f"{_id}-{_head[5:12] or 'terms'}"] = _head + _terms
+        RULES.append((_id, (f"{_id}-{_head[5:12] or 'terms'}",)))
+    SENTENCES |= {f"gnu-{_family}-published": _published, f"gnu-either-{_version}": _either}
+    RULES.append((_id, (f"gnu-{_family}-published", f"gnu-either-{_version}")))
 CUT = re.compile(r"\n|(?<=[.!?;])[ \t\r\f\v]+")
 WORD = re.compile(r"[a-z0-9.+]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
