@@ -457,8 +457,10 @@ def test_mixing_reaches_targets_in_the_pipeline(spark):
     docs, known = common.table(spark, d, "documents"), common.table(spark, d, "labels")
     for _, stage in corpus_pipeline.STAGES[:3]:
         docs = common.written(stage(spark, docs, d), "test-mixing")
-    found = mixing.fit(docs, mixing.label_domains(known), mixing.WEIGHTS, epochs=1.1)
+    found = mixing.fit(docs, mixing.label_domains(known), corpus_pipeline.WEIGHTS, epochs=1.1)
     assert found.gap < 1e-3
+    clean = found.rates().where(F.get("posterior_", F.lit(0)) > 0.95)
+    assert clean.where("rate_ < 1").count() == 0 and clean.count() > 0.7 * docs.count()
     # what can't be reached is told
     with pytest.warns(UserWarning, match="from the targets"):
         assert mixing.fit(odd(spark), mixing.label_domains(labels(spark)), mixing.WEIGHTS).gap > 1
