@@ -83,6 +83,12 @@ def ingest_stream(messages: DataFrame, broker: str, tables: str, checkpoint: str
     return messages.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def ingest_kafka(spark: SparkSession, broker: str, servers: str, topic: str, tables: str, checkpoint: str, threshold: float = 0.6, batch_size: int = 100_000, max_delay: str = "900s", repeats_within: str | None = None, **options: str) -> StreamingQuery:
+    """A broker's Kafka topic into the tables, as many messages at once or after so long; it goes on until it is stopped."""
+    messages = brokers.kafka_stream(spark, servers, topic, batch_size, max_delay, **options)
+    return ingest_stream(messages, broker, tables, checkpoint, threshold=threshold, trigger={"processingTime": "1 second"}, repeats_within=repeats_within)
+
+
 def match_batch(alerts: DataFrame, catalogs: list[DataFrame], tables: str, now: Column, radius_arcsec: float = 1.0, match_version: int = 1, dedupe: bool = True) -> dict[str, str]:
     """Match alerts with static catalogs and append new matches and their messages, one catalog after another.
 

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from skyweave.operators import batches, crossmatch, ingest
-from skyweave.sources.sinks import send_each, send_results, to_json_lines
+from skyweave.sources.sinks import jdbc_append, send_each, send_results, to_json_lines
 from skyweave.streaming import jobs
 
 SCHEMA = "value string, attributes map<string,string>"
@@ -164,3 +164,25 @@ def test_history_is_not_shuffled(spark, tmp_path):
             level = depth(line)
             above.append(line)
     assert "BroadcastHashJoin" in next(line for line in above if "Exchange" in line or "Join" in line)
+
+
+def test_rows_go_to_a_database(spark):
+    """By the embedded database that Spark ships."""
+    url = {"url": "jdbc:derby:memory:sinks;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.createDataFrame([(k, float(k)) for k in range(7)], "k long, x double")
+    for _ in range(2):
+        jdbc_append(rows, url["url"], "matches", batch_size=3, driver=url["driver"])
+    back = spark.read.format("jdbc").options(**url, dbtable="matches").load()
+    assert back.count() == 14 and back.agg(F.sum("x")).first()[0] == 42
+
+
+def test_repeated_messages_go_before_parsing(spark, tmp_path):
+    source, tables = tmp_path / "in", str(tmp_path / "tables")
+    source.mkdir()
+    body = json.dumps({"diaObjectId": 1, "ra": 1.0, "decl": 2.0, "firstDiaSourceMjdTai": 60000.5})
+    rows = [{"value": body, "timestamp": f"2024-01-01T00:00:0{k}.000Z", "offset": k} for k in range(3)] + [{"value": "not json", "timestamp": "2024-01-01T00:00:00.000Z", "offset": 9}] * 2
+    (source / "a.json").write_text("\n".join(json.dumps(r) for r in rows))
+    stream = spark.readStream.schema("value string, timestamp timestamp, offset long").json(str(source))
+    jobs.ingest_stream(stream, "lasair", tables, str(tmp_path / "c"), lambda: at(1), repeats_within="1 hour").awaitTermination(120)
+    assert spark.read.parquet(f"{tables}/alerts").count() == 1
+    assert spark.read.parquet(f"{tables}/dead_letters").count() == 1
