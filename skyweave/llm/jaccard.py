@@ -387,10 +387,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # bands of sizes: similar sets are in the same band or in bands next to each other
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9)
-    weights = keepers.groupBy("cell").agg(F.sum("n").alias("cell_n"))
+    # sums are written before they are joined to the rows that they sum: so Spark can split the rows of a large cell
+    weights = written(keepers.groupBy("cell").agg(F.sum("n").alias("cell_n")), "jaccard-weights")
     placed = keepers.join(weights, "cell").select("node", "half", "rest", "cell", "doc_id", F.when(F.col("cell_n") <= BLOCK_TOKENS, -9).otherwise(band).cast("int").alias("band"), "n")
     blocks = placed.groupBy("cell", "band").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
     blocks = blocks.join(blocks.select("cell", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above")), ["cell", "band"], "left").join(blocks.select("cell", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below")), ["cell", "band"], "left")
+    blocks = written(blocks, "jaccard-blocks")
     placed = placed.join(blocks, ["cell", "band"]).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
     # tasks of a block: (own band, lower block, higher block), and with each block of the bands above and below
     tasks = F.expr("""concat(
@@ -409,7 +411,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = ["many", "group", "part"]
     low = known.where("group is not null and part is not null").groupBy(*keys).agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     low = written(low, "jaccard-lowest")
-    forget(docs.sparkSession, found, edges, cells, keepers, linked)
+    forget(docs.sparkSession, found, edges, cells, keepers, weights, blocks, linked)
     out = known.join(low, keys, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
 
