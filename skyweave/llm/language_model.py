@@ -338,7 +338,8 @@ def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3,
     sums = lambda kind, *names: found.where(F.col("kind") == kind).groupBy(F.col("a").alias(names[0])).agg(*(F.sum(c).alias(n) for c, n in zip("xyz", names[1:], strict=True)))
     words_of = written(sums(WORD, "w", "c", "single_w", "types"), "lm-words")
     contexts = written(sums(CONTEXT, "u", "seen", "single_u", "types"), "lm-contexts")
-    forget(spark)
+    table = written(table, "lm-kept")
+    forget(spark, found)
     sizes = contexts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("seen", "single_u", "types"))).first()
     tokens, types = int(sizes["seen"]), int(sizes["types"])
     d = discount(sizes["single_u"], table.where("n = 2").count())
@@ -410,7 +411,7 @@ def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3,
     ends = spark.createDataFrame([(END,), (BEGIN,)], "w long")
     names = common.union(ends).distinct()
     words = written(valued(names.withColumn("u", F.col("w"))).select("w", "c", *(f"p{k}" for k in samples), "room", *(f"b{k}" for k in samples)), "lm-common-words")
-    forget(spark, state, found, parent, word, context, words_of, contexts)
+    forget(spark, state, table, parent, word, context, words_of, contexts)
     return Seats(done, hot, words, tokens, kinds, d)
 
 
