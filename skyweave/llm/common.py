@@ -153,6 +153,31 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         edges = after
 
 
+def group_edges(rows: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the groups of a table that is sorted by keys begin and end; nulls are a group."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for key in keys:
+        code = rows.column(key).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    low = np.flatnonzero(new)
+    return low, np.append(low[1:], len(rows))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of many whole groups each, from batches that are sorted by keys; a group may go over several batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([*held, batch])
+            last = int(group_edges(rows, keys)[0][-1])
+            if last:
+                yield rows.slice(0, last)
+            held = rows.slice(last).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def task_tables(batches: Iterator[pa.RecordBatch], column: str = "task") -> Iterator[pa.Table]:
     """The rows of each task, from batches that are sorted by task; a task's rows may go over several batches."""
     held: list[pa.RecordBatch] = []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, embedding_dedup, jaccard, language_model, licenses, mixing, packing, quality_classifier, quality_rules, secret_scan, warc
+from . import collocations, embedding_dedup, jaccard, language_model, licenses, mixing, packing, quality_classifier, quality_rules, repair, secret_scan, warc
 from .common import table
 
 
@@ -51,12 +51,17 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.digests(repair.damage(rows), ids=rows)
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_secret_scan, op5_language_model, op6_warc_archive, op7_license_scan, op8_source_mixing, op9_best_fit_packing, op10_ngram_jaccard, op13_phrase_collocations)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_secret_scan, op5_language_model, op6_warc_archive, op7_license_scan, op8_source_mixing, op9_best_fit_packing, op10_ngram_jaccard, op11_structure_repair, op13_phrase_collocations)}
 
 
 #: Smallest ids over links (a, b), by spreading them until nothing changes. `rows` has (id).
@@ -90,6 +95,36 @@ _OP10 = f"""WITH RECURSIVE t AS (
   {_COMPONENTS}
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(l.low, s.doc_id) AS component_id FROM s LEFT JOIN lowest l ON l.id = s.doc_id"""
 
+#: By plain dynamic programming: the least (cost, audit) of each state after each row. CRC-32 is written out by its polynomial.
+_OP11 = r"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(CAST([4294967295] AS BIGINT[]) || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+      lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 20 AS fault FROM conversations),
+  d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE fault <> 0),
+  o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+  x AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open_, role[1] AS r, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS r0 FROM o),
+  y AS (SELECT conv_id, i, turn, role, text, r, r0, blank, again AND NOT blank AS duplicate, open_ AND NOT again AND NOT blank AS truncated, blank OR again AS must_go FROM x),
+  inserts(s, m, n, put) AS (VALUES (0, 0, 0, []), (0, 2, 1, ['user:']), (0, 3, 2, ['user:', 'assistant:']), (1, 1, 0, []), (1, 2, 1, ['user:']), (1, 3, 2, ['user:', 'assistant:']),
+    (2, 2, 0, []), (2, 3, 1, ['assistant:']), (3, 3, 0, []), (3, 2, 1, ['user:'])),
+  keeps(m, r, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+  adds(m, t, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+  moves AS (SELECT conv_id, i, m, m AS t, 'D' AS op, 3 AS price, CAST([] AS VARCHAR[]) AS says FROM y, range(4) q(m)
+    UNION ALL SELECT conv_id, i, m, t, 'K', CAST(truncated AS INT), [role || ':' || text] FROM y JOIN keeps USING (r) WHERE NOT must_go
+    UNION ALL SELECT conv_id, i, m, t, 'R', 2 + CAST(truncated AS INT), [adds.role || ':' || text] FROM y, adds WHERE NOT must_go),
+  steps AS (SELECT conv_id, i, s, t, repeat('I', n) || op AS edit, price + 2 * n AS price, list_concat(CAST(put AS VARCHAR[]), says) AS says FROM moves JOIN inserts USING (m)),
+  best(conv_id, i, s, v) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'audit': '', 'says': CAST([] AS VARCHAR[])} FROM y
+    UNION ALL SELECT p.conv_id, p.i, p.t, min({'cost': b.v.cost + p.price, 'audit': b.v.audit || p.edit, 'says': list_concat(b.v.says, p.says)})
+      FROM best b JOIN steps p ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND p.i = b.i + 1 AND p.s = b.s GROUP BY 1, 2, 3),
+  tails(s, n, put) AS (VALUES (0, 0, []), (1, 2, ['user:', 'assistant:']), (2, 1, ['assistant:']), (3, 0, [])),
+  told AS (SELECT conv_id, max(i) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate,
+    count_if(truncated) AS truncated, count_if(r0 IS NOT NULL AND r0 || r NOT IN ('su', 'ua', 'au')) AS illegal FROM y GROUP BY 1),
+  ends AS (SELECT t.conv_id, min({'cost': b.v.cost + 2 * n, 'audit': b.v.audit || repeat('I', n), 'says': list_concat(b.v.says, CAST(put AS VARCHAR[]))}) AS v
+    FROM told t JOIN best b ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND b.i = t.rows JOIN tails USING (s) GROUP BY 1)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(v.cost, 0) AS BIGINT) AS cost, coalesce(v.audit, '') AS audit, sha256(coalesce(array_to_string(v.says, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
 _OP13 = """WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
   w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
   g AS (SELECT lang, k AS size, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM w, range(1, 5) r(k)),
@@ -108,4 +143,4 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the results that DuckDB can express whole; the others hold a learned or a tokenised part."""
-    return {"op3_embedding_dedup": _OP3, "op6_warc_archive": _OP6, "op10_ngram_jaccard": _OP10, "op13_phrase_collocations": _OP13}
+    return {"op3_embedding_dedup": _OP3, "op6_warc_archive": _OP6, "op10_ngram_jaccard": _OP10, "op11_structure_repair": _OP11, "op13_phrase_collocations": _OP13}
