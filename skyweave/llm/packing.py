@@ -11,7 +11,8 @@ its place from its rank among the pieces of its length, which Spark numbers in
 salted groups.
 
 A null text counts as empty (the end id alone); a null id stays null; repeated
-rows are packed each; extra columns go. Ids are those of the tokenizer file,
+rows are packed each; extra columns go; texts of any length and make are
+encoded whole. Ids are those of the tokenizer file,
 which takes its added tokens as whole ones wherever a text has them; the merges
 are run by the ranks file of the same vocabulary.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -57,6 +59,24 @@ def encoder(ranks: bytes, added: dict[str, int]) -> tiktoken.Encoding:
     return _ENCODERS[key]
 
 
+#: The characters that the pattern calls white space; a run of so many of them would overflow its matcher.
+WHITE, LONG_RUN = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 100_000
+_WHITE_RUNS = re.compile(f"[{WHITE}]+")
+
+
+def encode(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+    """Ids of a text. Very long runs of white space are cut out by the pattern's own rule: before another character the run without its last one is a piece, at the end all of it is."""
+    runs = [m.span() for m in _WHITE_RUNS.finditer(text) if m.end() - m.start() >= LONG_RUN] if len(text) >= LONG_RUN else []
+    if not runs:
+        return enc.encode_to_numpy(text, allowed_special="all")
+    out, at = [], 0
+    for start, end in runs:
+        stop = end if end == len(text) or text.startswith(tuple(enc.special_tokens_set), end) else end - 1
+        out += [enc.encode_to_numpy(text[at:start], allowed_special="all"), np.array(enc._encode_single_piece(text[start:stop].encode()), np.uint32)]
+        at = stop
+    return np.concatenate([*out, enc.encode_to_numpy(text[at:], allowed_special="all")]).astype(np.uint32)
+
+
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of that many ids: full ones, but for the first."""
     first = length % capacity or min(length, capacity)
@@ -69,7 +89,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], ranks: Broadcast, end_id: int, ca
     for batch in batches:
         rows, all_ids = [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.append(enc.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32(end_id)).astype("<u4")
+            ids = np.append(encode(enc, text.as_py() or ""), np.uint32(end_id)).astype("<u4")
             for k, (start, length) in enumerate(cut(len(ids), capacity)):
                 own = ids[start : start + length]
                 rows.append((doc_id, k, start, length, zlib.crc32(own.tobytes())))
