@@ -140,7 +140,7 @@ _OP12 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesc
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(12 + length(regexp_replace(replace(replace(role, '\', '\'), chr(10), '\n'), '<(\*)\|', '<\\1|', 'g')) + 1 + length(regexp_replace(text, '<(\*)\|', '<\\1|', 'g')) + 11) AS BIGINT) AS formatted_chars
+  CAST(sum(12 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
 
 _OP13 = """WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
