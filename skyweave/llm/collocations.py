@@ -42,7 +42,7 @@ BREAKS = "[.,;:!?\n\x0b\x0c\r]+"
 #: Slots of the tables of frequent and of very frequent leading pairs, as powers of two.
 FREQUENT_BITS, HOT_BITS = 28, 24
 #: Tokens that a task holds before it sends what it has; pairs and suffixes of a bucket.
-HELD, BUCKET = 4_000_000, 2_000_000
+HELD, BUCKET = 2_000_000, 2_000_000
 KEY = ["c1", "c2", "c3", "c4"]
 
 
