@@ -83,6 +83,7 @@ def choose_paths(links: DataFrame, paths: int | None = 1) -> DataFrame:
         leaves = best.withColumn("rank", rank("tree")).where(F.col("rank") <= paths)
     chosen = leaves.select("tree", F.col("id").alias("path"), F.col("depth").alias("place"), "id")
     for k in reversed(range(len(levels))):
+        chosen = written(chosen, "chat-paths")  # it is read twice, by each round
         above = chosen.join(levels[k], "id").select("tree", "path", (F.col("place") - (1 << k)).alias("place"), F.col("up").alias("id"))
         chosen = chosen.union(above)
     return chosen

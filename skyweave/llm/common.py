@@ -28,11 +28,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Whether Spark deletes the shuffles of a query once the query is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends there, and lost executors don't matter."""
+    """Write a table to the shared folder and read it again: lineage ends there, and lost executors don't matter. The shuffles that made it go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,13 +60,12 @@ def spread(df: DataFrame, name: str) -> str:
 
 
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables of `written` that are read no more, and the shuffles that nothing refers to."""
+    """Delete tables of `written` that are read no more."""
     sc = spark.sparkContext
     for df in tables:
         for file in df.inputFiles()[:1]:
             folder = sc._jvm.org.apache.hadoop.fs.Path(file).getParent()
             folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
-    sc._jvm.System.gc()
 
 
 _FETCHED: dict[str, dict[str, np.ndarray]] = {}
