@@ -41,8 +41,9 @@ def current_alerts(alerts: DataFrame, changes: DataFrame, object_id: str = "lsst
 
 
 def status_changes(rows: DataFrame, status: str, at: Column, step: int, object_id: str = "lsst_diaobject_diaobjectid") -> DataFrame:
-    """Rows to append to changes; step orders those of one moment."""
-    return rows.select(object_id, F.lit(status).alias("status"), at.alias("at"), F.lit(step).alias("step"))
+    """Rows to append to changes; step orders those of one moment. What else the state table keeps of an alert goes along where rows have it."""
+    kept = [c for c in ("uuid", "ra_deg", "dec_deg", "ingest_time") if c in rows.columns]
+    return rows.select(object_id, F.lit(status).alias("status"), at.alias("at"), F.lit(step).alias("step"), *kept)
 
 
 def load_batch(alerts: DataFrame, batch_ids: DataFrame, key: str = "uuid") -> DataFrame:
@@ -61,21 +62,31 @@ def match_counts(matches: DataFrame, total: int) -> DataFrame:
 
 def run_summary(batch: DataFrame, matches: DataFrame, catalogs: list[str], match_version: int = 1, failed: dict[str, str] | None = None) -> DataFrame:
     """A row for each catalog of a run: rows in, rows with a position, matched, no match, outcome."""
+    found = matches.where(F.col("match_version") == match_version).groupBy("catalog_name").agg(F.countDistinct("lsst_diaobject_diaobjectid").alias("n_matched"))
+    return _summary(batch, found, catalogs, match_version, failed)
+
+
+def counted_summary(batch: DataFrame, n_matched: dict[str, int], catalogs: list[str], match_version: int = 1, failed: dict[str, str] | None = None) -> DataFrame:
+    """run_summary where the alerts that each catalog matched were counted as they were found."""
+    found = batch.sparkSession.createDataFrame(list(n_matched.items()), "catalog_name string, n_matched long")
+    return _summary(batch, found, catalogs, match_version, failed)
+
+
+def _summary(batch: DataFrame, found: DataFrame, catalogs: list[str], match_version: int, failed: dict[str, str] | None) -> DataFrame:
     failed = failed or {}
     spark = batch.sparkSession
     valid = F.coalesce(~F.isnan("ra_deg") & ~F.isnan("dec_deg"), F.lit(False))
     totals = batch.agg(F.count("*").alias("n_input"), F.count_if(valid).alias("n_valid"))
     names = spark.createDataFrame([(c, failed.get(c, "ok")) for c in catalogs], "catalog_name string, outcome string")
-    found = matches.where(F.col("match_version") == match_version).groupBy("catalog_name").agg(F.countDistinct("lsst_diaobject_diaobjectid").alias("n_matched"))
     rows = names.join(F.broadcast(totals)).join(found, "catalog_name", "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
     return rows.select("catalog_name", "n_input", "n_valid", "n_matched", (F.col("n_valid") - F.col("n_matched")).alias("n_no_match"), "outcome", F.lit(match_version).alias("match_version"))
 
 
-def adaptive_tiles(df: DataFrame, max_rows: int, lowest: int = 0, highest: int = 7, ra: str = "ra_deg", dec: str = "dec_deg") -> DataFrame:
-    """df with tile_order and tile: the coarsest HEALPix tile of each row that holds at most max_rows rows (the finest if none does)."""
+def adaptive_tiles(df: DataFrame, max_rows: int, lowest: int = 0, highest: int = 7, ra: str = "ra_deg", dec: str = "dec_deg", pixel: Column | None = None) -> DataFrame:
+    """df with tile_order and tile: the coarsest HEALPix tile of each row that holds at most max_rows rows (the finest if none does). pixel: of order `highest`, where rows have it already."""
     from ..functions.sky import healpix_nested
 
-    rows = df.withColumn("pixel_", healpix_nested(F.col(ra), F.col(dec), highest))
+    rows = df.withColumn("pixel_", pixel if pixel is not None else healpix_nested(F.col(ra), F.col(dec), highest))
     counts = rows.groupBy("pixel_").agg(F.count("*").alias("n_"))  # at most 12 * 4**highest rows
     levels = F.explode(F.sequence(F.lit(lowest), F.lit(highest))).alias("tile_order")
     up = counts.select("pixel_", "n_", levels).withColumn("tile_", F.expr(f"shiftright(pixel_, 2 * ({highest} - tile_order))"))

@@ -3,18 +3,29 @@
 A source has one cell (a declination zone and a right-ascension bin). An alert
 is repeated for each cell that its cone touches, one or two as a rule. The join
 is on the cell, so Spark may shuffle or broadcast either side and splits dense
-cells by itself.
+cells by itself. Where a field is so dense that one cell would be too much, its
+cells are halved in height and width until they hold few sources (dense_cells).
+
+A prepared catalog lies in folders by HEALPix tiles that hold about as many
+rows each, sorted by pixel, with a coverage map beside it: for parts of tiles
+their range of pixels and a cap around their sources. A batch reads the tiles
+and ranges whose cap a cone reaches; a source within reach of an alert is in one.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sky import search_cells, separation_arcsec, zone_cell
+from ..functions.sky import coarsen, healpix_nested, search_cells, separation_arcsec, zone_cell
+from ..schema import CatalogSpec
+from .batches import adaptive_tiles
 from .filters import valid_coordinates
+from .payload import core_payload
 
 ALERT = "lsst_diaobject_diaobjectid"
 MATCH_KEY = [ALERT, "catalog_name", "catalog_source_id", "match_version"]
@@ -24,22 +35,64 @@ MATCH_KEY = [ALERT, "catalog_name", "catalog_source_id", "match_version"]
 BROADCAST_ALERTS = 1_000_000
 
 
-def cone_pairs(alerts: DataFrame, sources: DataFrame, radius_arcsec: float = 1.0, cell_arcsec: float | None = None, n_alerts: int | None = None) -> DataFrame:
+def _height(radius_arcsec: float, cell_arcsec: float | None) -> float:
+    return max(cell_arcsec or 10.0, radius_arcsec) / 3600
+
+
+def _placed(sources: DataFrame) -> DataFrame:
+    return sources.na.drop(subset=["source_ra_deg", "source_dec_deg"])
+
+
+def dense_cells(sources: DataFrame, max_rows: int, radius_arcsec: float = 1.0, cell_arcsec: float | None = None) -> DataFrame:
+    """(zone_, bin_, level_) of cells with more than max_rows sources, at most one for each max_rows rows: how often to halve them, for cone_pairs. They get no smaller than the radius."""
+    height = _height(radius_arcsec, cell_arcsec)
+    most = int(math.log2(height * 3600 / radius_arcsec))
+    counts = zone_cell(_placed(sources), "source_ra_deg", "source_dec_deg", height).groupBy("zone_", "bin_").agg(F.count("*").alias("n_"))
+    level = F.least(F.lit(most), F.ceil(F.log(4.0, F.col("n_") / max_rows))).cast("int")
+    return counts.where(F.col("n_") > max_rows).select("zone_", "bin_", level.alias("level_")).where("level_ > 0")
+
+
+def cone_pairs(alerts: DataFrame, sources: DataFrame, radius_arcsec: float = 1.0, cell_arcsec: float | None = None, n_alerts: int | None = None, dense: DataFrame | None = None) -> DataFrame:
     """All (alert, source) pairs within the radius, with match_distance_arcsec (6 decimals); columns of both sides.
 
     n_alerts: how many alerts there are, where the caller knows: up to
     BROADCAST_ALERTS they are broadcast. Else Spark joins as it sees fit.
+    dense: of dense_cells, for the same radius and cell: a source there lies in
+    a smaller cell, and alerts whose cones touch it look in the smaller cells too.
     """
-    height = max(cell_arcsec or 10.0, radius_arcsec) / 3600
+    height = _height(radius_arcsec, cell_arcsec)
     left = search_cells(valid_coordinates(alerts), "ra_deg", "dec_deg", radius_arcsec, height)
-    right = zone_cell(sources.na.drop(subset=["source_ra_deg", "source_dec_deg"]), "source_ra_deg", "source_dec_deg", height)
+    right = zone_cell(_placed(sources), "source_ra_deg", "source_dec_deg", height)
+    cell = ["zone_", "bin_"]
+    if dense is not None:
+        left, right = _refined(alerts, left, right, dense, radius_arcsec, height)
+        cell.append("level_")
     if n_alerts is not None and n_alerts <= BROADCAST_ALERTS:
         left = F.broadcast(left)
-    pairs = left.join(right, ["zone_", "bin_"]).drop("zone_", "bin_")
+    pairs = left.join(right, cell).drop(*cell)
     distance = separation_arcsec(F.col("ra_deg"), F.col("dec_deg"), F.col("source_ra_deg"), F.col("source_dec_deg"))
     return pairs.withColumn("distance_", distance).where(F.col("distance_") <= radius_arcsec).withColumn("match_distance_arcsec", F.round("distance_", 6)).drop("distance_")
 
 
+def _refined(alerts: DataFrame, left: DataFrame, right: DataFrame, dense: DataFrame, radius_arcsec: float, height: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join with level_, and smaller cells where cells are dense. A source still has one cell, so no pair comes twice."""
+    levels = range(1, int(math.log2(height * 3600 / radius_arcsec)) + 1)
+    right = right.join(dense, ["zone_", "bin_"], "left").withColumn("level_", F.coalesce("level_", F.lit(0)))
+    by_level: dict[str, Column] = {c: F.col(c) for c in ("zone_", "bin_")}
+    for k in levels:
+        right = right.withColumnsRenamed({"zone_": "zone0_", "bin_": "bin0_"})
+        right = zone_cell(right, "source_ra_deg", "source_dec_deg", height / 2**k).withColumnsRenamed({"zone_": f"zone{k}_", "bin_": f"bin{k}_", "zone0_": "zone_", "bin0_": "bin_"})
+        by_level = {c: F.when(F.col("level_") == k, F.col(f"{c[:-1]}{k}_")).otherwise(old) for c, old in by_level.items()}
+    right = right.withColumns(by_level).drop(*(f"{c}{k}_" for k in levels for c in ("zone", "bin")))
+    numbered = valid_coordinates(alerts).withColumn("row_", F.monotonically_increasing_id())
+    found = search_cells(numbered, "ra_deg", "dec_deg", radius_arcsec, height).join(dense, ["zone_", "bin_"], "left").withColumn("level_", F.coalesce("level_", F.lit(0)))
+    parts = [found.where("level_ = 0")]
+    for k in levels:
+        near = found.where(F.col("level_") == k).drop("zone_", "bin_").dropDuplicates(["row_"])
+        parts.append(search_cells(near, "ra_deg", "dec_deg", radius_arcsec, height / 2**k))
+    return reduce(DataFrame.unionByName, parts).drop("row_"), right
+
+
 def _rank() -> list[Column]:
     """Nearest first; equal separations by source id, shorter ids first so that numbers sort as numbers."""
     return [F.col("match_distance_arcsec"), F.length("catalog_source_id"), F.col("catalog_source_id")]
@@ -51,9 +104,9 @@ def nearest(pairs: DataFrame, *key: str) -> DataFrame:
     return pairs.groupBy(*(F.col(c).alias(f"key{k}_") for k, c in enumerate(key or (ALERT,)))).agg(first.alias("best")).select("best.row.*")
 
 
-def crossmatch(alerts: DataFrame, sources: DataFrame, radius_arcsec: float = 1.0, n_neighbors: int = 1, alert_id: str = ALERT, cell_arcsec: float | None = None, n_alerts: int | None = None) -> DataFrame:
+def crossmatch(alerts: DataFrame, sources: DataFrame, radius_arcsec: float = 1.0, n_neighbors: int = 1, alert_id: str = ALERT, cell_arcsec: float | None = None, n_alerts: int | None = None, dense: DataFrame | None = None) -> DataFrame:
     """The n nearest sources of each alert within the radius; no overlap gives no rows."""
-    pairs = cone_pairs(alerts, sources, radius_arcsec, cell_arcsec, n_alerts)
+    pairs = cone_pairs(alerts, sources, radius_arcsec, cell_arcsec, n_alerts, dense)
     if n_neighbors == 1:
         return nearest(pairs, alert_id)
     rank = F.row_number().over(Window.partitionBy(alert_id).orderBy(*_rank()))
@@ -93,15 +146,134 @@ def link_matches(notifications: DataFrame, matches: DataFrame) -> DataFrame:
     return notifications.join(matches, MATCH_KEY, "left")
 
 
-def prepare_catalog(catalog: DataFrame, path: str, zone_degrees: float = 5.0) -> None:
-    """A copy of a catalog whose folders are coarse declination zones."""
-    rows = catalog.withColumn("dec_zone", F.floor((F.col("source_dec_deg") + 90) / zone_degrees).cast("int"))
-    rows.repartition("dec_zone", F.floor(F.col("source_ra_deg") / 10)).sortWithinPartitions("dec_zone", "source_dec_deg").write.partitionBy("dec_zone").parquet(path)
+# -- payloads ------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class PayloadCatalog:
+    """A catalog (with the columns of read_catalog and its payload columns) whose payloads are fetched for matches alone."""
+
+    rows: DataFrame
+    spec: CatalogSpec
+    quality_flags: bool = False
 
+    @property
+    def positions(self) -> DataFrame:
+        kept = [c for c in ("tile_order", "tile", "_healpix_29") if c in self.rows.columns]
+        return self.rows.select("catalog_name", "catalog_source_id", "source_ra_deg", "source_dec_deg", *kept)
 
-def prune_catalog(catalog: DataFrame, alerts: DataFrame, radius_arcsec: float = 1.0, zone_degrees: float = 5.0) -> DataFrame:
-    """Rows of a prepared catalog in zones near an alert: there are few zones, so they are broadcast and folders pruned."""
-    r = radius_arcsec / 3600 + 1e-9
-    edge = lambda sign: F.floor((F.col("dec_deg") + sign * r + 90) / zone_degrees).cast("int")
-    zones = valid_coordinates(alerts).select(F.explode(F.array(edge(-1), edge(1))).alias("dec_zone")).distinct()
-    return catalog.join(F.broadcast(zones), "dec_zone", "left_semi")
+
+def with_payloads(matches: DataFrame, catalog: PayloadCatalog, n_matches: int | None = None) -> DataFrame:
+    """Matches of the catalog with its payload, as the second phase of a match: of a prepared catalog only tiles and pixel ranges around matched sources are read, and only matched sources are made into JSON.
+
+    n_matches: how many matches there are, where the caller knows; up to
+    BROADCAST_ALERTS their source ids are broadcast.
+    """
+    found = matches.select("catalog_source_id", "source_ra_deg", "source_dec_deg")
+    rows = catalog.rows
+    if is_prepared(rows):
+        at = found.select(F.col("source_ra_deg").alias("ra_deg"), F.col("source_dec_deg").alias("dec_deg"))
+        rows = prune_catalog(rows, at, 0.001)
+    ids = found.select("catalog_source_id").distinct()
+    if n_matches is not None and n_matches <= BROADCAST_ALERTS:
+        ids = F.broadcast(ids)
+    rows = core_payload(rows.join(ids, "catalog_source_id", "left_semi"), catalog.spec, quality_flags=catalog.quality_flags)
+    rows = rows.groupBy("catalog_source_id").agg(F.min("catalog_payload").alias("catalog_payload"))  # an id that a catalog repeats has one
+    return matches.drop("catalog_payload").join(rows, "catalog_source_id", "left").select(*matches.columns)
+
+
+# -- layout and coverage ------------------------------------------------------------------------------
+
+#: The finest tiles, and how many orders the parts of a tile in a coverage map are finer than it.
+TILE_ORDER, FINER = 7, 3
+#: Ranges of pixels that are pushed to the scan at most; nearer ones become one.
+MAX_RANGES = 100
+
+
+def prepare_catalog(catalog: DataFrame, path: str, max_rows: int = 1_000_000) -> None:
+    """A copy of a catalog in folders by tile, each with about max_rows rows at the most, sorted by pixel; its coverage map lies in _coverage. Sources without a position go."""
+    spark = catalog.sparkSession
+    rows = _placed(catalog)
+    if "_healpix_29" not in rows.columns:
+        rows = rows.withColumn("_healpix_29", healpix_nested(F.col("source_ra_deg"), F.col("source_dec_deg"), 29))
+    tiled = adaptive_tiles(rows, max_rows, highest=TILE_ORDER, pixel=coarsen(F.col("_healpix_29"), TILE_ORDER))
+    order = ["tile_order", "tile", "_healpix_29"]
+    tiled.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("tile_order", "tile").parquet(path)
+    coverage(spark.read.schema(tiled.schema).parquet(path)).write.parquet(f"{path}/_coverage")
+
+
+def coverage(prepared: DataFrame) -> DataFrame:
+    """(tile_order, tile, low, high, ra, dec, reach): for parts of tiles their range of pixels and a cap that holds their sources, reach in degrees."""
+    part = F.expr(f"shiftright(_healpix_29, 2 * greatest(0, {29 - FINER} - tile_order))")
+    ra, dec = F.radians("source_ra_deg"), F.radians("source_dec_deg")
+    axes = {"x": F.cos(dec) * F.cos(ra), "y": F.cos(dec) * F.sin(ra), "z": F.sin(dec)}
+    boxed = prepared.withColumns(axes).groupBy("tile_order", "tile", part.alias("part")).agg(
+        F.min("_healpix_29").alias("low"), F.max("_healpix_29").alias("high"), *(f(c).alias(f"{f.__name__}_{c}") for c in axes for f in (F.min, F.max)))
+    # the middle of a box around the unit vectors, moved to the sphere; no vector is further than half the box's diagonal and that move
+    middle = boxed.withColumns({c: (F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 for c in axes})
+    length = F.sqrt(sum(F.col(c) * F.col(c) for c in axes))
+    diagonal = F.sqrt(sum((F.col(f"max_{c}") - F.col(f"min_{c}")) * (F.col(f"max_{c}") - F.col(f"min_{c}")) for c in axes))
+    chord = diagonal / 2 + F.abs(1 - length)
+    reach = F.when((chord >= 2) | (length < 1e-6), 180.0).otherwise(F.degrees(2 * F.asin(F.least(F.lit(1.0), chord / 2))) + 1e-7)
+    return middle.select("tile_order", "tile", "low", "high", F.pmod(F.degrees(F.atan2("y", "x")), F.lit(360.0)).alias("ra"), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("z") / length)))).alias("dec"), reach.alias("reach"))
+
+
+def is_prepared(catalog: DataFrame) -> bool:
+    return {"tile_order", "tile", "_healpix_29"} <= set(catalog.columns)
+
+
+def covered(cover: DataFrame, alerts: DataFrame, radius_arcsec: float) -> DataFrame:
+    """(tile_order, tile, low, high): tiles with a part that a cone around an alert may reach, and the pixels of these parts."""
+    widest = {r["tile_order"]: r["reach"] for r in cover.groupBy("tile_order").agg(F.max("reach").alias("reach")).collect()}  # a row for each order
+    found = []
+    for order, reach in sorted(widest.items()):
+        wide = radius_arcsec + reach * 3600
+        height = min(wide / 3600, 30.0)
+        centres = zone_cell(cover.where(F.col("tile_order") == order), "ra", "dec", height)
+        cones = search_cells(valid_coordinates(alerts).select("ra_deg", "dec_deg"), "ra_deg", "dec_deg", min(wide, 180 * 3600.0), height).alias("a")
+        near = separation_arcsec(F.col("a.ra_deg"), F.col("a.dec_deg"), F.col("ra"), F.col("dec")) <= radius_arcsec + F.col("reach") * 3600
+        same = (F.col("a.zone_") == F.col("c.zone_")) & (F.col("a.bin_") == F.col("c.bin_"))
+        found.append(centres.alias("c").join(cones, same & near, "left_semi"))
+    if not found:
+        return cover.select("tile_order", "tile", "low", "high")
+    return reduce(DataFrame.unionByName, found).groupBy("tile_order", "tile").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def merged_ranges(ranges: list[tuple[int, int]], most: int = MAX_RANGES) -> list[tuple[int, int]]:
+    """At most so many ranges that cover the given ones: the widest gaps stay."""
+    joined: list[list[int]] = []
+    for low, high in sorted(ranges):
+        if joined and low <= joined[-1][1] + 1:
+            joined[-1][1] = max(joined[-1][1], high)
+        else:
+            joined.append([low, high])
+    gaps = sorted((b[0] - a[1] for a, b in zip(joined, joined[1:], strict=False)), reverse=True)
+    least = gaps[most - 1] if len(gaps) >= most else 0
+    out: list[tuple[int, int]] = []
+    for low, high in joined:
+        if out and low - out[-1][1] <= least:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
+
+
+def prune_catalog(catalog: DataFrame, alerts: DataFrame, radius_arcsec: float = 1.0) -> DataFrame:
+    """A prepared catalog cut to the folders and pixel ranges that its coverage map shows near an alert; nothing within the radius is lost.
+
+    The driver gets a row for each folder that is read, as it does when it lists them.
+    """
+    spark = catalog.sparkSession
+    names = catalog.inputFiles()
+    if not names:
+        return catalog
+    root = names[0].split("/tile_order=")[0]
+    needed = covered(spark.read.parquet(f"{root}/_coverage"), alerts, radius_arcsec).collect()
+    if not needed:
+        return catalog.where(F.lit(False))
+    tiles: dict[int, list[int]] = {}
+    for r in needed:
+        tiles.setdefault(r["tile_order"], []).append(r["tile"])
+    folders = reduce(Column.__or__, ((F.col("tile_order") == order) & F.col("tile").isin(own) for order, own in tiles.items()))
+    pixels = reduce(Column.__or__, (F.col("_healpix_29").between(low, high) for low, high in merged_ranges([(r["low"], r["high"]) for r in needed])))
+    return catalog.where(folders & pixels)

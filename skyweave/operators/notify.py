@@ -69,6 +69,11 @@ def fully_sent(notifications: DataFrame) -> DataFrame:
     return notifications.groupBy(ALERT).agg(F.bool_and(F.col("state") == "sent").alias("all_")).where("all_").select(ALERT)
 
 
+def sent_objects(touched: DataFrame, unsent: DataFrame) -> DataFrame:
+    """Of the objects of a dispatch those that have no message left that isn't sent: what is sent already needn't be read."""
+    return touched.select(ALERT).distinct().join(unsent.select(ALERT), ALERT, "left_anti")
+
+
 def mark_notified(alerts: DataFrame, notifications: DataFrame) -> DataFrame:
     """Matched alerts all of whose messages are sent become NOTIFIED."""
     done = fully_sent(notifications).withColumn("done_", F.lit(True))

@@ -117,7 +117,7 @@ def join5_wide_cones(spark: SparkSession, d: str) -> DataFrame:
 def join7_prepared_catalog(spark: SparkSession, d: str) -> DataFrame:
     """The catalog written by declination zones, cut to those near an alert, then matched."""
     path = work_folder(spark, "catalog-dense")
-    cross.prepare_catalog(t.catalog(spark, d, "dense"), path)
+    cross.prepare_catalog(t.catalog(spark, d, "dense"), path, max_rows=20_000)
     alerts = t.alerts(spark, d)
     return cross.crossmatch(alerts, cross.prune_catalog(spark.read.parquet(path), alerts)).select(*_MATCH.split(", "))
 

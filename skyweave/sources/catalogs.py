@@ -7,15 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.payload import core_payload
 from ..schema import CatalogSpec
-
-
-def _listing(spark: SparkSession, path: str) -> dict[str, bool]:
-    """Names under a folder, and whether each is a folder; none where there is no such folder."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
-        return {}
-    return {status.getPath().getName(): bool(status.isDirectory()) for status in fs.listStatus(root)}
+from .files import listing
 
 
 def _noted_default(spark: SparkSession, note: str) -> str | None:
@@ -31,7 +23,7 @@ def resolve_catalog_root(spark: SparkSession, path: str) -> str:
     A collection without members is an error.
     """
     root = path.rstrip("/")
-    there = _listing(spark, root)
+    there = listing(spark, root)
     if "collection.properties" not in there:
         return path
     members = sorted(name for name, folder in there.items() if folder and name[0] not in "_.")
@@ -43,7 +35,7 @@ def resolve_catalog_root(spark: SparkSession, path: str) -> str:
 
 def _data(spark: SparkSession, spec: CatalogSpec) -> DataFrame:
     root = resolve_catalog_root(spark, spec.root).rstrip("/")
-    return spark.read.parquet(f"{root}/dataset" if "dataset" in _listing(spark, root) else root)
+    return spark.read.parquet(f"{root}/dataset" if "dataset" in listing(spark, root) else root)
 
 
 def read_catalog(spark: SparkSession, spec: CatalogSpec, columns: tuple[str, ...] = ()) -> DataFrame:

@@ -3,7 +3,9 @@
 Tables are plain Parquet folders. A micro-batch appends only rows whose keys
 aren't stored, so a batch that runs again after a failure adds nothing twice,
 and there is no streaming state that would grow. States of alerts and messages
-are tables of changes, appended too: the last change of a key holds.
+are state tables (sources.states): changes are appended, and compactions make
+snapshots of them by day and state, so a tick reads open rows and new changes
+only. One job of a kind works on a set of tables; a lock file sees to it.
 """
 
 from __future__ import annotations
@@ -18,23 +20,33 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import crossmatch as cross
 from ..operators import batches, filters, ingest, normalize, notify
 from ..sources import brokers
+from ..sources import files
 from ..sources.sinks import append_table, isolated, snapshot
+from ..sources.states import States
 
 ALERTS = "uuid string, lsst_diaobject_diaobjectid long, lsst_diasource_diasourceid long, ra_deg double, dec_deg double, event_time timestamp, ingest_time timestamp, schema_version int, payload string, status string"
 DELIVERIES = "lsst_diaobject_diaobjectid long, broker string, ingest_time timestamp"
 MATCHES = "lsst_diaobject_diaobjectid long, catalog_name string, catalog_source_id string, match_distance_arcsec double, match_score double, source_ra_deg double, source_dec_deg double, catalog_payload string, match_version int"
-CHANGES = "lsst_diaobject_diaobjectid long, status string, at timestamp, step int"
+CHANGES = "lsst_diaobject_diaobjectid long, status string, at timestamp, step int, uuid string, ra_deg double, dec_deg double, ingest_time timestamp"
 NOTIFICATIONS = "notification_key string, lsst_diaobject_diaobjectid long, catalog_name string, catalog_source_id string, match_version int, destination string, payload string, state string, attempts int, last_error string, created_at timestamp, updated_at timestamp, sent_at timestamp"
-SENDS = "notification_key string, state string, attempts int, last_error string, updated_at timestamp, sent_at timestamp"
+SENDS = "notification_key string, lsst_diaobject_diaobjectid long, destination string, payload string, created_at timestamp, alert_time timestamp, state string, attempts int, last_error string, updated_at timestamp, sent_at timestamp"
+LETTERS = "letter_key string, payload string, broker string, reject_reason string, ingest_time timestamp"
 REQUIRED = ["lsst_diaobject_diaobjectid", "ra_deg", "dec_deg", "event_time", "payload"]
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table of Parquet files; empty while there is no folder."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if files.exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def alert_states(tables: str) -> States:
+    """States of alerts with what a batch needs of them. The first change (step -1) never goes over a later one."""
+    return States(f"{tables}/alert_states", CHANGES, cross.ALERT, "status", "ingest_time", "struct(step >= 0, at, step)", ("uuid", "ra_deg", "dec_deg", "ingest_time"))
+
+
+def message_states(tables: str) -> States:
+    """States of messages with what sending needs of them; of sent ones the body isn't kept here."""
+    return States(f"{tables}/notification_states", SENDS, notify.KEY, "state", "created_at", "struct(attempts, updated_at)", (cross.ALERT, "destination", "payload", "created_at", "alert_time"), ("sent", ("payload",)))
 
 
 def canonical(broker: str, df: DataFrame, now: Column, threshold: float = 0.6) -> DataFrame:
@@ -48,8 +60,12 @@ def canonical(broker: str, df: DataFrame, now: Column, threshold: float = 0.6) -
     raise ValueError(f"unknown broker {broker!r}")
 
 
-def ingest_batch(rows: DataFrame, tables: str, now: Column) -> None:
-    """Append the new alerts, deliveries and rejects of canonical rows (with broker). Messages are parsed once; of an object what arrived first wins."""
+def ingest_batch(rows: DataFrame, tables: str, now: Column, again: bool = False) -> None:
+    """Append the new alerts, their states, deliveries and rejects of canonical rows (with broker). Messages are parsed once; of an object what arrived first wins.
+
+    again: rows that were begun before and may be stored in part: what has a
+    state then gets no second one.
+    """
     spark = rows.sparkSession
     rows = rows.withColumn("ingest_time", now)
     if "arrival" not in rows.columns:
@@ -58,11 +74,16 @@ def ingest_batch(rows: DataFrame, tables: str, now: Column) -> None:
     try:
         n = rows.count()
         good, bad = filters.split_malformed(rows, REQUIRED)
-        alerts = ingest.merge_alerts(stored(spark, f"{tables}/alerts", ALERTS), good, now, ["arrival", "broker", "event_time"], n)
+        alerts = snapshot(ingest.merge_alerts(stored(spark, f"{tables}/alerts", ALERTS), good, now, ["arrival", "broker", "event_time"], n), "alerts")
+        first, states = batches.status_changes(alerts, batches.INGESTED, now, -1), alert_states(tables)
+        if again:
+            first = ingest.new_rows(states.current(spark), first, [cross.ALERT], batch_rows=n)
+        states.append(first)
         append_table(alerts, f"{tables}/alerts")
         deliveries = ingest.merge_deliveries(stored(spark, f"{tables}/alert_deliveries", DELIVERIES), good, ["ingest_time"], n)
         append_table(deliveries, f"{tables}/alert_deliveries")
-        append_table(bad, f"{tables}/dead_letters")
+        letters = bad.withColumn("letter_key", F.sha2(F.concat_ws("|", "broker", "reject_reason", F.to_json("arrival"), "payload"), 256))
+        append_table(ingest.new_rows(stored(spark, f"{tables}/dead_letters", LETTERS), letters, ["letter_key"], batch_rows=n), f"{tables}/dead_letters")
     finally:
         rows.unpersist()
 
@@ -73,10 +94,13 @@ def ingest_stream(messages: DataFrame, broker: str, tables: str, checkpoint: str
     repeats_within: drop messages that a stream with a timestamp repeats within so long, before they are parsed.
     """
 
-    def upsert(df: DataFrame, _: int) -> None:
-        now = clock()
+    def upsert(df: DataFrame, batch: int) -> None:
+        now, spark = clock(), df.sparkSession
+        begun = f"{checkpoint}/begun"
+        last = int(files.read_text(spark, begun)) if files.exists(spark, begun) else -1
+        files.replace(spark, begun, str(batch))
         rows = canonical(broker, df, now, threshold).withColumn("broker", F.lit(broker))
-        ingest_batch(rows, tables, now)
+        ingest_batch(rows, tables, now, again=batch <= last)
 
     if repeats_within:
         messages = deduplicated(messages, "timestamp", ["value"], repeats_within)
@@ -89,42 +113,59 @@ def ingest_kafka(spark: SparkSession, broker: str, servers: str, topic: str, tab
     return ingest_stream(messages, broker, tables, checkpoint, threshold=threshold, trigger={"processingTime": "1 second"}, repeats_within=repeats_within)
 
 
-def match_batch(alerts: DataFrame, catalogs: list[DataFrame], tables: str, now: Column, radius_arcsec: float = 1.0, match_version: int = 1, dedupe: bool = True) -> dict[str, str]:
+def match_batch(alerts: DataFrame, catalogs: list[DataFrame | cross.PayloadCatalog], tables: str, now: Column, radius_arcsec: float = 1.0, match_version: int = 1, dedupe: bool = True) -> dict[str, str]:
     """Match alerts with static catalogs and append new matches and their messages, one catalog after another.
 
     A catalog that fails is told by its name, in what is returned and in the
-    run's summary (table match_runs); the others' matches are stored.
+    run's summary (table match_runs); the others' matches are stored. Matches
+    are counted as they are found, so stored ones are read once, for their keys.
     dedupe: messages only for matches that weren't stored; else one for each match found.
     """
     spark = alerts.sparkSession
     alerts = alerts.persist()
     try:
         n = alerts.count()  # alerts that can't be read fail the batch, not its catalogs
-        named: dict[str, DataFrame] = {}
+        named: dict[str, DataFrame | cross.PayloadCatalog] = {}
         for k, c in enumerate(catalogs):
-            name = _catalog_name(c, k)
+            name = c.spec.name if isinstance(c, cross.PayloadCatalog) else _catalog_name(c, k)
             named[f"{name} ({k})" if name in named else name] = c
+        counts: dict[str, int] = {}
 
-        def match(catalog: DataFrame) -> None:
-            if "dec_zone" in catalog.columns:  # of prepare_catalog: only the folders near an alert are read
-                catalog = cross.prune_catalog(catalog, alerts, radius_arcsec)
-            found = cross.crossmatch_catalogs(alerts, [catalog], radius_arcsec, match_version, n).persist()
+        def match(name: str, catalog: DataFrame | cross.PayloadCatalog) -> None:
+            sources = catalog.positions if isinstance(catalog, cross.PayloadCatalog) else catalog
+            if cross.is_prepared(sources):  # only the folders near an alert are read
+                sources = cross.prune_catalog(sources, alerts, radius_arcsec)
+            found = cross.crossmatch_catalogs(alerts, [sources], radius_arcsec, match_version, n).persist()
             try:
-                fresh = ingest.merge_matches(stored(spark, f"{tables}/catalog_matches", MATCHES), found, found.count())
+                many = found.count()
+                fresh = ingest.merge_matches(stored(spark, f"{tables}/catalog_matches", MATCHES), found, many)
+                if isinstance(catalog, cross.PayloadCatalog):
+                    fresh = cross.with_payloads(snapshot(fresh, "found"), catalog, many)
+                fresh = snapshot(fresh, "matches")
                 # messages first, keyed like the matches: a run that fails between the two makes the same messages again
-                append_table(_new_messages(spark, notify.notification_rows(fresh if dedupe else found, now), tables, dedupe), f"{tables}/notifications")
-                append_table(fresh, f"{tables}/catalog_matches")
+                messages = snapshot(_new_messages(spark, notify.notification_rows(fresh if dedupe else found, now), tables, dedupe, many), "messages")
+                message_states(tables).append(_message_changes(messages, alerts))
+                append_table(messages, f"{tables}/notifications")
+                append_table(fresh, f"{tables}/catalog_matches", "catalog_name")
+                counts[name] = many
             finally:
                 found.unpersist()
 
-        failed = isolated({name: lambda c=c: match(c) for name, c in named.items()})
-        matches = cross.matched(stored(spark, f"{tables}/catalog_matches", MATCHES), alerts)
-        append_table(batches.run_summary(alerts, matches, list(named), match_version, failed).withColumn("run_time", now), f"{tables}/match_runs")
+        failed = isolated({name: lambda name=name, c=c: match(name, c) for name, c in named.items()})
+        append_table(batches.counted_summary(alerts, counts, list(named), match_version, failed).withColumn("run_time", now), f"{tables}/match_runs")
         return failed
     finally:
         alerts.unpersist()
 
 
+def _message_changes(messages: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The first states of messages, with the time of their alerts where that is known (it tells the day of their states)."""
+    if "ingest_time" not in alerts.columns:
+        return messages.withColumn("alert_time", F.lit(None).cast("timestamp"))
+    times = alerts.select(cross.ALERT, F.col("ingest_time").alias("alert_time"))
+    return messages.join(times, cross.ALERT, "left")
+
+
 def _catalog_name(catalog: DataFrame, place: int) -> str:
     """The name that a catalog's rows have; its place where there is none to read."""
     try:
@@ -134,11 +175,10 @@ def _catalog_name(catalog: DataFrame, place: int) -> str:
     return first[0] if first else f"catalog {place}"
 
 
-def _new_messages(spark: SparkSession, rows: DataFrame, tables: str, dedupe: bool) -> DataFrame:
+def _new_messages(spark: SparkSession, rows: DataFrame, tables: str, dedupe: bool, n_rows: int) -> DataFrame:
     if not dedupe:
         return rows
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return ingest.new_rows(stored(spark, f"{tables}/notifications", schema), rows, [notify.KEY])
+    return ingest.new_rows(stored(spark, f"{tables}/notifications", NOTIFICATIONS), rows, [notify.KEY], batch_rows=n_rows)
 
 
 def match_stream(alerts: DataFrame, catalogs: list[DataFrame], tables: str, checkpoint: str, clock: Callable[[], Column] = F.current_timestamp, radius_arcsec: float = 1.0, trigger: dict | None = None) -> StreamingQuery:
@@ -160,24 +200,25 @@ class BatchRun:
 def run_batch(spark: SparkSession, tables: str, catalogs: list[DataFrame], now: Column, max_size: int = 100_000, max_wait: float = 900, stuck_after: float = 7600, radius_arcsec: float = 1.0, match_version: int = 1) -> BatchRun:
     """One tick: stuck alerts wait again; if a batch is due its alerts become QUEUED, are matched, and become MATCHED, or INGESTED again if the batch fails.
 
-    Only narrow columns of the alerts are read. A catalog that fails doesn't fail the batch.
+    Only alerts that wait or are queued are read, and changes since the last
+    compaction. A catalog that fails doesn't fail the batch.
     """
-    narrow = stored(spark, f"{tables}/alerts", ALERTS).select("uuid", cross.ALERT, "ra_deg", "dec_deg", "ingest_time", "status")
-    log = f"{tables}/alert_changes"
-    alerts = batches.current_alerts(narrow, stored(spark, log, CHANGES))
+    states = alert_states(tables)
+    alerts = snapshot(states.current(spark, [batches.INGESTED, batches.QUEUED]), "open")
     stuck = alerts.where(F.col("status") == batches.QUEUED).join(batches.recover_stuck(alerts, now, stuck_after).where(F.col("status") == batches.INGESTED).select(cross.ALERT), cross.ALERT, "left_semi")
     taken = snapshot(batches.select_batch(alerts, now, max_size, max_wait, stuck_after), "batch")
     run = BatchRun(taken.count())
-    append_table(batches.status_changes(stuck, batches.INGESTED, now, 0), log)
+    if not stuck.isEmpty():
+        states.append(batches.status_changes(stuck, batches.INGESTED, now, 0))
     if not run.n_alerts:
         return run
-    append_table(batches.status_changes(taken, batches.QUEUED, now, 1), log)
+    states.append(batches.status_changes(taken, batches.QUEUED, now, 1))
     try:
-        run.failed = match_batch(batches.load_batch(narrow, taken), catalogs, tables, now, radius_arcsec, match_version)
-        append_table(batches.status_changes(taken, batches.MATCHED, now, 2), log)
+        run.failed = match_batch(taken.drop("status", "at", "step"), catalogs, tables, now, radius_arcsec, match_version)
+        states.append(batches.status_changes(taken, batches.MATCHED, now, 2))
     except Exception as error:  # noqa: BLE001  the batch is put back and tried again
         run.error = str(error)[:500]
-        append_table(batches.status_changes(taken, batches.INGESTED, now, 2), log)
+        states.append(batches.status_changes(taken, batches.INGESTED, now, 2))
     return run
 
 
@@ -187,23 +228,33 @@ def dispatch_round(spark: SparkSession, tables: str, senders: dict[str, Callable
     senders: from rows of a destination to their results (send_each, or
     send_results of a writer). Messages of unknown destinations stay pending.
     What is stored are the results of this very sending: they are evaluated
-    once, as they are written. Returns the counts of this round.
+    once, as they are written. Read are the messages that aren't sent, the
+    matched alerts of the days of those that were, and changes since the last
+    compaction. Returns the counts of this round.
     """
-    messages, log = stored(spark, f"{tables}/notifications", NOTIFICATIONS), f"{tables}/notification_changes"
-    pending = snapshot(notify.select_pending(notify.current_messages(messages, stored(spark, log, SENDS)), limit), "pending")
-    known, _ = notify.route(pending, senders)
+    states, alerts = message_states(tables), alert_states(tables)
+    pending = snapshot(notify.select_pending(states.current(spark, ["pending"]), limit), "pending")
+    known, rest = notify.route(pending, senders)
+    tried = [notify.dispatch_counts(rest)]
     for name, rows in known.items():
         if not rows.isEmpty():
-            after = notify.apply_send_results(rows, senders[name](rows), now).where("state <> 'pending'")
-            append_table(after.select(notify.KEY, *notify.STATE), log)
-    touched = pending.select(cross.ALERT).distinct()  # at most `limit` objects
-    current = notify.current_messages(messages, stored(spark, log, SENDS)).join(F.broadcast(touched), cross.ALERT, "left_semi")
-    narrow = stored(spark, f"{tables}/alerts", ALERTS).select(cross.ALERT, "status").join(F.broadcast(touched), cross.ALERT, "left_semi")
-    alerts = batches.current_alerts(narrow, stored(spark, f"{tables}/alert_changes", CHANGES)).where(F.col("status") == batches.MATCHED)
-    done = notify.mark_notified(alerts, current).where(F.col("status") == batches.NOTIFIED)
-    append_table(batches.status_changes(done, batches.NOTIFIED, now, 3), f"{tables}/alert_changes")
-    sent = current.join(pending.select(notify.KEY), notify.KEY, "left_semi")
-    return spark.createDataFrame(notify.dispatch_counts(sent).collect(), "destination string, n_sent long, n_failed long, n_pending long")
+            after = snapshot(notify.apply_send_results(rows, senders[name](rows), now), "sent")
+            states.append(after.where("state <> 'pending'"))
+            tried.append(notify.dispatch_counts(after))
+    touched = pending.select(cross.ALERT, F.to_date("alert_time").cast("string").alias("day")).distinct()  # at most `limit` objects
+    days = {r[0] for r in touched.select("day").distinct().collect()}
+    unsent = states.current(spark, ["pending", "failed"]).join(F.broadcast(touched.select(cross.ALERT)), cross.ALERT, "left_semi")
+    done = notify.sent_objects(touched, unsent)
+    matched = alerts.current(spark, [batches.MATCHED], None if None in days else sorted(days))
+    alerts.append(batches.status_changes(matched.join(F.broadcast(done), cross.ALERT, "left_semi"), batches.NOTIFIED, now, 3))
+    counts = [tuple(r) for c in tried for r in c.collect()]
+    return spark.createDataFrame(counts, "destination string, n_sent long, n_failed long, n_pending long")
+
+
+def compact_states(spark: SparkSession, tables: str) -> None:
+    """New snapshots of both state tables."""
+    for states in (alert_states(tables), message_states(tables)):
+        states.compact(spark)
 
 
 def every(spark: SparkSession, seconds: float, action: Callable[[], object], checkpoint: str) -> StreamingQuery:
@@ -214,11 +265,24 @@ def every(spark: SparkSession, seconds: float, action: Callable[[], object], che
 
 def batch_job(spark: SparkSession, tables: str, catalogs: list[DataFrame], checkpoint: str, clock: Callable[[], Column] = F.current_timestamp, seconds: float = 30, **options: float) -> StreamingQuery:
     """A batch as soon as there are max_size alerts or the oldest has waited max_wait seconds, looked at every 30 seconds."""
-    return every(spark, seconds, lambda: run_batch(spark, tables, catalogs, clock(), **options), checkpoint)
+    return every(spark, seconds, lambda: _alone(spark, f"{tables}/batch.lock", lambda: run_batch(spark, tables, catalogs, clock(), **options)), checkpoint)
 
 
 def dispatch_job(spark: SparkSession, tables: str, senders: dict[str, Callable[[DataFrame], DataFrame]], checkpoint: str, clock: Callable[[], Column] = F.current_timestamp, seconds: float = 10, limit: int = 500) -> StreamingQuery:
-    return every(spark, seconds, lambda: dispatch_round(spark, tables, senders, clock(), limit), checkpoint)
+    return every(spark, seconds, lambda: _alone(spark, f"{tables}/dispatch.lock", lambda: dispatch_round(spark, tables, senders, clock(), limit)), checkpoint)
+
+
+def compaction_job(spark: SparkSession, tables: str, checkpoint: str, seconds: float = 300) -> StreamingQuery:
+    return every(spark, seconds, lambda: _alone(spark, f"{tables}/compaction.lock", lambda: compact_states(spark, tables)), checkpoint)
+
+
+def _alone(spark: SparkSession, lock: str, action: Callable[[], object]) -> None:
+    """Run a tick unless another job is in the middle of one over the same tables."""
+    try:
+        with files.only_writer(spark, lock):
+            action()
+    except files.Busy:
+        pass
 
 
 def deduplicated(messages: DataFrame, event_time: str, keys: list[str], late: str = "7 days") -> DataFrame:

@@ -169,11 +169,13 @@ def test_collections_and_the_registry(spark, tmp_path):
     assert list(found) == ["gaia_dr3", "des_y6_gold", "delve_dr3_gold", "skymapper_dr4"]
     assert found["des_y6_gold"].payload_columns["brightness"][:5] == tuple(f"MAG_AUTO_{b}" for b in "GRIZY")
     assert len(found["delve_dr3_gold"].payload_columns["psf"]) == 4 and found["gaia_dr3"].root == "s3://sky/gaia_dr3"
+    own = {c.name: c.root for c in survey_catalogs(roots={"des_y6_gold": "/mine"})}
+    assert own["des_y6_gold"] == "/mine" and own["gaia_dr3"].startswith("s3://stpubdata/") and len(set(own.values())) == 4
     gaia = CatalogSpec("gaia_dr3", str(tmp_path / "col"), "source_id", "ra", "dec", found["gaia_dr3"].payload_columns, ("other",))
     read = catalogs.read_with_payload(spark, gaia, quality_flags=True)
-    assert read.first()["catalog_payload"] == '{"ruwe":4.0,"other":5.0}'
+    assert read.first()["catalog_payload"] == '{"ra":2.0,"dec":3.0,"ruwe":4.0,"other":5.0}'
     alerts = spark.createDataFrame([(7, 2.0, 3.0)], f"{ID} long, ra_deg double, dec_deg double")
-    assert crossmatch.crossmatch_catalogs(alerts, [read]).first()["catalog_payload"] == '{"ruwe":4.0,"other":5.0}'
+    assert crossmatch.crossmatch_catalogs(alerts, [read]).first()["catalog_payload"] == '{"ra":2.0,"dec":3.0,"ruwe":4.0,"other":5.0}'
 
 
 def test_what_arrives_first_wins(spark):

@@ -69,8 +69,13 @@ def at(second):
 
 
 def status(spark, tables):
-    rows = batches.current_alerts(spark.read.parquet(f"{tables}/alerts"), jobs.stored(spark, f"{tables}/alert_changes", jobs.CHANGES))
-    return {r[ID]: r.status for r in rows.collect()}
+    return {r[ID]: r.status for r in jobs.alert_states(tables).current(spark).collect()}
+
+
+def changed(spark, tables, rows, state, second, step):
+    """Changes of alerts from outside the jobs."""
+    now = jobs.alert_states(tables).current(spark).join(rows.select(ID), ID, "left_semi")
+    jobs.alert_states(tables).append(batches.status_changes(now, state, at(second), step))
 
 
 def test_batches_and_dispatches(spark, tmp_path):
@@ -86,7 +91,7 @@ def test_batches_and_dispatches(spark, tmp_path):
     none = spark.createDataFrame([(1,)], "x int")
     run = jobs.run_batch(spark, tables, [none], at(6), max_size=10, max_wait=5)
     assert run.n_alerts == 4 and set(status(spark, tables).values()) == {"MATCHED"} and list(run.failed) == ["catalog 0"]
-    jobs.append_table(batches.status_changes(rows, "INGESTED", at(7), 2), f"{tables}/alert_changes")
+    changed(spark, tables, rows, "INGESTED", 7, 2)
     run = jobs.run_batch(spark, tables, catalogs, at(8), max_size=4)
     assert run.n_alerts == 4 and list(run.failed) == ["catalog 1"] and run.error is None
     assert spark.read.parquet(f"{tables}/catalog_matches").count() == 3
@@ -105,7 +110,7 @@ def test_batches_and_dispatches(spark, tmp_path):
     counts = jobs.dispatch_round(spark, tables, {"hopskotch": lambda m: send_each(m, connect)}, at(10)).first()
     assert (counts.n_sent, counts.n_failed, counts.n_pending) == (2, 1, 0)
     assert status(spark, tables) == {1: "NOTIFIED", 2: "MATCHED", 3: "NOTIFIED", 4: "MATCHED"}
-    log = {r.state: r for r in spark.read.parquet(f"{tables}/notification_changes").collect()}
+    log = {r.state: r for r in jobs.message_states(tables).current(spark).collect()}
     assert log["failed"].last_error == "x" * 500 and log["sent"].attempts == 1
     pending = spark.read.parquet(f"{tables}/notifications")
     lost = send_each(pending, no_connection).collect()
@@ -127,7 +132,7 @@ def test_a_failed_batch_is_put_back(spark, tmp_path, monkeypatch):
     assert jobs.run_batch(spark, tables, [good], at(1), max_size=1).error == "no cluster" and status(spark, tables) == {1: "INGESTED"}
     monkeypatch.undo()
     # a run that stopped while its alerts were queued: they wait until they are stuck, then go again
-    jobs.append_table(batches.status_changes(rows, "QUEUED", at(2), 1), f"{tables}/alert_changes")
+    changed(spark, tables, rows, "QUEUED", 2, 1)
     assert jobs.run_batch(spark, tables, [good], at(3), max_size=1, stuck_after=30).n_alerts == 0
     assert jobs.run_batch(spark, tables, [good], at(40), max_size=1, stuck_after=30).n_alerts == 1 and status(spark, tables) == {1: "MATCHED"}
 
