@@ -21,6 +21,7 @@ from ..operators import crossmatch as cross
 from ..operators import batches, filters, ingest, normalize, notify
 from ..sources import brokers
 from ..sources import files
+from ..sources.key_index import KeyIndex
 from ..sources.sinks import append_table, isolated, snapshot
 from ..sources.states import States
 
@@ -49,6 +50,19 @@ def message_states(tables: str) -> States:
     return States(f"{tables}/notification_states", SENDS, notify.KEY, "state", "created_at", "struct(attempts, updated_at)", (cross.ALERT, "destination", "payload", "created_at", "alert_time"), ("sent", ("payload",)))
 
 
+#: Tables that micro-batches are merged with, by object id.
+INDEXED = {"alerts": ALERTS, "alert_deliveries": DELIVERIES, "catalog_matches": MATCHES, "notifications": NOTIFICATIONS}
+
+
+def key_index(tables: str, name: str) -> KeyIndex:
+    return KeyIndex(f"{tables}/{name}", f"{tables}/key_index/{name}", cross.ALERT, INDEXED[name])
+
+
+def history(spark: SparkSession, tables: str, name: str, incoming: DataFrame) -> DataFrame:
+    """What is stored in files that may hold the objects of incoming."""
+    return key_index(tables, name).history(spark, incoming)
+
+
 def canonical(broker: str, df: DataFrame, now: Column, threshold: float = 0.6) -> DataFrame:
     """Messages (value, and attributes for pittgoogle) of one broker to canonical rows."""
     if broker == "antares":
@@ -74,13 +88,13 @@ def ingest_batch(rows: DataFrame, tables: str, now: Column, again: bool = False)
     try:
         n = rows.count()
         good, bad = filters.split_malformed(rows, REQUIRED)
-        alerts = snapshot(ingest.merge_alerts(stored(spark, f"{tables}/alerts", ALERTS), good, now, ["arrival", "broker", "event_time"], n), "alerts")
+        alerts = snapshot(ingest.merge_alerts(history(spark, tables, "alerts", good), good, now, ["arrival", "broker", "event_time"], n), "alerts")
         first, states = batches.status_changes(alerts, batches.INGESTED, now, -1), alert_states(tables)
         if again:
             first = ingest.new_rows(states.current(spark), first, [cross.ALERT], batch_rows=n)
         states.append(first)
         append_table(alerts, f"{tables}/alerts")
-        deliveries = ingest.merge_deliveries(stored(spark, f"{tables}/alert_deliveries", DELIVERIES), good, ["ingest_time"], n)
+        deliveries = ingest.merge_deliveries(history(spark, tables, "alert_deliveries", good), good, ["ingest_time"], n)
         append_table(deliveries, f"{tables}/alert_deliveries")
         letters = bad.withColumn("letter_key", F.sha2(F.concat_ws("|", "broker", "reject_reason", F.to_json("arrival"), "payload"), 256))
         append_table(ingest.new_rows(stored(spark, f"{tables}/dead_letters", LETTERS), letters, ["letter_key"], batch_rows=n), f"{tables}/dead_letters")
@@ -138,7 +152,7 @@ def match_batch(alerts: DataFrame, catalogs: list[DataFrame | cross.PayloadCatal
             found = cross.crossmatch_catalogs(alerts, [sources], radius_arcsec, match_version, n).persist()
             try:
                 many = found.count()
-                fresh = ingest.merge_matches(stored(spark, f"{tables}/catalog_matches", MATCHES), found, many)
+                fresh = ingest.merge_matches(history(spark, tables, "catalog_matches", found), found, many)
                 if isinstance(catalog, cross.PayloadCatalog):
                     fresh = cross.with_payloads(snapshot(fresh, "found"), catalog, many)
                 fresh = snapshot(fresh, "matches")
@@ -178,7 +192,7 @@ def _catalog_name(catalog: DataFrame, place: int) -> str:
 def _new_messages(spark: SparkSession, rows: DataFrame, tables: str, dedupe: bool, n_rows: int) -> DataFrame:
     if not dedupe:
         return rows
-    return ingest.new_rows(stored(spark, f"{tables}/notifications", NOTIFICATIONS), rows, [notify.KEY], batch_rows=n_rows)
+    return ingest.new_rows(history(spark, tables, "notifications", rows), rows, [notify.KEY], batch_rows=n_rows)
 
 
 def match_stream(alerts: DataFrame, catalogs: list[DataFrame], tables: str, checkpoint: str, clock: Callable[[], Column] = F.current_timestamp, radius_arcsec: float = 1.0, trigger: dict | None = None) -> StreamingQuery:
@@ -252,9 +266,11 @@ def dispatch_round(spark: SparkSession, tables: str, senders: dict[str, Callable
 
 
 def compact_states(spark: SparkSession, tables: str) -> None:
-    """New snapshots of both state tables."""
+    """New snapshots of both state tables, and entries of the files that the key indexes don't know."""
     for states in (alert_states(tables), message_states(tables)):
         states.compact(spark)
+    for name in INDEXED:
+        key_index(tables, name).update(spark)
 
 
 def every(spark: SparkSession, seconds: float, action: Callable[[], object], checkpoint: str) -> StreamingQuery:
