@@ -60,12 +60,13 @@ def spread(df: DataFrame, name: str) -> str:
 
 
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables of `written` that are read no more."""
+    """Delete tables of `written` that are read no more, and let the driver's collector find what nothing refers to: executors hold the task code of all earlier stages until it does."""
     sc = spark.sparkContext
     for df in tables:
         for file in df.inputFiles()[:1]:
             folder = sc._jvm.org.apache.hadoop.fs.Path(file).getParent()
             folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+    sc._jvm.System.gc()
 
 
 _FETCHED: dict[str, dict[str, np.ndarray]] = {}
