@@ -9,6 +9,10 @@ license sentences to identifiers. The sequence of a text's identifiers, cut
 where more than `gap` other sentences (pieces with a letter or digit) come between, is matched from left to
 right against ordered rules: at each place the first rule of the list that fits
 wins and its sentences are used up; a sentence that begins no rule is passed.
+A sentence may have a slot for a holder's name. An SPDX line may be an
+expression (A OR B, A AND B, A WITH B) of known identifiers, older names
+included. A sentence that ends in `licensed under ...` or `released under ...`
+counts by that end.
 
 A null or empty text has no sentences. Null ids and repeated rows keep a row
 each; extra columns go. All texts are read whole.
@@ -124,6 +128,38 @@ for _family, _name, _version in GNU:
         RULES.append((_id, (f"{_id}-{_head[5:12] or 'terms'}",)))
     SENTENCES |= {f"gnu-{_family}-published": _published, f"gnu-either-{_version}": _either}
     RULES.append((_id, (f"gnu-{_family}-published", f"gnu-either-{_version}")))
+#: Titles of whole licenses, sentences that name one, and variants of grants.
+NAMED = {
+    "Apache-2.0": ("apache license version 2.0 january 2004", "licensed under the apache license 2.0", "licensed under apache 2.0"),
+    "GPL-2.0-only": ("gnu general public license version 2 june 1991", "licensed under the gnu general public license v2.0", "licensed under the gpl version 2", "licensed under the gplv2"),
+    "GPL-3.0-only": ("gnu general public license version 3 29 june 2007", "licensed under the gnu general public license v3.0", "licensed under the gpl version 3", "licensed under the gplv3"),
+    "LGPL-2.1-only": ("gnu lesser general public license version 2.1 february 1999", "licensed under the gnu lesser general public license version 2.1"),
+    "LGPL-3.0-only": ("gnu lesser general public license version 3 29 june 2007", "licensed under the gnu lesser general public license version 3", "licensed under the gnu lesser general public license v3.0"),
+    "AGPL-3.0-only": ("gnu affero general public license version 3 19 november 2007", "licensed under the gnu affero general public license version 3"),
+    "MPL-2.0": ("mozilla public license version 2.0", "licensed under the mozilla public license 2.0", "licensed under the mozilla public license version 2.0"),
+    "BSD-3-Clause": ("licensed under the bsd 3 clause license", "licensed under the 3 clause bsd license"),
+    "BSD-2-Clause": ("licensed under the bsd 2 clause license", "licensed under the 2 clause bsd license"),
+    "ISC": ("permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "licensed under the isc license"),
+    "0BSD": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
+    "CC-BY-4.0": ("licensed under a creative commons attribution 4.0 international license", "licensed under the creative commons attribution 4.0 international license", "the creative commons attribution 4.0 international license"),
+    "CC-BY-SA-4.0": ("licensed under a creative commons attribution sharealike 4.0 international license", "licensed under the creative commons attribution sharealike 4.0 international license"),
+    "CC0-1.0": ("cc0 1.0 universal", "creative commons legal code cc0 1.0 universal"),
+}
+for _id, _texts in NAMED.items():
+    for _k, _text in enumerate(_texts):
+        SENTENCES[f"{_id}-named-{_k}"] = _text
+        RULES.append((_id, (f"{_id}-named-{_k}",)))
+for _id in SPDX:
+    SENTENCES[f"field-{_id}"] = f"license {' '.join(_id.lower().split('-'))}"
+    RULES.append((_id, (f"field-{_id}",)))
+#: Older SPDX names and what they are called now, and exceptions that may follow WITH.
+OLD_SPDX = {f"{n}{plus}": f"{n}-{'or-later' if plus else 'only'}" for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for plus in ("", "+")}
+SPDX_EXCEPTIONS = ("Classpath-exception-2.0", "GCC-exception-3.1", "LLVM-exception")
+_SPDX_NAMES = {" ".join(n.lower().split("-")): OLD_SPDX.get(n, n) for n in (*SPDX, *OLD_SPDX, *SPDX_EXCEPTIONS)}
+SPDX_HEAD = "spdx license identifier "
+#: The clause with a slot: whatever holder it names, it reads as the first.
+HOLDER, SLOT = "neither the name of the copyright holder", re.compile(r"neither the names? of (?:(?! nor ).){1,300} nor the names? of (?:its|their|any) contributors ")
+UNDER = ("licensed under ", "released under ")
 CUT = re.compile(r"\n|(?<=[.!?;])[ \t\r\f\v]+")
 WORD = re.compile(r"[a-z0-9.+]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,6 +170,22 @@ def normalised(sentence: str) -> str:
     return " ".join(w for w in WORD.findall(sentence.translate(_LOWER))).strip(" .")
 
 
+def spdx_expression(sentence: str) -> str | None:
+    """The expression that a normalised SPDX line names, None unless all of it is known."""
+    words = re.split(r" (or|and|with) ", sentence.removeprefix(SPDX_HEAD))
+    if any(w not in _SPDX_NAMES for w in words[::2]):
+        return None
+    return " ".join(_SPDX_NAMES[w] if k % 2 == 0 else w.upper() for k, w in enumerate(words))
+
+
+def holder_slot(sentence: str) -> str:
+    """A clause about a holder's name as the one about the copyright holder; as far as it goes, where it isn't whole."""
+    if not sentence.startswith("neither the name") or len(sentence) > 600:
+        return sentence
+    whole = SLOT.sub(f"{HOLDER} nor the names of its contributors ", sentence, count=1)
+    return HOLDER if whole == sentence and " nor " not in sentence and len(sentence) > 20 else whole
+
+
 class Recogniser:
     """Known sentences and rules, ready to match."""
 
@@ -145,6 +197,17 @@ class Recogniser:
         self.rules = rules
         self.gap = gap
 
+    def name(self, sentence: str) -> str | None:
+        """The identifier of a normalised sentence."""
+        if sentence.startswith(SPDX_HEAD) and sentence not in self.known and (expression := spdx_expression(sentence)):
+            return f"spdx:{expression}"
+        return self.known.get(sentence) or self.named_at_end(sentence)
+
+    def named_at_end(self, sentence: str) -> str | None:
+        """The identifier of a sentence whose end says under what something is licensed."""
+        at = max(sentence.rfind(f" {words}") for words in UNDER)
+        return self.known.get(sentence[at + 1 :]) if at >= 0 else None
+
     def identifiers(self, text: str) -> list[tuple[str, int, int, int, int]]:
         """(identifier, numbers of the first and last piece, start, end) of the known sentences."""
         pieces, start = [], 0  # number (-1: nothing but marks or space), start, end
@@ -164,11 +227,14 @@ class Recogniser:
             first = WORD.search(raw.translate(_LOWER) if len(raw) < 64 else raw[:64].translate(_LOWER))
             # a first word past the 64th character, or cut by it, is looked at in whole
             if not (first is None or first.end() >= 64 or first[0].strip(".") in self.first or not first[0].strip(".")):
+                if "nder" in raw and (name := self.named_at_end(normalised(raw))):
+                    found.append((name, number, number, start, end))
                 continue
             joined, at, best = "", k - 1, None
             while True:
                 joined = f"{joined} {' '.join(WORD.findall(text[pieces[at][1] : pieces[at][2]].translate(_LOWER)))}".strip(" ").lstrip(" .")
-                if name := self.known.get(joined.rstrip(" .")):
+                joined = holder_slot(joined)
+                if name := self.name(joined.rstrip(" .")):
                     best = (name, number, pieces[at][0], start, pieces[at][2])
                     k = at + 1
                 if joined not in self.heads or text[start : pieces[at][2]].rstrip()[-1] in "!?;":
@@ -187,6 +253,10 @@ class Recogniser:
     def matched(self, ids: list[tuple[str, int, int, int, int]]) -> list[Match]:
         out, k = [], 0
         while k < len(ids):
+            if ids[k][0].startswith("spdx:"):  # an expression is its own rule
+                out.append((ids[k][0][5:], ids[k][3], ids[k][4]))
+                k += 1
+                continue
             for name, rule in self.rules:
                 part = ids[k : k + len(rule)]
                 if tuple(p[0] for p in part) == rule and all(b[1] - a[2] <= self.gap + 1 for a, b in zip(part[:-1], part[1:], strict=True)):

@@ -5,13 +5,12 @@
    and over marker words of each domain, also learnt. Its tables are literals
    of one Spark expression that gives every document its domain posteriors.
 2. Rates r >= 0 of documents minimise the weighted squares of
-   sum_i r_i n_i p_ik - target_k by projected steps from r = 1: Newton's, by
-   the Gram matrix of the documents with a rate over 0, or the gradient's where
-   that doesn't help. A step needs only the residual of each domain and that
-   matrix, which Spark sums; the rate of a document is a fold over the steps so
-   far, so nothing but a few numbers goes to the driver and no lineage grows.
-   Totals that stay short of the targets by more than the tolerance (they may
-   be out of reach) are told by a warning and by Mix.gap.
+   sum_i r_i n_i p_ik - target_k by projected gradient steps from r = 1, with
+   momentum that starts anew where it goes too far. A step needs only the
+   residual of each domain, which Spark sums; the rate of a document is a fold
+   over the steps so far, so nothing but a few numbers goes to the driver and
+   no lineage grows. Totals that stay short of the targets by more than the
+   tolerance (they may be out of reach) are told by a warning and by Mix.gap.
 3. A document gets floor(rate + u) copies, u a hash of its id in [0, 1): the
    expected token totals are the fitted ones.
 
@@ -131,7 +130,7 @@ class Mix:
 
     domains: list[str]
     rows: DataFrame
-    steps: list[list[float]]
+    steps: list[tuple[list[float], float]]
     targets: list[float]
     reached: list[float]
 
@@ -142,26 +141,34 @@ class Mix:
 
     def rates(self, id_col: str = "doc_id") -> DataFrame:
         """All rows (row_, n_, posterior_) with rate_ and copies_."""
-        rows = self.rows.withColumn("rate_", F.round(rate_after(self.steps, "posterior_"), 9))
+        rows = self.rows.withColumn("rate_", F.round(rate_after(self.steps, "posterior_")["r"], 9))
         u = F.pmod(F.xxhash64(F.col("row_").getField(id_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
         return rows.withColumn("copies_", F.floor(F.col("rate_") + u))
 
 
-def rate_after(steps: list[list[float]], posterior: str) -> Column:
-    """The fold of projected steps: r = max(0, r - p . step), from r = 1."""
+def rate_after(steps: list[tuple[list[float], float]], posterior: str) -> Column:
+    """The fold of projected steps from rates of 1, as a struct: r, the rate, and y, where the next gradient is taken.
+
+    A step (g, b): r' = max(0, y - p . g), y' = r' + b (r' - r).
+    """
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
     if not steps:
-        return F.lit(1.0)
-    moves = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-    dot = lambda s: F.aggregate(F.zip_with(F.col(posterior), s, lambda p, g: p * g), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(moves, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
+        return start
+    moves = F.array(*(F.struct(F.array(*map(F.lit, g)).alias("g"), F.lit(float(b)).alias("b")) for g, b in steps))
+    dot = lambda g: F.aggregate(F.zip_with(F.col(posterior), g, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
+    moved = lambda at, s: F.greatest(F.lit(0.0), at["y"] - dot(s["g"]))
+    ahead = lambda r, at, s: F.struct(r.alias("r"), (r + s["b"] * (r - at["r"])).alias("y"))
+    return F.aggregate(moves, start, lambda at, s: F.transform(F.array(moved(at, s)), lambda r: ahead(r, at, s))[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: float = 1.0, main: str | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 40, tolerance: float = 1e-3, sample: int = 20_000, keep: list[str] | None = None) -> Mix:
+def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: float = 1.0, main: str | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 60, tolerance: float = 1e-3, sample: int = 20_000, keep: list[str] | None = None) -> Mix:
     """Fit rates whose expected token totals are in proportion to weights.
 
     keep: the columns of docs that the fitted rows hold, all unless given.
     The totals are such that the domain `main` (the heaviest by weight) gets
-    `epochs` times the tokens that it has.
+    `epochs` times the tokens that it has. The steps go on until all totals are
+    within `tolerance` of their targets or come no nearer; `rounds` only guards
+    against a search without end, and what is left is told by a warning.
     """
     domains = sorted(weights)
     model = fit_classifier(docs, labels, domains, id_col, text_col, sample)
@@ -173,40 +180,34 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], epochs: f
 
     size = len(domains)
 
-    def sums(steps: list[list[float]]) -> tuple[list[float], np.ndarray]:
-        """Totals of the domains, and the Gram matrix of the documents with a rate over 0."""
-        rated = rows.withColumn("now_", rate_after(steps, "posterior_"))
-        live = F.when(F.col("now_") > 0, F.col("n_")).otherwise(0)
-        r = rated.agg(*(F.coalesce(F.sum(F.col("now_") * F.col("n_") * x), F.lit(0.0)) for x in p), *(F.coalesce(F.sum(live * a * b), F.lit(0.0)) for a in p for b in p)).first()
-        return list(r[:size]), np.array(r[size:]).reshape(size, size)
+    def sums(steps: list[tuple[list[float], float]], *more: Column) -> list[float]:
+        """Totals of the domains at r, then at y, then sums of more."""
+        at = rows.withColumn("at_", rate_after(steps, "posterior_"))
+        return list(at.agg(*(F.coalesce(F.sum(F.col(f"at_.{x}") * F.col("n_") * q), F.lit(0.0)) for x in "ry" for q in p), *(F.coalesce(F.sum(m), F.lit(0.0)) for m in more)).first())
 
-    natural, gram = sums([])
+    # the Gram matrix of posteriors, weighted by tokens; its row sums are the tokens that a domain has
+    first = sums([], *(F.col("n_") * a * b for a in p for b in p))
+    natural, gram = first[:size], np.array(first[2 * size :]).reshape(size, size)
     main = main or max(domains, key=lambda d: (weights[d], d))
     total = epochs * natural[domains.index(main)] / weights[main]
     targets = [total * weights[d] for d in domains]
     if not sum(natural) or not total:
         return Mix(domains, whole, [], targets, natural)
-    # squares weighted by 1 / natural tokens; the steps are in the metric of tokens, so a rate depends on posteriors alone
-    scale = [1 / max(x, 1e-6 * sum(natural)) for x in natural]
-    root = np.sqrt(scale)
-    # the largest row sum bounds the largest eigenvalue
-    bound = float((np.abs(gram) * np.outer(root, root)).sum(axis=1).max())
-    steps: list[list[float]] = []
-    reached = natural
-    loss = lambda now: float((np.square(np.subtract(now, targets)) * scale).sum())
-    for _ in range(rounds):
-        if _gap(reached, targets) < tolerance:
-            break
-        short = np.subtract(reached, targets)
-        newton = np.linalg.lstsq(root[:, None] * gram, root * short, rcond=1e-10)[0]
-        for step in (newton, newton / 4, short * scale / bound):
-            after, live = sums([*steps, step.tolist()])
-            if loss(after) < (1 - 1e-6) * loss(reached):
-                steps.append(step.tolist())
-                reached, gram = after, live
-                break
-        else:
-            break  # no step comes nearer
+    # squared differences are weighted by 1 / row sum: the gradient, in the metric of tokens, is p . (difference / row sum),
+    # so a rate depends on posteriors alone, and no eigenvalue is over 1, so whole steps never overshoot
+    width = np.maximum(gram.sum(axis=1), 1e-6 * sum(natural))
+    loss = lambda now: float((np.square(np.subtract(now, targets)) / width).sum())
+    steps: list[tuple[list[float], float]] = []
+    reached, ahead, pace, still = natural, natural, 1.0, 0
+    while len(steps) < rounds and still < 3 and _gap(reached, targets) >= tolerance:
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        steps.append(((np.subtract(ahead, targets) / width).tolist(), (pace - 1) / faster))
+        now = sums(steps)
+        after, ahead = now[:size], now[size:]
+        still = still + 1 if loss(after) > 0.99 * loss(reached) else 0
+        if loss(after) > loss(reached):  # the momentum went too far: start anew from here
+            steps[-1], ahead, faster = (steps[-1][0], 0.0), after, 1.0
+        reached, pace = after, faster
     found = Mix(domains, whole, steps, targets, reached)
     if found.gap >= tolerance:
         warnings.warn(f"mixing totals stay {found.gap:.2%} from the targets: {dict(zip(domains, zip(reached, targets, strict=True), strict=True))}", stacklevel=2)

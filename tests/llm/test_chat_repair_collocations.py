@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from skyweave.llm import chat, collocations, common, packing, queries, repair, secret_scan
+from skyweave.llm import chat, collocations, common, licenses, mixing, packing, queries, repair, secret_scan
 
 DATA = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -320,6 +320,65 @@ def test_clashing_word_codes_are_told(spark, monkeypatch):
     assert seed == 4 and table.count() == 2
 
 
+# -- 7 and 8 ---------------------------------------------------------------------------------------
+
+BSD3 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+* Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+NOTICES = {
+    BSD3.format("Google Inc."): "BSD-3-Clause",
+    BSD3.format("the University of\nSomewhere"): "BSD-3-Clause",
+    BSD3.format("x").split("* Neither")[0]: "BSD-2-Clause",
+    "                Apache License\n          Version 2.0, January 2004\n": "Apache-2.0",
+    "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007": "GPL-3.0-only",
+    "// SPDX-License-Identifier: Apache-2.0 OR MIT": "Apache-2.0 OR MIT",
+    "SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only",
+    "SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later",
+    "SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0": "GPL-2.0-only WITH Classpath-exception-2.0",
+    "SPDX-License-Identifier: MIT": "MIT",
+    "It is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0-only",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.": "0BSD",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC",
+    '  "license": "MIT",': "MIT",
+    "The text is licensed under the Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+    "This project is licensed under the MIT License.": "MIT",
+    "The tools were released under the MIT license.": "MIT",
+}
+NO_NOTICES = ["Neither the name of the town nor its river was known.", "SPDX-License-Identifier: Foo-1.0 OR MIT", "She was released under the care of friends.", "He is licensed under state law.", "A license to travel. MIT is a school.", "neither the name " * 50_000, "license", "Version 3, 29 June 2007"]
+
+
+def test_common_notices_are_recognised():
+    scanner = licenses.Recogniser(licenses.SENTENCES, licenses.RULES)
+    assert {t: ",".join(m[0] for m in scanner.matches(t)) for t in NOTICES} == NOTICES
+    assert [scanner.matches(t) for t in NO_NOTICES] == [[]] * len(NO_NOTICES)
+    for t in NOTICES:  # between other sentences too, at the same places
+        (_, s, e), = scanner.matches(t)
+        assert [m[1:] for m in scanner.matches(f"One more.\n\n{t}\n\nAnd more.")] == [(s + 11, e + 11)]
+
+
+def test_mixing_reaches_its_targets_by_gradient_steps(spark):
+    """The fitted fold against the same steps in numpy, the totals of the rates, and a plain gradient descent run to its end."""
+    docs, labels = (common.table(spark, DATA, n) for n in ("documents", "labels"))
+    found = mixing.fit(docs, mixing.label_domains(labels), mixing.WEIGHTS, 1.1, keep=["doc_id"])
+    rows = found.rates().select("n_", "posterior_", "rate_").collect()
+    n, p, rate = np.array([r.n_ for r in rows], float), np.array([r.posterior_ for r in rows]), np.array([r.rate_ for r in rows])
+    r, y = np.ones(len(n)), np.ones(len(n))
+    for g, b in found.steps:
+        after = np.maximum(0, y - p @ np.array(g))
+        r, y = after, after + b * (after - r)
+    assert np.allclose(rate, r, atol=1e-8) and (rate >= 0).all()
+    totals = (rate * n) @ p
+    assert np.allclose(totals, found.reached, rtol=1e-6) and found.gap < 1e-3
+    assert (np.abs(totals - found.targets) <= 1e-3 * np.array(found.targets)).all()
+    plain, width = np.ones(len(n)), (n * p.T).sum(axis=1)
+    for _ in range(20_000):
+        plain = np.maximum(0, plain - p @ (((plain * n) @ p - found.targets) / width))
+    assert np.abs((plain * n) @ p - found.targets).max() <= 1e-3 * sum(found.targets)
+    assert np.corrcoef(plain, rate)[0, 1] > 0.99
+
+
 # -- 4 and 9 -------------------------------------------------------------------------------------
 
 
