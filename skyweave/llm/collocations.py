@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fetched, forget, small_batches, spread, task_tables, written
+from .common import drop_fetched, fetched, forget, small_batches, spread, task_tables, written
 from .text import chunks, words
 
 #: Longest phrase, in words.
@@ -270,6 +270,8 @@ def phrase_counts(rows: DataFrame, seed: int, least: int) -> DataFrame:
             out = [(b, r.tobytes(), w.tobytes()) for b, (r, w) in _cut(bucket[order], found[order].astype("<u8"), weight[order])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2))], names=["bucket", "suffixes", "weights"])
+        del tables
+        drop_fetched(file)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in task_tables(batches, "bucket"):

@@ -5,15 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:  # workers that need no pandas don't load it
+    import pandas as pd
+
 _OWN: dict[str, str] = {}
 
 
@@ -82,6 +85,13 @@ def fetched(name: str, make: Callable[[Iterator[pa.RecordBatch]], dict[str, np.n
     return _FETCHED[name]
 
 
+def drop_fetched(*names: str) -> None:
+    """In a task: forget tables of `fetched`. A worker goes on to other stages, and would hold them meanwhile."""
+    for name in names:
+        _FETCHED.pop(name, None)
+    pa.default_memory_pool().release_unused()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
@@ -115,6 +125,8 @@ def union_find(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pandas as pd
+
     parts = []
     for pdf in batches:
         parts.append(pdf)
@@ -127,6 +139,8 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _contract(pdf: pd.DataFrame) -> pd.DataFrame:
+    import pandas as pd
+
     nodes, low = union_find(pdf["a"].to_numpy(), pdf["b"].to_numpy())
     keep = nodes != low
     return pd.DataFrame({"a": low[keep], "b": nodes[keep]})

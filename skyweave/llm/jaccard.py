@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, fetched, forget, spread, task_tables, text_rows, written
+from .common import components, drop_fetched, fetched, forget, spread, task_tables, text_rows, written
 from .text import chunks, words
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -203,6 +203,8 @@ def _meetings(batches: Iterator[pa.RecordBatch], size: int, percent: int, slots:
             sets_with = 2.0 ** (levels[(token & (len(twice) * 8 - 1)) // GROUP] / 4)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array((sets_with // SALT_SETS).astype(np.int64) + 1), pa.array(own), pa.nulls(len(own), pa.int64())], names=names)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=names)
+    del tables, twice, levels
+    drop_fetched(slots)
 
 
 class Tree:
@@ -355,6 +357,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch], size: int, mask: str, bits: int
             own = split(tokens, at)
             half, rest = digests(own)
             yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(half), pa.array(rest), pa.array([t.tobytes() for t in own], pa.binary())], names=["doc_id", "half", "rest", "tokens"])
+    del wanted
+    drop_fetched(mask)
 
 
 def id_place(ids: np.ndarray, bits: int) -> np.ndarray:
