@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from skyweave import job_queries  # noqa: F401
 from skyweave.queries import oracle_sql, queries
 
 DATA = "/root/testdata/sf0.001"
