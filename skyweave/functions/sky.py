@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +66,14 @@ def healpix_nested(ra: Column, dec: Column, order: int) -> Column:
     f = F.when(belt, face).when(north, quarter).otherwise(quarter + 8)
 
     def spread(v: Column) -> Column:
-        bits = F.sequence(F.lit(0), F.lit(max(order - 1, 0)))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, k: acc + F.call_function("shiftleft", F.call_function("shiftright", v, k).bitwiseAND(F.lit(1).cast("long")), k * 2))
+        # bits move apart by halves: 16, 8, 4, 2, 1 places; transform gives each stage its value once
+        def apart(k: int) -> Callable[[Column], Column]:
+            mask = F.lit(sum(((1 << k) - 1) << at for at in range(0, 63, 2 * k)))
+            return lambda x: x.bitwiseOR(F.shiftleft(x, k)).bitwiseAND(mask)
+
+        for k in (16, 8, 4, 2, 1):
+            v = F.transform(F.array(v), apart(k))[0]
+        return v
 
     return F.shiftleft(f.cast("long"), 2 * order) + spread(x) + F.shiftleft(spread(y), 1)
 
