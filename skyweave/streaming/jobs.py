@@ -22,6 +22,7 @@ from ..operators import batches, filters, ingest, normalize, notify
 from ..sources import brokers
 from ..sources import files
 from ..sources.key_index import KeyIndex
+from ..sources.outbox import LoggedSender
 from ..sources.sinks import append_table, isolated, snapshot
 from ..sources.states import States
 
@@ -240,7 +241,8 @@ def dispatch_round(spark: SparkSession, tables: str, senders: dict[str, Callable
     """One tick: the oldest pending messages are sent by destination and their states stored; alerts whose messages are all sent become NOTIFIED.
 
     senders: from rows of a destination to their results (send_each, or
-    send_results of a writer). Messages of unknown destinations stay pending.
+    send_results of a writer, or a LoggedSender, which sends nothing twice when
+    a task or a round runs again). Messages of unknown destinations stay pending.
     What is stored are the results of this very sending: they are evaluated
     once, as they are written. Read are the messages that aren't sent, the
     matched alerts of the days of those that were, and changes since the last
@@ -255,6 +257,8 @@ def dispatch_round(spark: SparkSession, tables: str, senders: dict[str, Callable
             after = snapshot(notify.apply_send_results(rows, senders[name](rows), now), "sent")
             states.append(after.where("state <> 'pending'"))
             tried.append(notify.dispatch_counts(after))
+            if isinstance(senders[name], LoggedSender):
+                senders[name].settle(spark, states.current(spark, ["pending"]))
     touched = pending.select(cross.ALERT, F.to_date("alert_time").cast("string").alias("day")).distinct()  # at most `limit` objects
     days = {r[0] for r in touched.select("day").distinct().collect()}
     unsent = states.current(spark, ["pending", "failed"]).join(F.broadcast(touched.select(cross.ALERT)), cross.ALERT, "left_semi")
