@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import crossmatch as cross
+from .operators import notify
 from .plans import tables as t
 from .queries import _CANONICAL, _MATCH, ID, _now, _with, query
 from .schema import CatalogSpec
 from .sources import catalogs, files
+from .sources.outbox import LoggedSender
 from .sources.sinks import send_results, to_json_lines, work_folder
 from .streaming import jobs
 
@@ -109,6 +111,30 @@ def str5_jobs_to_the_end(spark: SparkSession, d: str) -> DataFrame:
     return jobs.alert_states(path).current(spark).select(ID, "status")
 
 
+def _refuses_tens():
+    """A receiver that takes all messages but those of every tenth object."""
+
+    def send(key: str, value: str) -> None:
+        if int(key) % 10 == 0:
+            raise ValueError("refused")
+
+    return send
+
+
+@query(_with(f"SELECT {ID}, CASE WHEN {ID} % 10 = 0 THEN 'failed' ELSE 'sent' END AS state, 1 AS attempts, CASE WHEN {ID} % 10 = 0 THEN 'refused' END AS last_error FROM best"))
+def snk2_logged_sends(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of all matches are sent by a dispatch that dies before it stores what came of them; the next one takes it over and sends none again."""
+    path = work_folder(spark, "outbox")
+    alerts = t.alerts(spark, d)
+    found = cross.crossmatch_catalogs(alerts, [t.catalog(spark, d, "dense")])
+    states = jobs.message_states(path)
+    states.append(notify.notification_rows(found, _now()).join(alerts.select(ID, F.col("ingest_time").alias("alert_time")), ID, "left"))
+    sender = LoggedSender(_refuses_tens, f"{path}/log", together=500)
+    sender(states.current(spark, ["pending"]))
+    jobs.dispatch_round(spark, path, {"hopskotch": sender}, _now(), limit=1_000_000)
+    return states.current(spark).select(ID, "state", "attempts", "last_error")
+
+
 _RUN = ("dense", "far")
 
 
