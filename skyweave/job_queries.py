@@ -14,6 +14,7 @@ from .sources import catalogs, files
 from .sources.outbox import LoggedSender
 from .sources.sinks import send_results, to_json_lines, work_folder
 from .streaming import jobs
+from .streaming.due import due_batches
 
 _DENSE = t.CATALOGS["dense"].format(text="VARCHAR")
 
@@ -111,6 +112,17 @@ def str5_jobs_to_the_end(spark: SparkSession, d: str) -> DataFrame:
     return jobs.alert_states(path).current(spark).select(ID, "status")
 
 
+@query("SELECT i AS batch, 100 AS n, 'count' AS due_by FROM range((SELECT count(*) // 100 FROM orders)) r(i)")
+def str3_due_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches that a stream of alerts makes due by count; what is left waits for its age."""
+    path = work_folder(spark, "due")
+    t.alerts(spark, d).repartition(12).write.parquet(f"{path}/in")
+    arrivals = spark.readStream.schema(f"{ID} long").option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    due = due_batches(arrivals, 100, 1e9, heartbeat=False)
+    due.writeStream.format("parquet").option("path", f"{path}/due").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/due").select("batch", "n", F.col("by").alias("due_by"))
+
+
 def _refuses_tens():
     """A receiver that takes all messages but those of every tenth object."""
 
