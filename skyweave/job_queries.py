@@ -11,6 +11,7 @@ from .plans import tables as t
 from .queries import _CANONICAL, _MATCH, ID, _now, _with, query
 from .schema import CatalogSpec
 from .sources import catalogs, files
+from .sources.landed import landed_stream
 from .sources.outbox import LoggedSender
 from .sources.sinks import send_results, to_json_lines, work_folder
 from .streaming import jobs
@@ -123,6 +124,21 @@ def str3_due_batches(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/due").select("batch", "n", F.col("by").alias("due_by"))
 
 
+@query(f"SELECT CAST(event_id AS VARCHAR) AS message_id, CAST(170055002004914000 + user_id AS VARCHAR) AS object_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published FROM events WHERE {t.BROKER} = 'pittgoogle'")
+def src6_landed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that a subscription landed in files, read by two runs of one stream."""
+    path = work_folder(spark, "landed")
+    body = F.to_json(F.struct(F.base64("value").alias("data"), "attributes", F.col("event_id").cast("string").alias("messageId"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("publishTime")))
+    rows = t.messages(spark, d).where("broker = 'pittgoogle'").select("event_id", body.alias("value"))
+    for part in (0, 1):
+        rows.where(F.col("event_id") % 2 == part).select("value").write.mode("append").text(f"{path}/in")
+        stream = landed_stream(spark, f"{path}/in", f"{path}/log")
+        stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    # the zone that messages are without is UTC, in the session as in the files
+    return out.select("message_id", F.col("attributes")["diaObject_diaObjectId"].alias("object_id"), F.date_format(F.to_utc_timestamp("timestamp", F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
 def _refuses_tens():
     """A receiver that takes all messages but those of every tenth object."""
 
