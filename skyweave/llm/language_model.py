@@ -301,6 +301,25 @@ def _draw_parent(batches: Iterator[pa.RecordBatch], sweep: int, d: float, theta:
         yield from t.set_column(t.column_names.index("tables"), "tables", pa.array(new.astype(np.int64))).to_batches(BLOCK)
 
 
+def _hot_words(found: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    """Listed words in order, p and b with a row for each averaged round."""
+    t = pa.Table.from_batches(list(found)).sort_by("w")
+    several = lambda x: np.stack([t[c].to_numpy() for c in t.column_names if c[0] == x and c[1:].isdigit()])
+    return {"w": t["w"].to_numpy(), "log_c": np.log10(t["c"].to_numpy() + 1.0), "room": t["room"].to_numpy(), "p": several("p"), "b": several("b")}
+
+
+def _gains(batches: Iterator[pa.RecordBatch], words_file: str, d: float) -> Iterator[pa.RecordBatch]:
+    """(u, w, gain_train, gain_held, c) of pairs (u, w, n, rare, tables) of listed words."""
+    common = fetched(words_file, _hot_words, BLOCK)
+    for t in _blocks(batches):
+        u, w, n, tables = (t[c].to_numpy() for c in ("u", "w", "n", "tables"))
+        i, j = place_of(u, common["w"]), place_of(w, common["w"])
+        shared = (common["b"][:, i] * common["p"][:, j]).mean(axis=0)
+        own = np.log10(n - d * tables + shared)  # the room of the context is that of what it is less
+        train, held = np.where(n == 1, 0.0, own - np.log10(1 - d + shared)), own - np.log10(shared)
+        yield from pa.table({"u": u, "w": w, "gain_train": train, "gain_held": held, "c": np.zeros(len(u), np.int64)}).to_batches(BLOCK)
+
+
 @dataclass
 class Seats:
     """What a text's pairs meet.
@@ -309,13 +328,13 @@ class Seats:
     with u and w of the few that occur most: the log10 of the pair's
     probability, less what it would be had it one customer (for texts that
     train) or none (for others); whole, and the training tokens c of w, for
-    pairs with a word that isn't listed. words: (w, c, p..., room, b...) of the
-    listed words, as words and as contexts.
+    pairs with a word that isn't listed. words: the file, for `fetched`, with
+    (w, c, p..., room, b...) of the listed words, as words and as contexts.
     """
 
     pairs: DataFrame
     hot: DataFrame
-    words: DataFrame
+    words: str
     tokens: int
     kinds: int
     d: float
@@ -399,20 +418,26 @@ def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3,
         return met.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in nothing.items()})
 
     total = sum((F.col(f"s{k}") for k in samples), F.lit(0)) / (sweeps * len(samples))
+    names = common.union(spark.createDataFrame([(END,), (BEGIN,)], "w long")).distinct()
+    words = written(valued(names.withColumn("u", F.col("w"))).select("w", "c", *(f"p{k}" for k in samples), "room", *(f"b{k}" for k in samples)), "lm-common-words")
+    words_file = spread(words, "lm-hot-words")
+    forget(spark, words, parent, words_of, contexts)
     seats = state.select("u", "w", "n", "rare", total.alias("tables")).union(table.where("n < 2").select("u", "w", "n", "rare", F.col("n").cast("double").alias("tables")))
     shared = sum((F.col(f"b{k}") * F.col(f"p{k}") for k in samples), F.lit(0.0)) / len(samples)
-    log_p, as_one, as_none = (F.log10((x + shared) / F.col("room")) for x in (F.col("n") - d * F.col("tables"), F.lit(1 - d), F.lit(0.0)))
-    gain = lambda less: F.when(F.col("rare") > 0, log_p).otherwise(log_p - less)
+    log_p = F.log10((F.col("n") - d * F.col("tables") + shared) / F.col("room"))
     least = least_count(table.select("n"), hot_pairs)
     pair = F.xxhash64("u", "w").alias("pair")
-    gains = (F.when((F.col("n") == 1) & (F.col("rare") == 0), 0.0).otherwise(gain(as_one)).alias("gain_train"), gain(as_none).alias("gain_held"), F.when(F.col("rare") >= 2, F.col("c")).otherwise(0).alias("c"))
-    done = written(valued(seats.where(F.col("n") < least)).select(pair, *gains), "lm-pairs")
-    hot = written(valued(seats.where(F.col("n") >= least)).select("u", "w", *gains), "lm-hot-pairs")
-    ends = spark.createDataFrame([(END,), (BEGIN,)], "w long")
-    names = common.union(ends).distinct()
-    words = written(valued(names.withColumn("u", F.col("w"))).select("w", "c", *(f"p{k}" for k in samples), "room", *(f"b{k}" for k in samples)), "lm-common-words")
-    forget(spark, state, table, parent, word, context, words_of, contexts)
-    return Seats(done, hot, words, tokens, kinds, d)
+    gains = (log_p.alias("gain_train"), log_p.alias("gain_held"), F.when(F.col("rare") >= 2, F.col("c")).otherwise(0).cast("long").alias("c"))
+
+    def gained(own: DataFrame) -> DataFrame:
+        """(u, w, gain_train, gain_held, c): pairs of listed words take the values of the fetched file, only the others meet the tables of words and contexts."""
+        of_listed = own.where("rare = 0").mapInArrow(lambda it: _gains(it, words_file, d), "u long, w long, gain_train double, gain_held double, c long")
+        return of_listed.union(valued(own.where("rare > 0")).select("u", "w", *gains))
+
+    done = written(gained(seats.where(F.col("n") < least)).select(pair, "gain_train", "gain_held", "c"), "lm-pairs")
+    hot = written(gained(seats.where(F.col("n") >= least)), "lm-hot-pairs")
+    forget(spark, state, table, word, context)
+    return Seats(done, hot, words_file, tokens, kinds, d)
 
 
 # -- scoring ----------------------------------------------------------------------------------
@@ -428,13 +453,6 @@ def _hot_pairs(found: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
     return {"key": key[order], **{c: x[order] for c, x in out.items()}}
 
 
-def _hot_words(found: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-    """Listed words in order, p and b with a row for each averaged round."""
-    t = pa.Table.from_batches(list(found)).sort_by("w")
-    several = lambda x: np.stack([t[c].to_numpy() for c in t.column_names if c[0] == x and c[1:].isdigit()])
-    return {"w": t["w"].to_numpy(), "log_c": np.log10(t["c"].to_numpy() + 1.0), "room": t["room"].to_numpy(), "p": several("p"), "b": several("b")}
-
-
 _TEXT = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
@@ -488,8 +506,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs, learnt from the folds that aren't held out."""
     rows = text_rows(docs, id_col, text_col).withColumn("trains", remainder("doc_id", folds) != held_fold)
     model = seat(rows, rounds=rounds, sweeps=sweeps, hot_words=hot_words, hot_pairs=hot_pairs)
-    pairs_file, words_file, d = spread(model.hot, "lm-hot"), spread(model.words, "lm-hot-words"), model.d
-    forget(docs.sparkSession, model.hot, model.words)
+    pairs_file, words_file, d = spread(model.hot, "lm-hot"), model.words, model.d
+    forget(docs.sparkSession, model.hot)
     pair = F.xxhash64("u", "w").alias("pair")
     asked = rows.mapInArrow(lambda it: _asked(it, words_file, pairs_file, d), "key long, u long, w long, n int, text struct<doc_id:long,n_tokens:long,n_known:long,base:double,score:double>")
     known = model.pairs.hint("shuffle_hash")
