@@ -405,7 +405,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if(below is null or band < 0, array(), transform(sequence(0, coalesce(below, 1) - 1), k -> named_struct('band', band - 1, 'p', k, 'q', block, 'side', 1, 'next', 1))))""")
     work = placed.select("node", "half", "rest", "doc_id", "cell", F.explode(tasks).alias("t")).select("node", "half", "rest", "doc_id", F.xxhash64("cell", "t.band", "t.p", "t.q", "t.next").alias("task"), "t.side")
     joined = again.join(work, ["doc_id", "half", "rest"]).select("task", "side", "node", "tokens").repartition("task").sortWithinPartitions("task", "side")
-    links = joined.mapInPandas(lambda it: _compare(it, percent), "a long, b long")
+    # written first: a task with two Python steps, one on the other, holds two workers, and each of them lives on
+    links = written(joined.mapInPandas(lambda it: _compare(it, percent), "a long, b long"), "jaccard-similar")
     groups = components(links, "jaccard-links").toDF("node", "group")
     linked = written(keepers.select("node", "half", "rest").join(groups, "node").select("half", "rest", "group"), "jaccard-linked")
 
@@ -415,7 +416,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = ["many", "group", "part"]
     low = known.where("group is not null and part is not null").groupBy(*keys).agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     low = written(low, "jaccard-lowest")
-    forget(docs.sparkSession, found, edges, cells, keepers, weights, blocks, linked)
+    forget(docs.sparkSession, found, edges, cells, keepers, weights, blocks, links, linked)
     out = known.join(low, keys, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
 

@@ -486,7 +486,10 @@ def grown(strings: DataFrame, sizes: dict[Model, int], alpha: float = 0.05) -> d
 
     def named(tails: DataFrame, names: list[tuple[int, int, int, int]]) -> DataFrame:
         """The rows of some edges, with a name each."""
-        return tails.join(F.broadcast(spark.createDataFrame(names, "g int, left int, edge long, other long")), [*key, "edge"])
+        g, left, edge, other = zip(*names, strict=True)
+        # from Arrow: a list of tuples would go through workers of a second kind in the executors
+        rows = spark.createDataFrame(pa.table({"g": pa.array(g, pa.int32()), "left": pa.array(left, pa.int32()), "edge": pa.array(edge, pa.int64()), "other": pa.array(other, pa.int64())}))
+        return tails.join(F.broadcast(rows), [*key, "edge"])
 
     made = [next_tails(dict.fromkeys(sizes))]
     steps = {m: np.full((2, 128), -1, np.int64) for m in sizes}
