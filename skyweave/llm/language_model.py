@@ -284,6 +284,11 @@ def place_numbers(key: np.ndarray, places: int) -> np.ndarray:
     return at.astype(np.uint16 if places < 1 << 16 else np.int32)
 
 
+def wide(places: int) -> int:
+    """How many places words, and texts, have: fewer and larger ones than contexts, so that fewer blocks go between them."""
+    return max(8, places // 6)
+
+
 def dealt(place: np.ndarray, kind: int, *columns: np.ndarray, runs: np.ndarray | None = None) -> Iterator[Row]:
     """A row for each place; runs: a column that goes first as values and how often each comes one after another."""
     if not len(place):
@@ -324,6 +329,7 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 2_000, size: int = 4
         if held and (sum(b.num_rows for b in held) + batch.num_rows > rows or sum(b.nbytes for b in held) + batch.nbytes > size):
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
             held = []
+            pa.default_memory_pool().release_unused()
         held.append(batch)
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
@@ -386,10 +392,10 @@ def _tally(batches: Iterator[pa.RecordBatch], listed: str, heavy: np.ndarray, pl
             yield place, SEATED, [own[some], times[some], single[some], types[some], w[several], n[several].astype(I4), np.ones(int(several.sum()), I4)]
             yield place, REST, [own, np.bincount(at[other], minlength=len(own)).astype(I4), seen, single, w[other], n[other].astype(np.int8)]
             names, back = np.unique(w[n > 0], return_inverse=True)
-            yield from dealt(place_numbers(names, places), WORDS, names, *(np.bincount(back, weights=x, minlength=len(names)).astype(I8) for x in (n[n > 0], n[n > 0] == 1, np.ones(len(back)))))
+            yield from dealt(place_numbers(names, wide(places)), WORDS, names, *(np.bincount(back, weights=x, minlength=len(names)).astype(I8) for x in (n[n > 0], n[n > 0] == 1, np.ones(len(back)))))
             asks = np.unique(w[several & rare_w])
             for kind, names in ((ASKS, asks), (MORE_ASKS, np.setdiff1d(w[other & rare_w], asks))):
-                yield from dealt(place_numbers(names, places), kind, names, np.full(len(names), place, I4))
+                yield from dealt(place_numbers(names, wide(places)), kind, names, np.full(len(names), place, I4))
             split = np.isin(own, heavy)
             yield place, HEAVY, [own[split], seen[split], single[split], types[split]]
             yield place, SUMS, [np.array([n.sum(), (n == 1).sum(), (n > 0).sum(), (n == 2).sum()], I8)]
@@ -556,7 +562,7 @@ def _draw_seats(batches: Iterator[pa.RecordBatch], sweeps: range, d: float, thet
             below = np.bincount(back, weights=tables, minlength=len(names)).astype(I4)
             cut = np.isin(u, split.u)
             mine = (np.bincount(at, weights=x, minlength=len(u))[cut].astype(I8) for x in (tables, total))
-            yield from packed([(place, SEATED, [u, times, single, types, w, n, tables, *sums, *[total] * keep]), *dealt(place_numbers(names, places), BELOW, names, below), (place, HEAVY, [u[cut], *mine])])
+            yield from packed([(place, SEATED, [u, times, single, types, w, n, tables, *sums, *[total] * keep]), *dealt(place_numbers(names, wide(places)), BELOW, names, below), (place, HEAVY, [u[cut], *mine])])
 
 
 def _kept(batches: Iterator[pa.RecordBatch], p_file: str, listed: str, unseen: list[float], split: Split, drawn: list[Split], d: float, theta: float, sweeps: int) -> Iterator[pa.RecordBatch]:
@@ -745,7 +751,7 @@ def _hot_pairs(found: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
 
 def text_places(key: np.ndarray, places: int) -> np.ndarray:
     """Where the sums of a text meet: texts that were read together go together."""
-    return place_numbers(key >> 11, places)
+    return place_numbers(key >> 11, wide(places))
 
 
 def _asked(batches: Iterator[pa.RecordBatch], words_file: str, pairs_file: str, d: float, heavy: np.ndarray, places: int) -> Iterator[pa.RecordBatch]:
@@ -794,7 +800,7 @@ def _asked(batches: Iterator[pa.RecordBatch], words_file: str, pairs_file: str,
             number += rows
 
 
-def _met(batches: Iterator[pa.RecordBatch], words_file: str, d: float, draws: int, places: int, group: int = 64) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch], words_file: str, d: float, draws: int, places: int, group: int = 1024) -> Iterator[pa.RecordBatch]:
     """TEXT rows as they are, and GAIN (key, score) and KNOWN (key, tokens, base) rows of what the postings of a place get from its kept pairs."""
     common = fetched(words_file, _hot_words, BLOCK)
     for place, found in by_place(batches):
