@@ -758,7 +758,7 @@ def _asked(batches: Iterator[pa.RecordBatch], words_file: str, pairs_file: str,
     """TEXT rows (key, doc_id, whether it is one, tokens, known ones, base, score), with what the fetched files give, and POSTING rows (first key; u, times; w, text, n) of the pairs that may be kept. A text's key is odd if it trains."""
     common, pairs = fetched(words_file, _hot_words, BLOCK), fetched(pairs_file, _hot_pairs, BLOCK)
     number = TaskContext.get().partitionId() << 39
-    for batch in gathered(batches):
+    for batch in gathered(batches, size=2_000_000):
         for part in chunks(batch.column(1), CHUNK):
             context, dish, text, names = coded(batch.column(1)[part.start : part.stop])
             trains = batch.column(2)[part.start : part.stop].to_numpy(zero_copy_only=False).astype(bool)
