@@ -50,10 +50,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fetched, forget, remainder, spread, text_rows, written
+from .common import fetched, forget, remainder, settings, spread, text_rows, written
 from .text import chunks, words
 
 EXACT, FEW = 64, 16
+#: Dishes of so many customers are drawn together.
+BANDS = ((2, 2), (3, 3), (4, 4), (5, 6), (7, 10), (11, FEW), (FEW + 1, 24), (25, 36), (37, EXACT))
 CHUNK = 4_000_000
 
 
@@ -81,23 +83,34 @@ def log_stirling(d: float) -> np.ndarray:
     return s
 
 
+@lru_cache(maxsize=4)
+def likelier(d: float) -> np.ndarray:
+    """How much likelier k + 1 tables than k are for n customers up to FEW, before base and restaurant count; 0 for more tables than customers."""
+    out = np.zeros((FEW + 1, FEW))
+    for n in range(1, FEW + 1):
+        out[n, 1:n] = np.exp(np.diff(log_stirling(d)[n, 1 : n + 1]))
+    return out
+
+
 def draw_tables(keys: np.ndarray, sweep: int, customers: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float) -> np.ndarray:
     """Tables of each dish, given the parent's probability of it and the other tables of its restaurant."""
     tables = np.ones(len(customers))
     u = uniform(keys, sweep)
     stirling = log_stirling(d)
     log_base = np.log(base)
-    for c in np.unique(customers[(customers > 1) & (customers <= EXACT)]):
-        rows = np.flatnonzero(customers == c)
-        for at in range(0, len(rows), 5_000):
-            r = rows[at : at + 5_000]
+    small = np.minimum(customers, EXACT + 1).astype(np.uint8)
+    order = np.argsort(small, kind="stable")
+    edges = np.searchsorted(small[order], np.arange(EXACT + 2))
+    for low, c in BANDS:
+        for at in range(edges[low], edges[c + 1], 5_000):
+            r = order[at : min(at + 5_000, edges[c + 1])]
             k = np.arange(c)
-            if c <= FEW:  # how much likelier a table more is, without logarithms
+            if c <= FEW:  # without logarithms
                 p = np.ones((len(r), c))
-                p[:, 1:] = np.exp(np.diff(stirling[c, 1 : c + 1])) * base[r, None] * (theta + d * (others[r, None] + k[1:]))
+                p[:, 1:] = likelier(d)[customers[r], 1:c] * base[r, None] * (theta + d * (others[r, None] + k[1:]))
                 p = np.cumsum(np.cumprod(p, axis=1), axis=1)
             else:
-                logs = stirling[c, 1 : c + 1] + log_base[r, None] * (k + 1) + np.cumsum(np.log(theta + d * (others[r, None] + k)), axis=1)
+                logs = stirling[customers[r], 1 : c + 1] + log_base[r, None] * (k + 1) + np.cumsum(np.log(theta + d * (others[r, None] + k)), axis=1)
                 p = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
             tables[r] = 1 + (p < u[r, None] * p[:, -1:]).sum(axis=1)
     r = np.flatnonzero(customers > EXACT)
@@ -220,9 +233,13 @@ def _listed(found: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
 
 
 def place_of(names: np.ndarray, sorted_names: np.ndarray) -> np.ndarray:
-    """Places in the sorted names, -1 for those that aren't there."""
-    at = np.minimum(np.searchsorted(sorted_names, names), len(sorted_names) - 1)
-    return np.where(sorted_names[at] == names, at, -1)
+    """Places in the sorted names, -1 for those that aren't there. They are looked up in order, which is several times as fast."""
+    order = np.argsort(names)
+    names = names[order]
+    near = np.minimum(np.searchsorted(sorted_names, names), len(sorted_names) - 1)
+    at = np.empty(len(names), np.int64)
+    at[order] = np.where(sorted_names[near] == names, near, -1)
+    return at
 
 
 # -- rows of blocks -----------------------------------------------------------------------------
@@ -236,6 +253,16 @@ PLACE_TOKENS = 400_000
 #: Rows that Python gets at a time: a row of blocks may have 1 MB.
 BATCH_ROWS = 100
 
+#: For rows that may have 1 MB. Spark's writers look at the size of pages and row groups after 100 rows, its readers hold 4,096 rows and give Python up to 64 MB at a time.
+LARGE_ROWS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4000000",
+    "spark.sql.parquet.columnarReaderBatchSize": "64",
+    "parquet.block.size": "8000000",
+    "parquet.block.size.row.check.min": "1",
+    "parquet.page.size.row.check.min": "1",
+    "parquet.enable.dictionary": "false",
+}
+
 Row = tuple[int, int, list[np.ndarray]]
 
 
@@ -373,26 +400,26 @@ def _tally(batches: Iterator[pa.RecordBatch], listed: str, heavy: np.ndarray, pl
     known = fetched(listed, _listed, BLOCK)["w"]
     for place, found in by_place(batches):
         u, times, w, n = arrays(found.pop(SEEN), I8, I4, I8, I4)
-        u = np.repeat(u, times)
-        order = np.lexsort((w, u))
-        u, w, n = u[order], w[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
-        u, w, asked, n = u[first], w[first], np.add.reduceat(n < 0, first, dtype=I8) > 0, np.add.reduceat(np.maximum(n, 0), first, dtype=I8)
-        head = starts(u)
-        at = np.repeat(np.arange(len(head)), np.diff(head, append=len(u)))
-        own = u[head]
+        own, at = np.unique(u, return_inverse=True)
+        names, word = np.unique(w, return_inverse=True)
+        key = (np.repeat(at, times) << 32) | word
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        first = starts(key)
+        at, word, asked, n = key[first] >> 32, key[first] & 0xFFFFFFFF, np.add.reduceat(n < 0, first, dtype=I8) > 0, np.add.reduceat(np.maximum(n, 0), first, dtype=I8)
+        w = names[word]
         seen, single, types = (np.bincount(at, weights=x, minlength=len(own)).astype(I8) for x in (n, n == 1, n > 0))
-        rare_w = place_of(w, known) < 0
+        rare_w = (place_of(names, known) < 0)[word]
         several = n >= 2
         other = ~several & (((n == 1) & asked) | rare_w | (place_of(own, known) < 0)[at])
 
-        def rows(place=place, u=u, w=w, n=n, at=at, own=own, seen=seen, single=single, types=types, rare_w=rare_w, several=several, other=other) -> Iterator[Row]:
+        def rows(place=place, w=w, n=n, at=at, own=own, names=names, word=word, seen=seen, single=single, types=types, rare_w=rare_w, several=several, other=other) -> Iterator[Row]:
             times = np.bincount(at[several], minlength=len(own)).astype(I4)
             some = times > 0
             yield place, SEATED, [own[some], times[some], single[some], types[some], w[several], n[several].astype(I4), np.ones(int(several.sum()), I4)]
             yield place, REST, [own, np.bincount(at[other], minlength=len(own)).astype(I4), seen, single, w[other], n[other].astype(np.int8)]
-            names, back = np.unique(w[n > 0], return_inverse=True)
-            yield from dealt(place_numbers(names, wide(places)), WORDS, names, *(np.bincount(back, weights=x, minlength=len(names)).astype(I8) for x in (n[n > 0], n[n > 0] == 1, np.ones(len(back)))))
+            tokens, ones, pairs = (np.bincount(word, weights=x, minlength=len(names)).astype(I8) for x in (n, n == 1, n > 0))
+            yield from dealt(place_numbers(names[pairs > 0], wide(places)), WORDS, *(x[pairs > 0] for x in (names, tokens, ones, pairs)))
             asks = np.unique(w[several & rare_w])
             for kind, names in ((ASKS, asks), (MORE_ASKS, np.setdiff1d(w[other & rare_w], asks))):
                 yield from dealt(place_numbers(names, wide(places)), kind, names, np.full(len(names), place, I4))
@@ -552,13 +579,14 @@ def _draw_seats(batches: Iterator[pa.RecordBatch], sweeps: range, d: float, thet
     for place, found in by_place(batches):
         for parts in found[SEATED]:
             u, times, single, types, w, n, old, *sums = arrays([parts], I8, I4, I8, I8, I8, *[I4] * (len(parts) - 5))
-            _, (p,) = p_of(w, common, found[ANSWER], [unseen])
+            names, back = np.unique(w, return_inverse=True)
+            _, (p,) = p_of(names, common, found[ANSWER], [unseen])
+            p = p[back]
             at = np.repeat(np.arange(len(u)), times)
             here = np.bincount(at, weights=old, minlength=len(u))
             all_tables = tables_of.of("tables", u, single + here)
             tables, total = swept(at, _mixed(u[at], w), n, old, p, all_tables - here, d, theta, sweeps) if len(u) else (old, old)
             tables, total = tables.astype(I4), total.astype(I4)
-            names, back = np.unique(w, return_inverse=True)
             below = np.bincount(back, weights=tables, minlength=len(names)).astype(I4)
             cut = np.isin(u, split.u)
             mine = (np.bincount(at, weights=x, minlength=len(u))[cut].astype(I8) for x in (tables, total))
@@ -856,16 +884,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     turns: so many parts of the texts meet the kept pairs one after another, so that the pairs of a part alone are on disk.
     """
+    spark = docs.sparkSession
     rows = text_rows(docs, id_col, text_col, BATCH_ROWS).withColumn("trains", remainder("doc_id", folds) != held_fold)
-    model = seat(rows, rounds=rounds, sweeps=sweeps, hot_words=hot_words, hot_pairs=hot_pairs)
-    pairs_file, words_file, d, draws, heavy, places = spread(model.hot, "lm-hot"), model.words, model.d, model.draws, model.heavy, model.places
-    forget(docs.sparkSession, model.hot)
-    parts = []
-    for turn in range(turns):
-        asked = rows.where(remainder("doc_id", turns) == turn).mapInArrow(lambda it: _asked(it, words_file, pairs_file, d, heavy, places), ROW)
-        sums = met(asked.union(of_kind(model.blocks, KEPT))).mapInArrow(lambda it: _met(it, words_file, d, draws, places), ROW)
-        parts.append(written(met(sums).mapInArrow(_whole, "doc_id long, n_tokens long, n_known long, base double, score double"), "lm-scores"))
-    forget(docs.sparkSession, model.blocks)
+    with settings(spark, LARGE_ROWS):
+        model = seat(rows, rounds=rounds, sweeps=sweeps, hot_words=hot_words, hot_pairs=hot_pairs)
+        pairs_file, words_file, d, draws, heavy, places = spread(model.hot, "lm-hot"), model.words, model.d, model.draws, model.heavy, model.places
+        forget(spark, model.hot)
+        parts = []
+        for turn in range(turns):
+            asked = rows.where(remainder("doc_id", turns) == turn).mapInArrow(lambda it: _asked(it, words_file, pairs_file, d, heavy, places), ROW)
+            sums = met(asked.union(of_kind(model.blocks, KEPT))).mapInArrow(lambda it: _met(it, words_file, d, draws, places), ROW)
+            parts.append(written(met(sums).mapInArrow(_whole, "doc_id long, n_tokens long, n_known long, base double, score double"), "lm-scores"))
+        forget(spark, model.blocks)
     whole = reduce(DataFrame.union, parts)
     floor = float(np.log10(model.tokens + model.kinds + 1.0))
     return whole.select("doc_id", (remainder("doc_id", folds) == held_fold).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * floor).alias("base_score"), "score")
