@@ -736,7 +736,7 @@ def seat(rows: DataFrame, theta: float = 1.0, rounds: int = 3, sweeps: int = 3,
     forget(spark, found, seated, parent)
     contexts = of_kind(kept, CONTEXT).mapInArrow(lambda it: _context_rows(it, len(samples)), "w long, room double, " + ", ".join(f"b{k} double" for k in samples))
     contexts = contexts.groupBy("w").agg(*(F.first(c).alias(c) for c in ("room", *(f"b{k}" for k in samples))))
-    names = common.union(spark.createDataFrame([(END,), (BEGIN,)], "w long")).distinct()
+    names = common.union(spark.range(END, BEGIN + 1).toDF("w")).distinct()  # a list of tuples would start workers of a second kind
     nothing = {"c": 0, "room": theta} | {f"b{k}": theta for k in samples} | {f"p{k}": unseen[k - 1] for k in samples}
     words = names.join(p_rows, "w", "left").join(contexts, "w", "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in nothing.items()})
     words_file, draws = spread(words.select("w", "c", *(f"p{k}" for k in samples), "room", *(f"b{k}" for k in samples)), "lm-hot-words"), sweeps * len(samples)

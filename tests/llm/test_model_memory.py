@@ -5,6 +5,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark import SparkContext
 
 from skyweave.llm import language_model
 
@@ -54,3 +55,12 @@ def test_places_of_words_in_any_order():
     names = np.array([5, -3, 9, 9, 1 << 62, 0, -(1 << 62)])
     assert language_model.place_of(names, np.array([-3, 0, 9])).tolist() == [-1, 0, 2, 2, -1, 1, -1]
     assert language_model.place_of(names[:0], np.array([1])).tolist() == []
+
+
+def test_seats_start_no_workers_of_a_second_kind(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"a b c d{k}", k % 3 > 0) for k in range(20)], "doc_id long, text string, trains boolean")
+    made, parallelize = [], SparkContext.parallelize
+    monkeypatch.setattr(SparkContext, "parallelize", lambda self, *a, **b: made.append(a) or parallelize(self, *a, **b))
+    seats = language_model.seat(rows)
+    assert not made
+    assert seats.tokens > 0 and seats.pairs.count() > 0
