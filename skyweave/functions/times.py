@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 
 def from_mjd(mjd: Column) -> Column:
-    """UTC timestamp of a modified Julian date; the offset of TAI is ignored on purpose. NaN and null give null."""
-    return F.timestamp_micros(F.when(~F.isnan(mjd), F.round((mjd - 40587) * F.lit(86400e6))).cast("long"))
+    """UTC timestamp of a modified Julian date; the offset of TAI is ignored on purpose. NaN and null give null.
+
+    Whole days and the rest are multiplied apart: both are exact then, and a time
+    that was made into a double is found again to the microsecond (until 2038).
+    """
+    days = F.floor(mjd).cast("double")
+    micros = (days - 40587) * F.lit(86400e6) + F.round((mjd - days) * F.lit(86400e6))
+    return F.timestamp_micros(F.when(~F.isnan(mjd), micros).cast("long"))
 
 
 def from_unix(seconds: Column) -> Column:

@@ -216,3 +216,13 @@ def test_adaptive_tiles_hold_few(spark):
     tiles = batches.adaptive_tiles(df, 50, highest=6)
     assert tiles.count() == 800
     assert tiles.groupBy("tile_order", "tile").count().where("count > 50 and tile_order < 6").count() == 0
+
+
+def test_times_of_julian_dates_are_found_to_the_microsecond(spark):
+    """Times around half a second, which would go to another second if they were a microsecond off."""
+    micros = F.lit(1_704_067_200_499_998) + F.col("id") % 4 + F.col("id") * 7_000_000
+    mjd = micros.cast("double") / F.lit(86400e6) + F.lit(40587.0)
+    off = spark.range(100_000).select(micros.alias("at"), F.unix_micros(from_mjd(mjd)).alias("found")).where("at <> found")
+    assert off.count() == 0
+    known = spark.range(1).select(*(from_mjd(F.lit(x)).cast("string").alias(f"c{k}") for k, x in enumerate((40587.0, 60000.5, 40586.25)))).first()
+    assert tuple(known) == ("1970-01-01 00:00:00", "2023-02-25 12:00:00", "1969-12-31 06:00:00")
