@@ -159,7 +159,7 @@ def snk2_logged_sends(spark: SparkSession, d: str) -> DataFrame:
     states.append(notify.notification_rows(found, _now()).join(alerts.select(ID, F.col("ingest_time").alias("alert_time")), ID, "left"))
     sender = LoggedSender(_refuses_tens, f"{path}/log", together=500)
     sender(states.current(spark, ["pending"]))
-    jobs.dispatch_round(spark, path, {"hopskotch": sender}, _now(), limit=1_000_000)
+    jobs.dispatch_round(spark, path, {"hopskotch": sender}, _now(), limit=None)
     return states.current(spark).select(ID, "state", "attempts", "last_error")
 
 

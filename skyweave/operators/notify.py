@@ -18,9 +18,10 @@ def notification_rows(matches: DataFrame, now: Column, destination: str = "hopsk
     return matches.select(key.alias(KEY), ALERT, "catalog_name", "catalog_source_id", "match_version", F.lit(destination).alias("destination"), body.alias("payload"), F.lit("pending").alias("state"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("last_error"), now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("timestamp").alias("sent_at"))
 
 
-def select_pending(notifications: DataFrame, limit: int = 500) -> DataFrame:
-    """The oldest pending messages."""
-    return notifications.where("state = 'pending'").orderBy("created_at", KEY).limit(limit)
+def select_pending(notifications: DataFrame, limit: int | None = 500) -> DataFrame:
+    """The oldest pending messages, or all of them."""
+    pending = notifications.where("state = 'pending'")
+    return pending if limit is None else pending.orderBy("created_at", KEY).limit(limit)
 
 
 def route(notifications: DataFrame, writers: dict[str, Callable[[DataFrame], DataFrame]]) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -237,9 +237,10 @@ def run_batch(spark: SparkSession, tables: str, catalogs: list[DataFrame], now:
     return run
 
 
-def dispatch_round(spark: SparkSession, tables: str, senders: dict[str, Callable[[DataFrame], DataFrame]], now: Column, limit: int = 500) -> DataFrame:
+def dispatch_round(spark: SparkSession, tables: str, senders: dict[str, Callable[[DataFrame], DataFrame]], now: Column, limit: int | None = 500) -> DataFrame:
     """One tick: the oldest pending messages are sent by destination and their states stored; alerts whose messages are all sent become NOTIFIED.
 
+    limit: how many are sent at most, the rest with later ticks; None: all of them now.
     senders: from rows of a destination to their results (send_each, or
     send_results of a writer, or a LoggedSender, which sends nothing twice when
     a task or a round runs again). Messages of unknown destinations stay pending.
@@ -260,11 +261,12 @@ def dispatch_round(spark: SparkSession, tables: str, senders: dict[str, Callable
             if isinstance(senders[name], LoggedSender):
                 senders[name].settle(spark, states.current(spark, ["pending"]))
     touched = pending.select(cross.ALERT, F.to_date("alert_time").cast("string").alias("day")).distinct()  # at most `limit` objects
+    few = F.broadcast if limit is not None and limit <= cross.BROADCAST_ALERTS else lambda rows: rows  # else Spark joins as it sees fit
     days = {r[0] for r in touched.select("day").distinct().collect()}
-    unsent = states.current(spark, ["pending", "failed"]).join(F.broadcast(touched.select(cross.ALERT)), cross.ALERT, "left_semi")
+    unsent = states.current(spark, ["pending", "failed"]).join(few(touched.select(cross.ALERT)), cross.ALERT, "left_semi")
     done = notify.sent_objects(touched, unsent)
     matched = alerts.current(spark, [batches.MATCHED], None if None in days else sorted(days))
-    alerts.append(batches.status_changes(matched.join(F.broadcast(done), cross.ALERT, "left_semi"), batches.NOTIFIED, now, 3))
+    alerts.append(batches.status_changes(matched.join(few(done), cross.ALERT, "left_semi"), batches.NOTIFIED, now, 3))
     counts = [tuple(r) for c in tried for r in c.collect()]
     return spark.createDataFrame(counts, "destination string, n_sent long, n_failed long, n_pending long")
 
@@ -288,7 +290,7 @@ def batch_job(spark: SparkSession, tables: str, catalogs: list[DataFrame], check
     return every(spark, seconds, lambda: _alone(spark, f"{tables}/batch.lock", lambda: run_batch(spark, tables, catalogs, clock(), **options)), checkpoint)
 
 
-def dispatch_job(spark: SparkSession, tables: str, senders: dict[str, Callable[[DataFrame], DataFrame]], checkpoint: str, clock: Callable[[], Column] = F.current_timestamp, seconds: float = 10, limit: int = 500) -> StreamingQuery:
+def dispatch_job(spark: SparkSession, tables: str, senders: dict[str, Callable[[DataFrame], DataFrame]], checkpoint: str, clock: Callable[[], Column] = F.current_timestamp, seconds: float = 10, limit: int | None = 500) -> StreamingQuery:
     return every(spark, seconds, lambda: _alone(spark, f"{tables}/dispatch.lock", lambda: dispatch_round(spark, tables, senders, clock(), limit)), checkpoint)
 
 

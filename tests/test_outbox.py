@@ -140,3 +140,27 @@ def test_a_task_that_is_run_again_sends_nothing_twice(tmp_path):
     out = subprocess.run([sys.executable, "-c", script], env=env, capture_output=True, text=True, timeout=240)
     assert out.stdout.strip().endswith("[('n003', False), ('n011', False)]"), out.stderr[-2000:]
     assert got(tmp_path) == list(range(20))
+
+
+def test_a_round_without_a_limit_leaves_nothing(spark, tmp_path):
+    """More messages than a tick takes: all are sent and stored at once, of alerts of two days."""
+    tables = str(tmp_path / "tables")
+    rows = messages(spark, range(1200)).withColumn("alert_time", F.timestamp_seconds(F.lit(1_600_000_000) + F.col(ID) % 2 * 86400))
+    jobs.message_states(tables).append(rows)
+    alerts = rows.select(ID, F.lit(None).cast("string").alias("uuid"), F.lit(0.0).alias("ra_deg"), F.lit(0.0).alias("dec_deg"), F.col("alert_time").alias("ingest_time"))
+    jobs.alert_states(tables).append(jobs.batches.status_changes(alerts, "MATCHED", at(0), 2))
+    sender = LoggedSender(to_folder(tmp_path, fails_at=("7",)), str(tmp_path / "log"), together=100)
+    counts = jobs.dispatch_round(spark, tables, {"hopskotch": sender}, at(1), limit=None).agg(*(F.sum(c) for c in ("n_sent", "n_failed", "n_pending"))).first()
+    assert tuple(counts) == (1199, 1, 0)
+    assert got(tmp_path) == [k for k in range(1200) if k != 7]
+    assert {(r.status, r["count"]) for r in jobs.alert_states(tables).current(spark).groupBy("status").count().collect()} == {("NOTIFIED", 1199), ("MATCHED", 1)}
+
+
+def test_the_query_of_logged_sends_has_no_limit(spark, monkeypatch):
+    from skyweave import job_queries
+
+    limits = []
+    whole = jobs.dispatch_round
+    monkeypatch.setattr(jobs, "dispatch_round", lambda *args, limit=500: limits.append(limit) or whole(*args, limit=limit))
+    rows = job_queries.snk2_logged_sends(spark, "/root/testdata/sf0.001")
+    assert limits == [None] and rows.where("state = 'pending'").count() == 0
