@@ -82,6 +82,14 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
     sc._jvm.System.gc()
 
 
+def spread_parts(df: DataFrame, name: str) -> list[str]:
+    """Like `spread`, for a table that grows with the input: its files as they were written, none of which holds it all."""
+    files = written(df, name).inputFiles()
+    for file in files:
+        df.sparkSession.sparkContext.addFile(file)
+    return [file.rsplit("/", 1)[-1] for file in files]
+
+
 _FETCHED: dict[str, dict[str, np.ndarray]] = {}
 
 

@@ -5,8 +5,9 @@
 2. Two sets of similarity >= t share a token among the |x| - ceil(t|x|) + 1
    first of each, under any one order of tokens. Tokens that only one set has
    come first in that order and tokens that many sets have come last, by
-   counts of hash slots of a fixed number, so few sets meet by accident. The
-   counts are a file that executors fetch from the shared folder. Sets that
+   counts of hash slots, at least as many as there are tokens, so few sets meet
+   by accident. The counts are files that executors fetch from the shared
+   folder and read a part at a time, so no task holds them whole. Sets that
    meet inside a chunk of texts are linked there; a window over the tokens
    links the chunks. A token that many sets have is dealt to windows of a
    bounded size, and their first sets to one more. The components of these
@@ -36,10 +37,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop_fetched, fetched, forget, spread, task_tables, text_rows, written
+from .common import components, drop_fetched, fetched, forget, spread, spread_parts, task_tables, text_rows, written
 from .text import chunks, words
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -97,22 +100,42 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 SEGMENTS = 256
+#: Slots are the low bits of tokens, so many or, where there are fewer slots, the first of these.
+SLOT_BITS = 34
+LEAST_SLOTS = 1 << 28
+#: A task that looks counts up holds those of so many slots at a time.
+PART_SLOTS = 1 << 20
 GROUP = 32
+#: Tokens whose counts are looked up in one reading of the files.
+LOOKUP_TOKENS = 1_000_000
 COLUMNS = ["doc_id", "n", "half", "rest", "segment", "slots"]
 SCHEMA = "doc_id long, n long, half long, rest long, segment int, slots binary"
 
 
-def _slot_rows(tokens: list[np.ndarray], slots: int) -> pa.RecordBatch:
-    """The tokens' slots (their low bits), packed by segment: gaps between sorted places, compressed."""
-    flat = np.sort(np.concatenate(tokens) & (slots - 1))
-    width = slots // SEGMENTS
+def slots_for(n_tokens: int) -> int:
+    """As many slots as there are tokens or more: with fewer most tokens would seem shared, and unlike sets would meet by them."""
+    return min(max(LEAST_SLOTS, 1 << n_tokens.bit_length()), 1 << SLOT_BITS)
+
+
+def slot_of(tokens: np.ndarray, slots: int) -> np.ndarray:
+    return (tokens & ((1 << SLOT_BITS) - 1)) >> (SLOT_BITS + 1 - slots.bit_length())
+
+
+def part_slots(slots: int) -> int:
+    return min(PART_SLOTS, slots // SEGMENTS)
+
+
+def _slot_rows(tokens: list[np.ndarray]) -> pa.RecordBatch:
+    """The tokens' finest slots, packed by segment: gaps between sorted places, compressed."""
+    flat = np.sort(slot_of(np.concatenate(tokens), 1 << SLOT_BITS))
+    width = (1 << SLOT_BITS) // SEGMENTS
     cuts = np.searchsorted(flat, np.arange(SEGMENTS + 1) * width)
     packed = [zlib.compress(np.diff(flat[i:j], prepend=k * width).astype(np.uint32).tobytes(), 1) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
     none = pa.nulls(SEGMENTS, pa.int64())
     return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SEGMENTS), pa.int32()), pa.array(packed, pa.binary())], names=COLUMNS)
 
 
-def _sets_and_slots(batches: Iterator[pa.RecordBatch], size: int, slots: int) -> Iterator[pa.RecordBatch]:
+def _sets_and_slots(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, n, half, rest), and rows (segment, slots) of all tokens."""
     held: list[np.ndarray] = []
     for batch in batches:
@@ -123,88 +146,97 @@ def _sets_and_slots(batches: Iterator[pa.RecordBatch], size: int, slots: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(n, pa.int64()), pa.array(half, mask=n == 0), pa.array(rest, mask=n == 0), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=COLUMNS)
             held.append(tokens)
             if sum(map(len, held)) > 1_000_000:
-                yield _slot_rows(held, slots)
+                yield _slot_rows(held)
                 held = []
     if held:
-        yield _slot_rows(held, slots)
+        yield _slot_rows(held)
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
-    """(segment, bits, levels): the slots that are hit twice or more, and for each group of slots the log of its most hits."""
-    width = slots // SEGMENTS
+    """(part, bits, levels): the slots that are hit twice or more, and for each group of slots the log of its most hits."""
+    width, shift = part_slots(slots), SLOT_BITS + 1 - slots.bit_length()
     for rows in task_tables(batches, "segment"):
-        hits = np.zeros(width, np.uint32)
+        hits = np.zeros(slots // SEGMENTS, np.uint32)
         for packed in rows["slots"]:
-            np.add.at(hits, np.cumsum(np.frombuffer(zlib.decompress(packed.as_py()), np.uint32), dtype=np.int64), 1)
-        levels = np.minimum(4 * np.log2(np.maximum(hits.reshape(-1, GROUP).max(axis=1), 1)), 255).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([rows["segment"].combine_chunks()[:1], pa.array([np.packbits(hits > 1, bitorder="little").tobytes()], pa.binary()), pa.array([levels.tobytes()], pa.binary())], names=["segment", "bits", "levels"])
-
-
-def slot_tables(found: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-    """The bits and levels of all segments, in order."""
-    out: dict[str, np.ndarray] = {}
-    for batch in found:
-        for name in ("bits", "levels"):
-            for k, part in zip(batch.column("segment").to_pylist(), batch.column(name), strict=True):
-                own = np.frombuffer(part.as_buffer(), np.uint8)
-                whole = out.setdefault(name, np.zeros(len(own) * SEGMENTS, np.uint8))
-                whole[k * len(own) : (k + 1) * len(own)] = own
-    return out or {"bits": np.zeros(0, np.uint8), "levels": np.zeros(0, np.uint8)}
-
-
-def prefixes(tokens: np.ndarray, at: np.ndarray, twice: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix tokens that other sets may have too, and the index of each one's set.
-
-    The order of tokens: those that no other set has (by the bits of twice, of
-    a fixed number; a wrong bit only costs work), then the others by how many
-    sets have them (about, by levels) and by hash. Tokens of the first kind
-    meet nobody and go.
+            np.add.at(hits, np.cumsum(np.frombuffer(zlib.decompress(packed.as_py()), np.uint32), dtype=np.int64) >> shift, 1)
+        first = rows["segment"][0].as_py() * (len(hits) // width)
+        for k, own in enumerate(hits.reshape(-1, width)):
+            levels = np.minimum(4 * np.log2(np.maximum(own.reshape(-1, GROUP).max(axis=1), 1)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([first + k], pa.int32()), pa.array([np.packbits(own > 1, bitorder="little").tobytes()], pa.binary()), pa.array([levels.tobytes()], pa.binary())], names=["part", "bits", "levels"])
+
+
+def looked_up(tokens: np.ndarray, files: list[str], slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token whether its slot is hit twice or more, and the level of its slot's group."""
+    width, slot = part_slots(slots), slot_of(tokens, slots)
+    order = np.argsort(slot)
+    place = slot[order]
+    cuts = np.searchsorted(place, np.arange(slots // width + 1) * width)
+    shared, level = np.zeros(len(tokens), bool), np.zeros(len(tokens), np.uint8)
+    for name in files:
+        with pq.ParquetFile(SparkFiles.get(name), pre_buffer=False, buffer_size=1 << 20) as table:
+            for batch in table.iter_batches(batch_size=16, use_threads=False):
+                for k, bits, levels in zip(batch.column("part").to_pylist(), batch.column("bits"), batch.column("levels"), strict=True):
+                    own, at = order[cuts[k] : cuts[k + 1]], place[cuts[k] : cuts[k + 1]] - k * width
+                    shared[own] = (np.frombuffer(bits.as_buffer(), np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                    level[own] = np.frombuffer(levels.as_buffer(), np.uint8)[at // GROUP]
+    return shared, level
+
+
+def prefixes(n: np.ndarray, shared: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of prefix tokens that other sets may have too, and the index of each one's set. n: sizes of sets, whose tokens stand one after another.
+
+    The order of tokens: those that no other set has (by shared; a wrong one
+    only costs work), then the others by how many sets have them (about, by
+    levels) and by hash. Tokens of the first kind meet nobody and go.
     """
-    n = np.diff(at)
-    slot = tokens & (len(twice) * 8 - 1)
-    shared = (twice[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
     owner = np.repeat(np.arange(len(n)), n)
     own_shared = np.bincount(owner[shared], minlength=len(n))
     p = np.where(n > 0, prefix_length(n, percent) - (n - own_shared), 0)  # under 1: too few shared tokens for any link
-    go = shared & (p > 0)[owner]
-    tokens, owner, slot = tokens[go], owner[go], slot[go]
-    order = np.argsort(owner * 256 + levels[slot // GROUP], kind="stable")
-    tokens, owner = tokens[order], owner[order]
+    place = np.flatnonzero(shared & (p > 0)[owner])
+    owner = owner[place]
+    order = np.argsort(owner * 256 + levels[place], kind="stable")
+    place, owner = place[order], owner[order]
     begin = np.concatenate([[0], np.cumsum(np.where(p > 0, own_shared, 0))])
-    take = np.arange(len(tokens)) - begin[owner] < p[owner]
-    return tokens[take], owner[take]
+    take = np.arange(len(place)) - begin[owner] < p[owner]
+    return place[take], owner[take]
 
 
 #: About how many sets with a token go to one window.
 SALT_SETS = 4096
 
 
-def _meetings(batches: Iterator[pa.RecordBatch], size: int, percent: int, slots: str) -> Iterator[pa.RecordBatch]:
+def _meetings(batches: Iterator[pa.RecordBatch], size: int, percent: int, files: list[str], slots: int) -> Iterator[pa.RecordBatch]:
     """Rows (token, salts, node): one for each prefix token and chunk; rows (node, other): sets of a chunk that meet by a token. salts: over how many windows the token's rows are dealt."""
-    tables = fetched(slots, slot_tables)
-    twice, levels = tables["bits"], tables["levels"]
-    names = ["token", "salts", "node", "other"]
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in batches:
         for part in chunks(batch.column(1)):
             tokens, at = shingle_sets(batch.column(1)[part.start : part.stop], size)
-            node = digests(split(tokens, at))[0]  # sets of equal halves only share a cell
-            _, first = np.unique(node, return_index=True)  # equal sets count once
-            once = np.zeros(len(node), bool)
-            once[first] = True
-            token, owner = prefixes(tokens, at, twice, levels, percent)
-            keep = once[owner]
-            token, own = token[keep], node[owner[keep]]
-            order = np.lexsort((own, token))
-            token, own = token[order], own[order]
-            head = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
-            star = own[head][np.cumsum(head) - 1] if len(token) else own
-            a, b = np.unique(np.stack([star[~head], own[~head]]), axis=1) if (~head).any() else (own[:0], own[:0])
-            token, own = token[head], own[head]
-            sets_with = 2.0 ** (levels[(token & (len(twice) * 8 - 1)) // GROUP] / 4)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array((sets_with // SALT_SETS).astype(np.int64) + 1), pa.array(own), pa.nulls(len(own), pa.int64())], names=names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=names)
-    del tables, twice, levels
-    drop_fetched(slots)
+            held.append((tokens, np.diff(at), digests(split(tokens, at))[0]))  # sets of equal halves only share a cell
+            if sum(len(tokens) for tokens, _, _ in held) >= LOOKUP_TOKENS:
+                yield from _met(held, percent, files, slots)
+                held = []
+    if held:
+        yield from _met(held, percent, files, slots)
+
+
+def _met(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], percent: int, files: list[str], slots: int) -> Iterator[pa.RecordBatch]:
+    names = ["token", "salts", "node", "other"]
+    tokens, n, node = (np.concatenate(x) for x in zip(*held, strict=True))
+    _, first = np.unique(node, return_index=True)  # equal sets count once
+    once = np.zeros(len(node), bool)
+    once[first] = True
+    shared, levels = looked_up(tokens, files, slots)
+    place, owner = prefixes(n, shared, levels, percent)
+    place, own = place[once[owner]], node[owner[once[owner]]]
+    token, level = tokens[place], levels[place]
+    order = np.lexsort((own, token))
+    token, level, own = token[order], level[order], own[order]
+    head = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
+    star = own[head][np.cumsum(head) - 1] if len(token) else own
+    a, b = np.unique(np.stack([star[~head], own[~head]]), axis=1) if (~head).any() else (own[:0], own[:0])
+    token, level, own = token[head], level[head], own[head]
+    yield pa.RecordBatch.from_arrays([pa.array(token), pa.array((2.0 ** (level / 4) // SALT_SETS).astype(np.int64) + 1), pa.array(own), pa.nulls(len(own), pa.int64())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=names)
 
 
 class Tree:
@@ -365,17 +397,19 @@ def id_place(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mixed(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, slots: int = 1 << 28, filter_bits: int = 1 << 26) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, slots: int | None = None, filter_bits: int = 1 << 26) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs: the smallest id reachable by pairs with 100 * overlap >= percent * union."""
     rows = text_rows(docs, id_col, text_col)
-    found = written(rows.mapInArrow(lambda it: _sets_and_slots(it, size, slots), SCHEMA), "jaccard-sets")
+    found = written(rows.mapInArrow(lambda it: _sets_and_slots(it, size), SCHEMA), "jaccard-sets")
+    if slots is None:
+        slots = slots_for(found.agg(F.sum("n")).first()[0] or 0)
     sets = found.where("n is not null").select("doc_id", "n", "half", "rest")
     with_id = sets.where("doc_id is not null and half is not null")
 
-    # a bit for each hash slot and a byte for each group of slots: of that size whatever the input
+    # a bit for each hash slot and a byte for each group of slots
     packed = found.where("segment is not null").select("segment", "slots").repartition("segment").sortWithinPartitions("segment")
-    counted = spread(packed.mapInArrow(lambda it: _slot_counts(it, slots), "segment int, bits binary, levels binary"), "jaccard-slots")
-    met = rows.where("doc_id is not null").mapInArrow(lambda it: _meetings(it, size, percent, counted), "token long, salts long, node long, other long")
+    counted = spread_parts(packed.mapInArrow(lambda it: _slot_counts(it, slots), "part int, bits binary, levels binary"), "jaccard-slots")
+    met = rows.where("doc_id is not null").mapInArrow(lambda it: _meetings(it, size, percent, counted, slots), "token long, salts long, node long, other long")
     edges = written(linked_by_tokens(met), "jaccard-meetings")
     heads = edges.where("other is null")
     met_heads = heads.select("node", F.lag("node").over(Window.partitionBy("token").orderBy("node")).alias("other")).where("other <> node")
