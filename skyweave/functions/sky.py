@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +29,15 @@ def zone_cell(df: DataFrame, ra: str, dec: str, height: float) -> DataFrame:
     return df.withColumn("bin_", F.expr(f"pmod(bigint(floor(pmod({ra}, 360D) / 360D * {bins_of_zone('zone_', height)})), {bins_of_zone('zone_', height)})"))
 
 
-def search_cells(df: DataFrame, ra: str, dec: str, radius_arcsec: float, height: float) -> DataFrame:
-    """df with a row for each cell (zone_, bin_) that a cone around its position touches; RA wrap and poles included."""
-    r = radius_arcsec / 3600
+def search_cells(df: DataFrame, ra: str, dec: str, radius_arcsec: float | str, height: float) -> DataFrame:
+    """df with a row for each cell (zone_, bin_) that a cone around its position touches; RA wrap and poles included. radius_arcsec: a number, or SQL where it differs by row."""
+    r = f"(({radius_arcsec}) / 3600D)" if isinstance(radius_arcsec, str) else f"{radius_arcsec / 3600}D"
     rows = df.withColumn(
         "half_",
-        F.expr(f"if(abs({dec}) + {r}D >= 90D, 180D, degrees(asin(least(1D, sin(radians({r}D)) / cos(radians({dec}))))) + {SLACK}D)"),
+        F.expr(f"if(abs({dec}) + {r} >= 90D, 180D, degrees(asin(least(1D, sin(radians({r})) / cos(radians({dec}))))) + {SLACK}D)"),
     )
     top = int(180 / height) + 1
-    zones = f"sequence(greatest(0L, bigint(floor(({dec} - {r + SLACK}D + 90D) / {height}D))), least({top}L, bigint(floor(({dec} + {r + SLACK}D + 90D) / {height}D))))"
+    zones = f"sequence(greatest(0L, bigint(floor(({dec} - ({r} + {SLACK}D) + 90D) / {height}D))), least({top}L, bigint(floor(({dec} + ({r} + {SLACK}D) + 90D) / {height}D))))"
     cells = f"""flatten(transform({zones}, z -> transform(
         if(half_ >= 180D, sequence(0L, {bins_of_zone('z', height)} - 1),
            sequence(bigint(floor((pmod({ra}, 360D) - half_) / 360D * {bins_of_zone('z', height)})), bigint(floor((pmod({ra}, 360D) + half_) / 360D * {bins_of_zone('z', height)})))),
@@ -47,6 +45,11 @@ def search_cells(df: DataFrame, ra: str, dec: str, radius_arcsec: float, height:
     return rows.withColumn("cell_", F.explode(F.array_distinct(F.expr(cells)))).select("*", "cell_.zone_", "cell_.bin_").drop("half_", "cell_")
 
 
+def spread_bits(v: Column) -> Column:
+    """A number with its bits moved to the even places: its binary digits, read as digits of base 4. v is there once, so compiled code stays small."""
+    return F.conv(F.bin(v), 4, 10).cast("long")
+
+
 def healpix_nested(ra: Column, dec: Column, order: int) -> Column:
     """Nested HEALPix pixel of a position in degrees (the published closed form), for orders up to 29."""
     nside = 1 << order
@@ -65,17 +68,7 @@ def healpix_nested(ra: Column, dec: Column, order: int) -> Column:
     y = F.when(belt, nside - jp.bitwiseAND(mask) - 1).when(north, nside - kp - 1).otherwise(km)
     f = F.when(belt, face).when(north, quarter).otherwise(quarter + 8)
 
-    def spread(v: Column) -> Column:
-        # bits move apart by halves: 16, 8, 4, 2, 1 places; transform gives each stage its value once
-        def apart(k: int) -> Callable[[Column], Column]:
-            mask = F.lit(sum(((1 << k) - 1) << at for at in range(0, 63, 2 * k)))
-            return lambda x: x.bitwiseOR(F.shiftleft(x, k)).bitwiseAND(mask)
-
-        for k in (16, 8, 4, 2, 1):
-            v = F.transform(F.array(v), apart(k))[0]
-        return v
-
-    return F.shiftleft(f.cast("long"), 2 * order) + spread(x) + F.shiftleft(spread(y), 1)
+    return F.shiftleft(f.cast("long"), 2 * order) + spread_bits(x) + F.shiftleft(spread_bits(y), 1)
 
 
 def coarsen(pixel: Column, order: int, from_order: int = 29) -> Column:

@@ -8,17 +8,20 @@ cells are halved in height and width until they hold few sources (dense_cells).
 
 A prepared catalog lies in folders by HEALPix tiles that hold about as many
 rows each, sorted by pixel, with a coverage map beside it: for parts of tiles
-their range of pixels and a cap around their sources. A batch reads the tiles
-and ranges whose cap a cone reaches; a source within reach of an alert is in one.
+their range of pixels and a cap around their sources. Alerts near each other
+are put together in caps too. A batch reads the tiles and ranges whose caps come
+within the radius of those of alerts; a source within reach of an alert is in one.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sky import coarsen, healpix_nested, search_cells, separation_arcsec, zone_cell
@@ -188,34 +191,67 @@ def with_payloads(matches: DataFrame, catalog: PayloadCatalog, n_matches: int |
 TILE_ORDER, FINER = 7, 3
 #: Ranges of pixels that are pushed to the scan at most; nearer ones become one.
 MAX_RANGES = 100
+#: Alerts in one HEALPix pixel of this order (a quarter of a degree), or of that of a tile's parts where these are larger, are one cap.
+ALERT_ORDER = 8
 
 
 def prepare_catalog(catalog: DataFrame, path: str, max_rows: int = 1_000_000) -> None:
     """A copy of a catalog in folders by tile, each with about max_rows rows at the most, sorted by pixel; its coverage map lies in _coverage. Sources without a position go."""
     spark = catalog.sparkSession
-    rows = _placed(catalog)
-    if "_healpix_29" not in rows.columns:
-        rows = rows.withColumn("_healpix_29", healpix_nested(F.col("source_ra_deg"), F.col("source_dec_deg"), 29))
-    tiled = adaptive_tiles(rows, max_rows, highest=TILE_ORDER, pixel=coarsen(F.col("_healpix_29"), TILE_ORDER))
-    order = ["tile_order", "tile", "_healpix_29"]
-    tiled.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("tile_order", "tile").parquet(path)
-    coverage(spark.read.schema(tiled.schema).parquet(path)).write.parquet(f"{path}/_coverage")
+    with _compiled(spark):
+        rows = _placed(catalog)
+        if "_healpix_29" not in rows.columns:
+            rows = rows.withColumn("_healpix_29", healpix_nested(F.col("source_ra_deg"), F.col("source_dec_deg"), 29))
+        tiled = adaptive_tiles(rows, max_rows, highest=TILE_ORDER, pixel=coarsen(F.col("_healpix_29"), TILE_ORDER))
+        order = ["tile_order", "tile", "_healpix_29"]
+        tiled.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("tile_order", "tile").parquet(path)
+        coverage(spark.read.schema(tiled.schema).parquet(path)).write.parquet(f"{path}/_coverage")
+
+
+@contextmanager
+def _compiled(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile stages whose code would be one method that the JVM doesn't compile (8000 bytes) run as several: pixels of derived positions make such."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def coverage(prepared: DataFrame) -> DataFrame:
     """(tile_order, tile, low, high, ra, dec, reach): for parts of tiles their range of pixels and a cap that holds their sources, reach in degrees."""
     part = F.expr(f"shiftright(_healpix_29, 2 * greatest(0, {29 - FINER} - tile_order))")
-    ra, dec = F.radians("source_ra_deg"), F.radians("source_dec_deg")
-    axes = {"x": F.cos(dec) * F.cos(ra), "y": F.cos(dec) * F.sin(ra), "z": F.sin(dec)}
-    boxed = prepared.withColumns(axes).groupBy("tile_order", "tile", part.alias("part")).agg(
-        F.min("_healpix_29").alias("low"), F.max("_healpix_29").alias("high"), *(f(c).alias(f"{f.__name__}_{c}") for c in axes for f in (F.min, F.max)))
+    kept = [F.min("_healpix_29").alias("low"), F.max("_healpix_29").alias("high")]
+    boxed = _boxes(prepared, "source_ra_deg", "source_dec_deg").groupBy("tile_order", "tile", part.alias("part")).agg(*kept, *_box())
+    return _cap(boxed).select("tile_order", "tile", "low", "high", "ra", "dec", "reach")
+
+
+_AXES = ("x", "y", "z")
+
+
+def _box() -> list[Column]:
+    """The box around boxes."""
+    return [f(f"{f.__name__}_{c}").alias(f"{f.__name__}_{c}") for c in _AXES for f in (F.min, F.max)]
+
+
+def _boxes(rows: DataFrame, ra: str, dec: str) -> DataFrame:
+    """rows with the box of their unit vector, to be put together by _box."""
+    at = {"x": F.cos(F.radians(dec)) * F.cos(F.radians(ra)), "y": F.cos(F.radians(dec)) * F.sin(F.radians(ra)), "z": F.sin(F.radians(dec))}
+    return rows.withColumns(at).withColumns({f"{end}_{c}": F.col(c) for c in _AXES for end in ("min", "max")}).drop(*_AXES)
+
+
+def _cap(boxed: DataFrame) -> DataFrame:
+    """boxed with ra, dec and reach (degrees) of a cap that holds what is in the box."""
     # the middle of a box around the unit vectors, moved to the sphere; no vector is further than half the box's diagonal and that move
-    middle = boxed.withColumns({c: (F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 for c in axes})
-    length = F.sqrt(sum(F.col(c) * F.col(c) for c in axes))
-    diagonal = F.sqrt(sum((F.col(f"max_{c}") - F.col(f"min_{c}")) * (F.col(f"max_{c}") - F.col(f"min_{c}")) for c in axes))
+    middle = boxed.withColumns({c: (F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 for c in _AXES})
+    length = F.sqrt(sum(F.col(c) * F.col(c) for c in _AXES))
+    diagonal = F.sqrt(sum((F.col(f"max_{c}") - F.col(f"min_{c}")) * (F.col(f"max_{c}") - F.col(f"min_{c}")) for c in _AXES))
     chord = diagonal / 2 + F.abs(1 - length)
     reach = F.when((chord >= 2) | (length < 1e-6), 180.0).otherwise(F.degrees(2 * F.asin(F.least(F.lit(1.0), chord / 2))) + 1e-7)
-    return middle.select("tile_order", "tile", "low", "high", F.pmod(F.degrees(F.atan2("y", "x")), F.lit(360.0)).alias("ra"), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("z") / length)))).alias("dec"), reach.alias("reach"))
+    ra = F.pmod(F.degrees(F.atan2("y", "x")), F.lit(360.0))
+    return middle.withColumns({"ra": ra, "dec": F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("z") / length)))), "reach": reach})
 
 
 def is_prepared(catalog: DataFrame) -> bool:
@@ -225,17 +261,22 @@ def is_prepared(catalog: DataFrame) -> bool:
 def covered(cover: DataFrame, alerts: DataFrame, radius_arcsec: float) -> DataFrame:
     """(tile_order, tile, low, high): tiles with a part that a cone around an alert may reach, and the pixels of these parts."""
     widest = {r["tile_order"]: r["reach"] for r in cover.groupBy("tile_order").agg(F.max("reach").alias("reach")).collect()}  # a row for each order
+    if not widest:
+        return cover.select("tile_order", "tile", "low", "high")
+    places = valid_coordinates(alerts).select("ra_deg", "dec_deg")
+    pixel = healpix_nested(F.col("ra_deg"), F.col("dec_deg"), ALERT_ORDER)
+    boxed = _boxes(places.withColumn("pixel", pixel), "ra_deg", "dec_deg").groupBy("pixel").agg(*_box())  # at most a row for each pixel
     found = []
     for order, reach in sorted(widest.items()):
+        coarse = min(ALERT_ORDER, order + FINER)
+        near_each_other = _cap(boxed.groupBy(coarsen(F.col("pixel"), coarse, ALERT_ORDER)).agg(*_box())).select("ra", "dec", F.col("reach").alias("own"))
         wide = radius_arcsec + reach * 3600
-        height = min(wide / 3600, 30.0)
+        height = min(wide / 3600 + 60 / 2**coarse, 30.0)
         centres = zone_cell(cover.where(F.col("tile_order") == order), "ra", "dec", height)
-        cones = search_cells(valid_coordinates(alerts).select("ra_deg", "dec_deg"), "ra_deg", "dec_deg", min(wide, 180 * 3600.0), height).alias("a")
-        near = separation_arcsec(F.col("a.ra_deg"), F.col("a.dec_deg"), F.col("ra"), F.col("dec")) <= radius_arcsec + F.col("reach") * 3600
+        cones = search_cells(near_each_other, "ra", "dec", f"least({180 * 3600.0}D, {wide}D + own * 3600D)", height).alias("a")
+        near = separation_arcsec(F.col("a.ra"), F.col("a.dec"), F.col("c.ra"), F.col("c.dec")) <= radius_arcsec + (F.col("reach") + F.col("a.own")) * 3600
         same = (F.col("a.zone_") == F.col("c.zone_")) & (F.col("a.bin_") == F.col("c.bin_"))
         found.append(centres.alias("c").join(cones, same & near, "left_semi"))
-    if not found:
-        return cover.select("tile_order", "tile", "low", "high")
     return reduce(DataFrame.unionByName, found).groupBy("tile_order", "tile").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
@@ -274,6 +315,18 @@ def prune_catalog(catalog: DataFrame, alerts: DataFrame, radius_arcsec: float =
     tiles: dict[int, list[int]] = {}
     for r in needed:
         tiles.setdefault(r["tile_order"], []).append(r["tile"])
-    folders = reduce(Column.__or__, ((F.col("tile_order") == order) & F.col("tile").isin(own) for order, own in tiles.items()))
-    pixels = reduce(Column.__or__, (F.col("_healpix_29").between(low, high) for low, high in merged_ranges([(r["low"], r["high"]) for r in needed])))
-    return catalog.where(folders & pixels)
+    folders = reduce(Column.__or__, ((F.col("tile_order") == order) & F.expr(f"tile IN ({', '.join(map(str, own))})") for order, own in tiles.items()))
+    ranges = merged_ranges([(r["low"], r["high"]) for r in needed])
+    # where the ranges leave out little of these folders, looking at each row's pixel costs more than it saves
+    if 10 * sum(high - low + 1 for low, high in ranges) >= 9 * sum(len(own) << 2 * (29 - order) for order, own in tiles.items()):
+        return catalog.where(folders)
+    return catalog.where(folders & _in_ranges(ranges))
+
+
+def _in_ranges(ranges: list[tuple[int, int]]) -> Column:
+    """Whether a pixel is in one of some ranges, in order: by halves, so that a row is compared with few of them."""
+    whole = F.col("_healpix_29").between(ranges[0][0], ranges[-1][1])
+    if len(ranges) == 1:
+        return whole
+    half = len(ranges) // 2
+    return whole & (_in_ranges(ranges[:half]) | _in_ranges(ranges[half:]))

@@ -106,3 +106,35 @@ def test_late_payloads(spark, tmp_path):
     found = cross.crossmatch_catalogs(alerts, [catalog.positions])
     second = plan(cross.with_payloads(found, catalog, 10))
     assert "unused" not in second and "LeftSemi" in second and "PartitionFilters: [" in second
+
+
+def test_rows_are_not_compared_with_ranges_that_leave_out_nothing(spark, sky, tmp_path):
+    """A batch over the whole sky reads all folders, and no row's pixel is looked at; a spot's is."""
+    _, sources = sky
+    cross.prepare_catalog(sources, str(tmp_path / "c"), 100)
+    prepared = spark.read.parquet(str(tmp_path / "c"))
+    pushed = lambda alerts: "_healpix_29" in cross.prune_catalog(prepared, alerts)._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
+    everywhere = spark.range(200_000).select(F.col("id").alias(ID), (F.col("id") * 137.508 % 360).alias("ra_deg"), F.degrees(F.asin(F.col("id") / 100_000 - 1)).alias("dec_deg"))
+    assert not pushed(everywhere) and pushed(everywhere.limit(1))
+
+
+@pytest.mark.parametrize("n", [1, 7, 100])
+def test_ranges_by_halves(spark, n):
+    ranges = [(10 * k, 10 * k + k % 7) for k in range(n)]
+    got = {r[0] for r in spark.range(-5, 10 * n + 5).withColumnRenamed("id", "_healpix_29").where(cross._in_ranges(ranges)).collect()}
+    assert got == {x for low, high in ranges for x in range(low, high + 1)}
+
+
+def test_alerts_near_each_other_are_one_cap(spark, sky, tmp_path):
+    """The join with the coverage map gets a row for each quarter of a degree, not for each alert."""
+    _, sources = sky
+    cross.prepare_catalog(sources, str(tmp_path / "c"), 100)
+    cover = spark.read.parquet(str(tmp_path / "c" / "_coverage"))
+    many = spark.range(5000).select(F.col("id").alias(ID), (120 + F.col("id") % 71 * 1e-4).alias("ra_deg"), (F.col("id") % 67 * 1e-4 - 30).alias("dec_deg"))
+    got = {(r.tile_order, r.tile) for r in cross.covered(cover, many, 1.0).collect()}
+    assert got and got < {(r.tile_order, r.tile) for r in cover.collect()}
+    boxes = cross._boxes(many.withColumn("pixel", cross.healpix_nested(F.col("ra_deg"), F.col("dec_deg"), cross.ALERT_ORDER)), "ra_deg", "dec_deg").groupBy("pixel").agg(*cross._box())
+    caps = cross._cap(boxes).select("pixel", "ra", "dec", "reach")
+    assert caps.count() < 10
+    out = many.withColumn("pixel", cross.healpix_nested(F.col("ra_deg"), F.col("dec_deg"), cross.ALERT_ORDER)).join(caps, "pixel")
+    assert out.where(cross.separation_arcsec(F.col("ra_deg"), F.col("dec_deg"), F.col("ra"), F.col("dec")) > F.col("reach") * 3600).count() == 0
