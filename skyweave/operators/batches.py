@@ -82,8 +82,12 @@ def _summary(batch: DataFrame, found: DataFrame, catalogs: list[str], match_vers
     return rows.select("catalog_name", "n_input", "n_valid", "n_matched", (F.col("n_valid") - F.col("n_matched")).alias("n_no_match"), "outcome", F.lit(match_version).alias("match_version"))
 
 
-def adaptive_tiles(df: DataFrame, max_rows: int, lowest: int = 0, highest: int = 7, ra: str = "ra_deg", dec: str = "dec_deg", pixel: Column | None = None) -> DataFrame:
-    """df with tile_order and tile: the coarsest HEALPix tile of each row that holds at most max_rows rows (the finest if none does). pixel: of order `highest`, where rows have it already."""
+def adaptive_tiles(df: DataFrame, max_rows: int, lowest: int = 0, highest: int = 7, ra: str = "ra_deg", dec: str = "dec_deg", pixel: Column | None = None, most_tiles: int | None = None) -> DataFrame:
+    """df with tile_order and tile: the coarsest HEALPix tile of each row that holds at most max_rows rows (the finest if none does). pixel: of order `highest`, where rows have it already.
+
+    most_tiles: a tile may also hold the so-manieth part of all rows, which
+    bounds the number of tiles (by about four times as many).
+    """
     from ..functions.sky import healpix_nested
 
     rows = df.withColumn("pixel_", pixel if pixel is not None else healpix_nested(F.col(ra), F.col(dec), highest))
@@ -92,6 +96,9 @@ def adaptive_tiles(df: DataFrame, max_rows: int, lowest: int = 0, highest: int =
     up = counts.select("pixel_", "n_", levels).withColumn("tile_", F.expr(f"shiftright(pixel_, 2 * ({highest} - tile_order))"))
     full = up.groupBy("tile_order", "tile_").agg(F.sum("n_").alias("sum_"))
     fits = (F.col("sum_") <= max_rows) | (F.col("tile_order") == highest)
-    chosen = up.join(full.where(fits), ["tile_order", "tile_"]).groupBy("pixel_").agg(F.min("tile_order").alias("tile_order"))
+    if most_tiles is not None:
+        full = full.join(F.broadcast(counts.agg((F.sum("n_") / most_tiles).alias("part_"))))  # one row
+        fits = fits | (F.col("sum_") <= F.col("part_"))
+    chosen = up.join(full.where(fits).select("tile_order", "tile_"), ["tile_order", "tile_"]).groupBy("pixel_").agg(F.min("tile_order").alias("tile_order"))
     tile = F.expr(f"shiftright(pixel_, 2 * ({highest} - tile_order))")
     return rows.join(F.broadcast(chosen), "pixel_").withColumn("tile", tile).drop("pixel_")

@@ -193,16 +193,18 @@ TILE_ORDER, FINER = 7, 3
 MAX_RANGES = 100
 #: Alerts in one HEALPix pixel of this order (a quarter of a degree), or of that of a tile's parts where these are larger, are one cap.
 ALERT_ORDER = 8
+#: Folders of a prepared catalog are not many more than four times this, however small they are asked to be: each is a file to write, list and open.
+MOST_FOLDERS = 512
 
 
 def prepare_catalog(catalog: DataFrame, path: str, max_rows: int = 1_000_000) -> None:
-    """A copy of a catalog in folders by tile, each with about max_rows rows at the most, sorted by pixel; its coverage map lies in _coverage. Sources without a position go."""
+    """A copy of a catalog in folders by tile, each with about max_rows rows at the most (or a MOST_FOLDERS-th of all), sorted by pixel; its coverage map lies in _coverage. Sources without a position go."""
     spark = catalog.sparkSession
     with _compiled(spark):
         rows = _placed(catalog)
         if "_healpix_29" not in rows.columns:
             rows = rows.withColumn("_healpix_29", healpix_nested(F.col("source_ra_deg"), F.col("source_dec_deg"), 29))
-        tiled = adaptive_tiles(rows, max_rows, highest=TILE_ORDER, pixel=coarsen(F.col("_healpix_29"), TILE_ORDER))
+        tiled = adaptive_tiles(rows, max_rows, highest=TILE_ORDER, pixel=coarsen(F.col("_healpix_29"), TILE_ORDER), most_tiles=MOST_FOLDERS)
         order = ["tile_order", "tile", "_healpix_29"]
         tiled.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("tile_order", "tile").parquet(path)
         coverage(spark.read.schema(tiled.schema).parquet(path)).write.parquet(f"{path}/_coverage")

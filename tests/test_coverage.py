@@ -108,6 +108,17 @@ def test_late_payloads(spark, tmp_path):
     assert "unused" not in second and "LeftSemi" in second and "PartitionFilters: [" in second
 
 
+def test_folders_are_bounded(spark, sky, tmp_path, monkeypatch):
+    """Tiles that are asked to be very small don't make a folder for nearly each source."""
+    alerts, sources = sky
+    monkeypatch.setattr(cross, "MOST_FOLDERS", 8)
+    cross.prepare_catalog(sources, str(tmp_path / "c"), 2)
+    prepared = spark.read.parquet(str(tmp_path / "c"))
+    assert 8 <= prepared.select("tile_order", "tile").distinct().count() <= 4 * 8
+    for radius in (1.0, 7200.0):
+        assert pairs(cross.cone_pairs(alerts, cross.prune_catalog(prepared, alerts, radius), radius)) == pairs(cross.cone_pairs(alerts, sources, radius))
+
+
 def test_rows_are_not_compared_with_ranges_that_leave_out_nothing(spark, sky, tmp_path):
     """A batch over the whole sky reads all folders, and no row's pixel is looked at; a spot's is."""
     _, sources = sky
