@@ -38,3 +38,16 @@ def test_few_sets_meet_however_many_tokens_there_are(spark, monkeypatch):
     found = groups()
     assert found == groups(slots=1 << 13) == {k: min(k, 400) if k < 400 else 400 for k, _ in rows}
     assert kept[0] < kept[1] / 4  # with fewer slots than tokens nearly all sets meet
+
+
+def test_the_pipelines_stage_takes_as_many_slots_as_tokens(spark, monkeypatch):
+    """Its stage passes no number of slots, so the one that its own texts ask for is taken."""
+    import corpus_pipeline
+
+    asked, slots_for = [], jaccard.slots_for
+    monkeypatch.setattr(jaccard, "LEAST_SLOTS", 1 << 13)
+    monkeypatch.setattr(jaccard, "slots_for", lambda n: asked.append((n, slots_for(n))) or asked[-1][1])
+    rows = passages()
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in left.collect()} == set(range(401))
+    assert [(slots >= n > 1 << 13) for n, slots in asked] == [True]
