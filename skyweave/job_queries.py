@@ -13,7 +13,7 @@ from .schema import CatalogSpec
 from .sources import catalogs, files
 from .sources.landed import landed_stream
 from .sources.outbox import LoggedSender
-from .sources.sinks import send_results, to_json_lines, work_folder
+from .sources.sinks import send_results, snapshot, to_json_lines, work_folder
 from .streaming import jobs
 from .streaming.due import due_batches
 
@@ -68,7 +68,8 @@ def join4_late_payloads(spark: SparkSession, d: str) -> DataFrame:
     rows = t.catalog(spark, d, "dense").withColumn("digits", F.length("catalog_source_id")).withColumn("even", F.col("catalog_source_id").cast("long") % 2 == 0)
     cross.prepare_catalog(rows, path, max_rows=20_000)
     catalog = cross.PayloadCatalog(spark.read.parquet(path), CatalogSpec("dense", "", "", "", "", {"shape": ("digits",), "classification": ("even",)}))
-    found = cross.crossmatch_catalogs(t.alerts(spark, d), [catalog.positions])
+    # written first, as in match_batch: what is read for the payloads depends on the matches, which would be made again
+    found = snapshot(cross.crossmatch_catalogs(t.alerts(spark, d), [catalog.positions]), "found")
     return cross.with_payloads(found, catalog).select(ID, "catalog_source_id", "catalog_payload")
 
 

@@ -149,3 +149,11 @@ def test_alerts_near_each_other_are_one_cap(spark, sky, tmp_path):
     assert caps.count() < 10
     out = many.withColumn("pixel", cross.healpix_nested(F.col("ra_deg"), F.col("dec_deg"), cross.ALERT_ORDER)).join(caps, "pixel")
     assert out.where(cross.separation_arcsec(F.col("ra_deg"), F.col("dec_deg"), F.col("ra"), F.col("dec")) > F.col("reach") * 3600).count() == 0
+
+
+def test_matches_are_made_once_for_late_payloads(spark):
+    from skyweave import job_queries
+
+    rows = job_queries.join4_late_payloads(spark, "/root/testdata/sf0.001")
+    assert "orders.parquet" not in rows._jdf.queryExecution().optimizedPlan().toString() + rows._jdf.queryExecution().executedPlan().toString()
+    assert all("orders.parquet" not in f for f in rows.inputFiles()) and rows.count() > 0
